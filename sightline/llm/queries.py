@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
+from .near_dedup import op8_minhash_near_dedup
 from .quality import op1_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op8_minhash_near_dedup)}
 ORACLE: dict[str, str] = {}
