@@ -57,6 +57,15 @@ class Rolling:
         np.cumsum((values.astype(np.uint64) + np.uint64(1)) * self.up[: len(values)], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * self.down[starts] ^ (ends - starts).astype(np.uint64))
 
+    def fixed(self, values: np.ndarray, width: int) -> np.ndarray:
+        """Hash of each ``width`` values in a row."""
+        self._powers(len(values) + 1)
+        if len(values) < width:
+            return np.zeros(0, np.uint64)
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * self.up[: len(values)], out=sums[1:])
+        return mix((sums[width:] - sums[:-width]) * self.down[: len(values) - width + 1])
+
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
