@@ -1,11 +1,12 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
 from .bpe import op5_byte_bpe
+from .byte_dedup import op6_suffix_array_dedup
 from .decontaminate import OP9_SQL, op9_benchmark_decontamination
 from .near_dedup import op8_minhash_near_dedup
 from .pii import op3_feistel_pseudonyms
 from .quality import op1_quality_rules
 from .substring_dedup import op2_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_feistel_pseudonyms, op5_byte_bpe, op8_minhash_near_dedup, op9_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_feistel_pseudonyms, op5_byte_bpe, op6_suffix_array_dedup, op8_minhash_near_dedup, op9_benchmark_decontamination)}
 ORACLE: dict[str, str] = {"op9_benchmark_decontamination": OP9_SQL}
