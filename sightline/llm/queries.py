@@ -6,7 +6,8 @@ from .decontaminate import OP9_SQL, op9_benchmark_decontamination
 from .near_dedup import op8_minhash_near_dedup
 from .pii import op3_feistel_pseudonyms
 from .quality import op1_quality_rules
+from .sharding import op4_minimax_sharding
 from .substring_dedup import op2_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_feistel_pseudonyms, op5_byte_bpe, op6_suffix_array_dedup, op8_minhash_near_dedup, op9_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_feistel_pseudonyms, op4_minimax_sharding, op5_byte_bpe, op6_suffix_array_dedup, op8_minhash_near_dedup, op9_benchmark_decontamination)}
 ORACLE: dict[str, str] = {"op9_benchmark_decontamination": OP9_SQL}
