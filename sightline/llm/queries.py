@@ -8,6 +8,22 @@ from .pii import op3_feistel_pseudonyms
 from .quality import op1_quality_rules
 from .sharding import op4_minimax_sharding
 from .substring_dedup import op2_substring_dedup
+from .url_filters import op10_url_filters
+from .warc import OP7_SQL, op7_warc_archives
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_feistel_pseudonyms, op4_minimax_sharding, op5_byte_bpe, op6_suffix_array_dedup, op8_minhash_near_dedup, op9_benchmark_decontamination)}
-ORACLE: dict[str, str] = {"op9_benchmark_decontamination": OP9_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_substring_dedup,
+        op3_feistel_pseudonyms,
+        op4_minimax_sharding,
+        op5_byte_bpe,
+        op6_suffix_array_dedup,
+        op7_warc_archives,
+        op8_minhash_near_dedup,
+        op9_benchmark_decontamination,
+        op10_url_filters,
+    )
+}
+ORACLE: dict[str, str] = {"op7_warc_archives": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
