@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .kernels import ragged, slices
+from .kernels import ragged
 
 #: Bytes of text whose distinct words are asked for together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 24 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,83 +39,98 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-def _blocks(pattern: str):
+def _blocks(pattern: str, parts: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each block of documents: ids, distinct words, and each document's words by their number."""
+        """A row for each block of documents: ids, each document's words by their number, and the distinct words to ask for.
+
+        Words are numbered by frequency. Those of one part of the hash range are asked for together, sorted and compressed; ``turn``
+        leads from the order of asking to the numbers.
+        """
         import regex
 
         split, task, serial = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
+        held, size = [], 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal serial
+            serial += 1
+            number: dict[str, int] = {}
+            order, counts, ids = array("I"), [], []
+            for doc, text in held:
+                found = split(text or "")
+                ids.append(doc)
+                counts.append(len(found))
+                order.extend([number.setdefault(w, len(number)) for w in found])
+            places = np.frombuffer(order, np.uint32)
+            rank = np.empty(len(number), np.int64)
+            rank[np.argsort(-np.bincount(places, minlength=len(number)), kind="stable")] = np.arange(len(number))
+            words = [w.encode() for w in number]
+            asked = sorted((crc32(w) % parts, w, k) for k, w in enumerate(words))
+            bounds = np.searchsorted([a[0] for a in asked], np.arange(parts + 1))
+            questions = [{"part": int(p), "words": _pack_words([a[1] for a in asked[bounds[p] : bounds[p + 1]]])} for p in np.flatnonzero(np.diff(bounds))]
+            # the block's name holds the content, so a block that was recomputed otherwise can't take another's answers
+            name = hashlib.blake2b(repr((task, serial, ids[:1], len(order))).encode(), digest_size=8)
+            for q in questions:
+                name.update(q["words"])
+            columns = [[int.from_bytes(name.digest(), "little", signed=True)], [ids], [counts], [_pack(rank[places])], [_pack(rank[[a[2] for a in asked]])], [questions]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _BLOCK, strict=True)], ["block", "ids", "counts", "places", "turn", "questions"])
+
         for batch in batches:
-            for piece, _, _ in slices(batch, "text", BLOCK_BYTES):
-                number: dict[str, int] = {}
-                order, counts = [], []
-                for text in piece.column(1).to_pylist():
-                    found = split(text or "")
-                    counts.append(len(found))
-                    order.extend([number.setdefault(w, len(number)) for w in found])
-                ids = piece.column(0).to_pylist()
-                words = [w.encode() for w in number]
-                # the name holds the content, so a block that was recomputed otherwise can't take another's answers
-                serial += 1
-                name = int.from_bytes(hashlib.blake2b(repr((task, serial, ids[:1])).encode() + b"".join(words), digest_size=8).digest(), "little", signed=True)
-                joined = zstandard.compress(b"".join(words), 3)
-                lengths = _pack(np.array([len(w) for w in words], np.int64))
-                columns = [pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([_pack(np.array(order, np.int64))]), pa.array([joined]), pa.array([lengths])]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "ids", "counts", "places", "words", "lengths"])
+            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append((doc, text))
+                size += len(text or "")
+                if size >= BLOCK_BYTES:
+                    yield close()
+                    held, size = [], 0
+        if held:
+            yield close()
 
     return cut
 
 
+_BLOCK = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())]))]
+
+
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, block, place) for each distinct word of each block."""
+    """(block, part, words) of each block's questions. Not explode(), for which Spark would prune columns and shuffle the blocks twice."""
     for batch in batches:
-        for block, joined, lengths in zip(*(batch.column(k).to_pylist() for k in ("block", "words", "lengths")), strict=True):
-            data, edge = zstandard.decompress(joined), np.r_[0, np.cumsum(_unpack(lengths))]
-            for low in range(0, len(edge) - 1, 50_000):
-                part = edge[low : low + 50_001]
-                words = pa.Array.from_buffers(pa.binary(), len(part) - 1, [None, pa.py_buffer((part - part[0]).astype(np.int32)), pa.py_buffer(data[part[0] : part[-1]])])
-                yield pa.RecordBatch.from_arrays([words, pa.array(np.full(len(words), block)), pa.array(np.arange(low, low + len(words), dtype=np.int32))], ["word", "block", "place"])
+        for block, questions in zip(batch.column(0).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(questions), pa.int64()), pa.array([q["part"] for q in questions], pa.int32()), pa.array([q["words"] for q in questions], pa.binary())], ["block", "part", "words"])
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    lengths = _pack(np.array([len(w) for w in words], np.int64))
+    return len(lengths).to_bytes(4, "little") + lengths + zstandard.compress(b"".join(words), 6)
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:4], "little")
+    joined, edge = zstandard.decompress(data[4 + n :]), np.cumsum(np.r_[0, _unpack(data[4 : 4 + n])]).tolist()
+    return [joined[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
 
 
 def _encoded(ranks_path: str, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by word, so each distinct word is encoded once in its task."""
+        """Answers for one part of the hash range, where all questions for a word meet: each distinct word is encoded once."""
         import tiktoken
 
         coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-        last, ids = None, b""
+        part, known = None, {}
         for batch in batches:
-            out = []
-            for word in batch.column(0).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(coder._encode_single_piece(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["block", "place", "tokens"])
+            for block, here, words in zip(*(batch.column(k).to_pylist() for k in ("block", "part", "words")), strict=True):
+                if here != part:  # rows come sorted by part
+                    part, known = here, {}
+                answers = []
+                for word in _unpack_words(words):
+                    if (ids := known.get(word)) is None:
+                        ids = known[word] = coder._encode_single_piece(word)
+                    answers.append(ids)
+                sizes, tokens = _pack(np.array([len(a) for a in answers], np.int64)), _pack(np.array([k for a in answers for k in a], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([here], pa.int32()), pa.array([sizes]), pa.array([tokens])], ["asker", "part", "sizes", "tokens"])
 
     return encode
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each block: the ids of its distinct words in order of place. Rows come sorted by block and place."""
-    name, parts = None, []
-
-    def close() -> pa.RecordBatch:
-        sizes = np.concatenate([s for s, _ in parts])
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([_pack(sizes)]), pa.array([_pack(np.concatenate([t for _, t in parts]))])], ["block_", "sizes", "tokens"])
-
-    for batch in batches:
-        blocks = np.asarray(batch.column(0))
-        edge = np.r_[0, np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, len(blocks)] if len(blocks) else [0]
-        for i, j in zip(edge[:-1], edge[1:], strict=True):
-            if parts and blocks[i] != name:
-                yield close()
-                parts = []
-            name, tokens = int(blocks[i]), batch.column(2).slice(i, j - i).to_pylist()
-            parts.append((np.array([len(t) // 4 for t in tokens], np.int64), np.frombuffer(b"".join(tokens), "<u4").astype(np.int64)))
-    if parts:
-        yield close()
-
-
 def _reassembled(ranks_path: str):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each document's ids by position, and the bytes they decode to by the table of token bytes."""
@@ -122,41 +139,50 @@ def _reassembled(ranks_path: str):
         for token, rank in ranks.items():
             table[rank] = token
         for batch in batches:
-            for row in batch.to_pylist():
-                sizes = _unpack(row["sizes"]) if row["sizes"] else np.zeros(0, np.int64)
-                tokens = _unpack(row["tokens"]) if row["tokens"] else sizes
-                start, places, at, columns = np.r_[0, np.cumsum(sizes)], _unpack(row["places"]), 0, ([], [], [], [])
-                for doc, count in zip(row["ids"], row["counts"], strict=True):
+            for ids, counts, places, turn, answers in zip(*(batch.column(k).to_pylist() for k in ("ids", "counts", "places", "turn", "answers")), strict=True):
+                answers = sorted(answers or [], key=lambda a: a["part"])
+                sizes, tokens = (np.concatenate([np.zeros(0, np.int64), *(_unpack(a[k]) for a in answers)]) for k in ("sizes", "tokens"))
+                turn, places, at = _unpack(turn), _unpack(places), 0
+                start, size = np.zeros(len(turn), np.int64), np.zeros(len(turn), np.int64)
+                start[turn], size[turn] = np.cumsum(sizes) - sizes, sizes
+                rows: list[tuple] = []
+                for doc, count in zip(ids, counts, strict=True):
                     here = places[at : at + count]
                     at += count
-                    ids = tokens[ragged(start[here], sizes[here])]
-                    for column, value in zip(columns, (doc, ids.astype(np.int32), b"".join([table[k] for k in ids.tolist()])), strict=False):
-                        column.append(value)
-                for low in range(0, len(columns[0]), 500):
-                    part = [c[low : low + 500] for c in columns[:3]]
-                    yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.list_(pa.int32())), pa.array(part[2], pa.binary())], ["doc_id", "ids", "decoded"])
+                    own = tokens[ragged(start[here], size[here])]
+                    rows.append((doc, own.astype(np.int32), b"".join([table[k] for k in own.tolist()])))
+                    if len(rows) == 200:
+                        yield _documents(rows)
+                        rows = []
+                yield _documents(rows)
 
     return join
 
 
+def _documents(rows: list[tuple]) -> pa.RecordBatch:
+    doc, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) and decoded (binary) of every document's whole text.
 
     Pre-tokens are cut by the pattern and numbered in blocks of some megabytes of text. Each block asks for each of its
     distinct words once; the words are shuffled so that all blocks' questions for a word meet, each distinct word is encoded
     once there, and its ids go back to the blocks, which put them together by position. No word can be asked for more often
-    than there are blocks, so a frequent word is no hot key. Decoding joins ids with the table of token bytes, which is as large
-    as the vocabulary.
+    than there are blocks, so a frequent word is no hot key. Positions stay with the block as packed numbers, as a row for each of
+    them would be several times the text. Decoding joins ids with the table of token bytes, which is as large as the vocabulary.
 
     Null text is empty and has no ids. Repeated rows give repeated rows. An empty table gives no rows; other columns are ignored.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    blocks = rows.mapInArrow(_blocks(pattern), "block long, ids array<long>, counts array<int>, places binary, words binary, lengths binary").repartition(n, "block")
-    asked = blocks.mapInArrow(_asked, "word binary, block long, place int").repartition(n, "word").sortWithinPartitions("word")
-    answers = asked.mapInArrow(_encoded(ranks_path, pattern), "block long, place int, tokens binary").repartition(n, "block").sortWithinPartitions("block", "place")
-    gathered = answers.mapInArrow(_gathered, "block_ long, sizes binary, tokens binary")
-    both = blocks.join(gathered, F.col("block") == F.col("block_"), "left").select("ids", "counts", "places", "sizes", "tokens")
+    kinds = "block long, ids array<long>, counts array<int>, places binary, turn binary, questions array<struct<part: int, words: binary>>"
+    blocks = rows.mapInArrow(_blocks(pattern, n), kinds).repartition(n, "block")
+    asked = blocks.mapInArrow(_asked, "block long, part int, words binary").repartition(n, "part").sortWithinPartitions("part")
+    answers = asked.mapInArrow(_encoded(ranks_path, pattern), "asker long, part int, sizes binary, tokens binary")
+    answers = answers.groupBy("asker").agg(F.collect_list(F.struct("part", "sizes", "tokens")).alias("answers"))  # one for each part at most
+    both = blocks.join(answers, F.col("block") == F.col("asker"), "left")  # with all columns, so that the blocks' shuffle is read again
     return both.mapInArrow(_reassembled(ranks_path), "doc_id long, ids array<int>, decoded binary")
 
 
