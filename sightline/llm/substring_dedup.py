@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
-from .kernels import Rolling, ragged, row_of, runs, slices, words
+from .copies import COPY, own_id, with_roles
+from .kernels import Rolling, mix, ragged, row_of, runs, slices, words
 
 #: Words of a window.
 WIDTH = 35
@@ -26,30 +27,24 @@ def _hashed_words(raw: np.ndarray, at: np.ndarray, letters: Rolling) -> tuple[np
     return letters.between(raw, starts, ends), first
 
 
-def _merged(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Rows (key.., doc, pos, sure) of which those of a key that is repeated here are sure.
+def _batch(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (key.., doc_id, place) where place holds the position and whether the key is repeated here for sure.
 
-    Of these only the first keeps its key, for others to meet; the rest take a key of their own, so that a key which
-    thousands of documents share is shuffled once for each batch and not once for each document.
+    Of the rows of a key that is repeated in the batch only the first keeps its key, for others to meet; the rest take a key of
+    their own. So a key which thousands of documents share is shuffled once for each batch and not once for each document.
     """
+    if not len(doc):
+        return
     order = np.lexsort(tuple(keys[::-1]))
     same = np.all(keys[:, order[1:]] == keys[:, order[:-1]], axis=0)
     again, before = np.r_[False, same], np.r_[same, False]
     sure, alone = np.zeros(len(order), bool), np.zeros(len(order), bool)
     sure[order], alone[order] = again | before, again
-    own = keys.copy()
-    own[0, alone] = (doc[alone].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ pos[alone].astype(np.uint64)
-    own[1:, alone] = 0
-    return own, doc, pos, sure, alone
-
-
-def _batch(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if len(doc):
-        keys, doc, pos, sure, alone = _merged(keys, doc, pos)
-        names = [f"k{i}" for i in range(len(keys))]
-        for low in range(0, len(doc), 200_000):
-            part = slice(low, low + 200_000)
-            yield pa.RecordBatch.from_arrays([*(pa.array(k[part].view(np.int64)) for k in keys), pa.array(doc[part]), pa.array(pos[part].astype(np.int32)), pa.array(sure[part]), pa.array(alone[part])], [*names, "doc_id", "pos", "sure", "alone"])
+    keys[:, alone] = mix(mix(doc[alone].astype(np.uint64)) + pos[alone].astype(np.uint64))
+    place = pos.astype(np.int64) * 2 + sure
+    for low in range(0, len(doc), 200_000):
+        part = slice(low, low + 200_000)
+        yield pa.RecordBatch.from_arrays([*(pa.array(k[part].view(np.int64)) for k in keys), pa.array(doc[part]), pa.array(place[part])], [*(f"k{i}" for i in range(len(keys))), "doc_id", "place"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +80,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns: tuple[list, ...] = ([], [], [], [])
-        for doc, text, marks in zip(*(batch.column(k) for k in range(3)), strict=True):
+        for doc, text, role, marks in zip(*(batch.column(k) for k in range(4)), strict=True):
             own, starts, ends = (text.as_py() or "").encode().split(), [], []
-            if marks.is_valid:
+            if role.as_py() and len(own) >= WIDTH:
+                starts, ends = [0], [len(own)]
+            elif marks.is_valid:
                 starts, ends = runs(np.asarray(marks.values), WIDTH, len(own))
             kept = [w for i, j in zip([0, *ends], [*starts, len(own)], strict=True) for w in own[i:j]]
             for column, value in zip(columns, (doc.as_py(), len(own), len(own) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
@@ -98,34 +95,37 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(doc_id, marks): each document's positions whose key also stands elsewhere.
 
-    A key has at most one row for each batch that holds it (see _merged), so no key is hot beyond the number of batches.
+    A key has at most one row for each batch that holds it (see _batch), so no key is hot beyond the number of batches.
     """
-    met = F.count(F.lit(1)).over(Window.partitionBy(*keys, "alone"))
-    found = rows.withColumn("_met", met).filter(F.col("sure") | (F.col("_met") > 1))
-    return found.groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
+    met = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    found = rows.withColumn("_met", met).filter((F.col("place") % 2 == 1) | (F.col("_met") > 1))
+    return found.groupBy("doc_id").agg(F.collect_list((F.col("place") / 2).cast("int")).alias("marks"))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, marks): the start words of each document's windows of 35 words that also start anywhere else.
+    """(doc_id, text, role, marks): the start words of each document's windows of 35 words that also start anywhere else.
 
-    1. Anchors of 15 words are hashed at cover positions only, 5 of each 21. Two equal windows share an anchor, whatever
+    1. Of exact copies of a text only the first is looked at; a document whose role isn't 0 is repeated as a whole.
+    2. Anchors of 15 words are hashed at cover positions only, 5 of each 21. Two equal windows share an anchor, whatever
        their positions, so documents without a repeated anchor are done.
-    2. Each repeated anchor extends to the windows around it, and these are counted under 128 bits of hash. Groups of any
+    3. Each repeated anchor extends to the windows around it, and these are counted under 128 bits of hash. Groups of any
        number of copies are counted, never paired.
+    All steps read one shuffle of the texts by doc_id.
 
-    Null and empty texts have no words. Texts of fewer than 35 words have no window. Repeated rows of a doc_id have one window
-    each, so theirs are repeated. An empty table gives no rows.
+    Null and empty texts have no words. Texts of fewer than 35 words have no window. Repeated rows of a doc_id are copies of each
+    other. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    anchors = docs.mapInArrow(_anchors, "k0 long, doc_id long, pos int, sure boolean, alone boolean")
-    marked = docs.join(repeated(anchors, ["k0"]), "doc_id")
-    windows = marked.mapInArrow(_windows, "k0 long, k1 long, doc_id long, pos int, sure boolean, alone boolean")
-    return docs.join(repeated(windows, ["k0", "k1"]), "doc_id", "left").select("doc_id", "text", "marks")
+    docs = with_roles(docs)
+    anchors = docs.filter(F.col("role") < COPY).select("doc_id", "text").mapInArrow(_anchors, "k0 long, doc_id long, place long")
+    marked = docs.filter(F.col("role") < COPY).join(repeated(anchors, ["k0"]), "doc_id").select("doc_id", "text", "marks")
+    windows = marked.mapInArrow(_windows, "k0 long, k1 long, doc_id long, place long")
+    return docs.join(repeated(windows, ["k0", "k1"]), "doc_id", "left").select("doc_id", "text", "role", "marks")
 
 
 def remove_repeated_windows(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document without the words that repeated windows cover."""
-    return repeated_windows(docs).mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = repeated_windows(docs).mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select(own_id(), "n_words", "n_removed", "kept_sha256")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
