@@ -25,13 +25,20 @@ DICTIONARY_BYTES, DICTIONARY_RECORDS, BUFFER_BYTES = 64 << 10, 400, 8 << 20
 DICTIONARY_MAGIC, EMPTY_FRAME = b"\x5d\x2a\x4d\x18", "\x50\x2a\x4d\x18\x00\x00\x00\x00"
 
 
-def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest and refers_to: the response that a page with an equal payload revisits, else null."""
+def plan_records(pages: DataFrame, archives: int) -> DataFrame:
+    """page_id, url, html, digest and refers_to: the response that a page with an equal payload revisits, else null.
+
+    Only digests are grouped. Payloads are shuffled once, by page_id into as many parts as there will be archives. Pages with
+    repeated page_ids are written each, and refer to the same response.
+    """
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("html"), F.sha2(payload, 256).alias("digest"))
-    several = rows.filter(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    rows = salted_left_join(rows, several.filter("n > 1").drop("n"), ["digest"], F.col("page_id"))
-    return rows.withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first"))).drop("first")
+    rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("html"))
+    hashed = rows.select("page_id", F.octet_length("html").alias("size"), F.unhex(F.sha2("html", 256)).alias("digest")).filter(F.col("size") >= REVISIT_BYTES)
+    several = hashed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = salted_left_join(hashed.drop("size"), several, ["digest"], F.col("page_id")).filter(F.col("first") < F.col("page_id"))
+    later = later.groupBy("page_id").agg(F.min("first").alias("refers_to"))
+    rows = rows.repartition(archives, "page_id").join(later, "page_id", "left")
+    return rows.select("page_id", "url", "html", F.sha2("html", 256).alias("digest"), "refers_to")
 
 
 def record(page_id: int, url: str | None, html: str, digest: str, refers_to: int | None) -> bytes:
@@ -100,8 +107,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     a bounded sample of its own first records.
     """
     total = pages.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
-    rows = plan_records(pages).repartition(max(1, -(-total // archive_bytes)), "page_id")
-    frames = rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_written, "frame binary")
+    frames = plan_records(pages, max(1, -(-total // archive_bytes))).mapInArrow(_written, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).text(folder)
 
 
