@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
+from .copies import COPY, own_id, with_roles
 from .kernels import Rolling, mix, ragged, row_of, runs, slices
 from .suffixes import common_prefixes, suffix_array
 
@@ -42,7 +43,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A context are the bytes of all these strings. Of equal contexts in a slice, which are repeated for sure, only the first
     keeps the key; the others take one of their own. So copies are shuffled to their key once for each slice.
     """
-    grams, keys, lanes = Rolling(6), Rolling(7), (Rolling(8), Rolling(9))
+    grams, keys, lane = Rolling(6), Rolling(7), Rolling(8)
     for batch in batches:
         for piece, raw, at in slices(batch, "text", SLICE_BYTES):
             length = np.diff(at)
@@ -58,15 +59,24 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.searchsorted(at, low, "right") - 1
             doc, pos = np.asarray(piece.column(0))[row], low - at[row]
             key = keys.between(raw, anchor, anchor + KEY)
-            offset = mix((anchor - low).astype(np.uint64))
-            content = [x.between(raw, low, low + size + WIDTH - 1) ^ offset for x in lanes]
-            order = np.lexsort((*content, key))
-            same = (key[order[1:]] == key[order[:-1]]) & (content[0][order[1:]] == content[0][order[:-1]]) & (content[1][order[1:]] == content[1][order[:-1]])
+            content = lane.between(raw, low, low + size + WIDTH - 1) ^ mix((anchor - low).astype(np.uint64))
+            order = np.lexsort((content, key))
+            same = (key[order[1:]] == key[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
             sure, alone = np.zeros(len(key), bool), np.zeros(len(key), bool)
             sure[order], alone[order] = np.r_[False, same] | np.r_[same, False], np.r_[False, same]
-            key[alone] = mix(doc[alone].astype(np.uint64)) ^ pos[alone].astype(np.uint64)
-            columns = [*(pa.array(k.view(np.int64)) for k in (key, *content)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(sure), pa.array(alone)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "c0", "c1", "doc_id", "pos", "size", "sure", "alone"])
+            key[alone] = mix(mix(doc[alone].astype(np.uint64)) + pos[alone].astype(np.uint64))
+            place = pos << 16 | size << 1 | sure
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc), pa.array(place)], ["key", "content", "doc_id", "place"])
+
+
+#: What a mark says of an anchor's strings: they are repeated for sure; they have to be compared with others of the key.
+RESOLVED, COMPARED = 1, 2
+
+
+def _unplaced(marks: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """First start and number of each mark's strings."""
+    place = np.asarray(marks.field("place"))
+    return place >> 16, place >> 1 & 0x7FFF
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,11 +85,11 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, raw, at in slices(batch, "text", SLICE_BYTES):
             marks = piece.column("marks")
             row, flat = row_of(np.asarray(marks.offsets)), marks.flatten()
-            wanted = np.flatnonzero(np.asarray(flat.field("compared")))
+            wanted = np.flatnonzero(np.asarray(flat.field("kind")) & COMPARED)
             if not len(wanted):
                 continue
             flat, row = flat.take(pa.array(wanted)), row[wanted]
-            pos, size = np.asarray(flat.field("pos")).astype(np.int64), np.asarray(flat.field("size"))
+            pos, size = _unplaced(flat)
             low = at[row] + pos
             edge = np.r_[0, np.cumsum(size + WIDTH - 1)]
             for i in range(0, len(row), 2000):
@@ -87,7 +97,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = raw[ragged(low[part], (size + WIDTH - 1)[part])]
                 offsets = (edge[i : i + len(row[part]) + 1] - edge[i]).astype(np.int32)
                 context = pa.Array.from_buffers(pa.binary(), len(row[part]), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([flat.field("key")[part], pa.array(np.asarray(piece.column(0))[row[part]]), pa.array(pos[part].astype(np.int32)), pa.array(size[part]), context], ["key", "doc_id", "pos", "size", "context"])
+                yield pa.RecordBatch.from_arrays([flat.field("key")[part], pa.array(np.asarray(piece.column(0))[row[part]]), pa.array(pos[part].astype(np.int32)), pa.array(size[part].astype(np.int32)), context], ["key", "doc_id", "pos", "size", "context"])
 
 
 def _shard(rows: list[tuple]) -> tuple[np.ndarray, ...]:
@@ -133,7 +143,7 @@ def _sharded(shard_bytes: int):
                 for r in np.flatnonzero(np.diff(bounds)):
                     part = slice(bounds[r], bounds[r + 1])
                     lists = [pa.array([x], pa.list_(pa.int64())) for x in (hashes[0][part].view(np.int64), hashes[1][part].view(np.int64), doc[row[own[part]]], place[own[part]])]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([k]), pa.array([int(r)], pa.int32()), *lists], _NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([k]), pa.array([int(r)], pa.int32()), *lists], _NAMES)
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -150,12 +160,17 @@ def _sharded(shard_bytes: int):
 
 
 _NAMES = ["doc_id", "pos", "key", "part", "h0", "h1", "docs", "places"]
-_KINDS = "doc_id long, pos int, key long, part int, h0 array<long>, h1 array<long>, docs array<long>, places array<long>"
+_KINDS = "doc_id long, pos array<int>, key long, part int, h0 array<long>, h1 array<long>, docs array<long>, places array<long>"
 
 
 def _found(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.list_(pa.int64())) for _ in range(4))], _NAMES)
+    """A row for each document, with the starts of its strings."""
+    order = np.argsort(doc, kind="stable")
+    doc, pos = doc[order], pos[order]
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    starts = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)].astype(np.int32)), pa.array(pos.astype(np.int32)))
+    n = len(first)
+    return pa.RecordBatch.from_arrays([pa.array(doc[first], pa.int64()), starts, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.list_(pa.int64())) for _ in range(4))], _NAMES)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,15 +196,16 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc, text, marks, more in zip(*(batch.column(k) for k in range(4)), strict=True):
+        for doc, text, role, marks, more in zip(*(batch.column(k) for k in range(5)), strict=True):
             raw, starts, ends, pos = (text.as_py() or "").encode(), [], [], np.zeros(0, np.int64)
             if marks.is_valid:
-                flat = marks.values
-                sure = np.flatnonzero(np.asarray(flat.field("resolved")))
-                pos = ragged(np.asarray(flat.field("pos"))[sure].astype(np.int64), np.asarray(flat.field("size"))[sure])
+                sure = np.flatnonzero(np.asarray(marks.values.field("kind")) & RESOLVED)
+                pos = ragged(*(x[sure] for x in _unplaced(marks.values)))
             if more.is_valid:
                 pos = np.r_[pos, np.asarray(more.values)]
-            if len(pos):
+            if role.as_py() and len(raw) >= WIDTH:
+                starts, ends = [0], [len(raw)]
+            elif len(pos):
                 starts, ends = runs(pos, WIDTH, len(raw))
             kept = b"".join(raw[i:j] for i, j in zip([0, *ends], [*starts, len(raw)], strict=True))
             out.append((doc.as_py(), len(raw), len(raw) - len(kept), len(starts), hashlib.sha256(kept).hexdigest()))
@@ -200,34 +216,37 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeated_strings(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: each document without the bytes that repeated 200-byte strings cover.
 
-    1. Each string belongs to an anchor near its start, chosen by content, so equal strings belong to anchors with equal
-       keys. An anchor whose key is the only one of its kind is done. Contexts that are equal as a whole are repeated,
-       and one of them stands for all.
+    1. Of exact copies of a text only the first is looked at, and all are repeated as a whole. Each string belongs to an
+       anchor near its start, chosen by content, so equal strings belong to anchors with equal keys. An anchor whose key is the
+       only one of its kind is done. Contexts that are equal as a whole are repeated, and one of them stands for all.
     2. Differing contexts with equal keys are dealt by key to shards of about a megabyte. A shard's suffix array (Larsson and
        Sadakane) and common prefixes (Kasai) show which strings stand in it twice.
     3. Contexts of one key that fill several shards: each shard's strings are sorted and cut into ranges, and each range is
        merged over the shards by binary search.
-    Strings are judged on the input; a number of copies is counted and never paired.
+    Strings are judged on the input; a number of copies is counted and never paired. All steps read one shuffle of the texts.
 
-    Null and empty texts have no bytes. Texts of under 200 bytes have no string. Repeated rows of a doc_id hold each other's
-    strings. An empty table gives no rows; other columns are ignored.
+    Null and empty texts have no bytes. Texts of under 200 bytes have no string. Repeated rows of a doc_id are copies of each
+    other. An empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = with_roles(docs)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(_contexts, "key long, c0 long, c1 long, doc_id long, pos int, size int, sure boolean, alone boolean")
-    key, content = Window.partitionBy("key"), Window.partitionBy("key", "c0", "c1")
-    rows = rows.withColumn("several", F.min("c0").over(key) != F.max("c0").over(key))
-    rows = rows.withColumn("resolved", F.max("sure").over(content) | (F.count(F.lit(1)).over(content) > 1))
-    rows = rows.withColumn("first", F.row_number().over(content.orderBy("doc_id", "pos")) == 1)
-    rows = rows.withColumn("compared", F.col("several") & ~F.col("alone") & (~F.col("resolved") | F.col("first")))
-    marks = rows.filter("resolved or compared").groupBy("doc_id").agg(F.collect_list(F.struct("key", "pos", "size", "resolved", "compared")).alias("marks"))
-    contexts = docs.join(marks, "doc_id").mapInArrow(_cut_out, "key long, doc_id long, pos int, size int, context binary")
+    rows = docs.filter(F.col("role") < COPY).select("doc_id", "text").mapInArrow(_contexts, "key long, content long, doc_id long, place long").repartition(n, "key")
+    equal, key = Window.partitionBy("key", "content"), Window.partitionBy("key")  # in this order both read one sort
+    rows = rows.select("*", F.max(F.col("place") % 2).over(equal).alias("sure"), F.count(F.lit(1)).over(equal).alias("n"), F.min("doc_id").over(equal).alias("first"))
+    rows = rows.select("*", (F.min("content").over(key) != F.max("content").over(key)).alias("several"))
+    resolved = (F.col("sure") == 1) | (F.col("n") > 1)
+    compared = F.col("several") & (~resolved | (F.col("first") == F.col("doc_id")))
+    rows = rows.select("key", "doc_id", "place", (F.when(resolved, RESOLVED).otherwise(0) + F.when(compared, COMPARED).otherwise(0)).alias("kind"))
+    marks = rows.filter("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "kind")).alias("marks"))
+    contexts = docs.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_cut_out, "key long, doc_id long, pos int, size int, context binary")
     shards = contexts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sharded(shard_bytes), _KINDS)
     # one shuffle carries both kinds: found strings to their document, ranges to be merged to their own task
     placed = shards.withColumn("to", F.when(F.col("key").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("key", "part")))
-    merged = placed.repartition(n, "to").sortWithinPartitions("key", "part").mapInArrow(_settled, "doc_id long, pos int")
-    more = merged.groupBy("doc_id").agg(F.collect_list("pos").alias("more"))
-    return docs.join(marks, "doc_id", "left").join(more, "doc_id", "left").select("doc_id", "text", "marks", "more").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    merged = placed.repartition(n, "to").sortWithinPartitions("key", "part").mapInArrow(_settled, "doc_id long, pos array<int>")
+    more = merged.groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("more"))
+    rows = docs.join(marks, "doc_id", "left").join(more, "doc_id", "left").select("doc_id", "text", "role", "marks", "more")
+    rows = rows.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select(own_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
