@@ -67,7 +67,7 @@ def with_url_key(df: DataFrame, url: str, key: str = "url_key") -> DataFrame:
 
 def domain_key(url: Column) -> Column:
     """Host without a leading ``www.``; null for what has none."""
-    return F.regexp_replace(F.rtrim(F.lit("."), F.lower(F.try_parse_url(url, F.lit("HOST")))), r"^www\.", "")
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.|\.$", "")
 
 
 def same_domain(a: Column, b: Column) -> Column:

@@ -85,7 +85,7 @@ def site_averages(pages: DataFrame) -> DataFrame:
 
 def coverage_matrix(matches: DataFrame, brands: list[str]) -> DataFrame:
     """Matched pages of each question by brand, a column for each brand. matches: question_id, brand_id, page_id."""
-    return matches.select("question_id", "brand_id", "page_id").distinct().groupBy("question_id").pivot("brand_id", brands).agg(F.count("*")).fillna(0)
+    return matches.select("question_id", "brand_id", "page_id").distinct().groupBy("question_id").pivot("brand_id", brands).agg(F.count("page_id")).fillna(0)
 
 
 def content_gaps(questions: DataFrame, pages: DataFrame, brands: DataFrame, listed: int = 20) -> DataFrame:

@@ -214,7 +214,7 @@ def answer_grid(questions: DataFrame, samples: int) -> DataFrame:
 
 def previous_run(runs: DataFrame, setup: list[str]) -> DataFrame:
     """Runs with the latest strictly earlier run of the same project and setup, or null: an as-of look-back."""
-    before = Window.partitionBy("project_id", *setup).orderBy(F.unix_micros("created_at")).rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("project_id", *setup).orderBy(F.unix_micros(F.col("created_at").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
     latest = F.max(F.struct("created_at", "run_id")).over(before)
     return runs.withColumn("previous_run_id", latest["run_id"])
 

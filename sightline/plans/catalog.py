@@ -1,4 +1,321 @@
-"""Registered queries over the driver's tables, each with the same result as SQL."""
+"""Registered queries: each applies operators to tables derived from the driver's, with SQL for the same rows where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import sinks
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators import audit as A
+from ..operators import content as C
+from ..operators import duplicates as D
+from ..operators import facts as FA
+from ..operators import ledger as L
+from ..operators import links as LI
+from ..operators import questions as Q
+from ..operators import visibility as V
+from ..sources import pages as P
+from . import frames as B
+from . import oracle as O
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to nine places: two engines add in different orders."""
+    return df.select(*(F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: _rounded(f(spark, sf_dir))
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    return V.find_mentions(B.answers(spark, d), B.brands(spark)).withColumns({"recommended": F.col("first_position") == 1, "recommendation_position": F.lit(1)})
+
+
+@query(O.BRAND_METRICS)
+def brand_metrics(spark, d):
+    return V.brand_metrics(B.answers(spark, d), B.brands(spark), _mentions(spark, d), B.citations(spark, d))
+
+
+@query(O.BRAND_BY_TYPE)
+def brand_metrics_by_type(spark, d):
+    return V.brand_metrics(B.answers(spark, d), B.brands(spark), _mentions(spark, d), grain=("type",)).select("experiment_id", "type", "brand_id", "eligible", "mentioned", "mention_value", "share")
+
+
+@query(O.STAGE_METRICS)
+def stage_metrics(spark, d):
+    return V.stage_metrics(B.answers(spark, d), B.brands(spark), _mentions(spark, d))
+
+
+@query(O.SOURCE_METRICS)
+def source_metrics(spark, d):
+    return V.source_metrics(B.answers(spark, d), B.brands(spark), _mentions(spark, d))
+
+
+@query(O.SLICED_METRICS)
+def sliced_metrics(spark, d):
+    return V.sliced_metrics(B.answers(spark, d), B.brands(spark), _mentions(spark, d))
+
+
+@query(O.ANSWER_COUNTS)
+def answer_counts(spark, d):
+    return V.answer_counts(B.answers(spark, d))
+
+
+@query(O.MENTION_ORDER)
+def mention_order(spark, d):
+    return V.find_mentions(B.answers(spark, d), B.brands(spark))
+
+
+@query(O.CITATION_DOMAINS)
+def citation_domains(spark, d):
+    return V.citation_domains(B.answers(spark, d), B.brands(spark), B.citations(spark, d)).drop("urls", "source_kinds")
+
+
+@query(O.CONCENTRATION)
+def citation_concentration(spark, d):
+    return V.citation_concentration(V.citation_domains(B.answers(spark, d), B.brands(spark), B.citations(spark, d)))
+
+
+@query(O.CLAIM_AGREEMENT)
+def claim_agreement(spark, d):
+    kind = F.when(F.col("event_type") == "error", "contradicted").when(F.col("event_type") == "view", "unverifiable").otherwise("supported")
+    return V.claim_agreement(B.read(spark, d, "events").select((F.col("user_id") % 7).alias("experiment_id"), kind.alias("classification")))
+
+
+@query(O.FILTERED)
+def filtered_answers(spark, d):
+    return V.filter_answers(B.answers(spark, d).withColumn("observed_at", F.lit("2026-01-01")), stage="solution_research", type="t2", source="prov0 / m1").select("experiment_id", "answer_id")
+
+
+@query(O.PREVIOUS_RUN)
+def previous_run(spark, d):
+    runs = B.read(spark, d, "events").select(F.col("user_id").alias("project_id"), F.col("event_type").alias("setup"), F.col("ts").alias("created_at"), F.col("event_id").alias("run_id"))
+    return V.previous_run(runs, ["setup"]).drop("created_at")
+
+
+@query(O.RUN_PROGRESS)
+def run_progress(spark, d):
+    return V.run_progress(B.answers(spark, d))
+
+
+@query(O.ANSWER_GRID)
+def answer_grid(spark, d):
+    asked = B.questions(spark, d).filter("selected").select(F.col("project_id").alias("experiment_id"), F.col("id").alias("place"))
+    return V.answer_grid(asked, 3)
+
+
+@query(O.RUN_ESTIMATE)
+def run_estimate(spark, d):
+    return V.run_estimate(B.questions(spark, d).filter("selected").withColumnRenamed("project_id", "experiment_id"), 3, 2000)
+
+
+@query(O.RUN_HISTORY)
+def run_history(spark, d):
+    runs = B.brands(spark).select("experiment_id").distinct().select((F.col("experiment_id").cast("int") % 2).alias("project_id"), "experiment_id", F.col("experiment_id").alias("created_at"))
+    return V.run_history(V.brand_metrics(B.answers(spark, d), B.brands(spark), _mentions(spark, d)), runs, 2).select("project_id", "experiment_id", "brand_id", "mentioned", "eligible")
+
+
+@query(O.USAGE_TOTALS)
+def usage_totals(spark, d):
+    return L.usage_totals(B.usage(spark, d))
+
+
+@query(O.LATEST_USAGE)
+def latest_usage(spark, d):
+    return L.latest_usage(B.usage(spark, d), 10).select("project_id", "id", "place")
+
+
+@query(O.LATEST_RESPONSES)
+def latest_responses(spark, d):
+    return L.latest_responses(B.usage(spark, d)).select("project_id", "cache_key", "id")
+
+
+@query(O.LATEST_CRAWLS)
+def latest_crawls(spark, d):
+    return L.latest_crawls(B.read(spark, d, "orders").select(F.col("o_custkey").alias("brand_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))).select("brand_id", "id")
+
+
+@query(O.CRAWL_COUNTERS)
+def crawl_counters(spark, d):
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "skipped").otherwise("fetched")
+    return L.crawl_counters(B.read(spark, d, "events").select(F.col("user_id").alias("crawl_run_id"), status.alias("status")))
+
+
+@query(O.CONTRADICTIONS)
+def contradictions(spark, d):
+    return FA.contradictions(B.facts(spark, d)).select("brand_id", "category", "subject", "attribute", "n_values", "n_facts")
+
+
+@query(O.REFERENCE_FACTS)
+def reference_facts(spark, d):
+    kinds = B.facts(spark, d).select("brand_id").distinct().withColumn("kind", F.when(F.col("brand_id").endswith("1"), "target").otherwise("competitor"))
+    return FA.reference_facts(B.facts(spark, d), kinds).select("brand_id", "id", "place")
+
+
+@query(O.CONTEXT_FACTS)
+def context_facts(spark, d):
+    return FA.context_facts(B.facts(spark, d), by="brand_id").select("brand_id", "id", "place")
+
+
+@query(O.MERGED_FACTS)
+def merged_facts(spark, d):
+    source = F.array(F.struct(F.lit("u").alias("url"), F.lit("h").alias("text_hash"), F.lit("q").alias("quote")))
+    facts = B.facts(spark, d).withColumn("sources", source)
+    return FA.merge_facts(facts.filter("id % 2 = 0"), facts.filter("id % 2 = 1")).select("id")
+
+
+@query(O.DEDUPED_QUESTIONS)
+def deduped_questions(spark, d):
+    return Q.dedupe_questions(B.questions(spark, d)).select("project_id", "id", "normalized_text")
+
+
+@query(O.RECOMMENDED)
+def recommended_questions(spark, d):
+    return Q.recommended_questions(B.questions(spark, d)).select("project_id", "id", "place")
+
+
+@query(O.LIBRARY_CHECK)
+def library_check(spark, d):
+    return Q.library_check(B.questions(spark, d))
+
+
+@query(O.STAGE_SHORTAGE)
+def stage_shortage(spark, d):
+    return Q.stage_shortage(B.questions(spark, d))
+
+
+@query(O.FINGERPRINT)
+def selection_fingerprint(spark, d):
+    return Q.selection_fingerprint(B.questions(spark, d))
+
+
+@query(O.BRANDED)
+def branded_questions(spark, d):
+    names = F.array(F.lit("the"), F.lit("que"))
+    return B.questions(spark, d).withColumn("n", T.normalized_question(F.col("text"))).filter(T.is_branded(F.col("n"), names)).select("id")
+
+
+@query(O.EXACT_DUPLICATES)
+def exact_duplicates(spark, d):
+    return D.duplicates(B.document_pages(spark, d), F.col("text_hash")).select("crawl_run_id", "id", "others")
+
+
+@query(O.NEAR_DUPLICATES)
+def near_duplicate_pages(spark, d):
+    pages = B.read(spark, d, "documents").select(F.col("lang").alias("crawl_run_id"), F.col("doc_id").alias("id"), F.col("text").alias("visible_text"), F.sha2("text", 256).alias("text_hash"))
+    return D.near_duplicates(pages, F.col("visible_text"), F.col("text_hash"))
+
+
+@query(O.NORMALIZED_URLS)
+def normalized_urls(spark, d):
+    return B.read(spark, d, "pages").select("page_id", U.normalize_url(F.col("url")).alias("url"))
+
+
+@query(O.DOMAINS)
+def page_domains(spark, d):
+    url = F.col("url")
+    return B.read(spark, d, "pages").select("page_id", U.domain_key(url).alias("domain"), U.is_page_candidate(url).alias("candidate"), U.host_matches(U.domain_key(url), F.lit("example.com")).alias("own"), U.is_excluded(url, F.array(F.lit("/fr"))).alias("excluded"))
+
+
+@query(O.FRONTIER)
+def crawl_frontier(spark, d):
+    rows = B.read(spark, d, "pages").select(U.domain_key(F.col("url")).alias("crawl_run_id"), "url", F.col("page_id").alias("seen"), F.concat(F.lit("http://"), U.domain_key(F.col("url")), F.lit("/")).alias("home"), F.array(F.lit("/de")).alias("excluded_paths"))
+    return LI.frontier(rows, 3)
+
+
+@query(O.SAFE_CSV)
+def safe_csv(spark, d):
+    return sinks.safe_csv(B.read(spark, d, "events").select("event_id", F.when(F.col("user_id") % 3 == 0, F.concat(F.lit(" ="), F.col("event_type"))).otherwise(F.col("event_type")).alias("kind"), (-F.col("user_id")).alias("n")))
+
+
+@query(O.REDACTED)
+def redacted_documents(spark, d):
+    return sinks.redact(B.read(spark, d, "documents").select("doc_id", "text"), ["the", "mail3"])
+
+
+@query(O.PRIORITIES)
+def action_priorities(spark, d):
+    effort = F.when(F.col("p_partkey") % 3 == 0, "small").when(F.col("p_partkey") % 3 == 1, "medium").otherwise("large")
+    return B.read(spark, d, "part").select("p_partkey", C.priority(F.col("p_size"), F.col("p_size") + 30, F.lit(0.65), effort).alias("priority"))
+
+
+@query(O.COVERAGE_MATRIX)
+def coverage_matrix(spark, d):
+    rows = B.read(spark, d, "lineitem").select(F.col("l_partkey").alias("question_id"), F.col("l_returnflag").alias("brand_id"), F.col("l_orderkey").alias("page_id"))
+    return C.coverage_matrix(rows, ["A", "N", "R"])
+
+
+@query(O.THIRD_PARTY)
+def third_party_sources(spark, d):
+    brands = B.brands(spark).select(F.col("experiment_id").alias("project_id"), F.concat(F.lit("https://www.tionble."), F.lit("example.org")).alias("domain"))
+    return C.third_party_sources(B.citations(spark, d).join(B.answers(spark, d).select("answer_id", "ordinal"), "answer_id").withColumnRenamed("experiment_id", "project_id"), brands)
+
+
+def _issues(spark, d):
+    kind, n = F.col("event_type"), F.col("event_id")
+    return B.read(spark, d, "events").select((F.col("user_id") % 20).alias("crawl_run_id"), F.when(kind == "error", "error").when(n % 2 == 0, "warning").otherwise("observation").alias("severity"), F.concat(F.lit("c"), n % 5).alias("category"), F.concat(F.lit("r"), n % 13).alias("rule_id"), F.concat(F.lit("https://a.com/"), n).alias("url"))
+
+
+@query(O.ISSUE_SUMMARY)
+def issue_summary(spark, d):
+    return A.issue_summary(_issues(spark, d)).select("crawl_run_id", "errors", "warnings", "observations", F.size("categories").alias("n_categories"), F.size("rules").alias("n_rules"))
+
+
+@query(O.ATTENTION)
+def attention_groups(spark, d):
+    return A.attention_groups(_issues(spark, d))
+
+
+@query(O.SEARCH_ISSUES)
+def search_issues(spark, d):
+    return A.search_issues(_issues(spark, d), category="c2", words="/1", page=2)
+
+
+# What SQL can't say: HTML is parsed, URLs are resolved, JSON-LD is walked.
+
+
+@query()
+def extracted_pages(spark, d):
+    return B.crawl(spark, d)[1].select("id", "crawl_run_id", "title", "word_count", "language", "text_hash", F.size("internal_links").alias("internal_links"))
+
+
+@query()
+def link_graph(spark, d):
+    pages = LI.keyed_pages(B.crawl(spark, d)[1])
+    return LI.link_edges(LI.page_links(pages), LI.resolve_links(pages))
+
+
+@query()
+def audit_coverage(spark, d):
+    return A.audit(*B.crawl(spark, d))["coverage"]
+
+
+@query()
+def audit_findings(spark, d):
+    return A.audit(*B.crawl(spark, d))["findings"]
+
+
+@query()
+def page_readiness(spark, d):
+    crawls, pages = B.crawl(spark, d)
+    brands = crawls.select("brand_id", F.array(F.lit("the")).alias("aliases"))
+    out = C.readiness(C.content_sample(pages), brands).withColumns({c: F.lit(None).cast("double") for c in ("direct_answer", "specificity", "commercial")})
+    return C.score(out)
+
+
+@query()
+def fetch_states(spark, d):
+    log = B.read(spark, d, "pages").select(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("crawl_run_id"), F.col("page_id").alias("seq"), "url", F.col("url").alias("final_url"), (F.col("page_id") % 7 != 0).alias("allowed"), F.when(F.col("page_id") % 11 == 0, 404).otherwise(200).alias("status_code"), F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("error"))
+    return P.classify_fetches(log).select("seq", "status", "error")

@@ -212,12 +212,13 @@ def classify_fetches(log: DataFrame) -> DataFrame:
     """
     good = F.col("status_code").between(200, 299)
     html = F.coalesce(F.lower("content_type").rlike(r"^\s*(?:text/html|application/xhtml\+xml)"), F.lit(False))
+    state = lambda s, e: F.struct(F.lit(s).alias("s"), e.cast("string").alias("e"))
     status = (
-        F.when(~F.col("allowed"), F.struct(F.lit("skipped").alias("s"), F.lit("Disallowed by robots.txt").alias("e")))
-        .when(F.col("status_code").isNull(), F.struct(F.lit("failed"), F.coalesce("error", F.lit("No response"))))
-        .when(~good, F.struct(F.lit("failed"), F.concat(F.lit("HTTP "), F.col("status_code"))))
-        .when(~html, F.struct(F.lit("skipped"), F.lit("Not HTML")))
-        .otherwise(F.struct(F.lit("fetched"), F.lit(None).cast("string")))
+        F.when(~F.col("allowed"), state("skipped", F.lit("Disallowed by robots.txt")))
+        .when(F.col("status_code").isNull(), state("failed", F.coalesce("error", F.lit("No response"))))
+        .when(~good, state("failed", F.concat(F.lit("HTTP "), F.col("status_code").cast("string"))))
+        .when(~html, state("skipped", F.lit("Not HTML")))
+        .otherwise(state("fetched", F.lit(None)))
     )
     rows = log.withColumn("_s", status).withColumn("_key", url_key(F.coalesce("final_url", "url")))
     again = F.row_number().over(Window.partitionBy("crawl_run_id", "_key", F.col("_s.s")).orderBy("seq"))
