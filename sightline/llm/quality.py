@@ -76,4 +76,4 @@ def beta_prior(hosts: DataFrame, strength: float) -> tuple[float, float]:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "host_rate", "kept")
+    return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", *MEASURES, "base_failed", "kept")

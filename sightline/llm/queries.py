@@ -1,5 +1,6 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
+from . import oracle
 from .bpe import op5_byte_bpe
 from .byte_dedup import op6_suffix_array_dedup
 from .decontaminate import OP9_SQL, op9_benchmark_decontamination
@@ -26,4 +27,4 @@ QUERIES = {
         op10_url_filters,
     )
 }
-ORACLE: dict[str, str] = {"op7_warc_archives": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
+ORACLE: dict[str, str] = {"op1_quality_rules": oracle.OP1, "op2_substring_dedup": oracle.OP2, "op8_minhash_near_dedup": oracle.OP8, "op7_warc_archives": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
