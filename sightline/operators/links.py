@@ -84,7 +84,7 @@ def robots_verdicts(paths: DataFrame, rules: DataFrame, agents: list[str]) -> Da
     groups = rules.select(*keys, F.lower("agent").alias("group"), "allow", "pattern", "length")
     have = groups.groupBy(*keys).agg(F.collect_set("group").alias("groups"))
     rows = paths.select("*", wanted).join(have, keys).select("*", "a.agent", F.when(F.array_contains("groups", F.col("a.token")), F.col("a.token")).otherwise("*").alias("group")).drop("a", "groups")
-    fits = F.coalesce(F.col("path").rlike(F.col("pattern")), F.lit(False))
+    fits = F.coalesce(F.rlike("path", F.col("pattern")), F.lit(False))
     rows = rows.join(groups, [*keys, "group"], "left").withColumn("_rule", F.when(fits, F.struct("length", "allow")))
     own = [c for c in paths.columns if c not in ("agent",)]
     return rows.groupBy(*own, "agent").agg(F.coalesce(F.max("_rule")["allow"], F.lit(True)).alias("allowed"))
