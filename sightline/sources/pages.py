@@ -282,7 +282,9 @@ def read_answer_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     rows = rows.select(*header, *(F.lit(None).cast("string").alias(c) for c in ANSWER_COLUMNS if c not in header), "_corrupt")
     blank = F.concat(*(F.coalesce(c, F.lit("")) for c in header)) == ""
     rows = rows.filter(~blank | F.col("_corrupt").isNotNull())
-    return rows.filter("_corrupt IS NULL").drop("_corrupt"), rows.filter("_corrupt IS NOT NULL")
+    # Spark doesn't read the column of wrong rows alone
+    wrong = F.col("_corrupt").isNotNull() & (F.length(F.concat_ws("", *header, "_corrupt")) >= 0)
+    return rows.filter(~wrong).drop("_corrupt"), rows.filter(wrong)
 
 
 def normalize_imports(rows: DataFrame, questions: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
