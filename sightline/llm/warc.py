@@ -16,8 +16,6 @@ from .common import salted_left_join, table
 
 #: Payloads of this many bytes or more are archived once and revisited.
 REVISIT_BYTES = 100
-#: Bytes of payloads for each archive, before compression.
-ARCHIVE_BYTES = 32 << 20
 #: The dictionary: its size, and the records of its archive that it is built from, a bounded sample from all over the buffer.
 DICTIONARY_BYTES, DICTIONARY_RECORDS, BUFFER_BYTES = 64 << 10, 400, 8 << 20
 #: Fixed values of the formats: the skippable frame that holds a dictionary, and one that holds nothing. Spark's text writer ends each
@@ -25,11 +23,11 @@ DICTIONARY_BYTES, DICTIONARY_RECORDS, BUFFER_BYTES = 64 << 10, 400, 8 << 20
 DICTIONARY_MAGIC, EMPTY_FRAME = b"\x5d\x2a\x4d\x18", "\x50\x2a\x4d\x18\x00\x00\x00\x00"
 
 
-def plan_records(pages: DataFrame, archives: int) -> DataFrame:
+def plan_records(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest and refers_to: the response that a page with an equal payload revisits, else null.
 
-    Only digests are grouped. Payloads are shuffled once, by page_id into as many parts as there will be archives. Pages with
-    repeated page_ids are written each, and refer to the same response.
+    Only digests are grouped. Payloads are shuffled once at most, by page_id. Pages with repeated page_ids are written each, and
+    refer to the same response.
     """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("html"))
@@ -37,8 +35,7 @@ def plan_records(pages: DataFrame, archives: int) -> DataFrame:
     several = hashed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = salted_left_join(hashed.drop("size"), several, ["digest"], F.col("page_id")).filter(F.col("first") < F.col("page_id"))
     later = later.groupBy("page_id").agg(F.min("first").alias("refers_to"))
-    rows = rows.repartition(archives, "page_id").join(later, "page_id", "left")
-    return rows.select("page_id", "url", "html", F.sha2("html", 256).alias("digest"), "refers_to")
+    return rows.join(later, "page_id", "left").select("page_id", "url", "html", F.sha2("html", 256).alias("digest"), "refers_to")
 
 
 def record(page_id: int, url: str | None, html: str, digest: str, refers_to: int | None) -> bytes:
@@ -100,14 +97,13 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([coder.compress(x) for x in buffer], pa.binary())], ["frame"])
 
 
-def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write a record for each page to archives of about ``archive_bytes`` of payload in a new folder of any file system.
+def write_archives(pages: DataFrame, folder: str) -> None:
+    """Write a record for each page to archives in a new folder of any file system, one for each of Spark's partitions.
 
-    Spark writes the files, so a lost executor's archives are written again. Each starts with a dictionary that is built from
-    a bounded sample of its own first records.
+    Spark writes the files, so a lost executor's archives are written again, and its advisory partition size is theirs before
+    compression. Each starts with a dictionary that is built from a bounded sample of its own first records.
     """
-    total = pages.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
-    frames = plan_records(pages, max(1, -(-total // archive_bytes))).mapInArrow(_written, "frame binary")
+    frames = plan_records(pages).mapInArrow(_written, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).text(folder)
 
 
@@ -151,7 +147,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
     A response's size and digest are worked out from its block, a revisit's are those in its headers.
     """
-    return spark.read.format("binaryFile").load(folder).select("content").repartition(spark.sparkContext.defaultParallelism).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def shared_folder(spark: SparkSession) -> str:
