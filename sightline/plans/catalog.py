@@ -15,6 +15,7 @@ from ..operators import facts as FA
 from ..operators import ledger as L
 from ..operators import links as LI
 from ..operators import questions as Q
+from ..operators import validate as VA
 from ..operators import visibility as V
 from ..sources import pages as P
 from . import frames as B
@@ -283,6 +284,101 @@ def search_issues(spark, d):
     return A.search_issues(_issues(spark, d), category="c2", words="/1", page=2)
 
 
+@query(O.EXTRACTED_CITATIONS)
+def extracted_citations(spark, d):
+    raw = F.concat(F.lit("See "), F.col("url"), F.lit("). Or "), F.col("url"), F.lit(", http://localhost/x, https://www.other.com/"), F.col("page_id"), F.lit("!"))
+    rows = B.read(spark, d, "pages").select(F.lit("e").alias("experiment_id"), F.col("page_id").alias("answer_id"), raw.alias("raw"), F.array("url").alias("supplied"), F.lit("provider").alias("supplied_source"))
+    return V.extract_citations(rows).select("answer_id", "url", "domain", "source")
+
+
+@query(O.ADJUDICATED)
+def adjudicated_claims(spark, d):
+    facts = B.read(spark, d, "part").select(F.col("p_brand").alias("experiment_id"), F.col("p_partkey").alias("fact_id"), F.when(F.col("p_partkey") % 5 == 0, "pricing").otherwise("feature").alias("category"), F.col("p_type").alias("subject"), F.lit("size").alias("attribute"), F.col("p_size").cast("string").alias("value"))
+    claims = B.read(spark, d, "lineitem").join(B.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("experiment_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("claim_id"), F.when(F.col("l_linenumber") == 1, "costs 5 today").otherwise("has a size").alias("text"), F.lit("supported").alias("classification"), F.array("l_partkey").alias("fact_ids"))
+    return V.adjudicate_claims(claims, facts).select("claim_id", "classification")
+
+
+def _content(spark, d):
+    """Parts as questions, suppliers as pages that match the parts they supply, nations' parity as brands."""
+    questions = B.read(spark, d, "part").select(F.lit("p").alias("project_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.when(F.col("p_size") % 2 == 0, "pricing").otherwise("other").alias("type"), (F.col("p_size") % 5 + 1).alias("intent"))
+    matched = B.read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("page_id")).agg(F.transform(F.collect_set("l_partkey"), lambda q: F.struct(q.alias("question_id"))).alias("matches"))
+    pages = B.read(spark, d, "supplier").select(F.col("s_suppkey").alias("page_id"), F.when(F.col("s_nationkey") % 2 == 0, "b1").otherwise("b2").alias("brand_id"), F.concat(F.lit("https://a.com/"), F.col("s_suppkey")).alias("url"), (F.col("s_suppkey") % 20).cast("double").alias("direct_answer"), F.lit("completed").alias("status"))
+    brands = spark.createDataFrame([("p", "b1", "target"), ("p", "b2", "competitor")], "project_id string, brand_id string, kind string")
+    return questions, pages.join(matched, "page_id"), brands
+
+
+@query(O.CONTENT_GAPS)
+def content_gaps(spark, d):
+    return C.content_gaps(*_content(spark, d)).select("question_id", "type", "action", "effort", "impact", "confidence", "rivals")
+
+
+@query(O.ACTION_PLAN)
+def action_plan(spark, d):
+    issues = _issues(spark, d).withColumn("project_id", F.lit("p"))
+    projects = spark.createDataFrame([("p", 5)], "project_id string, answers int")
+    gaps = C.content_gaps(*_content(spark, d))
+    return C.action_plan(C.technical_actions(issues), C.gap_actions(gaps), C.repeat_actions(projects)).groupBy("project_id", "category", "month", "priority").agg(F.count("*").alias("actions"))
+
+
+@query(O.PROFILE_SOURCES)
+def profile_sources(spark, d):
+    part = F.element_at(F.array(*map(F.lit, ("/", "/about/us", "/pricing", "/blog/x"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    pages = B.read(spark, d, "documents").select(F.col("source").alias("crawl_run_id"), F.col("doc_id").alias("id"), F.concat(F.lit("https://a.com"), part, F.lit("?id="), F.col("doc_id")).alias("url"), F.lit(None).cast("string").alias("final_url"), F.lit("fetched").alias("status"), F.col("text").alias("visible_text"))
+    return FA.profile_sources(pages, 5).select("crawl_run_id", "id", "level", "place")
+
+
+@query(O.BRAND_ALIASES)
+def brand_aliases(spark, d):
+    brands = B.facts(spark, d).select("brand_id").distinct().select("brand_id", F.col("brand_id").alias("name"), F.lit("https://www.a.com").alias("domain"), F.array(F.lit("x"), F.lit("Alias ")).alias("brand_aliases"), F.array().cast("array<string>").alias("product_names"))
+    return FA.brand_aliases(brands, B.facts(spark, d)).select("brand_id", F.array_join("aliases", "|").alias("aliases"))
+
+
+@query(O.REPEATED_DOMAINS)
+def repeated_domains(spark, d):
+    return FA.repeated_domains(B.read(spark, d, "pages").select((F.col("page_id") % 20).alias("project_id"), F.col("url").alias("domain")))
+
+
+@query(O.BRAND_CHANGES)
+def brand_changes(spark, d):
+    host = U.domain_key(F.col("url"))
+    rows = B.read(spark, d, "pages").groupBy((F.col("page_id") % 2).alias("half"), F.concat(F.lit("https://"), host).alias("domain")).agg(F.min("page_id").cast("string").alias("id"))
+    rows = rows.select("half", F.lit("p").alias("project_id"), F.col("domain").alias("name"), "domain", F.lit("competitor").alias("kind"), "id")
+    return FA.sync_brands(rows.filter("half = 0"), rows.filter("half = 1")).select("domain", "id", "active", "change")
+
+
+@query(O.COMPANY_SUMMARY)
+def company_summary(spark, d):
+    category = F.element_at(F.array(*map(F.lit, ("summary", "target_customer", "product", "feature"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    facts = B.read(spark, d, "part").select(F.col("p_brand").alias("project_id"), F.col("p_partkey").alias("id"), category.alias("category"), F.col("p_name").alias("value"), F.lit("unreviewed").alias("status"), F.col("p_size").alias("updated_at"))
+    projects = facts.select("project_id").distinct().select("project_id", F.when(F.col("project_id").endswith("1"), "Own words").alias("description"), F.lit("").alias("target_customer"))
+    return FA.company_summary(projects, facts).select("project_id", "summary", F.array_join("customers", "|").alias("customers"))
+
+
+@query(O.IDENTICAL_PAGES)
+def identical_pages(spark, d):
+    pages = B.read(spark, d, "documents").select(F.col("lang").alias("brand_id"), F.col("doc_id").alias("id"), F.sha2("text", 256).alias("text_hash"))
+    return C.identical_pages(pages).select("brand_id", "id", F.array_join("similar", ",").alias("similar"))
+
+
+@query(O.SITE_AVERAGES)
+def site_averages(spark, d):
+    pages = B.read(spark, d, "orders").select(F.col("o_custkey").alias("brand_id"), F.col("o_totalprice").cast("double").alias("score"), F.lit(60).alias("evaluated_weight"))
+    return C.site_averages(pages)
+
+
+@query(O.VALID_FACTS)
+def valid_facts(spark, d):
+    pages = B.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("visible_text"))
+    facts = B.read(spark, d, "documents").select((F.col("doc_id") - F.col("doc_id") % 2).alias("page_id"), F.when(F.col("doc_id") % 3 == 0, "odd").otherwise("product").alias("category"), F.lit("s").alias("subject"), F.lit("a").alias("attribute"), F.col("doc_id").cast("string").alias("value"), (F.col("doc_id") % 5 / 4).alias("confidence"), F.substring("text", 1, 40).alias("quote"))
+    return VA.validate_facts(facts, pages).select(F.col("value").cast("long").alias("doc_id"), F.array_contains("reasons", F.lit("category")).alias("bad_category"), F.array_contains("reasons", F.lit("quote")).alias("bad_quote"))
+
+
+@query(O.PROMPTS)
+def question_prompts(spark, d):
+    where = F.when(F.col("id") % 2 == 0, "Unspecified").otherwise("EU")
+    return B.questions(spark, d).select("id", T.prompt_text(F.col("text"), where).alias("prompt"), T.stable_id(F.col("text")).alias("key"))
+
+
 # What SQL can't say: HTML is parsed, URLs are resolved, JSON-LD is walked.
 
 

@@ -159,3 +159,31 @@ ISSUE_SUMMARY = f"WITH {_ISSUES} SELECT crawl_run_id, count(*) FILTER (severity
 ATTENTION = f"""WITH {_ISSUES}, g AS (SELECT crawl_run_id, category, bool_or(severity = 'error') AS any_error, count(*) AS n FROM i WHERE severity <> 'observation' GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY crawl_run_id ORDER BY any_error DESC, n DESC, category)::INTEGER AS rank FROM g) WHERE rank <= 3"""
 SEARCH_ISSUES = f"""WITH {_ISSUES} SELECT * FROM i WHERE category = 'c2' AND contains(url, '/1') ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, rule_id, url LIMIT 20 OFFSET 20"""
+
+EXTRACTED_CITATIONS = rf"""WITH u AS (SELECT page_id AS answer_id, url, 'provider' AS source FROM pages UNION ALL SELECT page_id, 'https://www.other.com/' || page_id, 'answer_text' FROM pages)
+SELECT answer_id, url, {_HOST} AS domain, source FROM u"""
+ADJUDICATED = """WITH c AS (SELECT p_brand, lower(p_type) AS t FROM part GROUP BY ALL HAVING count(DISTINCT p_size) > 1)
+SELECT l_orderkey || '-' || l_linenumber AS claim_id, CASE WHEN c.t IS NOT NULL THEN 'unverifiable' WHEN p_partkey % 5 = 0 OR l_linenumber = 1 THEN 'time_sensitive' ELSE 'supported' END AS classification
+FROM lineitem JOIN part p ON l_partkey = p_partkey LEFT JOIN c ON c.p_brand = p.p_brand AND c.t = lower(p.p_type)"""
+_GAPS = """m AS (SELECT l_partkey AS q, count(DISTINCT l_suppkey) FILTER (s_nationkey % 2 = 0) AS own, count(DISTINCT l_suppkey) FILTER (s_nationkey % 2 = 1) AS rivals, max(s_suppkey % 20) FILTER (s_nationkey % 2 = 0) AS best FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1),
+gaps AS (SELECT p_partkey AS question_id, CASE WHEN coalesce(own, 0) > 0 THEN 'Weak direct answer' WHEN p_size % 2 = 0 THEN 'Pricing clarity' ELSE 'Question coverage' END AS type, CASE WHEN coalesce(own, 0) > 0 THEN 'update' ELSE 'create' END AS action, CASE WHEN coalesce(own, 0) > 0 THEN 'small' ELSE 'medium' END AS effort,
+  (p_size % 5 + 1) * 20 AS impact, CASE WHEN coalesce(own, 0) > 0 THEN 0.65::DOUBLE ELSE 0.55::DOUBLE END AS confidence, coalesce(rivals, 0) AS rivals FROM part LEFT JOIN m ON q = p_partkey WHERE coalesce(own, 0) = 0 OR best < 10)"""
+CONTENT_GAPS = f"WITH {_GAPS} SELECT * FROM gaps"
+ACTION_PLAN = f"""WITH {_GAPS}, {_ISSUES}, first AS (SELECT rule_id, severity, url FROM i WHERE severity <> 'observation' ORDER BY severity <> 'error', rule_id, url LIMIT 40),
+a AS (SELECT 'Technical accessibility' AS category, 1 AS month, floor(70 * 0.35::DOUBLE + (CASE severity WHEN 'error' THEN 90 ELSE 55 END) * 0.25::DOUBLE + 0.9::DOUBLE * 100 * 0.15::DOUBLE + 80 * 0.15::DOUBLE + 100 * 0.1::DOUBLE + 0.5::DOUBLE) AS priority FROM (SELECT DISTINCT rule_id, url, severity FROM first)
+UNION ALL SELECT 'Commercial content', CASE effort WHEN 'small' THEN 1 ELSE 2 END, floor(impact * 0.35::DOUBLE + (CASE WHEN rivals > 0 THEN 80 ELSE 60 END) * 0.25::DOUBLE + confidence * 100 * 0.15::DOUBLE + 80 * 0.15::DOUBLE + (CASE effort WHEN 'small' THEN 100 ELSE 60 END) * 0.1::DOUBLE + 0.5::DOUBLE) FROM gaps
+UNION ALL SELECT 'Monitoring', 3, 69)
+SELECT 'p' AS project_id, category, month, priority::INTEGER AS priority, count(*) AS actions FROM a GROUP BY ALL"""
+PROFILE_SOURCES = r"""WITH p AS (SELECT source AS crawl_run_id, doc_id AS id, (doc_id % 4)::INTEGER AS level, 'https://a.com' || (['/', '/about/us', '/pricing', '/blog/x'])[doc_id % 4 + 1] || '?id=' || doc_id AS url FROM documents WHERE length(trim(text)) >= 16)
+SELECT crawl_run_id, id, level, place FROM (SELECT *, row_number() OVER (PARTITION BY crawl_run_id ORDER BY level, url)::INTEGER AS place FROM p) WHERE place <= 5"""
+BRAND_ALIASES = "SELECT brand_id, array_to_string(list_sort(list_distinct([brand_id, 'a.com', 'Alias'] || coalesce(list(p_size::VARCHAR) FILTER (length(p_size::VARCHAR) >= 2 AND p_partkey % 9 <> 0), []))), '|') AS aliases FROM (SELECT p_brand AS brand_id, p_size, p_partkey FROM part) GROUP BY brand_id"
+REPEATED_DOMAINS = f"SELECT page_id % 20 AS project_id, {_HOST} AS domain, count(*) AS n FROM pages GROUP BY 1, 2 HAVING count(*) > 1"
+BRAND_CHANGES = f"""WITH r AS (SELECT page_id % 2 AS half, {_HOST} AS d, min(page_id)::VARCHAR AS id FROM pages GROUP BY 1, 2), a AS (SELECT * FROM r WHERE half = 0), b AS (SELECT * FROM r WHERE half = 1)
+SELECT 'https://' || coalesce(a.d, b.d) AS domain, b.id, a.d IS NOT NULL AS active, CASE WHEN a.d IS NULL THEN 'deactivate' WHEN b.d IS NULL THEN 'insert' ELSE 'keep' END AS change FROM a FULL JOIN b USING (d)"""
+COMPANY_SUMMARY = """WITH f AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_partkey % 4 ORDER BY p_size DESC, p_partkey DESC) AS k FROM part)
+SELECT p_brand AS project_id, CASE WHEN ends_with(p_brand, '1') THEN 'Own words' ELSE max(p_name) FILTER (p_partkey % 4 = 0 AND k = 1) END AS summary, coalesce(string_agg(p_name, '|' ORDER BY k) FILTER (p_partkey % 4 = 1 AND k <= 2), '') AS customers FROM f GROUP BY p_brand"""
+IDENTICAL_PAGES = "WITH g AS (SELECT lang, text, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY ALL HAVING count(*) > 1) SELECT d.lang AS brand_id, d.doc_id AS id, array_to_string((list_filter(ids[1:21], lambda i: i <> d.doc_id))[1:20], ',') AS similar FROM documents d JOIN g USING (lang, text)"
+SITE_AVERAGES = "SELECT o_custkey AS brand_id, round(avg(o_totalprice::DOUBLE), 9) AS score, 60.0::DOUBLE AS evaluated_weight, count(*) AS pages FROM orders GROUP BY 1"
+VALID_FACTS = r"""WITH p AS (SELECT doc_id, (trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')))[1:8000] AS t FROM documents)
+SELECT d.doc_id, d.doc_id % 3 = 0 AS bad_category, NOT coalesce(length(trim(d.text[1:40])) >= 16 AND contains(p.t, trim(regexp_replace(d.text[1:40], '\s+', ' ', 'g'))), false) AS bad_quote FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id - d.doc_id % 2"""
+PROMPTS = f"WITH {_QUESTIONS} SELECT id, CASE WHEN id % 2 = 0 THEN text ELSE text || chr(10) || 'Buyer location: EU' END AS prompt, sha256(text)[1:20] AS key FROM questions"
