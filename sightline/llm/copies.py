@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from .common import salted_left_join
 
-#: Stands for a null doc_id, so that joins need no test for null and all read one shuffle of the texts.
-NO_ID = -(1 << 63)
+#: From here on ids stand for rows without a doc_id. They are never null, so joins need no test for null and all read one shuffle of
+#: the texts.
+NO_ID = 1 << 62
 #: Of a document's role: no other has its text; the first with its text; another one with it.
 SINGLE, FIRST, COPY = 0, 1, 2
 
 
 def with_roles(docs: DataFrame) -> DataFrame:
     """(doc_id, text, role) of each document. A text's copies are told by its SHA-256; only hashes are grouped."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(given_id(), F.col("text").cast("string").alias("text"))
     hashed = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
     several = hashed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     roles = salted_left_join(hashed, several, ["digest"], F.col("doc_id")).filter(F.col("first").isNotNull())
@@ -23,6 +24,12 @@ def with_roles(docs: DataFrame) -> DataFrame:
     return docs.join(roles, "doc_id", "left").select("doc_id", "text", F.coalesce("role", F.lit(SINGLE)).alias("role"))
 
 
-def own_id() -> Column:
+def given_id() -> Column:
+    """The doc_id, or where it is null one that is made of the text, above all others."""
+    made = F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
+    return F.coalesce(F.col("doc_id").cast("long"), made).alias("doc_id")
+
+
+def own_id(name: str = "doc_id") -> Column:
     """The doc_id, null again where it was."""
-    return F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id")
+    return F.when(F.col(name) < NO_ID, F.col(name)).alias(name)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, salted_left_join, table
+from .copies import given_id, own_id
 
 #: Group bounds that the driver searches itself. While more are left, Spark narrows them down (see _narrowed).
 DRIVER_BOUNDS = 200_000
@@ -22,7 +23,7 @@ def ordered(docs: DataFrame) -> DataFrame:
     Both come from a range partition with one total for each partition, so a group of any size is spread over tasks.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    rows = docs.select(given_id(), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
     several = rows.groupBy("digest").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
     rows = salted_left_join(rows, several, ["digest"], F.col("doc_id")).drop("digest").withColumn("leader", F.coalesce("leader", "doc_id"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -114,7 +115,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, driver_bounds: int = DRIV
     texts and never parted, so a group larger than the mean sets the capacity. Size is the text's bytes in UTF-8 plus 1 (null: 1).
     ``slot`` counts a shard's documents from 0. grown_shard is null, as a contiguous partition moves rows when shards are added.
 
-    Null counts as an empty text. Repeated rows are placed each. With fewer groups than shards the last shards are empty; an empty
+    Null counts as an empty text. Repeated rows are placed each; rows without a doc_id come last. With fewer groups than shards the last shards are empty; an empty
     table gives no rows; other columns are ignored.
     """
     rows = ordered(docs)
@@ -127,7 +128,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, driver_bounds: int = DRIV
     for k, c in enumerate(cuts[1:], 1):
         shard = F.when(F.col("before") >= c, k).otherwise(shard)
         first = F.when(F.col("before") >= c, F.lit(starts[c])).otherwise(first)
-    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), shard.cast("int").alias("shard"), (F.col("row") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select(own_id(), "size", "text_crc32", F.lit("bytes").alias("law"), shard.cast("int").alias("shard"), (F.col("row") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,7 +134,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for archive in batch.column(0):
             rows = []
             for headers, block in read_records(archive.as_py()):
-                own, other = (int(x[10:-1]) if (x := headers.get(k)) else None for k in ("WARC-Record-ID", "WARC-Refers-To"))
+                own, other = (int(x[10:-1]) if (x := headers.get(k, "")) and x != "<urn:page:None>" else None for k in ("WARC-Record-ID", "WARC-Refers-To"))
                 kind = headers["WARC-Type"]
                 size, digest = (len(block), hashlib.sha256(block).hexdigest()) if kind == "response" else (int(headers["X-Payload-Length"]), headers["WARC-Payload-Digest"][7:])
                 rows.append((own, size, digest, kind, other))
@@ -159,7 +159,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all pages to archives and read them back. Null html is an empty payload; an empty table gives no record."""
+    """Write all pages to archives and read them back. A page without a page_id has a record without one. Null html is an empty payload; an empty table gives no record."""
     folder = shared_folder(spark)
     write_archives(table(spark, sf_dir, "pages"), folder)
     return read_archives(spark, folder)

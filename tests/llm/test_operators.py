@@ -340,3 +340,20 @@ def test_url_model_on_held_out_labels(spark):
     assert all(r.rule is None for r in got) and right >= 0.95 * len(got)
 
 
+
+
+def test_rows_without_ids(spark, tmp_path):
+    """Null ids crash nothing and lose no row."""
+    import public_tokenizers
+
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(None, text, None), (None, "other words " * 40, "s"), (1, text, "s"), (2, text + " more", "s"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"))
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    for out in (quality_rules(docs), remove_repeated_windows(docs), pseudonymise(docs), shard_documents(docs), encode_documents(docs, path, pattern), remove_repeated_strings(docs), near_duplicates(docs), filter_urls(pages)):
+        assert out.count() == 5
+    write_archives(pages, str(tmp_path / "w"))
+    assert sorted(r.page_id or 0 for r in read_archives(spark, str(tmp_path / "w")).collect()) == [0, 0, 1, 2, 3]
+    items = spark.createDataFrame([(7, text), (None, text)], "item_id long, text string")
+    assert {r.doc_id for r in contained_items(docs, items).collect()} == {1, 2}
