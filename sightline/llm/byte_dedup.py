@@ -23,9 +23,9 @@ WIDTH = 200
 GRAM, REACH = 32, 128
 KEY = WIDTH - REACH + 1
 #: Bytes of contexts in one suffix array, and the ranges into which the sorted strings of an anchor's shards are cut to be merged.
-SHARD_BYTES, RANGES = 1 << 20, 256
+SHARD_BYTES, RANGES = 1 << 19, 256
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def _least_before(values: np.ndarray, reach: int) -> np.ndarray:
@@ -174,23 +174,33 @@ def _found(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings that stand in several shards of an anchor. Each shard's sorted hashes are searched for in those merged before."""
-    name, held = None, None
+    """Strings that stand in several shards of an anchor. Each shard's sorted hashes are searched for in those merged before.
+
+    A string is told once, when it is first found, and those found are gathered over ranges before they are listed by document.
+    """
+    name, held, told, out = None, None, None, []
     for batch in batches:
         for key, part, h0, h1, docs, places in zip(*(batch.column(k).to_pylist() for k in ("key", "part", "h0", "h1", "docs", "places")), strict=True):
             new = [np.array(h0, np.int64).view(np.uint64), np.array(h1, np.int64).view(np.uint64), np.array(docs), np.array(places)]
             if (key, part) != name:
-                name, held = (key, part), new
+                name, held, told = (key, part), new, np.zeros(len(new[0]), bool)
                 continue
             low, high = np.searchsorted(held[0], new[0], "left"), np.searchsorted(held[0], new[0], "right")
             mine = np.repeat(np.arange(len(low)), high - low)
             theirs = ragged(low, high - low)
             hit = new[1][mine] == held[1][theirs]
             mine, theirs = np.unique(mine[hit]), np.unique(theirs[hit])
-            yield _found(np.r_[new[2][mine], held[2][theirs]], np.r_[new[3][mine], held[3][theirs]])
+            theirs = theirs[~told[theirs]]
+            told[theirs] = True
+            out.append((np.r_[new[2][mine], held[2][theirs]], np.r_[new[3][mine], held[3][theirs]]))
+            if sum(len(o[0]) for o in out) >= 100_000:
+                yield _found(*map(np.concatenate, zip(*out, strict=True)))
+                out = []
             fresh = np.setdiff1d(np.arange(len(new[0])), mine)  # one of each string is enough to search in
             at = np.searchsorted(held[0], new[0][fresh])
-            held = [np.insert(h, at, x[fresh]) for h, x in zip(held, new, strict=True)]
+            held, told = [np.insert(h, at, x[fresh]) for h, x in zip(held, new, strict=True)], np.insert(told, at, False)
+    if out:
+        yield _found(*map(np.concatenate, zip(*out, strict=True)))
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +229,7 @@ def remove_repeated_strings(docs: DataFrame, shard_bytes: int = SHARD_BYTES) ->
     1. Of exact copies of a text only the first is looked at, and all are repeated as a whole. Each string belongs to an
        anchor near its start, chosen by content, so equal strings belong to anchors with equal keys. An anchor whose key is the
        only one of its kind is done. Contexts that are equal as a whole are repeated, and one of them stands for all.
-    2. Differing contexts with equal keys are dealt by key to shards of about a megabyte. A shard's suffix array (Larsson and
+    2. Differing contexts with equal keys are dealt by key to shards of about half a megabyte. A shard's suffix array (Larsson and
        Sadakane) and common prefixes (Kasai) show which strings stand in it twice.
     3. Contexts of one key that fill several shards: each shard's strings are sorted and cut into ranges, and each range is
        merged over the shards by binary search.
