@@ -294,7 +294,7 @@ def extracted_citations(spark, d):
 @query(O.ADJUDICATED)
 def adjudicated_claims(spark, d):
     facts = B.read(spark, d, "part").select(F.col("p_brand").alias("experiment_id"), F.col("p_partkey").alias("fact_id"), F.when(F.col("p_partkey") % 5 == 0, "pricing").otherwise("feature").alias("category"), F.col("p_type").alias("subject"), F.lit("size").alias("attribute"), F.col("p_size").cast("string").alias("value"))
-    claims = B.read(spark, d, "lineitem").join(B.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("experiment_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("claim_id"), F.when(F.col("l_linenumber") == 1, "costs 5 today").otherwise("has a size").alias("text"), F.lit("supported").alias("classification"), F.array("l_partkey").alias("fact_ids"))
+    claims = B.read(spark, d, "lineitem").join(B.read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("experiment_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("claim_id"), F.when(F.col("l_linenumber") == 1, "costs 5 today").otherwise("has a size").alias("text"), F.lit("supported").alias("classification"), F.array("l_partkey").alias("fact_ids"))
     return V.adjudicate_claims(claims, facts).select("claim_id", "classification")
 
 

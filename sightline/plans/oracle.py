@@ -163,7 +163,7 @@ SEARCH_ISSUES = f"""WITH {_ISSUES} SELECT * FROM i WHERE category = 'c2' AND con
 EXTRACTED_CITATIONS = rf"""WITH u AS (SELECT page_id AS answer_id, url, 'provider' AS source FROM pages UNION ALL SELECT page_id, 'https://www.other.com/' || page_id, 'answer_text' FROM pages)
 SELECT answer_id, url, {_HOST} AS domain, source FROM u"""
 ADJUDICATED = """WITH c AS (SELECT p_brand, lower(p_type) AS t FROM part GROUP BY ALL HAVING count(DISTINCT p_size) > 1)
-SELECT l_orderkey || '-' || l_linenumber AS claim_id, CASE WHEN c.t IS NOT NULL THEN 'unverifiable' WHEN p_partkey % 5 = 0 OR l_linenumber = 1 THEN 'time_sensitive' ELSE 'supported' END AS classification
+SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS claim_id, CASE WHEN c.t IS NOT NULL THEN 'unverifiable' WHEN p_partkey % 5 = 0 OR l_linenumber = 1 THEN 'time_sensitive' ELSE 'supported' END AS classification
 FROM lineitem JOIN part p ON l_partkey = p_partkey LEFT JOIN c ON c.p_brand = p.p_brand AND c.t = lower(p.p_type)"""
 _GAPS = """m AS (SELECT l_partkey AS q, count(DISTINCT l_suppkey) FILTER (s_nationkey % 2 = 0) AS own, count(DISTINCT l_suppkey) FILTER (s_nationkey % 2 = 1) AS rivals, max(s_suppkey % 20) FILTER (s_nationkey % 2 = 0) AS best FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1),
 gaps AS (SELECT p_partkey AS question_id, CASE WHEN coalesce(own, 0) > 0 THEN 'Weak direct answer' WHEN p_size % 2 = 0 THEN 'Pricing clarity' ELSE 'Question coverage' END AS type, CASE WHEN coalesce(own, 0) > 0 THEN 'update' ELSE 'create' END AS action, CASE WHEN coalesce(own, 0) > 0 THEN 'small' ELSE 'medium' END AS effort,
