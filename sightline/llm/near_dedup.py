@@ -140,17 +140,27 @@ def _links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     order = np.argsort(token, kind="stable")
     lists, edge = holder[order], np.r_[0, np.cumsum(np.bincount(token))]
     bound = np.r_[0, np.cumsum(size)]
-    roots = np.arange(n)
-    for y in range(n):
-        if y >= 4 and y % 4 == 0:
-            roots = np.array([forest.root(x) for x in range(n)])
-        if y >= 4 and n > 8 and roots[y] == np.bincount(roots).argmax():
-            continue  # all that links to the largest part is found from the other side
+    roots, passed = np.arange(n), []
+
+    def hold(y: int) -> None:
         t = token[bound[y] : bound[y + 1]]
         common = np.bincount(lists[ragged(edge[t], edge[t + 1] - edge[t])], minlength=n)
         for x in np.flatnonzero(100 * common >= PERCENT * (size + size[y] - common)).tolist():
             if forest.join(x, y):
                 found.append((int(ids[x]), int(ids[y])))
+
+    for y in range(n):
+        if y >= 4 and y % 4 == 0:
+            roots = np.array([forest.root(x) for x in range(n)])
+        if y >= 4 and n > 8 and roots[y] == np.bincount(roots).argmax():
+            passed.append(y)  # all that links to the largest part is found from the other side
+        else:
+            hold(y)
+    # the largest part may have been another one then: in the end only rows of one and the same part go without
+    largest = int(np.bincount([forest.root(x) for x in range(n)]).argmax())
+    for y in passed:
+        if forest.root(y) != forest.root(largest):
+            hold(y)
     return found
 
 

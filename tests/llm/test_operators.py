@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,40 @@ def test_near_duplicates(docs, rows, empty, block, monkeypatch):
     assert near_duplicates(empty).count() == 0
 
 
+def test_links_over_a_bridge():
+    """The largest part changes from {0..5} to {6..13} before the one link between them, 5-10, is looked at."""
+    from sightline.llm.near_dedup import _links
+
+    common, left, right = list(range(70)), list(range(100, 130)), list(range(200, 230))
+    sets = [common + left] + [common[:60] + left + list(range(1000 * k, 1000 * k + 10)) for k in range(1, 5)] + [common + left[12:] + right[:12]]
+    sets += [common + right] + [common[:60] + right + list(range(1000 * k, 1000 * k + 10)) for k in range(7, 14)]
+    sets[10] = common + right[:18] + left[18:]
+    found = _links(np.arange(14), [np.array(sorted(s), np.uint64) for s in sets])
+    assert len(found) == 13 and (5, 10) in {tuple(sorted(x)) for x in found}
+
+
+def test_links_against_brute_force():
+    from sightline.llm.near_dedup import _links
+
+    draw = random.Random(11)
+    for _ in range(150):
+        sets = [set(range(1000 * k, 1000 * k + 20)) for k in range(draw.randint(1, 3))]
+        while len(sets) < 40:
+            near = set(draw.choice(sets))
+            near -= set(draw.sample(sorted(near), draw.randint(0, 3)))
+            sets.append(near | {draw.randrange(10**6) for _ in range(draw.randint(0, 3))})
+        draw.shuffle(sets)
+        label = list(range(40))
+        for a in range(40):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    label = [label[a] if x == label[b] else x for x in label]
+        got = list(range(40))
+        for a, b in _links(np.arange(40), [np.array(sorted(s), np.uint64) for s in sets]):
+            got = [got[a] if x == got[b] else x for x in got]
+        assert [got.index(x) for x in got] == [label.index(x) for x in label]
+
+
 def test_components(spark):
     draw = random.Random(5)
     pairs = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(200)] + [(1000, 1000 + k) for k in range(300)] + [(2000 + k, 2001 + k) for k in range(60)]
