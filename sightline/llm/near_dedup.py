@@ -21,8 +21,10 @@ WIDTH, PERCENT = 5, 75
 SIDE, HALF = 18, 3
 #: Candidates need this share of equal minhashes: five standard deviations below the threshold for 108 of them.
 LEAST_SHARE = 0.55
-#: Rows of a first-collection bucket that a row is held against, besides the bucket's first rows.
-WINDOW, FIRST = 24, 4
+#: Rows of a first-collection bucket up to which all its pairs are looked at; those of a larger one are dealt out to its tables.
+PAIRED = 256
+#: Tables of a larger bucket that a task holds; those of a still larger one are shuffled.
+HELD = 1 << 20
 #: Documents that are held against each other in one task; larger groups are dealt out to pairs of blocks.
 BLOCK = 2048
 
@@ -85,50 +87,109 @@ class _Forest:
         return x != y
 
 
-def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each first-collection bucket. Rows come sorted by the bucket's key.
-
-    Rows of a bucket that share a key of the second collection too fall in one of the tables. Each row is held
-    against the WINDOW rows before it and the bucket's FIRST rows; of all collisions, those that join two parts of
-    the bucket are given, so a bucket of n rows gives fewer than n pairs. Memory is bounded by an Arrow batch.
+def _colliding(paired: int, most: int = HELD):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidate pairs (a, b) of each first-collection bucket, and (table, a) of the buckets of over ``paired`` rows.
+
+        Rows come sorted by the bucket's key. Rows of a bucket that share a key of the second collection too fall in one of
+        the tables. In a bucket of up to ``paired`` rows all pairs are looked at; of all collisions, those that join two parts
+        of the bucket are given, so a bucket of n rows gives fewer than n pairs. In a larger bucket each row is paired with the
+        first of each of its tables. Once these are over ``most``, they and all later rows of the bucket are given with their
+        tables. Memory is bounded by an Arrow batch, ``paired`` rows and ``most`` tables.
+        """
+        kept, wide = None, None  # the open bucket's rows, or its key if it is a larger one
+        held, full = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), False  # its tables and their first rows, or that they were over ``most``
+
+        def second(data: np.ndarray) -> np.ndarray:
+            out = data[:, SIDE * HALF :].reshape(len(data), SIDE, HALF).astype(np.uint32)
+            return out[:, :, 0] << 16 | out[:, :, 1] << 8 | out[:, :, 2]
+
+        def pairs(key: np.ndarray, rep: np.ndarray, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            place = np.arange(len(key)) - np.repeat(start, np.diff(np.r_[start, len(key)]))
+            keys, forest, left, right = second(data), _Forest(len(key)), [], []
+            i = np.arange(len(key))
+            for back in range(1, int(place.max()) + 1):
+                i = i[place[i] >= back]
+                hit = i[(keys[i] == keys[i - back]).any(axis=1)]
+                hit = hit[(data[hit] == data[hit - back]).mean(axis=1) >= LEAST_SHARE]
+                for x in hit.tolist():
+                    if rep[x] != rep[x - back] and forest.join(x, x - back):
+                        left.append(rep[x])
+                        right.append(rep[x - back])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(left), pa.int64()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], _CANDIDATES)
+
+        def tables(key: np.ndarray, rep: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            table = mix(key.view(np.uint64))[:, None] + np.arange(SIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            return mix(mix(table) + second(data)).ravel(), np.repeat(rep, SIDE)
+
+        def given(table: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(table.view(np.int64)), pa.array(rep), pa.nulls(len(table), pa.int64())], _CANDIDATES)
+
+        def stars(table: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+            """Pairs that join the rows of each table to its first."""
+            _, at, which = np.unique(table, return_index=True, return_inverse=True)
+            first = rep[at][which]
+            far = np.flatnonzero(first != rep)
+            node, ends = np.unique(np.r_[first[far], rep[far]], return_inverse=True)
+            forest = _Forest(len(node))
+            far = far[np.array([forest.join(x, y) for x, y in zip(*ends.reshape(2, -1).tolist(), strict=True)], bool)]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(far), pa.int64()), pa.array(rep[far]), pa.array(first[far])], _CANDIDATES)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)]
+            if kept is not None:
+                rows = [np.concatenate(x) for x in zip(kept, rows, strict=True)]
+            key = rows[0]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            count = np.diff(np.r_[start, len(key)])
+            large = count > paired
+            if wide is not None:
+                large |= key[start] == wide
+            wider, opened = np.repeat(large, count), key == key[-1]
+            more = wider & (key == wide) if full else np.zeros(len(key), bool)
+            if more.any():
+                yield given(*tables(*(x[more] for x in rows)))
+            if (dealt := wider & ~more).any():
+                yield stars(*map(np.concatenate, zip(held, tables(*(x[dealt] for x in rows)), strict=True)))
+            full = full and key[-1] == wide
+            if large[-1] and not full:
+                table, rep = tables(*(x[opened] for x in rows))
+                if wide is not None and key[-1] == wide:
+                    table, rep = np.r_[held[0], table], np.r_[held[1], rep]
+                table, at = np.unique(table, return_index=True)
+                held = table, rep[at]
+                if full := len(table) > most:
+                    yield given(*held)
+            if full or not large[-1]:
+                held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            if (whole := ~wider & ~opened).any():
+                yield from pairs(*(x[whole] for x in rows))
+            kept, wide = (None, key[-1]) if large[-1] else ([x[opened] for x in rows], None)
+        if kept is not None:
+            yield from pairs(*kept)
+
+    return work
+
+
+_CANDIDATES = ["table", "a", "b"]
+
+
+def _candidates(keyed: DataFrame) -> DataFrame:
+    """Pairs (a, b) that join what falls in a table together. keyed: key, rep, sketch.
+
+    The rows of a larger bucket's table are each linked to one of them, whatever their sketches say: rows that are alike
+    enough may both be unlike that one. Where a task can't hold the tables, it is the smallest, pre-aggregated and joined back salted.
     """
-    kept_key = kept_rep = kept_bytes = None
-    for batch in batches:
-        key, rep = (np.asarray(batch.column(k)) for k in (0, 1))
-        data = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(key), -1) if len(key) else np.zeros((0, 2 * SIDE * HALF), np.uint8)
-        if kept_key is not None:
-            key, rep, data = np.r_[kept_key, key], np.r_[kept_rep, rep], np.r_[kept_bytes, data]
-        if not len(key):
-            continue
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        first = np.repeat(start, np.diff(np.r_[start, len(key)]))
-        place = np.arange(len(key)) - first
-        second = data[:, SIDE * HALF :].reshape(len(key), SIDE, HALF).astype(np.uint32)
-        second = second[:, :, 0] << 16 | second[:, :, 1] << 8 | second[:, :, 2]
-        forest, left, right = _Forest(len(key)), [], []
-
-        def hold(i: np.ndarray, j: np.ndarray) -> None:
-            hit = (second[i] == second[j]).any(axis=1)
-            i, j = i[hit], j[hit]
-            hit = (data[i] == data[j]).mean(axis=1) >= LEAST_SHARE
-            for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
-                if rep[x] != rep[y] and forest.join(x, y):
-                    left.append(rep[x])
-                    right.append(rep[y])
-
-        for back in range(1, WINDOW + 1):
-            i = np.flatnonzero(place >= back)
-            if not len(i):
-                break
-            hold(i, i - back)
-        for k in range(FIRST):
-            i = np.flatnonzero(place > WINDOW + k)
-            hold(i, first[i] + k)
-        last = np.flatnonzero(first == first[-1])  # the open bucket goes on in the next batch
-        last = np.r_[last[:FIRST], last[FIRST:][-WINDOW:]]
-        kept_key, kept_rep, kept_bytes = key[last], rep[last], data[last]
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cut(keyed.select("key", "rep", "sketch").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_colliding(PAIRED), "table long, a long, b long"))
+    tabled = found.filter("table IS NOT NULL").select("table", "a")
+    least = tabled.groupBy("table").agg(F.min("a").alias("b"), F.max("a").alias("most")).filter("b < most").drop("most")
+    linked = salted_left_join(tabled, least, ["table"], F.col("a")).filter("a > b")
+    return found.filter("table IS NULL").select("a", "b").union(linked.select("a", "b"))
 
 
 def _links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -195,7 +256,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     1. Equal sets become one representative with a pre-aggregated count, whatever their number.
     2. Tensored banding finds candidate pairs in linear work: first-collection keys are shuffled with a sketch, and
-       second-collection keys are paired with them inside the bucket.
+       second-collection keys are paired with them inside the bucket. A bucket of over ``PAIRED`` rows is dealt out to its
+       tables, and each row of a table is linked to one of its rows, so no collision is lost.
     3. The candidates' components, much looser than the links, are the groups in which all links are looked for by
        exact intersections. A group of over ``BLOCK`` documents is dealt out to pairs of blocks.
 
@@ -208,8 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = sketches.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value(F.struct("keys", "sketch")).alias("s"))
     keyed = classes.select("rep", F.explode("s.keys").alias("key"), F.col("s.sketch").alias("sketch"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = keyed.select("key", "rep", "sketch").repartition(n, "key").sortWithinPartitions("key", F.substring("sketch", SIDE * HALF + 1, HALF), "rep").mapInArrow(_colliding, "a long, b long")
-    loose = components(pairs)
+    loose = components(_candidates(keyed))
     sizes = loose.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = salted_left_join(loose, sizes, ["component"], F.col("node")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("p"), F.greatest(k, "own").alias("q")))

@@ -214,6 +214,39 @@ def test_links_against_brute_force():
         assert [got.index(x) for x in got] == [label.index(x) for x in label]
 
 
+@pytest.mark.parametrize("rows_of_a_batch", [1000, 7])
+def test_collisions_far_apart_in_a_bucket(rows_of_a_batch):
+    """Two rows of a bucket of 60 agree in one key of the second collection, with 39 others between them."""
+    import pyarrow as pa
+
+    from sightline.llm import near_dedup
+
+    sketch = np.random.default_rng(3).integers(0, 256, (66, 108), dtype=np.uint8)
+    sketch[50] = sketch[10]
+    sketch[50, [54 + 3 * k for k in range(18) if k != 7]] += 1
+    sketch[65] = sketch[61]
+    key, rep = np.r_[np.full(60, 5), np.full(6, 9)], np.arange(100, 166)
+    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep), pa.array([x.tobytes() for x in sketch], pa.binary())], ["key", "rep", "sketch"])
+    batches = [whole.slice(k, rows_of_a_batch) for k in range(0, 66, rows_of_a_batch)]
+    rows = lambda *limits: [r for b in near_dedup._colliding(*limits)(iter(batches)) for r in b.to_pylist()]
+    for limits in ((256,), (30,), (3,), (30, 0), (30, 300), (3, 60)):
+        linked, tables = [(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in rows(*limits) if r["table"] is None], defaultdict(set)
+        for r in rows(*limits):
+            if r["table"] is not None:
+                tables[r["table"]].add(r["a"])
+        linked += [(min(x), max(x)) for x in tables.values() if len(x) > 1]
+        assert set(linked) == {(110, 150), (161, 165)}, limits
+        assert rows_of_a_batch != 7 or bool(tables) == (len(limits) > 1), limits
+
+
+@pytest.mark.parametrize("paired", [0, 2])
+def test_near_duplicates_of_large_buckets(docs, rows, empty, paired, monkeypatch):
+    from sightline.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "PAIRED", paired)
+    test_near_duplicates(docs, rows, empty, 2048, monkeypatch)
+
+
 def test_components(spark):
     draw = random.Random(5)
     pairs = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(200)] + [(1000, 1000 + k) for k in range(300)] + [(2000 + k, 2001 + k) for k in range(60)]
