@@ -109,7 +109,7 @@ def _shard(rows: list[tuple]) -> tuple[np.ndarray, ...]:
     suffix = suffix_array(text)
     shared = common_prefixes(text, suffix, WIDTH)
     slot = np.flatnonzero(valid[suffix])
-    least = np.minimum.reduceat(shared, np.r_[0, slot[:-1] + 1]) if len(slot) else shared[:0]
+    least = np.minimum.reduceat(shared[: slot[-1] + 1], np.r_[0, slot[:-1] + 1]) if len(slot) else shared[:0]
     same = least[1:] >= WIDTH
     twice = np.r_[False, same] | np.r_[same, False]
     here = suffix[slot]

@@ -134,6 +134,16 @@ def test_byte_dedup_passages_in_many_surroundings(spark):
         assert got[i].n_removed == sum(cover), i
 
 
+def test_greatest_string_of_a_shard():
+    """Two copies of a string of just 200 bytes that sorts after all others; suffixes that are no strings sort after it."""
+    from sightline.llm.byte_dedup import _shard
+
+    draw = random.Random(4)
+    string = b"y" + bytes(draw.choice(b"abcdz") for _ in range(199))
+    row, here, twice, _, _ = _shard([(1, k, 0, 1, string) for k in range(2)] + [(1, 2, 0, 1, b"b" * 200)])
+    assert sorted(row[twice].tolist()) == [0, 1] and sorted(here.tolist()) == [0, 200, 400]
+
+
 def test_suffix_arrays():
     import numpy as np
 
