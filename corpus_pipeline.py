@@ -9,28 +9,34 @@ from pyspark.sql import functions as F
 
 from sightline.llm.bpe import encode_documents
 from sightline.llm.common import table
+from sightline.llm.copies import NO_ID, given_id
 from sightline.llm.decontaminate import contained_items
-from sightline.llm.near_dedup import near_duplicates
+from sightline.llm.near_dedup import verdicts
 from sightline.llm.pii import KEY, pseudonymise
 from sightline.llm.quality import quality_rules
 from sightline.llm.warc import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and whose host isn't rejected."""
-    return docs.join(quality_rules(docs).filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """Documents that pass the base rule and whose host isn't rejected; those without a doc_id are told by text and host."""
+    rows = docs.withColumns({"_id": given_id(), "_host": F.when(F.col("doc_id").isNull(), F.coalesce("source", F.lit("")).cast("string")).otherwise("")})
+    kept = quality_rules(docs.withColumn("doc_id", given_id())).filter("kept")
+    kept = kept.select(F.col("doc_id").alias("_id"), F.when(F.col("doc_id") >= NO_ID, F.col("host")).otherwise("").alias("_host")).distinct()
+    return rows.join(kept, ["_id", "_host"], "left_semi").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near-duplicates: the one with the smallest doc_id, or if none has one, any with a text of the group's."""
+    kept = verdicts(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    copies = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))  # no id tells them apart
+    rows = docs.filter(~copies).unionByName(docs.filter(copies).dropDuplicates(["text"]))
+    return rows.withColumn("_id", given_id()).join(kept, "_id", "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold less than 75 % of every benchmark item's shingles."""
-    found = contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    found = contained_items(docs.withColumn("doc_id", given_id()), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.withColumn("_id", given_id()).join(found, "_id", "left_anti").select(docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -264,6 +264,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts have no shingles, are linked with nothing and kept. Rows without a doc_id come after all others. Repeated rows of a doc_id are equal
     documents with the same verdict; other columns are ignored; an empty table gives no rows.
     """
+    return verdicts(docs).select(own_id(), "n_shingles", own_id("component_id"), "kept")
+
+
+def verdicts(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with the ids of ``given_id``, which are never null."""
     docs = docs.select(given_id(), F.col("text").cast("string").alias("text"))
     sketches = cut(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch binary"))
     same = ["d1", "d2", "n_shingles"]
@@ -281,8 +286,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = classes.filter("n > 1").select(*same, "rep")
     rows = salted_left_join(sketches.select("doc_id", *same), several, same, F.col("doc_id")).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     rows = salted_left_join(rows, linked.withColumnRenamed("node", "rep"), ["rep"], F.col("doc_id"))
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    return rows.select(own_id(), "n_shingles", own_id("component_id"), "kept")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,3 +28,21 @@ def test_stages_keep_columns(spark, tmp_path):
     pq.write_table(pa.table({"item_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}), tmp_path / "benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).dtypes == docs.dtypes
+
+
+def test_stages_on_rows_without_ids(spark, tmp_path):
+    draw = random.Random(5)
+    words = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(3, 8))) for _ in range(n))
+    item, clean, near, lone = words(40), words(60), words(80), words(70)
+    leak = words(20) + " " + item + " " + words(20)
+    pq.write_table(pa.table({"item_id": pa.array([0], pa.int64()), "text": [item]}), tmp_path / "benchmark.parquet")
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    told = lambda stage, rows: sorted(((r.doc_id or 0, r.text or "", r.source) for r in stage(spark, frame(rows), str(tmp_path)).collect()))
+    bad = [(100 + k, "too short", "bad") for k in range(300)]
+    good = [(500 + k, words(30), "good") for k in range(300)]
+    got = told(corpus_pipeline.quality, [(None, clean, "good"), (None, clean, "bad"), (None, "too short", "good"), (None, None, "good"), *bad, *good])
+    assert got == sorted([(0, clean, "good"), *good])
+    rows = [(1, near, "s"), (None, near + " more", "s"), (None, lone, "s"), (None, lone, "s"), (None, lone.upper(), "s"), (None, clean, "s"), (None, None, "s"), (None, " ", "s"), (None, " ", "s")]
+    got = told(corpus_pipeline.near_dedup, rows)
+    assert sorted((i, t.lower()) for i, t, _ in got) == sorted([(1, near), (0, lone), (0, clean), (0, ""), (0, " "), (0, " ")])
+    assert told(corpus_pipeline.decontaminate, [(None, clean, "s"), (None, leak, "s"), (1, leak, "s"), (2, clean, "s")]) == sorted([(0, clean, "s"), (2, clean, "s")])
