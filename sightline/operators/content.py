@@ -32,11 +32,16 @@ def content_sample(pages: DataFrame, limit: int = 12, characters: int = 12_000)
 
 
 def identical_pages(pages: DataFrame, listed: int = 20) -> DataFrame:
-    """(brand_id, id, similar): pages of a brand with the same text."""
+    """(brand_id, id, text_hash, first, n, similar): pages of a brand with the same text.
+
+    All n pages of a group have its text_hash and its smallest id ``first``; ``similar`` is a sample of up to ``listed`` others.
+    """
     rows = pages.filter("text_hash IS NOT NULL").select("brand_id", "text_hash", "id")
     near = rows.withColumn("_k", F.row_number().over(Window.partitionBy("brand_id", "text_hash").orderBy("id"))).filter(F.col("_k") <= listed + 1)
-    groups = near.groupBy("brand_id", "text_hash").agg(F.array_sort(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
-    return rows.join(groups, ["brand_id", "text_hash"]).select("brand_id", "id", F.slice(F.array_except("ids", F.array("id")), 1, listed).alias("similar"))
+    samples = near.groupBy("brand_id", "text_hash").agg(F.array_sort(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
+    sizes = rows.groupBy("brand_id", "text_hash").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    groups = samples.join(sizes, ["brand_id", "text_hash"])
+    return rows.join(groups, ["brand_id", "text_hash"]).select("brand_id", "id", "text_hash", "first", "n", F.slice(F.array_except("ids", F.array("id")), 1, listed).alias("similar"))
 
 
 def readiness(pages: DataFrame, brands: DataFrame) -> DataFrame:

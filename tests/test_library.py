@@ -272,3 +272,10 @@ def test_ledger(spark):
     assert L.latest_responses(usage).first().id == 2 and [r.id for r in L.latest_usage(usage, 1).collect()] == [3]
     overview = L.project_overview(spark.createDataFrame([("p",), ("q",)], "project_id string"), usage=usage.groupBy("project_id").agg(F.count("*").alias("n"))).collect()
     assert {r.project_id: r.usage_n for r in overview} == {"p": 3, "q": 0}
+
+
+def test_identical_pages_of_a_large_group(spark):
+    pages = spark.createDataFrame([("b", k, "h") for k in range(50)] + [("b", 90, "x"), ("c", 91, "h"), ("c", 92, None)], "brand_id string, id int, text_hash string")
+    got = C.identical_pages(pages).collect()
+    assert {r.id for r in got if (r.brand_id, r.text_hash, r["first"], r.n) == ("b", "h", 0, 50)} == {*range(50)} and len(got) == 50
+    assert all(len(r.similar) == 20 and r.id not in r.similar for r in got)
