@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
-from .copies import COPY, own_id, with_roles
-from .kernels import Rolling, mix, ragged, row_of, runs, slices
+from .copies import COPY, with_roles
+from .kernels import byte_grams, byte_spans, mix, ragged, row_of, runs, slices
 from .suffixes import common_prefixes, suffix_array
 
 #: Bytes of a string that counts.
@@ -22,8 +22,8 @@ WIDTH = 200
 #: the KEY bytes from the anchor on lie inside the string.
 GRAM, REACH = 32, 128
 KEY = WIDTH - REACH + 1
-#: Bytes of contexts in one suffix array, and the ranges into which the sorted strings of an anchor's shards are cut to be merged.
-SHARD_BYTES, RANGES = 1 << 19, 256
+#: Bytes of contexts in one suffix array, and leading bits of a string's hash that set the range in which shards of an anchor are merged.
+SHARD_BYTES, RANGE_BITS = 1 << 19, 8
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 1 << 19
 
@@ -38,12 +38,11 @@ def _least_before(values: np.ndarray, reach: int) -> np.ndarray:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each anchor: its key, a hash of its context, and the starts of the strings that it is the anchor of.
+    """A row for each anchor: its key, 128 bits of hash of its context, and the starts of the strings that it is the anchor of.
 
     A context are the bytes of all these strings. Of equal contexts in a slice, which are repeated for sure, only the first
     keeps the key; the others take one of their own. So copies are shuffled to their key once for each slice.
     """
-    grams, keys, lane = Rolling(6), Rolling(7), Rolling(8)
     for batch in batches:
         for piece, raw, at in slices(batch, "text", SLICE_BYTES):
             length = np.diff(at)
@@ -51,22 +50,23 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = ragged(at[:-1], count)
             if not len(start):
                 continue
-            hashed = grams.fixed(raw, GRAM) & np.uint64(0xFFFFFFFF00000000) | np.arange(len(raw) - GRAM + 1, dtype=np.uint64)
+            grams = [byte_grams(raw, seed) for seed in (6, 7)]
+            hashed = grams[0] & np.uint64(0xFFFFFFFF00000000) | np.arange(len(raw) - GRAM + 1, dtype=np.uint64)
             anchor = (_least_before(hashed, REACH)[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
             begin = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
             size = np.diff(np.r_[begin, len(start)])
             anchor, low = anchor[begin], start[begin]
             row = np.searchsorted(at, low, "right") - 1
             doc, pos = np.asarray(piece.column(0))[row], low - at[row]
-            key = keys.between(raw, anchor, anchor + KEY)
-            content = lane.between(raw, low, low + size + WIDTH - 1) ^ mix((anchor - low).astype(np.uint64))
-            order = np.lexsort((content, key))
-            same = (key[order[1:]] == key[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
+            key = byte_spans(grams[0], anchor, np.full(len(anchor), KEY))
+            content, more = (byte_spans(g, low, size + WIDTH - 1) ^ mix((anchor - low).astype(np.uint64)) for g in grams)
+            order = np.lexsort((more, content, key))
+            same = (key[order[1:]] == key[order[:-1]]) & (content[order[1:]] == content[order[:-1]]) & (more[order[1:]] == more[order[:-1]])
             sure, alone = np.zeros(len(key), bool), np.zeros(len(key), bool)
             sure[order], alone[order] = np.r_[False, same] | np.r_[same, False], np.r_[False, same]
             key[alone] = mix(mix(doc[alone].astype(np.uint64)) + pos[alone].astype(np.uint64))
             place = pos << 16 | size << 1 | sure
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc), pa.array(place)], ["key", "content", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(more.view(np.int64)), pa.array(doc), pa.array(place)], ["key", "content", "more", "row", "place"])
 
 
 #: What a mark says of an anchor's strings: they are repeated for sure; they have to be compared with others of the key.
@@ -80,7 +80,7 @@ def _unplaced(marks: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, pos, size, context) of the contexts that have to be compared."""
+    """(key, deal, parts, row, pos, size, context) of the contexts that have to be compared."""
     for batch in batches:
         for piece, raw, at in slices(batch, "text", SLICE_BYTES):
             marks = piece.column("marks")
@@ -97,15 +97,19 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = raw[ragged(low[part], (size + WIDTH - 1)[part])]
                 offsets = (edge[i : i + len(row[part]) + 1] - edge[i]).astype(np.int32)
                 context = pa.Array.from_buffers(pa.binary(), len(row[part]), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([flat.field("key")[part], pa.array(np.asarray(piece.column(0))[row[part]]), pa.array(pos[part].astype(np.int32)), pa.array(size[part].astype(np.int32)), context], ["key", "doc_id", "pos", "size", "context"])
+                own = [pa.array(np.asarray(piece.column(0))[row[part]]), pa.array(pos[part].astype(np.int32)), pa.array(size[part].astype(np.int32)), context]
+                yield pa.RecordBatch.from_arrays([*(flat.field(k)[part] for k in ("key", "deal", "parts")), *own], _CONTEXT)
+
+
+_CONTEXT = ["key", "deal", "parts", "row", "pos", "size", "context"]
 
 
 def _shard(rows: list[tuple]) -> tuple[np.ndarray, ...]:
     """Of a shard's contexts: row and start of each string in order, and which of these stand in the shard twice."""
-    text = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-    edge = np.r_[0, np.cumsum([len(r[4]) for r in rows])]
+    text = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+    edge = np.r_[0, np.cumsum([len(r[6]) for r in rows])]
     valid = np.zeros(len(text), bool)
-    valid[ragged(edge[:-1], np.array([r[3] for r in rows]))] = True
+    valid[ragged(edge[:-1], np.array([r[5] for r in rows]))] = True
     suffix = suffix_array(text)
     shared = common_prefixes(text, suffix, WIDTH)
     slot = np.flatnonzero(valid[suffix])
@@ -119,48 +123,49 @@ def _shard(rows: list[tuple]) -> tuple[np.ndarray, ...]:
 
 def _sharded(shard_bytes: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Repeated strings (doc_id, pos), and sorted strings of those anchors whose contexts fill more than one shard.
+        """Repeated strings (row, pos), and sorted strings of those anchors whose contexts fill more than one shard.
 
-        Rows come sorted by key. The first kind has no range; the second has lists of two hashes, documents and starts, cut at
-        range bounds of the sorted hashes.
+        Rows come sorted by deal. The first kind has no range; the second has lists of two hashes, rows and starts, cut at
+        range bounds of the sorted hashes. An anchor dealt to more parts has finer ranges.
         """
-        lanes = (Rolling(10), Rolling(11))
         rows, size, carried = [], 0, None
 
         def build(open_key: int | None) -> Iterator[pa.RecordBatch]:
-            row, here, twice, text, edge = _shard(rows)
-            doc, pos, key = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64), np.array([r[0] for r in rows])
-            place = pos[row] + here - edge[row]
-            yield _found(doc[row[twice]], place[twice])
-            for k in {x for x in (carried, open_key) if x is not None}:
-                own = np.flatnonzero(key[row] == k)
+            at, here, twice, text, edge = _shard(rows)
+            key, deal, parts, row, pos = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+            place = pos[at] + here - edge[at]
+            yield _found(row[at[twice]], place[twice])
+            grams = [byte_grams(text, seed) for seed in (10, 11)]
+            for k in np.unique(key[(parts > 1) | (deal == carried) | (deal == open_key)]).tolist():
+                own = np.flatnonzero(key[at] == k)
                 if not len(own):
                     continue
-                hashes = [x.between(text, here[own], here[own] + WIDTH) for x in lanes]
+                hashes = [byte_spans(g, here[own], np.full(len(own), WIDTH)) for g in grams]
                 order = np.argsort(hashes[0], kind="stable")
                 own, hashes = own[order], [h[order] for h in hashes]
-                bounds = np.searchsorted(hashes[0] >> np.uint64(56), np.arange(RANGES + 1, dtype=np.uint64))
-                for r in np.flatnonzero(np.diff(bounds)):
-                    part = slice(bounds[r], bounds[r + 1])
-                    lists = [pa.array([x], pa.list_(pa.int64())) for x in (hashes[0][part].view(np.int64), hashes[1][part].view(np.int64), doc[row[own[part]]], place[own[part]])]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([k]), pa.array([int(r)], pa.int32()), *lists], _NAMES)
+                bits = RANGE_BITS + int(parts[at[own[0]]] - 1).bit_length()
+                part = (hashes[0] >> np.uint64(64 - bits)).astype(np.int64)
+                first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                bounds, n = pa.array(np.r_[first, len(own)].astype(np.int32)), len(first)
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (hashes[0].view(np.int64), hashes[1].view(np.int64), row[at[own]], place[own])]
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array(np.full(n, k)), pa.array(part[first]), *lists], _NAMES)
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if rows and size >= shard_bytes:
-                    open_key = rows[-1][0] if r[0] == rows[-1][0] else None
+                    open_key = rows[-1][1] if r[1] == rows[-1][1] else None
                     yield from build(open_key)
                     carried, rows, size = open_key, [], 0
                 rows.append(r)
-                size += len(r[4])
+                size += len(r[6])
         if rows:
             yield from build(None)
 
     return work
 
 
-_NAMES = ["doc_id", "pos", "key", "part", "h0", "h1", "docs", "places"]
-_KINDS = "doc_id long, pos array<int>, key long, part int, h0 array<long>, h1 array<long>, docs array<long>, places array<long>"
+_NAMES = ["row", "pos", "key", "part", "h0", "h1", "rows", "places"]
+_KINDS = "row long, pos array<int>, key long, part long, h0 array<long>, h1 array<long>, rows array<long>, places array<long>"
 
 
 def _found(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
@@ -170,7 +175,7 @@ def _found(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
     starts = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)].astype(np.int32)), pa.array(pos.astype(np.int32)))
     n = len(first)
-    return pa.RecordBatch.from_arrays([pa.array(doc[first], pa.int64()), starts, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.list_(pa.int64())) for _ in range(4))], _NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(doc[first], pa.int64()), starts, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *(pa.nulls(n, pa.list_(pa.int64())) for _ in range(4))], _NAMES)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +185,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     name, held, told, out = None, None, None, []
     for batch in batches:
-        for key, part, h0, h1, docs, places in zip(*(batch.column(k).to_pylist() for k in ("key", "part", "h0", "h1", "docs", "places")), strict=True):
+        for key, part, h0, h1, docs, places in zip(*(batch.column(k).to_pylist() for k in ("key", "part", "h0", "h1", "rows", "places")), strict=True):
             new = [np.array(h0, np.int64).view(np.uint64), np.array(h1, np.int64).view(np.uint64), np.array(docs), np.array(places)]
             if (key, part) != name:
                 name, held, told = (key, part), new, np.zeros(len(new[0]), bool)
@@ -229,34 +234,38 @@ def remove_repeated_strings(docs: DataFrame, shard_bytes: int = SHARD_BYTES) ->
     1. Of exact copies of a text only the first is looked at, and all are repeated as a whole. Each string belongs to an
        anchor near its start, chosen by content, so equal strings belong to anchors with equal keys. An anchor whose key is the
        only one of its kind is done. Contexts that are equal as a whole are repeated, and one of them stands for all.
-    2. Differing contexts with equal keys are dealt by key to shards of about half a megabyte. A shard's suffix array (Larsson and
-       Sadakane) and common prefixes (Kasai) show which strings stand in it twice.
+    2. Differing contexts with equal keys are dealt by key to shards of about half a megabyte; a key with more contexts than fill
+       one is dealt to several parts by content. A shard's suffix array (Larsson and Sadakane) and common prefixes (Kasai) show
+       which strings stand in it twice.
     3. Contexts of one key that fill several shards: each shard's strings are sorted and cut into ranges, and each range is
        merged over the shards by binary search.
     Strings are judged on the input; a number of copies is counted and never paired. All steps read one shuffle of the texts.
 
-    Null and empty texts have no bytes. Texts of under 200 bytes have no string. Repeated rows of a doc_id are copies of each
-    other. An empty table gives no rows; other columns are ignored.
+    Null and empty texts have no bytes. Texts of under 200 bytes have no string; a very long text is worked on alone, as a whole. Rows
+    with equal doc_id and text are copies of each other; a doc_id with several texts, or a null one, is a document for each row. No
+    order of rows matters, so there are no ties. An empty table gives no rows; other columns are ignored.
     """
     docs = with_roles(docs)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.filter(F.col("role") < COPY).select("doc_id", "text").mapInArrow(_contexts, "key long, content long, doc_id long, place long").repartition(n, "key")
-    equal, key = Window.partitionBy("key", "content"), Window.partitionBy("key")  # in this order both read one sort
-    rows = rows.select("*", F.max(F.col("place") % 2).over(equal).alias("sure"), F.count(F.lit(1)).over(equal).alias("n"), F.min("doc_id").over(equal).alias("first"))
-    rows = rows.select("*", (F.min("content").over(key) != F.max("content").over(key)).alias("several"))
+    rows = docs.filter(F.col("role") < COPY).select("row", "text").mapInArrow(_contexts, "key long, content long, more long, row long, place long").repartition(n, "key")
+    equal, key = Window.partitionBy("key", "content", "more"), Window.partitionBy("key")  # in this order both read one sort
+    rows = rows.select("*", F.max(F.col("place") % 2).over(equal).alias("sure"), F.count(F.lit(1)).over(equal).alias("n"), F.min("row").over(equal).alias("first"))
+    differ = (F.min("content").over(key) != F.max("content").over(key)) | (F.min("more").over(key) != F.max("more").over(key))
+    bytes_ = F.sum((F.shiftright("place", 1).bitwiseAND(F.lit(0x7FFF)) + WIDTH - 1) / F.col("n")).over(key)  # equal contexts count once
+    rows = rows.select("*", differ.alias("several"), F.ceil(bytes_ / shard_bytes).cast("int").alias("parts"))
     resolved = (F.col("sure") == 1) | (F.col("n") > 1)
-    compared = F.col("several") & (~resolved | (F.col("first") == F.col("doc_id")))
-    rows = rows.select("key", "doc_id", "place", (F.when(resolved, RESOLVED).otherwise(0) + F.when(compared, COMPARED).otherwise(0)).alias("kind"))
-    marks = rows.filter("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "kind")).alias("marks"))
-    contexts = docs.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_cut_out, "key long, doc_id long, pos int, size int, context binary")
-    shards = contexts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sharded(shard_bytes), _KINDS)
+    compared = F.col("several") & (~resolved | (F.col("first") == F.col("row")))
+    deal = F.when(F.col("parts") > 1, F.xxhash64("key", F.pmod("content", "parts"))).otherwise(F.col("key"))
+    rows = rows.select("key", "row", "place", deal.alias("deal"), "parts", (F.when(resolved, RESOLVED).otherwise(0) + F.when(compared, COMPARED).otherwise(0)).alias("kind"))
+    marks = rows.filter("kind > 0").groupBy("row").agg(F.collect_list(F.struct("key", "place", "deal", "parts", "kind")).alias("marks"))
+    contexts = docs.join(marks, "row").select("row", "text", "marks").mapInArrow(_cut_out, "key long, deal long, parts int, row long, pos int, size int, context binary")
+    shards = contexts.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(_sharded(shard_bytes), _KINDS)
     # one shuffle carries both kinds: found strings to their document, ranges to be merged to their own task
-    placed = shards.withColumn("to", F.when(F.col("key").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("key", "part")))
-    merged = placed.repartition(n, "to").sortWithinPartitions("key", "part").mapInArrow(_settled, "doc_id long, pos array<int>")
-    more = merged.groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("more"))
-    rows = docs.join(marks, "doc_id", "left").join(more, "doc_id", "left").select("doc_id", "text", "role", "marks", "more")
-    rows = rows.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return rows.select(own_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    placed = shards.withColumn("to", F.when(F.col("key").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("key", "part")))
+    merged = placed.repartition(n, "to").sortWithinPartitions("key", "part").mapInArrow(_settled, "row long, pos array<int>")
+    more = merged.groupBy("row").agg(F.flatten(F.collect_list("pos")).alias("more"))
+    rows = docs.join(marks, "row", "left").join(more, "row", "left").select("doc_id", "text", "role", "marks", "more")
+    return rows.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

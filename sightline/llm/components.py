@@ -13,7 +13,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
     Rounds of large-star and small-star links (Kiveris et al. 2014), each cut to the checkpoint folder. A node's
     minimum is pre-aggregated and joined back salted, so a node with very many links is spread over tasks. Links to
-    itself and repeated links don't matter; no links give no rows.
+    itself and repeated links don't matter; no links give no rows. Rounds that don't settle the labels are an error.
     """
     a, b = F.col("a"), F.col("b")
     now = cut(links.filter(a != b).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct())
@@ -23,6 +23,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if new["n"] == 0 or new == mark:
             break
         mark, now = new, cut(_small_star(_large_star(now)))
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     leaves = now.groupBy("v").agg(F.min("u").alias("component")).withColumnRenamed("v", "node")
     return leaves.union(now.select("u", "u").distinct().toDF("node", "component")).groupBy("node").agg(F.min("component").alias("component"))
 

@@ -1,35 +1,53 @@
-"""Exact copies of documents, which the substring operators count once."""
+"""Keys of documents, and exact copies of them, which the substring operators count once."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_left_join
+from .common import cut, salted_left_join
 
-#: From here on ids stand for rows without a doc_id. They are never null, so joins need no test for null and all read one shuffle of
-#: the texts.
+#: From here on keys are made of the row, for those whose id doesn't tell them. They are never null, so joins need no test for null.
 NO_ID = 1 << 62
 #: Of a document's role: no other has its text; the first with its text; another one with it.
 SINGLE, FIRST, COPY = 0, 1, 2
 
 
-def with_roles(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, role) of each document. A text's copies are told by its SHA-256; only hashes are grouped."""
-    docs = docs.select(given_id(), F.col("text").cast("string").alias("text"))
-    hashed = docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
-    several = hashed.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    roles = salted_left_join(hashed, several, ["digest"], F.col("doc_id")).filter(F.col("first").isNotNull())
-    roles = roles.groupBy("doc_id").agg(F.max(F.when(F.col("first") == F.col("doc_id"), FIRST).otherwise(COPY)).alias("role"))
-    return docs.join(roles, "doc_id", "left").select("doc_id", "text", F.coalesce("role", F.lit(SINGLE)).alias("role"))
+def made_key(*columns: str) -> Column:
+    return F.lit(NO_ID) + F.xxhash64(*columns).bitwiseAND(F.lit((1 << 61) - 1))
 
 
-def given_id() -> Column:
-    """The doc_id, or where it is null one that is made of the text, above all others."""
-    made = F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))
-    return F.coalesce(F.col("doc_id").cast("long"), made).alias("doc_id")
+def given_key(id: str = "doc_id") -> Column:
+    """The id, or where it is null a key that is made of the text, above all ids."""
+    return F.coalesce(F.col(id).cast("long"), made_key("text"))
 
 
 def own_id(name: str = "doc_id") -> Column:
-    """The doc_id, null again where it was."""
+    """The id, null again where it was."""
     return F.when(F.col(name) < NO_ID, F.col(name)).alias(name)
+
+
+def keyed(docs: DataFrame, id: str = "doc_id", name: str = "row") -> tuple[DataFrame, bool]:
+    """docs with a key, the column ``name``, and whether an id has several texts.
+
+    Rows with equal keys have equal ids and equal texts: the key is the id, or where the id is null or has several texts, one
+    made of id and text. Ids with several texts are found by a pre-aggregated hash of the text; where there are none, nothing is joined.
+    """
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    tags = docs.select(F.col(id).cast("long").alias("_own"), F.xxhash64("text").alias("tag")).filter("_own IS NOT NULL")
+    clashes = tags.groupBy("_own").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).filter("low <> high")
+    clashes = cut(clashes.select("_own", F.lit(True).alias("_clash")))
+    if clashes.isEmpty():
+        return docs.withColumn(name, given_key(id)), False
+    rows = salted_left_join(docs.withColumn("_own", F.col(id).cast("long")), clashes, ["_own"], F.col("text"))
+    return rows.withColumn(name, F.when(F.col("_clash"), made_key("_own", "text")).otherwise(given_key(id))).drop("_own", "_clash"), True
+
+
+def with_roles(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text, role) of each document. A text's copies are told by its SHA-256; only hashes are grouped."""
+    docs = keyed(docs.select(F.col("doc_id").cast("long"), "text"))[0]
+    hashed = docs.select("row", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
+    several = hashed.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    roles = salted_left_join(hashed, several, ["digest"], F.col("row")).filter(F.col("first").isNotNull())
+    roles = roles.groupBy("row").agg(F.max(F.when(F.col("first") == F.col("row"), FIRST).otherwise(COPY)).alias("role"))
+    return docs.join(roles, "row", "left").select("row", "doc_id", "text", F.coalesce("role", F.lit(SINGLE)).alias("role"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -38,49 +40,61 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Rolling:
-    """Polynomial hashes modulo 2**64 of slices of a sequence, by prefix sums; seed chooses the base."""
-
-    def __init__(self, seed: int = 1):
-        self.base = (0x9E3779B97F4A7C15 * (2 * seed + 1) | 5) & MASK
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n += n // 4
-            self.up, self.down = (np.cumprod(np.r_[np.ones(1, np.uint64), np.full(n, x, np.uint64)]) for x in (self.base, pow(self.base, -1, 1 << 64)))
-
-    def between(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of values[s:e] for each start and end; equal slices hash alike wherever they stand."""
-        self._powers(len(values) + 1)
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * self.up[: len(values)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.down[starts] ^ (ends - starts).astype(np.uint64))
-
-    def fixed(self, values: np.ndarray, width: int) -> np.ndarray:
-        """Hash of each ``width`` values in a row."""
-        self._powers(len(values) + 1)
-        if len(values) < width:
-            return np.zeros(0, np.uint64)
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * self.up[: len(values)], out=sums[1:])
-        return mix((sums[width:] - sums[:-width]) * self.down[: len(values) - width + 1])
-
-
-SPACE = np.zeros(256, bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and the n + 1 offsets of each row's words."""
-    inside = ~SPACE[raw]
-    before, after = np.zeros_like(inside), np.zeros_like(inside)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    full = at[1:] > at[:-1]
-    before[at[:-1][full]] = False
-    after[at[1:][full] - 1] = False
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(starts, at)
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in a row; their order matters."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+
+
+def in_a_row(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each ``width`` hashes in a row: a tree of pairs, so that no pattern of the sequence can cancel out."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, at, size = None, 0, 1
+    while size <= width:
+        if width & size:
+            part = hashes[at : at + n]
+            out, at = part if out is None else paired(out, part), at + size
+        size *= 2
+        if size <= width:
+            hashes = paired(hashes[: -(size // 2)], hashes[size // 2 :])
+    return out
+
+
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word ``[^\\x20\\x09-\\x0D]+``, and the n + 1 offsets of each row's words.
+
+    They are halves of a BLAKE2 digest, which is worked out once for each distinct word of the batch.
+    """
+    number: dict[bytes, int] = {}
+    order, counts = array("I"), []
+    for text in texts.cast(pa.large_binary()).to_pylist():
+        own = (text or b"").lower().split() if lower else (text or b"").split()  # bytes know ASCII only
+        counts.append(len(own))
+        order.extend([number.setdefault(w, len(number)) for w in own])
+    digests = np.frombuffer(b"".join([blake2b(w, digest_size=16).digest() for w in number]), np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(digests[np.frombuffer(order, np.uint32)].T), np.r_[0, np.cumsum(counts, dtype=np.int64)]
+
+
+def byte_grams(raw: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of the 32 bytes from each byte on."""
+    if len(raw) < 32:
+        return np.zeros(0, np.uint64)
+    eight = raw.astype(np.uint64)
+    for width in (1, 2, 4):
+        eight = eight[:-width] | eight[width:] << np.uint64(8 * width)
+    eight = mix(eight ^ np.uint64(0xA0761D6478BD642F * (2 * seed + 1) & MASK))
+    sixteen = paired(eight[:-8], eight[8:])
+    return paired(sixteen[:-16], sixteen[16:])
+
+
+def byte_spans(grams: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hash of the ``lengths`` bytes, 32 or more, from each start: their length and all grams that lie end to end in them, the last one at the end."""
+    out = mix(lengths.astype(np.uint64))
+    for k in range(0, int(lengths.max(initial=0)) - 31, 32):
+        here = np.flatnonzero(lengths >= k + 32)
+        out[here] = paired(out[here], grams[starts[here] + k])
+    return paired(out, grams[starts + lengths - 32])
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

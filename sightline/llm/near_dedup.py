@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, salted_left_join, table
 from .components import components
-from .copies import given_id, own_id
-from .kernels import Rolling, mix, ragged, slices, words
+from .copies import keyed, own_id
+from .kernels import hashed_words, in_a_row, mix, paired, ragged, slices
 
 #: Words of a shingle; a link needs PERCENT of the union in common.
 WIDTH, PERCENT = 5, 75
@@ -25,49 +25,49 @@ LEAST_SHARE = 0.55
 PAIRED = 256
 #: Tables of a larger bucket that a task holds; those of a still larger one are shuffled.
 HELD = 1 << 20
-#: Documents that are held against each other in one task; larger groups are dealt out to pairs of blocks.
-BLOCK = 2048
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
-def shingle_hashes(raw: np.ndarray, at: np.ndarray, letters: Rolling, phrases: Rolling) -> list[np.ndarray]:
-    """The distinct shingle hashes of each row, sorted; a row of fewer than five words has its whole sequence as one."""
-    raw = _LOWER[raw]
-    starts, ends, first = words(raw, at)
-    n = np.diff(first)
-    count = np.where(n >= WIDTH, n - WIDTH + 1, np.minimum(n, 1))
-    begin = ragged(first[:-1], count)
-    hashes = phrases.between(letters.between(raw, starts, ends), begin, begin + np.minimum(WIDTH, np.repeat(n, count)))
-    edge = np.r_[0, np.cumsum(count)]
-    return [np.unique(hashes[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+#: Documents, and shingles, that are held against each other in one task; larger groups are dealt out to pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+
+def shingle_hashes(texts: pa.Array) -> list[np.ndarray]:
+    """Two hashes of each distinct shingle of each row, sorted by the first; a row of fewer than five words has its whole sequence as one."""
+    lanes, first = hashed_words(texts, lower=True)
+    five, out = [in_a_row(x, WIDTH) for x in lanes], []
+    for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if j - i >= WIDTH:
+            _, at = np.unique(five[0][i : j - WIDTH + 1], return_index=True)
+            out.append(np.array([x[i : j - WIDTH + 1][at] for x in five]))
+        else:
+            whole = np.full((2, min(j - i, 1)), j - i, np.uint64)
+            for k in range(i, j):
+                whole = paired(whole, lanes[:, k : k + 1])
+            out.append(whole)
+    return out
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, size and digest of the shingle set, the first collection's keys, and a byte of each minhash."""
-    letters, phrases = Rolling(1), Rolling(2)
+    """row, doc_id, size and digest of the shingle set, the first collection's keys, and a byte of each minhash."""
     drawn = np.random.default_rng(20).integers(1, 1 << 63, (2, 2 * SIDE * HALF), dtype=np.uint64)
     for batch in batches:
-        for piece, raw, at in slices(batch, "text"):
-            sets = shingle_hashes(raw, at, letters, phrases)
-            size = np.array([len(s) for s in sets], np.int64)
-            x, edge = np.concatenate(sets), np.r_[0, np.cumsum(size)][:-1][size > 0]
+        for piece, _, _ in slices(batch, "text"):
+            sets = shingle_hashes(piece.column("text"))
+            size = np.array([s.shape[1] for s in sets], np.int64)
+            both, edge = np.concatenate(sets, axis=1), np.r_[0, np.cumsum(size)][:-1][size > 0]
+            x = both[0]
             least = np.zeros((2 * SIDE * HALF, len(size)), np.uint64)
             digest = np.zeros((2, len(size)), np.uint64)
             if len(x):
                 for k in range(2 * SIDE * HALF):
                     least[k, size > 0] = np.minimum.reduceat((x ^ drawn[0, k]) * (drawn[1, k] | np.uint64(1)), edge)
                 for k in range(2):
-                    digest[k, size > 0] = np.add.reduceat(mix(x ^ drawn[1, k]), edge)
+                    digest[k, size > 0] = np.add.reduceat(mix(both[k] ^ drawn[1, k]), edge)
             bands = least[: SIDE * HALF].reshape(SIDE, HALF, -1)
             keys = np.arange(SIDE, dtype=np.uint64)[:, None] * np.ones(len(size), np.uint64)
             for k in range(HALF):
-                keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + bands[:, k])
+                keys = paired(keys, bands[:, k])
             small = np.ascontiguousarray((mix(least) & np.uint64(255)).astype(np.uint8).T)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * SIDE), pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel()))
             sketch = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.arange(len(size) + 1, dtype=np.int32) * small.shape[1]), pa.py_buffer(small)])
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size), *(pa.array(d.view(np.int64)) for d in digest), lists, sketch], ["doc_id", "n_shingles", "d1", "d2", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(size), *(pa.array(d.view(np.int64)) for d in digest), lists, sketch], ["row", "doc_id", "n_shingles", "d1", "d2", "keys", "sketch"])
 
 
 class _Forest:
@@ -225,25 +225,38 @@ def _links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
+def exact_shingles(sequences: list[np.ndarray]) -> list[np.ndarray]:
+    """Each sequence's distinct shingles as numbers that are equal just where the shingles are; words are numbered from 1.
+
+    Pairs, fours and fives of words are numbered in turn. A sequence of fewer than five words is filled up with zeros, none stays none.
+    """
+    long = [np.r_[s, np.zeros(max(0, WIDTH - len(s)), np.int64)] if len(s) else s for s in sequences]
+    first, word = np.r_[0, np.cumsum([len(s) for s in long])], np.concatenate(long)
+    number = lambda left, right: np.unique(left << 32 | right, return_inverse=True)[1]
+    if len(word) < WIDTH:
+        return [word[:0] for _ in long]
+    two = number(word[:-1], word[1:])
+    five = number(number(two[:-2], two[2:])[: len(word) - 4], word[4:])
+    return [np.unique(five[i : max(i, j - WIDTH + 1)]) for i, j in zip(first[:-1], first[1:], strict=True)]
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each group of blocks, confirmed on full shingle sets. Rows come sorted by group."""
-    letters, phrases = Rolling(1), Rolling(2)
-    open_key, ids, sets = None, [], []
+    """Links within each group of blocks, confirmed on the full sets of the shingles themselves. Rows come sorted by group."""
+    open_key, ids, texts, number = None, [], [], {}
 
     def close() -> Iterator[pa.RecordBatch]:
-        if len(ids) > 1 and (found := _links(np.array(ids), sets)):
+        if len(ids) > 1 and (found := _links(np.array(ids), exact_shingles(texts))):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
     for batch in batches:
-        for piece, raw, at in slices(batch, "text"):
-            keys = zip(*(piece.column(k).to_pylist() for k in ("grp", "p", "q", "rep")), strict=True)
-            for (*key, rep), shingles in zip(keys, shingle_hashes(raw, at, letters, phrases), strict=True):
-                if key != open_key:
-                    yield from close()
-                    open_key, ids, sets = key, [], []
-                if not ids or ids[-1] != rep:
-                    ids.append(rep)
-                    sets.append(shingles)
+        raw = batch.column("text").cast(pa.large_binary())
+        for *key, rep, text in zip(*(batch.column(k).to_pylist() for k in ("grp", "p", "q", "rep")), raw, strict=True):
+            if key != open_key:
+                yield from close()
+                open_key, ids, texts, number = key, [], [], {}
+            if not ids or ids[-1] != rep:
+                ids.append(rep)
+                texts.append(np.array([number.setdefault(w, len(number) + 1) for w in (text.as_py() or b"").lower().split()], np.int64))
     yield from close()
 
 
@@ -254,39 +267,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sequence is one. Documents are linked where the intersection has at least 75 % of the union. component_id is the
     smallest doc_id reachable by links, and the document with it is kept.
 
-    1. Equal sets become one representative with a pre-aggregated count, whatever their number.
+    1. Equal sets become one representative with a pre-aggregated count, whatever their number. They are told by 128 bits of hash.
     2. Tensored banding finds candidate pairs in linear work: first-collection keys are shuffled with a sketch, and
        second-collection keys are paired with them inside the bucket. A bucket of over ``PAIRED`` rows is dealt out to its
        tables, and each row of a table is linked to one of its rows, so no collision is lost.
     3. The candidates' components, much looser than the links, are the groups in which all links are looked for by
-       exact intersections. A group of over ``BLOCK`` documents is dealt out to pairs of blocks.
+       exact intersections of the shingles themselves. A large group is dealt out to pairs of blocks.
 
-    Null and empty texts have no shingles, are linked with nothing and kept. Rows without a doc_id come after all others. Repeated rows of a doc_id are equal
-    documents with the same verdict; other columns are ignored; an empty table gives no rows.
+    Null and empty texts have no shingles, are linked with nothing and kept. A very long text is one set, worked on alone. Rows without a
+    doc_id come after all others and have a null component_id where no linked document has one. Repeated rows are equal documents with
+    the same verdict; a doc_id with several texts is a document for each. The smallest doc_id settles all ties. Other columns are
+    ignored; an empty table gives no rows.
     """
-    return verdicts(docs).select(own_id(), "n_shingles", own_id("component_id"), "kept")
+    rows = verdicts(docs)
+    return rows.select("doc_id", "n_shingles", own_id("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("row") == F.col("component_id")).alias("kept"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """``near_duplicates`` with the ids of ``given_id``, which are never null."""
-    docs = docs.select(given_id(), F.col("text").cast("string").alias("text"))
-    sketches = cut(docs.mapInArrow(_sketched, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch binary"))
+    """row (see ``keyed``), doc_id, n_shingles, component_id (a row's key where no member has an id) and chosen.
+
+    One text of each group is chosen; only repeated rows share a verdict.
+    """
+    docs, clash = keyed(docs.select(F.col("doc_id").cast("long"), "text"))
+    sketches = cut(docs.select("row", "doc_id", "text").mapInArrow(_sketched, "row long, doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch binary"))
     same = ["d1", "d2", "n_shingles"]
-    classes = sketches.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value(F.struct("keys", "sketch")).alias("s"))
-    keyed = classes.select("rep", F.explode("s.keys").alias("key"), F.col("s.sketch").alias("sketch"))
+    classes = sketches.filter("n_shingles > 0").groupBy(*same).agg(F.min("row").alias("rep"), F.count("*").alias("n"), F.any_value(F.struct("keys", "sketch")).alias("s"))
+    candidates = classes.select("rep", F.explode("s.keys").alias("key"), F.col("s.sketch").alias("sketch"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    loose = components(_candidates(keyed))
-    sizes = loose.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    loose = components(_candidates(candidates)).join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node")
+    sizes = loose.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = salted_left_join(loose, sizes, ["component"], F.col("node")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("p"), F.greatest(k, "own").alias("q")))
     placed = placed.select(F.col("node").alias("rep"), F.col("component").alias("grp"), F.inline(others))
-    texts = docs.join(placed, docs.doc_id == placed.rep).select("grp", "p", "q", "rep", "text")
+    texts = docs.join(placed, docs.row == placed.rep).select("grp", "p", "q", "rep", "text")
     links = texts.repartition(n, "grp", "p", "q").sortWithinPartitions("grp", "p", "q", "rep").mapInArrow(_confirmed, "a long, b long")
     linked = components(links)
     several = classes.filter("n > 1").select(*same, "rep")
-    rows = salted_left_join(sketches.select("doc_id", *same), several, same, F.col("doc_id")).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    rows = salted_left_join(rows, linked.withColumnRenamed("node", "rep"), ["rep"], F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    rows = salted_left_join(sketches.select("row", "doc_id", *same), several, same, F.col("row")).select("row", "doc_id", "n_shingles", F.coalesce("rep", "row").alias("rep"))
+    rows = salted_left_join(rows, linked.withColumnRenamed("node", "rep"), ["rep"], F.col("row"))
+    rows = rows.select("row", "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("chosen", F.col("row") == F.col("component_id"))
+    if clash:  # keys of such ids are above all ids: the smallest id is another row's, or none that is a key
+        least = rows.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+        rows = salted_left_join(rows, least, ["component_id"], F.col("row")).withColumn("component_id", F.coalesce("least", "component_id")).drop("least")
+    return rows
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

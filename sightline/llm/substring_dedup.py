@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
-from .copies import COPY, own_id, with_roles
-from .kernels import Rolling, mix, ragged, row_of, runs, slices, words
+from .copies import COPY, with_roles
+from .kernels import hashed_words, in_a_row, mix, ragged, row_of, runs, slices
 
 #: Words of a window.
 WIDTH = 35
@@ -22,13 +22,8 @@ PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 ANCHOR = WIDTH - PERIOD + 1
 
 
-def _hashed_words(raw: np.ndarray, at: np.ndarray, letters: Rolling) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, first = words(raw, at)
-    return letters.between(raw, starts, ends), first
-
-
 def _batch(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (key.., doc_id, place) where place holds the position and whether the key is repeated here for sure.
+    """Rows (key.., row, place) where place holds the position and whether the key is repeated here for sure.
 
     Of the rows of a key that is repeated in the batch only the first keeps its key, for others to meet; the rest take a key of
     their own. So a key which thousands of documents share is shuffled once for each batch and not once for each document.
@@ -44,35 +39,32 @@ def _batch(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.Re
     place = pos.astype(np.int64) * 2 + sure
     for low in range(0, len(doc), 200_000):
         part = slice(low, low + 200_000)
-        yield pa.RecordBatch.from_arrays([*(pa.array(k[part].view(np.int64)) for k in keys), pa.array(doc[part]), pa.array(place[part])], [*(f"k{i}" for i in range(len(keys))), "doc_id", "place"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(k[part].view(np.int64)) for k in keys), pa.array(doc[part]), pa.array(place[part])], [*(f"k{i}" for i in range(len(keys))), "row", "place"])
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    letters, phrases = Rolling(1), Rolling(2)
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
     for batch in batches:
-        for piece, raw, at in slices(batch, "text"):
-            hashes, first = _hashed_words(raw, at, letters)
+        for piece, _, _ in slices(batch, "text"):
+            (hashes, _), first = hashed_words(piece.column("text"))
             row = row_of(first)
             pos = np.arange(len(row)) - first[row]
             here = np.flatnonzero(cover[pos % PERIOD] & (pos + ANCHOR <= np.diff(first)[row]) & (np.diff(first)[row] >= WIDTH))
-            yield from _batch(phrases.between(hashes, here, here + ANCHOR)[None], np.asarray(piece.column(0))[row[here]], pos[here])
+            yield from _batch(in_a_row(hashes, ANCHOR)[here][None], np.asarray(piece.column(0))[row[here]], pos[here])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All windows that hold a repeated anchor, under 128 bits of hash."""
-    letters, lanes = (Rolling(1), Rolling(3)), (Rolling(4), Rolling(5))
     for batch in batches:
-        for piece, raw, at in slices(batch, "text"):
-            hashes = [_hashed_words(raw, at, x) for x in letters]
-            first, n = hashes[0][1], np.diff(hashes[0][1])
-            marked = piece.column("marks")
+        for piece, _, _ in slices(batch, "text"):
+            hashes, first = hashed_words(piece.column("text"))
+            n, marked = np.diff(first), piece.column("marks")
             row, pos = row_of(np.asarray(marked.offsets)), np.asarray(marked.flatten())
             low = np.maximum(pos - (PERIOD - 1), 0)
             high = np.minimum(pos, n[row] - WIDTH)
             start = np.unique(ragged(first[row] + low, np.maximum(high - low + 1, 0)))
-            keys = np.array([x.between(h, start, start + WIDTH) for x, (h, _) in zip(lanes, hashes, strict=True)]).reshape(2, -1)
+            keys = np.array([in_a_row(lane, WIDTH)[start] for lane in hashes]).reshape(2, -1)
             row = np.searchsorted(first, start, "right") - 1
             yield from _batch(keys, np.asarray(piece.column(0))[row], start - first[row])
 
@@ -93,13 +85,13 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(doc_id, marks): each document's positions whose key also stands elsewhere.
+    """(row, marks): each document's positions whose key also stands elsewhere.
 
     A key has at most one row for each batch that holds it (see _batch), so no key is hot beyond the number of batches.
     """
     met = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     found = rows.withColumn("_met", met).filter((F.col("place") % 2 == 1) | (F.col("_met") > 1))
-    return found.groupBy("doc_id").agg(F.collect_list((F.col("place") / 2).cast("int")).alias("marks"))
+    return found.groupBy("row").agg(F.collect_list((F.col("place") / 2).cast("int")).alias("marks"))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -110,22 +102,22 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
        their positions, so documents without a repeated anchor are done.
     3. Each repeated anchor extends to the windows around it, and these are counted under 128 bits of hash. Groups of any
        number of copies are counted, never paired.
-    All steps read one shuffle of the texts by doc_id.
+    All steps read one shuffle of the texts by row.
 
-    Null and empty texts have no words. Texts of fewer than 35 words have no window. Repeated rows of a doc_id are copies of each
-    other. An empty table gives no rows.
+    Null and empty texts have no words. Texts of fewer than 35 words have no window; a very long text is worked on alone, as a whole.
+    Rows with equal doc_id and text are copies of each other; a doc_id with several texts, or a null one, is a document for each
+    row. No order of rows matters, so there are no ties. An empty table gives no rows; other columns are ignored.
     """
     docs = with_roles(docs)
-    anchors = docs.filter(F.col("role") < COPY).select("doc_id", "text").mapInArrow(_anchors, "k0 long, doc_id long, place long")
-    marked = docs.filter(F.col("role") < COPY).join(repeated(anchors, ["k0"]), "doc_id").select("doc_id", "text", "marks")
-    windows = marked.mapInArrow(_windows, "k0 long, k1 long, doc_id long, place long")
-    return docs.join(repeated(windows, ["k0", "k1"]), "doc_id", "left").select("doc_id", "text", "role", "marks")
+    anchors = docs.filter(F.col("role") < COPY).select("row", "text").mapInArrow(_anchors, "k0 long, row long, place long")
+    marked = docs.filter(F.col("role") < COPY).join(repeated(anchors, ["k0"]), "row").select("row", "text", "marks")
+    windows = marked.mapInArrow(_windows, "k0 long, k1 long, row long, place long")
+    return docs.join(repeated(windows, ["k0", "k1"]), "row", "left").select("doc_id", "text", "role", "marks")
 
 
 def remove_repeated_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of each document without the words that repeated windows cover."""
-    rows = repeated_windows(docs).mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return rows.select(own_id(), "n_words", "n_removed", "kept_sha256")
+    """doc_id, n_words, n_removed and kept_sha256 of each document without the words that repeated windows cover; see repeated_windows."""
+    return repeated_windows(docs).mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import salted_left_join, table
+from .common import salted_left_join, shared_folder, table
 
 #: Payloads of this many bytes or more are archived once and revisited.
 REVISIT_BYTES = 100
@@ -26,16 +25,18 @@ DICTIONARY_MAGIC, EMPTY_FRAME = b"\x5d\x2a\x4d\x18", "\x50\x2a\x4d\x18\x00\x00\x
 def plan_records(pages: DataFrame) -> DataFrame:
     """page_id, url, html, digest and refers_to: the response that a page with an equal payload revisits, else null.
 
-    Only digests are grouped. Payloads are shuffled once at most, by page_id. Pages with repeated page_ids are written each, and
-    refer to the same response.
+    Only digests are grouped. Payloads are shuffled once at most, by page_id and digest. Pages with repeated page_ids are written each; of
+    those with equal payloads too none revisits another, and all refer to the same response of a smaller page_id. A page without a
+    page_id is a response. Null html is an empty payload; a very long one is one record. Other columns are ignored, whatever their names.
     """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("html"))
     hashed = rows.select("page_id", F.octet_length("html").alias("size"), F.unhex(F.sha2("html", 256)).alias("digest")).filter(F.col("size") >= REVISIT_BYTES)
     several = hashed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = salted_left_join(hashed.drop("size"), several, ["digest"], F.col("page_id")).filter(F.col("first") < F.col("page_id"))
-    later = later.groupBy("page_id").agg(F.min("first").alias("refers_to"))
-    return rows.join(later, "page_id", "left").select("page_id", "url", "html", F.sha2("html", 256).alias("digest"), "refers_to")
+    later = later.groupBy("page_id", "digest").agg(F.min("first").alias("refers_to"))
+    told = rows.withColumn("digest", F.unhex(F.sha2("html", 256))).join(later, ["page_id", "digest"], "left")
+    return told.select("page_id", "url", "html", F.lower(F.hex("digest")).alias("digest"), "refers_to")
 
 
 def record(page_id: int, url: str | None, html: str, digest: str, refers_to: int | None) -> bytes:
@@ -150,14 +151,6 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the session's shared checkpoint folder."""
-    import tempfile
-
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-warc-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages to archives and read them back. A page without a page_id has a record without one. Null html is an empty payload; an empty table gives no record."""
     folder = shared_folder(spark)
