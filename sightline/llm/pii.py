@@ -14,9 +14,13 @@ ROUNDS = 8
 KEY = "sightline"
 #: Any 400 years in a row have 146097 = 27 * 5411 days, so a date is a pair of digits to these bases.
 FIRST_DAY, DAY_BASES = "1800-01-01", (27, 5411)
+#: Steps of a walk to the next date that can only be read month first; three in five dates can, so it never needs as many.
+WALK = 64
+#: Social security numbers that are given out: areas 1 to 899 but 666, groups from 1, serials from 1. Each is a digit to its own base.
+SOCIAL_BASES = (898, 99, 9999)
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-TOKEN = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+TOKEN = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
 ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
@@ -33,14 +37,17 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 def feistel(values: Column, bases: Column, label: str, key: str) -> Column:
     """Keyed permutation of a list of digits, each to a base of its own.
 
-    Left and right halves are shifted in turn by amounts drawn from a SHA-512 of the key, the label, the length, the
-    round and the other half. A shift modulo the base is undone by its negative, so the whole is a bijection.
+    Left and right halves are shifted in turn by amounts drawn from SHA-512s of the key, the label, the length, the
+    round and the other half. A shift modulo the base is undone by its negative, so the whole is a bijection. A single digit has
+    no other half: its values are put in the order of their keyed hashes instead.
     """
     n = F.size(values)
     half = (n / 2).cast("int")
 
     def shifted(digits: Column, own: Column, other: Column, turn: Column) -> Column:
-        drawn = F.sha2(F.concat_ws("|", F.lit(key), F.lit(label), n, turn, F.array_join(F.transform(other, lambda x: x.cast("string")), ",")), 512)
+        seed = F.concat_ws("|", F.lit(key), F.lit(label), n, turn, F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
+        # 32 amounts of four hexadecimal places from each hash
+        drawn = F.array_join(F.transform(F.sequence(F.lit(0), (F.size(digits) / 32).cast("int")), lambda k: F.sha2(F.concat_ws("|", seed, k), 512)), "")
         amount = lambda hexed, i: F.conv(F.substring(hexed, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
         return _let(drawn, lambda hexed: F.transform(digits, lambda v, i: F.pmod(v + amount(hexed, i), F.get(own, i))))
 
@@ -53,7 +60,9 @@ def feistel(values: Column, bases: Column, label: str, key: str) -> Column:
         )
 
     start = F.struct(F.slice(values, F.lit(1), half).alias("l"), F.slice(values, half + 1, n - half).alias("r"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turned, lambda s: F.concat(s["l"], s["r"]))
+    several = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turned, lambda s: F.concat(s["l"], s["r"]))
+    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.get(bases, F.lit(0)) - 1), lambda v: F.struct(F.sha2(F.concat_ws("|", F.lit(key), F.lit(label), v), 512).alias("h"), v.alias("v"))))
+    return F.when(n == 1, F.array(F.get(ranked, F.get(values, F.lit(0)))["v"])).otherwise(several)
 
 
 def _digits(text: Column) -> Column:
@@ -86,17 +95,30 @@ def _card(text: Column, key: str) -> Column:
     return _let(_digits(text), renamed)
 
 
-def _number(text: Column, label: str, keep: int, key: str) -> Column:
-    """All but the last ``keep`` digits stay: a country's code."""
-    return _let(_digits(text), lambda d: _let(feistel(F.slice(d, F.size(d) - keep + 1, F.lit(keep)), F.array_repeat(F.lit(10), keep), label, key), lambda new: _filled(text, F.concat(F.slice(d, F.lit(1), F.size(d) - keep), new))))
+def _phone(text: Column, key: str) -> Column:
+    """The last ten digits move, those before them are a country's code. Area and exchange codes from 2 on stay such, and so do others."""
 
+    def renamed(digits: Column) -> Column:
+        head, tail = F.slice(digits, F.lit(1), F.size(digits) - 10), F.slice(digits, F.size(digits) - 9, F.lit(10))
+        leads = lambda i: (i == 0) | (i == 3)
+        floor = lambda v, i: F.when(leads(i) & (v > 1), 2).otherwise(0)
+        bases = F.transform(tail, lambda v, i: F.when(~leads(i), 10).when(v > 1, 8).otherwise(2))
+        moved = feistel(F.transform(tail, lambda v, i: v - floor(v, i)), bases, "phone", key)
+        return _let(F.zip_with(moved, F.transform(tail, floor), lambda v, low: v + low), lambda new: _filled(text, F.concat(head, new)))
 
-def _phone(text: Column, key: str) -> Column:
-    return F.when(F.size(_digits(text)).between(10, 15), _number(text, "phone", 10, key))
+    return _let(_digits(text), lambda d: F.when(F.size(d).between(10, 15), renamed(d)))
 
 
 def _social(text: Column, key: str) -> Column:
-    return F.when(~text.rlike("^(?:000|666|9..)|-00-|0000$"), _number(text, "social", 9, key))
+    """Numbers that are given out move among themselves."""
+    parts = F.transform(F.split(text, "-"), lambda c: c.cast("int"))
+    area, group, serial = (F.get(parts, F.lit(k)) for k in range(3))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    values = F.array(F.when(area > 666, area - 2).otherwise(area - 1), group - 1, serial - 1)
+    padded = lambda v, n: F.lpad(v.cast("string"), n, "0")
+    area_of = lambda v: F.when(v > 664, v + 2).otherwise(v + 1)
+    name = lambda new: F.concat_ws("-", padded(area_of(F.get(new, F.lit(0))), 3), padded(F.get(new, F.lit(1)) + 1, 2), padded(F.get(new, F.lit(2)) + 1, 4))
+    return F.when(valid, _let(feistel(values, F.array(*map(F.lit, SOCIAL_BASES)), "social", key), name))
 
 
 def _address(text: Column, key: str) -> Column:
@@ -106,17 +128,23 @@ def _address(text: Column, key: str) -> Column:
 
 
 def _date(text: Column, key: str) -> Column:
-    iso = text.contains("-")
-    day = F.coalesce(F.when(iso, F.try_to_date(text, "yyyy-MM-dd")), F.when(~iso, F.try_to_date(text, "dd/MM/yyyy")), F.when(~iso, F.try_to_date(text, "MM/dd/yyyy")))
+    """ISO dates and dates written day first move among all days; dates that can only be read month first among such days, and stay so written."""
     low, high = DAY_BASES
+    epoch = F.lit(FIRST_DAY).cast("date")
+    bases = F.array(F.lit(low), F.lit(high))
+    iso, by_day, by_month = text.contains("-"), F.try_to_date(text, "dd/MM/yyyy"), F.try_to_date(text, "MM/dd/yyyy")
+    month_first = ~iso & by_day.isNull()
+    number = F.datediff(F.when(iso, F.try_to_date(text, "yyyy-MM-dd")).otherwise(F.coalesce(by_day, by_month)), epoch)
 
-    def renamed(n: Column) -> Column:
-        pair = F.array((n / high).cast("int"), n % high)
-        moved = _let(feistel(pair, F.array(F.lit(low), F.lit(high)), "date", key), lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(p, F.lit(0)) * high + F.get(p, F.lit(1))))
-        return F.when(iso, F.date_format(moved, "yyyy-MM-dd")).otherwise(F.date_format(moved, "dd/MM/yyyy"))
+    def moved(n: Column, label: str) -> Column:
+        pair = F.array((n / high).cast("int"), (n % high).cast("int"))
+        return _let(feistel(pair, bases, label, key), lambda p: (F.get(p, F.lit(0)) * high + F.get(p, F.lit(1))).cast("int"))
 
-    number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    return F.when(number.between(0, low * high - 1), _let(number, renamed))
+    day = lambda n: F.date_add(epoch, n)
+    # walking on along the permutation's cycle till a day after the 12th is a permutation of such days
+    walked = lambda n: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), moved(n, "month first"), lambda m, _: F.when(F.dayofmonth(day(m)) > 12, m).otherwise(moved(m, "month first")))
+    name = lambda n: F.when(iso, F.date_format(day(moved(n, "date")), "yyyy-MM-dd")).when(month_first, F.date_format(day(walked(n)), "MM/dd/yyyy")).otherwise(F.date_format(day(moved(n, "date")), "dd/MM/yyyy"))
+    return F.when(number.between(0, low * high - 1), _let(number, name))
 
 
 def _lettered(text: Column, label: str, letters: int, key: str) -> Column:
@@ -150,17 +178,19 @@ def pseudonym(found: Column, key: str) -> Column:
     return name
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with personal values in ``text`` replaced, and n_pseudonyms.
 
-    Card numbers that pass Luhn's check keep it, phone numbers keep their country code and social security numbers
-    their dashes; IPv4 addresses, calendar dates of 1800 to 2199, mail addresses (local part) and hexadecimal tokens of 32
-    characters or more stay such. Each is a keyed permutation of its format's values, so equal values have equal pseudonyms in
-    every document, whatever separators they are written with, and different values never meet. Numbers that don't
-    validate stay as they are.
+    Card numbers that pass Luhn's check keep it, phone numbers keep their country code and lead digits that can lead, social security
+    numbers stay such as are given out; IPv4 addresses, calendar dates of 1800 to 2199 in their written order, mail addresses (local part)
+    and hexadecimal tokens of 32 characters or more stay such. Each is a keyed permutation of its format's values, so equal values have
+    equal pseudonyms in every document, whatever separators they are written with, and different values never meet (a date that can
+    only be read month first moves among its like). Numbers that don't validate stay as they are.
 
-    Null text stays null with 0 pseudonyms; texts of any length are one pass of a pattern with bounded repeats. Rows,
-    ties and other columns stay as they come; an input column named n_pseudonyms is replaced.
+    Null text stays null, and like an empty one has 0 pseudonyms; a very long text, and a value of any length, is one pass of a pattern
+    that never goes back. Where kinds could overlap, the first one that matches at the leftmost place is taken. doc_id isn't looked at:
+    null and repeated ones, repeated rows and other columns stay as they come; an input column named n_pseudonyms is
+    replaced. An empty table gives no rows.
     """
     text = F.col("text")
     has = text.rlike("[0-9@]") & text.rlike(FOUND)
@@ -173,4 +203,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
