@@ -9,7 +9,7 @@ from .pii import op3_feistel_pseudonyms
 from .quality import op1_quality_rules
 from .sharding import op4_minimax_sharding
 from .substring_dedup import op2_substring_dedup
-from .url_filters import op10_url_filters
+from .url_filters import OP10_SQL, op10_url_filters
 from .warc import OP7_SQL, op7_warc_archives
 
 QUERIES = {
@@ -27,4 +27,4 @@ QUERIES = {
         op10_url_filters,
     )
 }
-ORACLE: dict[str, str] = {"op1_quality_rules": oracle.OP1, "op2_substring_dedup": oracle.OP2, "op8_minhash_near_dedup": oracle.OP8, "op7_warc_archives": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL}
+ORACLE: dict[str, str] = {"op1_quality_rules": oracle.OP1, "op2_substring_dedup": oracle.OP2, "op8_minhash_near_dedup": oracle.OP8, "op7_warc_archives": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL}
