@@ -10,11 +10,14 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) r(k) GROU
 m AS (SELECT doc_id, host, len(w) AS n_words, length(text) - length(regexp_replace(text, '[^ \t\n\v\f\r]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ \t\n\v\f\r]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ \t\n\v\f\r]')))) AS n_dup_lines,
   coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
-f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS k FROM f GROUP BY host),
-t AS (SELECT (sum(k) + 0.5::DOUBLE) / (sum(n) + 1) AS mean, sum(k::DOUBLE * k / n) / sum(n) - (sum(k)::DOUBLE / sum(n)) * (sum(k)::DOUBLE / sum(n)) AS spread FROM h),
-p AS (SELECT mean, CASE WHEN spread > 0 THEN least(1000.0, greatest(2.0, mean * (1 - mean) / spread - 1)) ELSE 1000.0 END AS weight FROM t)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (k + mean * weight) / (n + weight) <= 0.5 AS kept FROM f JOIN h USING (host), p
+f AS (SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repetitive FROM m),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (short) AS k, count(*) FILTER (repetitive) AS j FROM f GROUP BY host),
+p AS (SELECT mean, CASE WHEN share > 0 THEN least(1000.0, greatest(2.0, 1 / share - 1)) ELSE 1000.0 END AS weight FROM (SELECT mean, CASE WHEN chance < 1 THEN (spread / (mean * (1 - mean)) - chance) / (1 - chance) ELSE 0 END AS share
+  FROM (SELECT (sum(k) + 0.5::DOUBLE) / (sum(n) + 1) AS mean, count(*)::DOUBLE / sum(n) AS chance, sum(k::DOUBLE * k / n) / sum(n) - (sum(k)::DOUBLE / sum(n)) * (sum(k)::DOUBLE / sum(n)) AS spread FROM h))),
+q AS (SELECT mean, CASE WHEN share > 0 THEN least(1000.0, greatest(2.0, 1 / share - 1)) ELSE 1000.0 END AS weight FROM (SELECT mean, CASE WHEN chance < 1 THEN (spread / (mean * (1 - mean)) - chance) / (1 - chance) ELSE 0 END AS share
+  FROM (SELECT (sum(j) + 0.5::DOUBLE) / (sum(n) + 1) AS mean, count(*)::DOUBLE / sum(n) AS chance, sum(j::DOUBLE * j / n) / sum(n) - (sum(j)::DOUBLE / sum(n)) * (sum(j)::DOUBLE / sum(n)) AS spread FROM h)))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed,
+  NOT short AND NOT repetitive AND (k + p.mean * p.weight) / (n + p.weight) <= 0.5 AND (j + q.mean * q.weight) / (n + q.weight) <= 0.5 AS kept FROM f JOIN h USING (host), p, q
 """
 
 OP2 = rf"""
