@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import table
 from .kernels import ragged
 
-#: Bytes of text whose distinct words are asked for together.
-BLOCK_BYTES = 24 << 20
+#: Bytes of text whose distinct words are asked for together, and blocks of a task that puts documents together.
+BLOCK_BYTES, TASK_BLOCKS = 24 << 20, 4
+#: Words that a task remembers the ids of; beyond, it forgets them and encodes anew.
+KNOWN_WORDS = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -120,6 +122,8 @@ def _encoded(ranks_path: str, pattern: str):
             for block, here, words in zip(*(batch.column(k).to_pylist() for k in ("block", "part", "words")), strict=True):
                 if here != part:  # rows come sorted by part
                     part, known = here, {}
+                if len(known) > KNOWN_WORDS:
+                    known = {}
                 answers = []
                 for word in _unpack_words(words):
                     if (ids := known.get(word)) is None:
@@ -173,12 +177,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     than there are blocks, so a frequent word is no hot key. Positions stay with the block as packed numbers, as a row for each of
     them would be several times the text. Decoding joins ids with the table of token bytes, which is as large as the vocabulary.
 
-    Null text is empty and has no ids. Repeated rows give repeated rows. An empty table gives no rows; other columns are ignored.
+    Null text is empty and has no ids. A very long text is cut and put together as a whole. doc_id is only handed on: null and repeated
+    ones, and repeated rows, give a row each. No order of rows matters, so there are no ties. An empty table gives no rows; other columns
+    are ignored.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), "text")
+    blocks = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(n, blocks // TASK_BLOCKS)  # tasks that put documents together grow in number with the input
     kinds = "block long, ids array<long>, counts array<int>, places binary, turn binary, questions array<struct<part: int, words: binary>>"
-    blocks = rows.mapInArrow(_blocks(pattern, n), kinds).repartition(n, "block")
+    blocks = rows.mapInArrow(_blocks(pattern, n), kinds).repartition(most, "block")
     asked = blocks.mapInArrow(_asked, "block long, part int, words binary").repartition(n, "part").sortWithinPartitions("part")
     answers = asked.mapInArrow(_encoded(ranks_path, pattern), "asker long, part int, sizes binary, tokens binary")
     answers = answers.groupBy("asker").agg(F.collect_list(F.struct("part", "sizes", "tokens")).alias("answers"))  # one for each part at most

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .copies import keyed
 
 WIDTH, SHARE = 5, 0.75
-#: Rows up to which a side whose rows were counted is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a side whose bytes were counted is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def word_list(text: Column) -> Column:
@@ -45,9 +46,12 @@ def _joined(five: list[Column]) -> Column:
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """df, cut and counted, to be broadcast if it is small and joined by shuffle otherwise."""
+    """df, cut and measured, to be broadcast if it is small and joined by shuffle otherwise. Its columns are numbers and strings."""
     df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    width = F.lit(8 * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        width = width + F.coalesce(F.octet_length(name), F.lit(0)) if kind == "string" else width
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -57,29 +61,38 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     partition's largest size sets how many: with k = size - ceil(0.75 size) + 1 of them no document that holds 75 % can miss
     them all, however long it is, so no candidate is lost. (A signature of fixed length on the document's side would need
     thousands of hashes: a 40-word item in a 20,000-word document has a Jaccard similarity near 0.002.) Documents shorter than
-    an item's 75 % are left out, and candidates are verified by exact containment of the shingles themselves.
+    an item's 75 % are left out, and the others are verified by exact containment of the shingles themselves.
 
-    Null or empty texts and items have no shingles and are never found. A text of fewer than five words is one shingle.
-    Repeated rows of a doc_id count once. Empty tables give no rows; other columns are ignored.
+    Null or empty texts and items have no shingles and are never found; a text of fewer than five words is one shingle, a very long one is
+    read whole. A null doc_id or item_id is reported as null, each text of it by itself, and so is each text of an id that has several;
+    repeated rows count once. No order of rows matters, so there are no ties. Empty tables give no rows; other columns are ignored.
     """
-    items = worded(items, "item_id").select("item_id", F.array_distinct(shingle_list(F.col("words"), _joined)).alias("shingles"))
-    items = cut(items.filter(F.size("shingles") > 0).withColumn("n_item_shingles", F.size("shingles").cast("long")).dropDuplicates(["item_id"]))
+    return findings(docs, items).drop("row")
+
+
+def findings(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``contained_items`` with the document's ``row`` (see ``keyed``), which is never null."""
+    docs = keyed(docs.select("doc_id", "text"))[0]
+    items = keyed(items.select("item_id", "text"), "item_id")[0].withColumnRenamed("row", "item")
+    items = worded(items, "item", "item_id").select("item", "item_id", F.array_distinct(shingle_list(F.col("words"), _joined)).alias("shingles"))
+    items = cut(items.filter(F.size("shingles") > 0).withColumn("n_item_shingles", F.size("shingles").cast("long")).dropDuplicates(["item"]))
     largest = F.pow(F.lit(2), F.floor(F.log2("n_item_shingles")) + 1) - 1
     hashes = F.array_sort(F.transform("shingles", lambda s: _hashed([F.get(F.split(s, " "), F.lit(k)) for k in range(WIDTH)])))
     sketch = F.slice(hashes, F.lit(1), (largest - F.ceil(SHARE * largest) + 1).cast("int"))
     need = F.ceil(SHARE * F.col("n_item_shingles"))
-    sketches = sized(items.select("item_id", need.alias("need"), F.explode(sketch).alias("hash")))
+    sketches = sized(items.select(need.alias("need"), F.explode(sketch).alias("hash")).groupBy("hash").agg(F.min("need").alias("need")))
 
     # explode_outer: for explode() the optimizer pushes a test of the list's size down to the scan and splits the text for each shingle
-    texts = docs.select("doc_id", "text")
-    probes = worded(texts, "doc_id").select("doc_id", shingle_list(F.col("words"), _hashed).alias("hashes"))
-    probes = probes.select("doc_id", F.size("hashes").alias("n"), F.explode_outer("hashes").alias("hash"))
-    candidates = sized(probes.join(sketches, "hash").filter("n >= need").select("doc_id", "item_id").distinct())
-
-    held = worded(texts.join(candidates, "doc_id"), "doc_id", "item_id").select("doc_id", "item_id", F.explode_outer(F.array_distinct(shingle_list(F.col("words"), _joined))).alias("shingle"))
-    wanted = sized(items.select("item_id", "n_item_shingles", F.explode("shingles").alias("shingle")))
-    common = held.join(wanted, ["item_id", "shingle"]).groupBy("doc_id", "item_id", "n_item_shingles").agg(F.count_distinct("shingle").alias("n_common"))
-    return common.filter(100 * F.col("n_common") >= 75 * F.col("n_item_shingles")).withColumn("containment", F.col("n_common") / F.col("n_item_shingles"))
+    probes = worded(docs, "row").select("row", shingle_list(F.col("words"), _hashed).alias("hashes"))
+    probes = probes.select("row", F.size("hashes").alias("n"), F.explode_outer("hashes").alias("hash"))
+    candidates = sized(probes.join(sketches, "hash").filter("n >= need").select("row").distinct())
+
+    held = worded(docs.join(candidates, "row", "left_semi"), "row", "doc_id")
+    held = held.select("row", "doc_id", F.explode_outer(F.array_distinct(shingle_list(F.col("words"), _joined))).alias("shingle"))
+    wanted = sized(items.select("item", "item_id", "n_item_shingles", F.explode("shingles").alias("shingle")))
+    common = held.join(wanted, "shingle").groupBy("row", "doc_id", "item", "item_id", "n_item_shingles").agg(F.count_distinct("shingle").alias("n_common"))
+    common = common.filter(100 * F.col("n_common") >= 75 * F.col("n_item_shingles")).withColumn("containment", F.col("n_common") / F.col("n_item_shingles"))
+    return common.select("row", "doc_id", "item_id", "n_item_shingles", "n_common", "containment")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

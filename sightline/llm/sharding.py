@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, salted_left_join, table
-from .copies import given_id, own_id
+from .copies import given_key, own_id
 
 #: Group bounds that the driver searches itself. While more are left, Spark narrows them down (see _narrowed).
 DRIVER_BOUNDS = 200_000
@@ -23,7 +23,7 @@ def ordered(docs: DataFrame) -> DataFrame:
     Both come from a range partition with one total for each partition, so a group of any size is spread over tasks.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(given_id(), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    rows = docs.select(given_key().alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
     several = rows.groupBy("digest").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
     rows = salted_left_join(rows, several, ["digest"], F.col("doc_id")).drop("digest").withColumn("leader", F.coalesce("leader", "doc_id"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -72,8 +72,10 @@ def minimax_cuts(bounds: DataFrame, total: int, largest: int, shards: int, drive
         for a, b in _united(windows):
             inside = inside | F.col("before").between(a, b)
         near = near.filter(inside)
-        if high <= low or near.limit(driver_bounds + 1).count() <= driver_bounds:
+        if near.limit(driver_bounds + 1).count() <= driver_bounds:
             break
+        if low >= high:  # the capacity is known, and one pass for each shard finds its cuts
+            return _cuts(near, total, [high], shards)[0][:-1]
         low, high, windows = _narrowed(near, total, low, high, shards)
     found = sorted({r["before"] for r in near.distinct().collect()} | {0})
     while low < high:
@@ -95,6 +97,15 @@ def _united(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _narrowed(near: DataFrame, total: int, low: int, high: int, shards: int) -> tuple[int, int, list[tuple[int, int]]]:
     """The range of capacities after one pass for each shard, and the windows of the cuts between its ends."""
     trials = sorted({low + (high - low) * k // (TRIALS - 1) for k in range(TRIALS)})
+    cuts = _cuts(near, total, trials, shards)
+    feasible = next(k for k, c in enumerate(cuts) if c[-1] >= total)
+    worse = cuts[max(feasible - 1, 0)]
+    windows = [(min(a, b), max(a, b)) for a, b in zip(worse[1:], cuts[feasible][1:], strict=True)]
+    return (trials[feasible - 1] + 1 if feasible else low), trials[feasible], windows
+
+
+def _cuts(near: DataFrame, total: int, trials: list[int], shards: int) -> list[list[int]]:
+    """Each trial's cuts, from 0 to where its last shard ends: the total if it is feasible."""
     cuts = [[0] for _ in trials]
     for _ in range(shards):
         limits = [c[-1] + t for c, t in zip(cuts, trials, strict=True)]
@@ -102,10 +113,7 @@ def _narrowed(near: DataFrame, total: int, low: int, high: int, shards: int) ->
         row = near.agg(*(e.alias(f"c{k}") for k, e in enumerate(ends)), F.count("*")).first()
         for k, c in enumerate(cuts):
             c.append(max(c[-1], row[k] or 0))
-    feasible = next(k for k, c in enumerate(cuts) if c[-1] >= total)
-    worse = cuts[max(feasible - 1, 0)]
-    windows = [(min(a, b), max(a, b)) for a, b in zip(worse[1:], cuts[feasible][1:], strict=True)]
-    return (trials[feasible - 1] + 1 if feasible else low), trials[feasible], windows
+    return cuts
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, driver_bounds: int = DRIVER_BOUNDS) -> DataFrame:
@@ -115,8 +123,10 @@ def shard_documents(docs: DataFrame, shards: int = 16, driver_bounds: int = DRIV
     texts and never parted, so a group larger than the mean sets the capacity. Size is the text's bytes in UTF-8 plus 1 (null: 1).
     ``slot`` counts a shard's documents from 0. grown_shard is null, as a contiguous partition moves rows when shards are added.
 
-    Null counts as an empty text. Repeated rows are placed each; rows without a doc_id come last. With fewer groups than shards the last shards are empty; an empty
-    table gives no rows; other columns are ignored.
+    Null counts as an empty text; a very long text is one document, whose size may set the capacity. Repeated rows are placed each, and
+    the texts of one repeated doc_id stay together; rows without a doc_id come last. Of capacities the smallest is taken, and shards are filled
+    from the first, so there are no ties. With fewer groups than shards the last shards are empty; an empty table gives no rows; other
+    columns are ignored.
     """
     rows = ordered(docs)
     bounds = rows.filter("bound")
