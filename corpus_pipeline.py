@@ -2,51 +2,61 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.bpe import encode_documents
-from sightline.llm.common import table
-from sightline.llm.copies import NO_ID, given_id
-from sightline.llm.decontaminate import contained_items
+from sightline.llm.common import cut, salted_left_join, shared_folder, table
+from sightline.llm.copies import keyed
+from sightline.llm.decontaminate import findings
 from sightline.llm.near_dedup import verdicts
 from sightline.llm.pii import KEY, pseudonymise
 from sightline.llm.quality import quality_rules
-from sightline.llm.warc import shared_folder
+
+#: The column of the key that tells rows apart within a stage.
+KEY_COLUMN = "_row"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and whose host isn't rejected; those without a doc_id are told by text and host."""
-    rows = docs.withColumns({"_id": given_id(), "_host": F.when(F.col("doc_id").isNull(), F.coalesce("source", F.lit("")).cast("string")).otherwise("")})
-    kept = quality_rules(docs.withColumn("doc_id", given_id())).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.when(F.col("doc_id") >= NO_ID, F.col("host")).otherwise("").alias("_host")).distinct()
-    return rows.join(kept, ["_id", "_host"], "left_semi").select(docs.columns)
+    """Documents that pass the base rule and whose host isn't rejected; see ``quality_rules`` for nulls, long texts, repeated rows and ties.
+
+    A document is told by its key (see ``keyed``) and host, so null and repeated doc_ids don't matter. Other columns stay as they are.
+    """
+    rows = keyed(docs, name=KEY_COLUMN)[0].withColumn("_host", F.coalesce("source", F.lit("")).cast("string"))
+    kept = quality_rules(rows.select(F.col(KEY_COLUMN).alias("doc_id"), "text", "source")).filter("kept")
+    kept = kept.select(F.col("doc_id").alias(KEY_COLUMN), F.col("host").alias("_host")).distinct()
+    return rows.join(kept, [KEY_COLUMN, "_host"], "left_semi").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id, or if none has one, any with a text of the group's."""
-    kept = verdicts(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    copies = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))  # no id tells them apart
-    rows = docs.filter(~copies).unionByName(docs.filter(copies).dropDuplicates(["text"]))
-    return rows.withColumn("_id", given_id()).join(kept, "_id", "left_semi").select(docs.columns)
+    """One document of each group of near-duplicates: the one with the smallest doc_id, or if none has one, any of the group's.
+
+    Of repeated rows one stays. Null and empty texts are no duplicates of each other and all stay; see ``near_duplicates`` for the other cases.
+    """
+    rows = keyed(docs, name=KEY_COLUMN)[0]
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    again = cut(rows.filter(has_words).groupBy(KEY_COLUMN).agg(F.count("*").alias("n")).filter("n > 1").select(KEY_COLUMN, F.lit(True).alias("_again")))
+    if not again.isEmpty():  # rows that nothing tells apart but their other columns
+        told = salted_left_join(rows, again, [KEY_COLUMN], F.col("text"))
+        rows = told.filter("_again IS NULL").unionByName(told.filter("_again").dropDuplicates([KEY_COLUMN])).drop("_again")
+    kept = verdicts(docs).filter("chosen").select(F.col("row").alias(KEY_COLUMN)).distinct()
+    return rows.join(kept, KEY_COLUMN, "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold less than 75 % of every benchmark item's shingles."""
-    found = contained_items(docs.withColumn("doc_id", given_id()), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.withColumn("_id", given_id()).join(found, "_id", "left_anti").select(docs.columns)
+    """Documents that hold less than 75 % of every benchmark item's shingles; see ``contained_items`` for nulls, long texts and repeated ids."""
+    found = findings(docs, table(spark, sf_dir, "benchmark")).select(F.col("row").alias(KEY_COLUMN)).distinct()
+    return keyed(docs, name=KEY_COLUMN)[0].join(found, KEY_COLUMN, "left_anti").select(docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values replaced by pseudonyms; n_chars counts the new text."""
+    """Personal values replaced by pseudonyms; n_chars counts the new text, and is null where that is. See ``pseudonymise`` for the odd cases."""
     new = pseudonymise(docs, KEY)
     return new.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether decoding gives the text back."""
+    """doc_id, n_tokens, ids, and the SHA-256 of what they decode to. See ``encode_documents`` for the odd cases."""
     import public_tokenizers
 
     encoded = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -57,7 +67,7 @@ STAGES = [("quality rules", quality), ("MinHash near-dedup", near_dedup), ("benc
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is Parquet in the shared folder."""
+    """All stages over documents; what lies between them is Parquet in the shared folder. An empty table goes through as it is."""
     docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")

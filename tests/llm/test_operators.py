@@ -85,7 +85,7 @@ def test_host_verdict_rejects_a_bad_host(spark):
     got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i].kept == bool(i % 10) for i in range(200))
     assert not any(got[1000 + i].kept for i in range(100)) and not got[1000].base_failed
-    assert 0 < got[2000].host_rate < 1  # shrunk towards the others
+    assert 0 < got[2000].rate_short < 1  # shrunk towards the others
 
 
 def brute_windows(texts, width):
@@ -140,7 +140,7 @@ def test_greatest_string_of_a_shard():
 
     draw = random.Random(4)
     string = b"y" + bytes(draw.choice(b"abcdz") for _ in range(199))
-    row, here, twice, _, _ = _shard([(1, k, 0, 1, string) for k in range(2)] + [(1, 2, 0, 1, b"b" * 200)])
+    row, here, twice, _, _ = _shard([(1, 1, 1, k, 0, 1, string) for k in range(2)] + [(1, 1, 1, 2, 0, 1, b"b" * 200)])
     assert sorted(row[twice].tolist()) == [0, 1] and sorted(here.tolist()) == [0, 200, 400]
 
 
@@ -312,7 +312,7 @@ def test_pseudonyms(spark, docs, rows):
     assert rest == f"{d}/{m}/{y} but 2021-02-30" and iso != "2021-02-28"
     other = {r.doc_id: r.text for r in pseudonymise(spark.createDataFrame([(0, texts[2])], "doc_id long, text string"), "k2").collect()}
     assert other[0] != got[2].text
-    assert {r.doc_id: r.text for r in pseudonymise(docs).select("doc_id", "text").collect()} == {r[0]: r[1] for r in rows}  # nothing to find
+    assert {r.doc_id: r.text for r in pseudonymise(docs, "k").select("doc_id", "text").collect()} == {r[0]: r[1] for r in rows}  # nothing to find
 
 
 def test_feistel_is_a_permutation(spark):
@@ -429,9 +429,9 @@ def test_rows_without_ids(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     pages = docs.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"))
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    for out in (quality_rules(docs), remove_repeated_windows(docs), pseudonymise(docs), shard_documents(docs), encode_documents(docs, path, pattern), remove_repeated_strings(docs), near_duplicates(docs), filter_urls(pages)):
+    for out in (quality_rules(docs), remove_repeated_windows(docs), pseudonymise(docs, "k"), shard_documents(docs), encode_documents(docs, path, pattern), remove_repeated_strings(docs), near_duplicates(docs), filter_urls(pages)):
         assert out.count() == 5
     write_archives(pages, str(tmp_path / "w"))
     assert sorted(r.page_id or 0 for r in read_archives(spark, str(tmp_path / "w")).collect()) == [0, 0, 1, 2, 3]
     items = spark.createDataFrame([(7, text), (None, text)], "item_id long, text string")
-    assert {r.doc_id for r in contained_items(docs, items).collect()} == {1, 2}
+    assert {(r.doc_id, r.item_id) for r in contained_items(docs, items).collect()} == {(d, i) for d in (None, 1, 2) for i in (7, None)}
