@@ -28,7 +28,7 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def fold_nfkc(c: Column, lower: bool = True) -> Column:
-    """NFKC and collapsed white space, lower-cased unless told otherwise. ASCII text skips the Python worker's work."""
+    """NFKC and collapsed white space, lower-cased unless told otherwise."""
     folded = compact(_nfkc(c))
     return F.lower(folded) if lower else folded
 

@@ -120,12 +120,17 @@ def host_matches(host: Column, expected: Column) -> Column:
     return F.coalesce((expected != "") & ((host == expected) | host.endswith(F.concat(F.lit("."), expected))), F.lit(False))
 
 
+#: Kinds of pages by their path (fixed values), the first that fits.
+PAGE_KINDS = (
+    ("editorial", r"/(?:blog|articles?|news)/[^/]+"),
+    ("product", r"/(?:products?|software|solutions?)(?:/|$)"),
+    ("faq", r"/(?:faq|faqs)(?:/|$)"),
+    ("legal", r"/(?:privacy|terms|legal)(?:/|$)"),
+)
+
+
 def page_kind(path: Column, is_article: Column) -> Column:
-    return (
-        F.when(path == "/", "home")
-        .when(is_article | path.rlike(r"(?i)/(?:blog|articles?|news)/[^/]+"), "editorial")
-        .when(path.rlike(r"(?i)/(?:products?|software|solutions?)(?:/|$)"), "product")
-        .when(path.rlike(r"(?i)/(?:faq|faqs)(?:/|$)"), "faq")
-        .when(path.rlike(r"(?i)/(?:privacy|terms|legal)(?:/|$)"), "legal")
-        .otherwise("other")
-    )
+    kind = F.when(path == "/", "home").when(is_article, "editorial")
+    for name, pattern in PAGE_KINDS:
+        kind = kind.when(path.rlike(f"(?i){pattern}"), name)
+    return kind.otherwise("other")

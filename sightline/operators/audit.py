@@ -12,55 +12,53 @@ from pyspark.sql import functions as F
 from ..functions.jsonld import jsonld_summary
 from ..functions.text import comparable, compact, noindex_directives
 from ..functions.urls import url_key
-from .duplicates import duplicates, near_duplicates, shingle_sets
+from ..storage import stored
+from .duplicates import duplicates, equal_texts, near_duplicates, shingle_sets
 from .links import broken_links, canonical_targets, incoming_links, keyed_pages, link_edges, page_links, resolve_links, robots_verdicts
 
 RULE_VERSION = "technical-1.0.0"
 #: Agents that the site rule on AI robots asks for.
 AI_AGENTS = ("GPTBot", "OAI-SearchBot", "ClaudeBot", "PerplexityBot", "Google-Extended")
 #: Rules (fixed values): id, severity, category, scope.
-RULES = tuple(
-    line.split()
-    for line in """
-http-status error Access page
-redirect-chain warning Access page
-https warning Access html
-canonical-missing warning Indexability html
-canonical-invalid warning Indexability signals
-canonical-mismatch observation Indexability html
-indexability observation Indexability html
-canonical-noindex warning Indexability html
-robots-access observation Access page
-sitemap-inclusion observation Discovery html
-title-missing warning Content html
-title-duplicate warning Content html
-title-length observation Content html
-description-missing warning Content html
-description-duplicate warning Content html
-h1-count observation Content html
-heading-order observation Content html
-word-count observation Content html
-internal-links observation Links html
-potential-orphan observation Links html
-broken-internal-links error Links html
-jsonld-missing observation Structured_data html
-jsonld-parse error Structured_data html
-organization-schema observation Structured_data signals
-product-schema observation Structured_data signals
-faq-schema observation Structured_data signals
-faq-visible-match warning Structured_data html
-breadcrumb-schema observation Structured_data html
-editorial-author observation Trust_signals signals
-editorial-dates observation Trust_signals signals
-javascript-content observation Content signals
-content-duplicate observation Content html
-content-near-duplicate observation Content html
-company-identity observation Trust_signals site
-contact-information observation Trust_signals site
-llms-presence observation AI_conventions site
-llms-syntax observation AI_conventions site
-ai-robots observation AI_conventions site
-""".strip().splitlines()
+RULES = (
+    ("http-status", "error", "Access", "page"),
+    ("redirect-chain", "warning", "Access", "page"),
+    ("https", "warning", "Access", "html"),
+    ("canonical-missing", "warning", "Indexability", "html"),
+    ("canonical-invalid", "warning", "Indexability", "signals"),
+    ("canonical-mismatch", "observation", "Indexability", "html"),
+    ("indexability", "observation", "Indexability", "html"),
+    ("canonical-noindex", "warning", "Indexability", "html"),
+    ("robots-access", "observation", "Access", "page"),
+    ("sitemap-inclusion", "observation", "Discovery", "html"),
+    ("title-missing", "warning", "Content", "html"),
+    ("title-duplicate", "warning", "Content", "html"),
+    ("title-length", "observation", "Content", "html"),
+    ("description-missing", "warning", "Content", "html"),
+    ("description-duplicate", "warning", "Content", "html"),
+    ("h1-count", "observation", "Content", "html"),
+    ("heading-order", "observation", "Content", "html"),
+    ("word-count", "observation", "Content", "html"),
+    ("internal-links", "observation", "Links", "html"),
+    ("potential-orphan", "observation", "Links", "html"),
+    ("broken-internal-links", "error", "Links", "html"),
+    ("jsonld-missing", "observation", "Structured data", "html"),
+    ("jsonld-parse", "error", "Structured data", "html"),
+    ("organization-schema", "observation", "Structured data", "signals"),
+    ("product-schema", "observation", "Structured data", "signals"),
+    ("faq-schema", "observation", "Structured data", "signals"),
+    ("faq-visible-match", "warning", "Structured data", "html"),
+    ("breadcrumb-schema", "observation", "Structured data", "html"),
+    ("editorial-author", "observation", "Trust signals", "signals"),
+    ("editorial-dates", "observation", "Trust signals", "signals"),
+    ("javascript-content", "observation", "Content", "signals"),
+    ("content-duplicate", "observation", "Content", "html"),
+    ("content-near-duplicate", "observation", "Content", "html"),
+    ("company-identity", "observation", "Trust signals", "site"),
+    ("contact-information", "observation", "Trust signals", "site"),
+    ("llms-presence", "observation", "AI conventions", "site"),
+    ("llms-syntax", "observation", "AI conventions", "site"),
+    ("ai-robots", "observation", "AI conventions", "site"),
 )
 SEVERITY_ORDER = ("error", "warning", "observation")
 UNAVAILABLE, NOT_APPLICABLE = "unavailable", "not_applicable"
@@ -107,9 +105,9 @@ def row_rules(p: DataFrame) -> dict[str, Column]:
         "https": _finding(~F.lower("page_url").startswith("https:"), ("Final URL", c("page_url"))),
         "canonical-missing": _finding(F.coalesce("canonical_url", F.lit("")) == "", ("Canonical", F.lit("none"))),
         "canonical-invalid": _finding((F.size(s["canonical_candidates"]) > 1) | F.exists(s["canonical_candidates"], lambda x: F.coalesce(x["url"], F.lit("")) == ""), ("Links", _listed(F.transform(s["canonical_candidates"], lambda x: x["raw"])))),
-        "canonical-mismatch": _finding(c("canonical_k") != url_key(c("page_url")), ("Final URL", c("page_url")), ("Canonical", c("canonical_url"))),
+        "canonical-mismatch": _finding(c("canonical_k") != c("page_k"), ("Final URL", c("page_url")), ("Canonical", c("canonical_url"))),
         "indexability": _finding(F.size(directives) > 0, ("Directives", _listed(directives))),
-        "canonical-noindex": _finding(F.size("target_noindex") > 0, ("Canonical", c("canonical_url")), ("Directives", _listed(c("target_noindex"))), also=F.when(F.coalesce("canonical_url", F.lit("")) == "", NOT_APPLICABLE).when(~F.coalesce(c("target_status") == "fetched", F.lit(False)), UNAVAILABLE)),
+        "canonical-noindex": _finding(F.coalesce(F.size("target_noindex") > 0, F.lit(False)), ("Canonical", c("canonical_url")), ("Directives", _listed(c("target_noindex"))), also=F.when(F.coalesce("canonical_url", F.lit("")) == "", NOT_APPLICABLE).when(~F.coalesce(c("target_status") == "fetched", F.lit(False)), UNAVAILABLE)),
         "robots-access": _finding(~c("robots_allowed"), ("URL", c("url")), also=F.when(c("robots_allowed").isNull(), UNAVAILABLE)),
         "sitemap-inclusion": _finding(~F.coalesce("in_sitemap", F.lit(False)) & ~c("in_discovery"), ("In the sitemap", F.lit("no")), also=F.when(~F.coalesce("has_sitemap", F.lit(False)), UNAVAILABLE)),
         "title-missing": _finding(compact(F.coalesce("title", F.lit(""))) == "", ("Title", F.lit("none"))),
@@ -122,7 +120,7 @@ def row_rules(p: DataFrame) -> dict[str, Column]:
         "word-count": _finding(c("word_count") < 100, ("Words", c("word_count"))),
         "internal-links": _finding(F.size("internal_links") == 0, ("Internal links", F.lit("0"))),
         "potential-orphan": _finding(F.coalesce("incoming", F.lit(0)) == 0, ("Incoming links", F.lit("0")), also=F.when(path.isin("", "/"), NOT_APPLICABLE)),
-        "broken-internal-links": _finding(F.size("broken") > 0, ("Links", _listed(c("broken"))), also=F.when(F.size("broken") > 0, "finding").when(F.coalesce("unknown", F.lit(False)), UNAVAILABLE).when(F.size("internal_links") == 0, NOT_APPLICABLE)),
+        "broken-internal-links": _finding(F.size("broken") > 0, ("Links", _listed(c("broken"))), also=F.when(F.coalesce(F.size("broken") > 0, F.lit(False)), "finding").when(F.coalesce("unknown", F.lit(False)), UNAVAILABLE).when(F.size("internal_links") == 0, NOT_APPLICABLE)),
         "jsonld-missing": _finding(F.size("structured_data") == 0, ("Blocks", F.lit("0"))),
         "jsonld-parse": _finding(F.size(invalid) > 0, ("Errors", _listed(F.transform(invalid, lambda b: b["error"])))),
         "organization-schema": optional(kind == "home", "Organization", "Corporation", "LocalBusiness"),
@@ -134,7 +132,7 @@ def row_rules(p: DataFrame) -> dict[str, Column]:
         "editorial-dates": _finding((F.size(s["published_dates"]) == 0) | F.exists(dates, lambda d: F.try_to_timestamp(d).isNull()) | F.coalesce(first(s["modified_dates"]) < first(s["published_dates"]), F.lit(False)), ("Published", _listed(s["published_dates"])), ("Modified", _listed(s["modified_dates"])), also=F.when(kind != "editorial", NOT_APPLICABLE)),
         "javascript-content": _finding((c("word_count") < 100) & ((s["script_count"] > 0) | s["javascript_notice"].isNotNull()), ("Words", c("word_count")), ("Scripts", s["script_count"])),
         "content-duplicate": _finding((text != "") & (c("same_text.others") > 0), ("Pages with the text", c("same_text.others")), ("Some of them", _listed(c("same_text.sample")))),
-        "content-near-duplicate": _finding(F.size("similar") > 0, ("Similar pages", _listed(c("similar"))), also=F.when(~F.coalesce("comparable_text", F.lit(False)), NOT_APPLICABLE)),
+        "content-near-duplicate": _finding(c("similar.others") > 0, ("Similar pages", c("similar.others")), ("Some of them", _listed(c("similar.sample"))), also=F.when(~F.coalesce("comparable_text", F.lit(False)), NOT_APPLICABLE)),
     }
 
 
@@ -148,38 +146,37 @@ def _gated(rule: str, scope: str, result: Column) -> Column:
 def page_outcomes(crawls: DataFrame, pages: DataFrame, robots: DataFrame | None = None, agent: str = "*") -> DataFrame:
     """(crawl_run_id, page_id, url, rule_id, outcome, evidence): every page rule on every page of its crawl and brand.
 
-    robots: rule rows of parse_robots with crawl_run_id and origin. Texts are read once; what meets in shuffles are ids and keys.
+    robots: rule rows of parse_robots with crawl_run_id and origin. What the link graph and the groups need of a page is stored once,
+    without its texts, with each URL's key worked out; what they say of a page is brought together by one aggregate and joined to the pages once.
     """
     own = crawls.select(F.col("id").alias("crawl_run_id"), "brand_id", (F.size("discovery.sitemap_urls") > 0).alias("has_sitemap"))
-    pages = keyed_pages(pages.join(own, ["crawl_run_id", "brand_id"]))
-    fetched = pages.filter("status = 'fetched'")
-    id_ = ["crawl_run_id", F.col("id").alias("page_id")]
-    resolved = resolve_links(pages)
-    links = page_links(pages)
-    incoming = incoming_links(link_edges(links, resolved))
-    broken = broken_links(links, resolved)
-    noindex = pages.select("crawl_run_id", F.col("id").alias("target_id"), noindex_directives("robots_directives").alias("target_noindex")).filter(F.size("target_noindex") > 0)
-    targets = canonical_targets(pages, resolved).join(noindex, ["crawl_run_id", "target_id"], "left").select("crawl_run_id", "page_id", "target_status", F.coalesce("target_noindex", F.array().cast("array<string>")).alias("target_noindex"))
-    same = {}
-    for name, key in (("same_title", comparable(F.col("title"))), ("same_description", comparable(F.col("meta_description"))), ("same_text", F.col("text_hash"))):
-        same[name] = duplicates(fetched, key).select("crawl_run_id", F.col("id").alias("page_id"), F.struct("others", "sample").alias(name))
+    pages = pages.join(own, ["crawl_run_id", "brand_id"])
+    slim = pages.select("crawl_run_id", "id", "url", "final_url", "canonical_url", "status", "status_code", "redirects", "internal_links", "robots_directives", "text_hash", comparable(F.col("title")).alias("title_k"), comparable(F.col("meta_description")).alias("description_k"))
+    slim = stored(keyed_pages(slim))
+    fetched, id_ = slim.filter("status = 'fetched'"), ["crawl_run_id", F.col("id").alias("page_id")]
+    resolved = resolve_links(slim)
+    links = page_links(slim)
+    parts = [slim.select(*id_, "page_url", "page_k", "canonical_k"), incoming_links(link_edges(links, resolved)), broken_links(links, resolved)]
+    noindex = slim.select("crawl_run_id", F.col("id").alias("target_id"), noindex_directives("robots_directives").alias("target_noindex")).filter(F.size("target_noindex") > 0)
+    parts.append(canonical_targets(slim, resolved).join(noindex, ["crawl_run_id", "target_id"], "left").select("crawl_run_id", "page_id", "target_status", "target_noindex"))
+    for name, key in (("same_title", "title_k"), ("same_description", "description_k"), ("same_text", "text_hash")):
+        parts.append(duplicates(fetched, F.col(key)).select(*id_, F.struct("others", "sample").alias(name)))
     main = F.coalesce(F.when(F.col("technical_signals.main_text") != "", F.col("technical_signals.main_text")), F.col("visible_text"))
-    pairs = near_duplicates(fetched, main, F.col("text_hash"))
-    both = pairs.select("crawl_run_id", F.col("a").alias("page_id"), F.col("b").alias("o")).union(pairs.select("crawl_run_id", "b", "a"))
-    similar = both.groupBy("crawl_run_id", "page_id").agg(F.slice(F.array_sort(F.collect_list("o")), 1, 20).alias("similar"))
-    long_enough = shingle_sets(fetched, main, "crawl_run_id", "id").select(*id_, F.lit(True).alias("comparable_text"))
-    found = crawls.select(F.col("id").alias("crawl_run_id"), F.explode("discovery.page_urls").alias("u")).select("crawl_run_id", url_key(F.col("u")).alias("k")).distinct()
-    listed = pages.select(*id_, url_key(F.col("page_url")).alias("k")).join(found, ["crawl_run_id", "k"]).select("crawl_run_id", "page_id", F.lit(True).alias("in_discovery")).distinct()
-    rows = pages.withColumnRenamed("id", "page_id")
-    for other in (incoming, broken, targets, *same.values(), similar, long_enough, listed):
-        rows = rows.join(other, ["crawl_run_id", "page_id"], "left")
+    texts = pages.filter("status = 'fetched'").select("crawl_run_id", "id", "text_hash", main.alias("main"))
+    parts += [similar_pages(texts), shingle_sets(texts, F.col("main"), "crawl_run_id", "id").select(*id_, F.lit(True).alias("comparable_text"))]
+    found = crawls.select(F.col("id").alias("crawl_run_id"), F.explode("discovery.page_urls").alias("u")).select("crawl_run_id", url_key(F.col("u")).alias("page_k")).distinct()
+    parts.append(slim.select(*id_, "page_k").join(found, ["crawl_run_id", "page_k"]).select("crawl_run_id", "page_id", F.lit(True).alias("in_discovery")))
     if robots is not None:
         origin = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
-        at = pages.select(*id_, origin.alias("origin"), F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://[^/?#]+([^#]*)", 1), F.lit("")), F.lit("/")).alias("path"))
-        verdicts = robots_verdicts(at, robots, [agent])
-        rows = rows.join(verdicts.groupBy("crawl_run_id", "page_id").agg(F.min("allowed").alias("robots_allowed")), ["crawl_run_id", "page_id"], "left")
-    else:
-        rows = rows.withColumn("robots_allowed", F.lit(None).cast("boolean"))
+        at = slim.select(*id_, origin.alias("origin"), F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://[^/?#]+([^#]*)", 1), F.lit("")), F.lit("/")).alias("path"))
+        parts.append(robots_verdicts(at, robots, [agent]).groupBy("crawl_run_id", "page_id").agg(F.min("allowed").alias("robots_allowed")))
+    said = parts[0]
+    for part in parts[1:]:
+        said = said.unionByName(part, allowMissingColumns=True)
+    said = said.groupBy("crawl_run_id", "page_id").agg(*(F.any_value(c, F.lit(True)).alias(c) for c in said.columns if c not in ("crawl_run_id", "page_id")))
+    if robots is None:
+        said = said.withColumn("robots_allowed", F.lit(None).cast("boolean"))
+    rows = pages.withColumnRenamed("id", "page_id").join(said, ["crawl_run_id", "page_id"])
     valid = F.transform(F.filter(F.coalesce("structured_data", F.array().cast("array<struct<valid:boolean,value:string,error:string>>")), lambda b: b["valid"]), lambda b: b["value"])
     rows = rows.withColumn("ld", jsonld_summary(valid)).withColumn("in_discovery", F.coalesce("in_discovery", F.lit(False)))
     rules = row_rules(rows)
@@ -187,6 +184,16 @@ def page_outcomes(crawls: DataFrame, pages: DataFrame, robots: DataFrame | None
     return rows.select("crawl_run_id", "page_id", F.col("page_url").alias("url"), F.inline(results))
 
 
+def similar_pages(texts: DataFrame, listed: int = 20) -> DataFrame:
+    """(crawl_run_id, page_id, similar): how many pages of other texts are near-duplicates of a page, and the first pages of such texts."""
+    pairs = near_duplicates(texts, F.col("main"), F.col("text_hash"))
+    both = pairs.select("crawl_run_id", F.col("a").alias("first"), F.col("b").alias("other"), F.col("n_b").alias("n")).union(pairs.select("crawl_run_id", "b", "a", "n_a"))
+    place = F.row_number().over(Window.partitionBy("crawl_run_id", "first").orderBy("other"))
+    near = both.withColumn("place", place).groupBy("crawl_run_id", "first").agg(F.sum("n").alias("others"), F.array_sort(F.collect_list(F.when(F.col("place") <= listed, F.col("other")))).alias("sample"))
+    members = equal_texts(texts, F.col("text_hash"), "crawl_run_id", "id")
+    return members.join(near, ["crawl_run_id", "first"]).select("crawl_run_id", F.col("id").alias("page_id"), F.struct("others", "sample").alias("similar"))
+
+
 def site_outcomes(crawls: DataFrame, pages: DataFrame, robots: DataFrame | None = None) -> DataFrame:
     """The same for the rules on a crawl as a whole; page_id is null."""
     own = crawls.select(F.col("id").alias("crawl_run_id"), "brand_id")
@@ -216,7 +223,7 @@ def site_outcomes(crawls: DataFrame, pages: DataFrame, robots: DataFrame | None
 
 
 def rule_table(spark) -> DataFrame:
-    return spark.createDataFrame([(r, s, c.replace("_", " "), k) for r, s, c, k in RULES], "rule_id string, severity string, category string, scope string")
+    return spark.createDataFrame(RULES, "rule_id string, severity string, category string, scope string")
 
 
 def coverage(outcomes: DataFrame) -> DataFrame:
@@ -229,8 +236,9 @@ def coverage(outcomes: DataFrame) -> DataFrame:
 
 
 def findings(outcomes: DataFrame) -> DataFrame:
+    """Outcomes that are findings, with their rule's severity, category and a title that searches look in."""
     rules = F.broadcast(rule_table(outcomes.sparkSession))
-    return outcomes.filter("outcome = 'finding'").join(rules, "rule_id").select("crawl_run_id", "page_id", "rule_id", "severity", "category", "url", "evidence")
+    return outcomes.filter("outcome = 'finding'").join(rules, "rule_id").select("crawl_run_id", "page_id", "rule_id", "severity", "category", F.initcap(F.replace("rule_id", F.lit("-"), F.lit(" "))).alias("title"), "url", "evidence")
 
 
 def audit_runs(crawls: DataFrame, pages: DataFrame) -> DataFrame:
@@ -276,9 +284,9 @@ def attention_groups(issues: DataFrame, run: str = "crawl_run_id", top: int = 3)
 
 
 def search_issues(issues: DataFrame, severity=None, category=None, rule=None, words: str | None = None, page: int = 1, size: int = 20) -> DataFrame:
-    """A page of issues, by severity, rule and URL. Words are looked for in rule and URL as they are, wildcards included."""
+    """A page of issues, by severity, rule and URL. Words are looked for in URL and title as they are, wildcards included."""
     for name, value in (("severity", severity), ("category", category), ("rule_id", rule)):
         issues = issues.filter(F.col(name) == value) if value else issues
     if words:
-        issues = issues.filter(F.contains(F.lower("url"), F.lower(F.lit(words))) | F.contains(F.lower("rule_id"), F.lower(F.lit(words))))
+        issues = issues.filter(F.exists(F.array(*(c for c in ("url", "title") if c in issues.columns)), lambda x: F.contains(F.lower(x), F.lower(F.lit(words)))))
     return issues.orderBy(severity_rank(F.col("severity")), "rule_id", "url").offset((page - 1) * size).limit(size)

@@ -16,8 +16,11 @@ def contradictions(facts: DataFrame, keys: tuple[str, ...] = ("brand_id",), list
     """Groups of facts, not rejected, of one subject and attribute with more than one value: size, values and the first ids."""
     f = facts.filter("status <> 'rejected'").select(*keys, "category", "id", "value", fold_nfkc(F.col("subject")).alias("subject"), fold_nfkc(F.col("attribute")).alias("attribute"), fold_nfkc(F.col("value")).alias("_v"))
     by = [*keys, "category", "subject", "attribute"]
-    several = f.groupBy(*by).agg(F.count_distinct("_v").alias("n_values"), F.count("*").alias("n_facts"), F.slice(F.array_sort(F.collect_set("value")), 1, listed).alias("values"), F.slice(F.array_sort(F.collect_list("id")), 1, listed).alias("fact_ids"))
-    return several.filter("n_values > 1")
+    groups = f.groupBy(*by).agg(F.count_distinct("_v").alias("n_values"), F.count("*").alias("n_facts")).filter("n_values > 1")
+    rows = f.join(groups, by)
+    ids = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(F.col("_k") <= listed).groupBy(*by).agg(F.array_sort(F.collect_list("id")).alias("fact_ids"))
+    values = rows.select(*by, "value").distinct().withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("value"))).filter(F.col("_k") <= listed).groupBy(*by).agg(F.array_sort(F.collect_list("value")).alias("values"))
+    return groups.join(values, by).join(ids, by).select(*by, "n_values", "n_facts", "values", "fact_ids")
 
 
 def merge_facts(new: DataFrame, existing: DataFrame) -> DataFrame:
@@ -63,13 +66,11 @@ def context_facts(facts: DataFrame, limit: int = 40, by: str = "project_id") ->
 def company_summary(projects: DataFrame, facts: DataFrame) -> DataFrame:
     """Of each project: summary and two customers, its own words first and the newest facts else, and three products, features and uses."""
     good = facts.filter("status <> 'rejected'")
-    newest = lambda *cats: F.max(F.when(F.col("category").isin(*cats), F.struct("updated_at", "id", "value")))["value"]
-
-    def latest(cat: str, n: int) -> Column:
-        rows = F.array_sort(F.collect_list(F.when(F.col("category").isin(*cat.split(",")), F.struct("updated_at", "id", "value"))))
-        return F.transform(F.slice(F.reverse(rows), 1, n), lambda r: r["value"])
-
-    out = good.groupBy("project_id").agg(newest("summary", "description").alias("_s"), latest("target_customer", 2).alias("_c"), latest("product,feature,use_case", 3).alias("offers"))
+    kind = F.when(F.col("category").isin("summary", "description"), "summary").when(F.col("category") == "target_customer", "customers").when(F.col("category").isin("product", "feature", "use_case"), "offers")
+    place = F.row_number().over(Window.partitionBy("project_id", "_kind").orderBy(F.desc("updated_at"), F.desc("id"), F.desc("value")))
+    rows = good.withColumn("_kind", kind).filter("_kind IS NOT NULL").withColumn("_k", place).filter("_k <= 3")  # all that is ever shown
+    listed = lambda kind, n: F.transform(F.array_sort(F.collect_list(F.when((F.col("_kind") == kind) & (F.col("_k") <= n), F.struct("_k", "value")))), lambda r: r["value"])
+    out = rows.groupBy("project_id").agg(F.get(listed("summary", 1), F.lit(0)).alias("_s"), listed("customers", 2).alias("_c"), listed("offers", 3).alias("offers"))
     out = projects.join(out, "project_id", "left")
     own = F.when(F.coalesce("target_customer", F.lit("")) != "", F.array("target_customer"))
     return out.select("project_id", F.coalesce(F.nullif(F.trim("description"), F.lit("")), "_s").alias("summary"), F.coalesce(own, "_c").alias("customers"), "offers")

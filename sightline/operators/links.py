@@ -9,9 +9,10 @@ from ..functions.urls import is_excluded, is_page_candidate, same_domain, url_ke
 
 
 def keyed_pages(pages: DataFrame) -> DataFrame:
-    """pages with page_url, url_k, final_k and canonical_k, each worked out once."""
+    """pages with page_url, url_k, final_k, canonical_k and page_k (that of page_url), each worked out once."""
     out = pages.withColumn("page_url", F.coalesce(F.when(F.col("final_url") != "", F.col("final_url")), F.col("url")))
-    return out.withColumns({"url_k": url_key(F.col("url")), "final_k": url_key(F.col("final_url")), "canonical_k": url_key(F.col("canonical_url"))})
+    out = out.withColumns({"url_k": url_key(F.col("url")), "final_k": url_key(F.col("final_url")), "canonical_k": url_key(F.col("canonical_url"))})
+    return out.withColumn("page_k", F.coalesce(F.when(F.col("final_url") != "", F.col("final_k")), F.col("url_k")))
 
 
 def resolve_links(pages: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def broken_links(links: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def canonical_targets(pages: DataFrame, resolved: DataFrame) -> DataFrame:
     """(crawl_run_id, page_id, target_id, target_status) of each page's canonical link; the page itself where it names itself."""
-    p = pages.filter("canonical_url IS NOT NULL AND canonical_url <> ''").select("crawl_run_id", F.col("id").alias("own_id"), F.col("status").alias("own_status"), F.col("canonical_k").alias("key"), (F.col("canonical_k") == url_key(F.col("page_url"))).alias("self"))
+    p = pages.filter("canonical_url IS NOT NULL AND canonical_url <> ''").select("crawl_run_id", F.col("id").alias("own_id"), F.col("status").alias("own_status"), F.col("canonical_k").alias("key"), (F.col("canonical_k") == F.col("page_k")).alias("self"))
     out = p.join(resolved, ["crawl_run_id", "key"], "left")
     return out.select("crawl_run_id", F.col("own_id").alias("page_id"), F.when(F.col("self"), F.col("own_id")).otherwise(F.col("page_id")).alias("target_id"), F.when(F.col("self"), F.col("own_status")).otherwise(F.col("status")).alias("target_status"))
 

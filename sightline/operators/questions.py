@@ -62,10 +62,17 @@ def stage_shortage(questions: DataFrame, by: str = "project_id") -> DataFrame:
     return questions.groupBy(by).agg(F.least(*counts).alias("s")).select(by, "s.stage", "s.n")
 
 
+#: Selected questions of a block of the fingerprint.
+BLOCK = 1000
+
+
 def selection_fingerprint(questions: DataFrame, by: str = "project_id") -> DataFrame:
-    """SHA-256 over a project's selected questions in order of id; a selection is at most some dozens."""
-    rows = questions.filter("selected").groupBy(by).agg(F.array_sort(F.collect_list(F.struct("id", "text", "geography"))).alias("rows"))
-    return rows.select(by, F.sha2(F.array_join(F.transform("rows", lambda r: F.concat_ws("|", r["id"], r["text"], r["geography"])), "\n"), 256).alias("fingerprint"))
+    """SHA-256 over a project's selected questions in order of id: over the digests of blocks of BLOCK of them."""
+    line = F.concat_ws("|", "id", "text", "geography")
+    rows = questions.filter("selected").select(by, "id", F.sha2(line, 256).alias("line"), (F.row_number().over(Window.partitionBy(by).orderBy("id", line)) - 1).alias("_k"))
+    joined = lambda place, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, value))), lambda r: r[value]), "\n"), 256)
+    blocks = rows.groupBy(by, F.floor(F.col("_k") / BLOCK).alias("_block")).agg(joined("_k", "line").alias("digest"))
+    return blocks.groupBy(by).agg(joined("_block", "digest").alias("fingerprint"))
 
 
 def filter_questions(questions: DataFrame, status=None, stage=None, persona=None, selected=None, words: str | None = None) -> DataFrame:

@@ -10,9 +10,9 @@ from .visibility import STAGE_WEIGHTS
 
 #: Categories of facts (fixed values).
 CATEGORIES = (
-    "company_name brand_alias domain summary description product category target_customer use_case feature integration pricing region "
-    "security_compliance differentiator limitation customer_proof competitor other_claim"
-).split()
+    "company_name", "brand_alias", "domain", "summary", "description", "product", "category", "target_customer", "use_case", "feature", "integration", "pricing", "region",
+    "security_compliance", "differentiator", "limitation", "customer_proof", "competitor", "other_claim",
+)
 
 
 def _reasons(**tests: Column) -> Column:
@@ -64,11 +64,20 @@ def validate_personas(personas: DataFrame) -> DataFrame:
     return personas.withColumn("_n", roles).withColumn("reasons", _reasons(**tests)).drop("_n")
 
 
+def _unknown(rows: DataFrame, id: str, ids: Column, known: DataFrame, keys: list[str]) -> DataFrame:
+    """(id): rows with an id in ``ids`` that isn't among the known ones."""
+    used = rows.select(id, *keys[:-1], F.explode(ids).alias(keys[-1]))
+    return used.join(known.select(*keys).distinct(), keys, "left_anti").select(id).distinct().withColumn("_unknown", F.lit(True))
+
+
 def validate_analysis(answers: DataFrame, brands: DataFrame, facts: DataFrame) -> DataFrame:
-    """answers: experiment_id, answer_id, raw, analysis. Quotes must stand in the answer, and name what they are for; ids must be known."""
-    known = brands.groupBy("experiment_id").agg(F.map_from_entries(F.collect_list(F.struct("brand_id", "aliases"))).alias("_brands"))
-    ids = facts.groupBy("experiment_id").agg(F.collect_set("fact_id").alias("_facts"))
-    rows = answers.join(known, "experiment_id", "left").join(ids, "experiment_id", "left")
+    """answers: experiment_id, answer_id, raw, analysis. Quotes must stand in the answer, and name what they are for; ids must be known.
+
+    An experiment's brands are a handful and are joined as a map; fact ids are exploded and met with the known ones.
+    """
+    named = brands.groupBy("experiment_id").agg(F.map_from_entries(F.collect_list(F.struct("brand_id", "aliases"))).alias("_brands"))
+    unknown = _unknown(answers, "answer_id", F.flatten(F.transform("analysis.claims", lambda x: x["fact_ids"])), facts, ["experiment_id", "fact_id"])
+    rows = answers.join(named, "experiment_id", "left").join(unknown, "answer_id", "left")
     said = lambda q: F.contains(comparable(F.col("raw")), comparable(q))
     b, c, e = F.col("analysis.brands"), F.col("analysis.claims"), F.col("analysis.entities")
     none = F.array().cast("array<string>")
@@ -76,23 +85,24 @@ def validate_analysis(answers: DataFrame, brands: DataFrame, facts: DataFrame) -
         unique_brands=F.size(F.array_distinct(b["brand_id"])) == F.size(b),
         entities=F.forall(e, lambda x: said(x["quote"]) & F.contains(comparable(x["quote"]), comparable(x["name"]))),
         brands=F.forall(b, lambda x: said(x["quote"]) & (mention_position(x["quote"], F.coalesce(F.element_at("_brands", x["brand_id"]), none)) >= 0)),
-        claims=F.forall(c, lambda x: said(x["quote"]) & (F.size(F.array_except(x["fact_ids"], F.coalesce("_facts", none))) == 0)),
+        claims=F.forall(c, lambda x: said(x["quote"])) & F.col("_unknown").isNull(),
         evidence=F.forall(c, lambda x: ~x["classification"].isin("supported", "contradicted") | (F.size(x["fact_ids"]) > 0)),
     )
-    return rows.withColumn("reasons", _reasons(**tests)).drop("_brands", "_facts")
+    return rows.withColumn("reasons", _reasons(**tests)).drop("_brands", "_unknown")
 
 
-def validate_semantics(ratings: DataFrame, excerpts: DataFrame, question_ids: list[str]) -> DataFrame:
+def validate_semantics(ratings: DataFrame, excerpts: DataFrame, questions: DataFrame) -> DataFrame:
     """ratings by page_id: matches name known questions once, quotes stand in the excerpt, a positive rating has one, a product is named in its own."""
-    rows = ratings.join(excerpts.select("page_id", F.col("excerpt").alias("_text")), "page_id", "left")
+    unknown = _unknown(ratings, "page_id", F.col("matches.question_id"), questions.select(F.col("id").alias("question_id")), ["question_id"])
+    rows = ratings.join(excerpts.select("page_id", F.col("excerpt").alias("_text")), "page_id", "left").join(unknown, "page_id", "left")
     said = lambda q: F.contains(comparable(F.col("_text")), comparable(q))
     m = F.col("matches")
     rated = [((F.col(f"{k}.rating") == 0) & (F.coalesce(f"{k}.quote", F.lit("")) == "")) | ((F.coalesce(f"{k}.quote", F.lit("")) != "") & said(F.col(f"{k}.quote"))) for k in ("direct_answer", "specificity", "commercial")]
     tests = dict(
         unique_matches=F.size(F.array_distinct(m["question_id"])) == F.size(m),
-        matches=F.forall(m, lambda x: x["question_id"].isin(*question_ids) & said(x["quote"])),
+        matches=F.forall(m, lambda x: said(x["quote"])) & F.col("_unknown").isNull(),
         products=F.forall("products", lambda x: said(x["quote"]) & F.contains(comparable(x["quote"]), comparable(x["name"]))),
         gaps=F.forall("evidence_gaps", lambda x: said(x["quote"])),
         ratings=rated[0] & rated[1] & rated[2],
     )
-    return rows.withColumn("reasons", _reasons(**tests)).drop("_text")
+    return rows.withColumn("reasons", _reasons(**tests)).drop("_text", "_unknown")

@@ -140,33 +140,29 @@ def source_metrics(answers: DataFrame, brands: DataFrame, mentions: DataFrame) -
     return out.select("experiment_id", "source", "mentioned", "eligible", *share("mentioned", "eligible", "mention"))
 
 
-def sliced_metrics(answers: DataFrame, brands: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Target mention rate of each experiment as a whole and by each stage, type, persona and source, in one pass.
+def sliced_metrics(answers: DataFrame, brands: DataFrame, mentions: DataFrame, citations: DataFrame | None = None) -> DataFrame:
+    """``brand_metrics`` of each experiment as a whole (dimension all) and by each stage, type, persona and source.
 
-    Rows are counted at the finest grain first, so the grouping sets expand counts and not answers.
+    Answers are given their five slices once, and one pass of aggregates counts all measures by slice.
     """
-    rows = _target_answers(answers, brands, mentions).withColumn("source", F.concat_ws(" / ", "provider", "model"))
-    dims = ["stage", "type", "persona_id", "source"]
-    fine = rows.groupBy("experiment_id", *dims).agg(F.sum("hit").alias("hit"), F.count("*").alias("n"))
-    sets = [[F.col("experiment_id")], *([F.col("experiment_id"), F.col(d)] for d in dims)]
-    out = fine.groupingSets(sets, F.col("experiment_id"), *map(F.col, dims)).agg(*(F.grouping(d).alias(f"_{d}") for d in dims), F.sum("hit").alias("mentioned"), F.sum("n").alias("eligible"))
-    dim = value = None
-    for d in dims:
-        here = F.col(f"_{d}") == 0
-        dim, value = (F.when(here, d), F.when(here, F.col(d))) if dim is None else (dim.when(here, d), value.when(here, F.col(d)))
-    return out.select("experiment_id", F.coalesce(dim, F.lit("all")).alias("dimension"), value.alias("value"), "mentioned", "eligible", *share("mentioned", "eligible", "mention"))
+    slices = [F.struct(F.lit("all").alias("dimension"), F.lit("").alias("value"))]
+    for name, value in (("stage", F.col("stage")), ("type", F.col("type")), ("persona_id", F.col("persona_id")), ("source", F.concat_ws(" / ", "provider", "model"))):
+        slices.append(F.struct(F.lit(name).alias("dimension"), F.coalesce(value.cast("string"), F.lit("")).alias("value")))
+    return brand_metrics(answers.select("*", F.inline(F.array(*slices))), brands, mentions, citations, ("dimension", "value"))
 
 
 def citation_domains(answers: DataFrame, brands: DataFrame, citations: DataFrame, urls: int = 100) -> DataFrame:
     """Domains cited in eligible answers: citations, distinct URLs and answers, kinds of source, and whether it is the target's.
 
-    ``rank`` orders by count, then by first place. Counted by URL first, so a popular domain is no hot key; the list keeps the
-    first ``urls`` in order of spelling.
+    ``rank`` orders by count, then by first place. Counted by URL first, so a popular domain is no hot key; of its URLs only the
+    first ``urls`` in order of spelling are ever listed.
     """
     good = eligible_answers(answers).select("experiment_id", "answer_id", "ordinal")
     rows = citations.join(good, ["experiment_id", "answer_id"])
     by_url = rows.groupBy("experiment_id", "domain", "url").agg(F.count("*").alias("n"), F.collect_set("source").alias("kinds"), F.min(F.struct("ordinal", "pos")).alias("first"))
-    by_domain = by_url.groupBy("experiment_id", "domain").agg(F.sum("n").alias("citations"), F.count("*").alias("n_urls"), F.slice(F.array_sort(F.collect_list("url")), 1, urls).alias("urls"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("source_kinds"), F.min("first").alias("first"))
+    place = F.row_number().over(Window.partitionBy("experiment_id", "domain").orderBy("url"))
+    by_url = by_url.withColumn("url", F.when(place <= urls, F.col("url")))
+    by_domain = by_url.groupBy("experiment_id", "domain").agg(F.sum("n").alias("citations"), F.count("*").alias("n_urls"), F.array_sort(F.collect_list("url")).alias("urls"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("source_kinds"), F.min("first").alias("first"))
     n_answers = rows.select("experiment_id", "domain", "answer_id").distinct().groupBy("experiment_id", "domain").agg(F.count("*").alias("n_answers"))
     target = brands.filter("kind = 'target'").groupBy("experiment_id").agg(F.min("host").alias("host"))
     out = by_domain.join(n_answers, ["experiment_id", "domain"]).join(target, "experiment_id", "left")
@@ -234,8 +230,12 @@ def run_progress(answers: DataFrame, cancelled: DataFrame | None = None) -> Data
     return out.withColumn("status", F.when(F.col("total") == F.col("completed"), "completed").when(stopped, "cancelled").otherwise("partial")).drop("_stop")
 
 
-def run_estimate(questions: DataFrame, samples: int, output_tokens: int, overhead: int = 5000) -> DataFrame:
-    """Requests and tokens that a run may use: two requests for each answer."""
+def run_estimate(questions: DataFrame, samples: int, output_tokens: int, overhead: int = 5000, allowance: DataFrame | None = None) -> DataFrame:
+    """Requests and tokens that a run may use: two requests for each answer. allowance: experiment_id and tokens, of which ``remaining`` tells what would be left."""
     out = questions.groupBy("experiment_id").agg(F.count("*").alias("questions"), F.sum(F.length("text") / 4 + overhead).alias("_tokens"))
     n = F.col("questions") * samples
-    return out.select("experiment_id", "questions", n.alias("answers"), (n * 2).alias("requests"), F.ceil(F.col("_tokens") * samples).alias("input_tokens"), (n * 2 * output_tokens).alias("output_ceiling"))
+    out = out.select("experiment_id", "questions", n.alias("answers"), (n * 2).alias("requests"), F.ceil(F.col("_tokens") * samples).alias("input_tokens"), (n * 2 * output_tokens).alias("output_ceiling"))
+    if allowance is None:
+        return out
+    used = F.col("input_tokens") + F.col("output_ceiling")
+    return out.join(allowance, "experiment_id", "left").withColumn("remaining", F.greatest(F.lit(0), F.col("tokens") - used)).drop("tokens")

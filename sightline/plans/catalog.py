@@ -18,8 +18,11 @@ from ..operators import questions as Q
 from ..operators import validate as VA
 from ..operators import visibility as V
 from ..sources import pages as P
+from ..storage import stored
+from . import crawls as CR
 from . import frames as B
 from . import oracle as O
+from . import oracle_audit as OA
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -215,7 +218,10 @@ def exact_duplicates(spark, d):
 
 @query(O.NEAR_DUPLICATES)
 def near_duplicate_pages(spark, d):
-    pages = B.read(spark, d, "documents").select(F.col("lang").alias("crawl_run_id"), F.col("doc_id").alias("id"), F.col("text").alias("visible_text"), F.sha2("text", 256).alias("text_hash"))
+    """Documents as pages, and every fifth once more with some words more."""
+    rows = B.read(spark, d, "documents").select(F.col("lang").alias("crawl_run_id"), F.col("doc_id").alias("id"), F.col("text").alias("visible_text"))
+    more = rows.filter("id % 5 = 0").select("crawl_run_id", (F.col("id") + 1_000_000_000_000).alias("id"), F.concat("visible_text", F.lit(" and a tail")).alias("visible_text"))
+    pages = rows.union(more).withColumn("text_hash", F.sha2("visible_text", 256))
     return D.near_duplicates(pages, F.col("visible_text"), F.col("text_hash"))
 
 
@@ -379,6 +385,99 @@ def question_prompts(spark, d):
     return B.questions(spark, d).select("id", T.prompt_text(F.col("text"), where).alias("prompt"), T.stable_id(F.col("text")).alias("key"))
 
 
+# The link graph and the audit over a derived crawl.
+
+
+def _keyed(spark, d):
+    return LI.keyed_pages(CR.crawled_pages(spark, d))
+
+
+@query(OA.RESOLVED)
+def resolved_links(spark, d):
+    return LI.resolve_links(_keyed(spark, d))
+
+
+def _edges(spark, d):
+    pages = stored(_keyed(spark, d))
+    return pages, LI.link_edges(LI.page_links(pages), LI.resolve_links(pages))
+
+
+@query(OA.EDGES)
+def link_edges(spark, d):
+    return _edges(spark, d)[1]
+
+
+@query(OA.INCOMING)
+def incoming_links(spark, d):
+    return LI.incoming_links(_edges(spark, d)[1])
+
+
+@query(OA.ORPHANS)
+def orphan_pages(spark, d):
+    return LI.orphans(*_edges(spark, d))
+
+
+@query(OA.BROKEN)
+def broken_links(spark, d):
+    pages = _keyed(spark, d)
+    return LI.broken_links(LI.page_links(pages), LI.resolve_links(pages)).withColumn("broken", F.array_join("broken", " | "))
+
+
+@query(OA.TARGETS)
+def canonical_targets(spark, d):
+    pages = _keyed(spark, d)
+    return LI.canonical_targets(pages, LI.resolve_links(pages))
+
+
+@query(OA.ROBOTS)
+def robots_verdicts(spark, d):
+    path = F.regexp_extract("url", r"^https?://[^/?#]+([^#]*)", 1)
+    at = CR.crawled_pages(spark, d).select("crawl_run_id", F.col("id").alias("page_id"), F.regexp_extract("url", r"^(https?://[^/?#]+)", 1).alias("origin"), path.alias("path"))
+    return LI.robots_verdicts(at, CR.robots_rows(spark, d), ["anybot", "gptbot"]).select("crawl_run_id", "page_id", "agent", "allowed")
+
+
+@query(OA.COUNTERS)
+def crawl_progress(spark, d):
+    return L.crawl_counters(CR.crawled_pages(spark, d), CR.crawl_rows(spark, d))
+
+
+@query(OA.INVENTORY)
+def page_inventory(spark, d):
+    latest = CR.crawl_rows(spark, d).select("id").filter("id < 'c3'")
+    return L.page_inventory(CR.crawled_pages(spark, d), latest, status="fetched", words="shared").select("crawl_run_id", "id", "url", "title")
+
+
+def _audited(spark, d):
+    return CR.crawl_rows(spark, d), CR.crawled_pages(spark, d), CR.robots_rows(spark, d)
+
+
+@query(OA.PAGE_RULES)
+def audit_page_rules(spark, d):
+    return A.page_outcomes(*_audited(spark, d)).drop("evidence")
+
+
+@query(OA.SITE_RULES)
+def audit_site_rules(spark, d):
+    return A.site_outcomes(*_audited(spark, d)).drop("evidence")
+
+
+@query(OA.COVERAGE)
+def audit_rule_coverage(spark, d):
+    return A.audit(*_audited(spark, d))["coverage"].drop("scope")
+
+
+@query(OA.FINDINGS)
+def audit_rule_findings(spark, d):
+    return A.audit(*_audited(spark, d))["findings"].drop("evidence", "title")
+
+
+@query(OA.RUNS)
+def audit_run_rows(spark, d):
+    crawls, pages, _ = _audited(spark, d)
+    runs = A.audit_runs(crawls, pages)
+    return A.unsaved(runs, runs.filter("crawl_run_id = 'c0'")).select("crawl_run_id", "rule_version", "pages_analyzed", F.size("warnings").alias("n_warnings"))
+
+
 # What SQL can't say: HTML is parsed, URLs are resolved, JSON-LD is walked.
 
 

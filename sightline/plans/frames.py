@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.visibility import STAGE_WEIGHTS
 from ..sources.pages import extract_pages
+from ..storage import stored
 
 #: Words of the synthetic languages that stand for brands: id, name, host, kind and aliases.
 BRANDS = (("b1", "The", "the.example.com", "target", ["the", "of"]), ("b2", "Que", "que.example.org", "competitor", ["que", "los"]), ("b3", "Und", "und.example.net", "competitor", ["und"]), ("b4", "C++", "cpp.example.io", "competitor", ["C++"]))
@@ -44,10 +45,10 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns as questions of five projects, cut to their first eight words so that some repeat."""
+    """User turns as questions of five projects."""
     stage = F.element_at(F.array(*map(F.lit, STAGE_WEIGHTS)), (F.col("conv_id") % 6 + 1).cast("int"))
     return read(spark, sf_dir, "conversations").filter("role = 'user'").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("conv_id") % 5).cast("string").alias("project_id"), F.substring_index("text", " ", 8).alias("text"), stage.alias("stage"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("conv_id") % 5).cast("string").alias("project_id"), "text", stage.alias("stage"),
         F.concat(F.lit("p"), F.col("conv_id") % 4).alias("persona_id"), (F.col("conv_id") % 5 + 1).cast("int").alias("intent"), (F.col("turn") % 3 == 0).alias("branded"), F.when(F.col("conv_id") % 10 == 0, "archived").otherwise("active").alias("status"),
         (F.col("conv_id") % 4 == 0).alias("selected"), F.lit("Unspecified").alias("geography"), (F.col("conv_id") * 100 + F.col("turn")).alias("created_at"),
     )
@@ -77,7 +78,7 @@ def crawl(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(crawls, pages) of the pages table: a crawl for each host, its pages read from raw HTML."""
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
     raw = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), host.alias("crawl_run_id"), F.concat(F.lit("brand-"), host).alias("brand_id"), "url", F.col("url").alias("final_url"), F.col("url").alias("scope"), "html")
-    pages = extract_pages(raw)
+    pages = stored(extract_pages(raw))
     none = F.array().cast("array<string>")
     pages = pages.select("*", F.lit("fetched").alias("status"), F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), F.array().cast("array<struct<url:string,status:int,destination:string>>").alias("redirects"), F.lit(False).alias("in_sitemap"), F.lit(None).cast("string").alias("error"), F.lit("2026-01-01 00:00:00").cast("timestamp").alias("fetched_at"))
     urls = read(spark, sf_dir, "pages").select(host.alias("id")).distinct()

@@ -93,7 +93,7 @@ SELECT experiment_id, supported, judged, {_wilson("supported", "judged", "agreem
 PREVIOUS_RUN = """SELECT user_id AS project_id, event_type AS setup, event_id AS run_id, (max({'t': ts, 'i': event_id}) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)).i AS previous_run_id FROM events"""
 RUN_PROGRESS = f"""WITH {_ANSWERS} SELECT experiment_id, count(*) AS total, count(*) FILTER (status = 'completed') AS answered, count(*) FILTER (status = 'completed') AS completed, CASE WHEN count(*) = count(*) FILTER (status = 'completed') THEN 'completed' ELSE 'partial' END AS status FROM answers GROUP BY 1"""
 
-_QUESTIONS = f"""q0 AS (SELECT conv_id * 100 + turn AS id, (conv_id % 5)::VARCHAR AS project_id, array_to_string((string_split(text, ' '))[1:8], ' ') AS text, ({_STAGES})[conv_id % 6 + 1] AS stage, conv_id % 6 AS stage_no, 'p' || (conv_id % 4) AS persona_id,
+_QUESTIONS = f"""q0 AS (SELECT conv_id * 100 + turn AS id, (conv_id % 5)::VARCHAR AS project_id, text, ({_STAGES})[conv_id % 6 + 1] AS stage, conv_id % 6 AS stage_no, 'p' || (conv_id % 4) AS persona_id,
   (conv_id % 5 + 1)::INTEGER AS intent, turn % 3 = 0 AS branded, CASE WHEN conv_id % 10 = 0 THEN 'archived' ELSE 'active' END AS status, conv_id % 4 = 0 AS selected FROM conversations WHERE role = 'user'),
 questions AS (SELECT *, trim(regexp_replace(lower(nfc_normalize(text)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS normalized_text FROM q0)"""
 ANSWER_GRID = f"WITH {_QUESTIONS} SELECT project_id AS experiment_id, id AS place, sample::INTEGER AS sample, (row_number() OVER (PARTITION BY project_id ORDER BY sample, id) - 1)::INTEGER AS ordinal FROM questions, range(1, 4) s(sample) WHERE selected"
@@ -133,12 +133,14 @@ FINGERPRINT = f"WITH {_QUESTIONS} SELECT project_id, sha256(string_agg(concat_ws
 BRANDED = f"WITH {_QUESTIONS} SELECT id FROM questions WHERE contains(' ' || normalized_text || ' ', ' the ') OR contains(' ' || normalized_text || ' ', ' que ')"
 
 EXACT_DUPLICATES = "SELECT source AS crawl_run_id, doc_id AS id, count(*) OVER (PARTITION BY source, text) - 1 AS others FROM documents WHERE text <> '' QUALIFY others > 0"
-NEAR_DUPLICATES = r"""WITH w AS (SELECT lang AS source, doc_id, text, (regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))[1:5000] AS w FROM documents),
-s AS (SELECT source, doc_id, text, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 100),
-e AS (SELECT source, doc_id, unnest(s) AS s FROM s),
-c AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.source = b.source AND a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT c.source AS crawl_run_id, a, b, round(n / (len(x.s) + len(y.s) - n), 9) AS score FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
-WHERE x.text <> y.text AND least(len(x.s), len(y.s)) >= 0.85 * greatest(len(x.s), len(y.s)) AND n / (len(x.s) + len(y.s) - n) >= 0.85"""
+NEAR_DUPLICATES = r"""WITH p AS (SELECT lang, doc_id AS id, text FROM documents UNION ALL SELECT lang, doc_id + 1000000000000, text || ' and a tail' FROM documents WHERE doc_id % 5 = 0),
+t AS (SELECT lang, min(id) AS id, text, count(*) AS copies FROM p GROUP BY lang, text),
+w AS (SELECT *, (regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))[1:5000] AS w FROM t),
+s AS (SELECT lang, id, copies, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 100),
+e AS (SELECT lang, id, unnest(s) AS s FROM s),
+c AS (SELECT a.lang, a.id AS a, b.id AS b, count(*) AS n FROM e a JOIN e b ON a.lang = b.lang AND a.s = b.s AND a.id < b.id GROUP BY ALL)
+SELECT c.lang AS crawl_run_id, a, b, round(n / (len(x.s) + len(y.s) - n), 9) AS score, x.copies AS n_a, y.copies AS n_b FROM c JOIN s x ON x.id = a AND x.lang = c.lang JOIN s y ON y.id = b AND y.lang = c.lang
+WHERE least(len(x.s), len(y.s)) >= 0.85 * greatest(len(x.s), len(y.s)) AND n / (len(x.s) + len(y.s) - n) >= 0.85"""
 
 _PLAIN = r"regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '\?utm_source=feed$', ''), '/+$', '')"
 NORMALIZED_URLS = f"SELECT page_id, {_PLAIN} AS url FROM pages"

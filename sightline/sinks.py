@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
@@ -19,8 +22,25 @@ def safe_csv(df: DataFrame) -> DataFrame:
     return df.select(*(safe_cell(F.to_json(f.name) if nested(f.dataType) else F.col(f.name)).alias(f.name) for f in df.schema))
 
 
+def csv_lines(df: DataFrame) -> DataFrame:
+    """(value): the lines of safe CSV, all cells quoted; the first of each of Spark's partitions is the header after a byte order mark."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    header = "\ufeff" + ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array([header], batch.schema.field(0).type)], schema=batch.schema)
+            first = False
+            yield batch
+
+    return safe_csv(df).select(F.concat_ws(",", *(quoted(F.col(f"`{c}`")) for c in df.columns)).alias("value")).mapInArrow(headed, "value string")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    safe_csv(df).write.options(header=True, quoteAll=True, quote='"', escape='"', lineSep="\r\n", emptyValue="").csv(path)
+    """Files that a spreadsheet opens: UTF-8 with a byte order mark, CRLF, safe cells."""
+    csv_lines(df).write.option("lineSep", "\r\n").text(path)
 
 
 #: Columns that a backup leaves out, whatever the table.

@@ -7,14 +7,18 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.jsonld import summary
 
-from ..functions.urls import canonical, is_page_candidate, same_domain, url_key
+from ..functions.urls import PAGE_KINDS, canonical, is_page_candidate, same_domain, url_key
 
 PAGE_SCHEMA = (
     "id string, crawl_run_id string, brand_id string, url string, final_url string, canonical_url string, title string, meta_description string, headings array<struct<level:int,text:string>>, "
@@ -154,9 +158,8 @@ def extract(html: str, url: str, scope: str) -> dict:
         if link := canonical(href, base):
             (internal if _host_key(link) == host else external)[link] = None
     path = re.sub(r"^https?://[^/?#]*", "", url).split("?")[0].split("#")[0] or "/"
-    article = bool({"Article", "BlogPosting", "NewsArticle", "TechArticle"} & set(ld["types"])) or bool(re.search(r"/(?:blog|articles?|news)/[^/]+", path, re.I))
-    tests = (("product", r"/(?:products?|software|solutions?)(?:/|$)"), ("faq", r"/(?:faq|faqs)(?:/|$)"), ("legal", r"/(?:privacy|terms|legal)(?:/|$)"))
-    kind = "home" if path == "/" else "editorial" if article else next((k for k, p in tests if re.search(p, path, re.I)), "other")
+    article = bool({"Article", "BlogPosting", "NewsArticle", "TechArticle"} & set(ld["types"]))
+    kind = "home" if path == "/" else "editorial" if article else next((k for k, p in PAGE_KINDS if re.search(p, path, re.I)), "other")
     canonicals = [h for rel, h in page.links if "canonical" in rel]
     unique = lambda xs: list(dict.fromkeys(x for x in xs if x))
     visible, notice = _clean("".join(page.text)), _clean("".join(page.notice))
@@ -192,17 +195,28 @@ def _host_key(url: str) -> str:
     return re.sub(r"^https?://(?:www\.)?([^/:?#]*).*$", r"\1", canonical(url) or "", flags=re.S)
 
 
+#: Pages of raw HTML that are parsed at once.
+BATCH_PAGES = 200
+
+
 def extract_pages(raw: DataFrame) -> DataFrame:
-    """Page columns of raw rows: id, crawl_run_id, brand_id, url, final_url, scope, html. Narrow: HTML isn't shuffled."""
+    """Page columns of raw rows: id, crawl_run_id, brand_id, url, final_url, scope, html. Narrow: HTML isn't shuffled.
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    What goes to a worker at once is bounded by the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` and ``maxBytesPerBatch``;
+    what comes back by BATCH_PAGES.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, len(batch), 100):
-                part = batch.iloc[low : low + 100]
-                rows = [{"id": i, "crawl_run_id": c, "brand_id": b, "url": u, "final_url": f} | extract(h, f or u, s or f or u) for i, c, b, u, f, s, h in part.itertuples(index=False, name=None)]
-                yield pd.DataFrame(rows)
+            for low in range(0, batch.num_rows, BATCH_PAGES):
+                rows = []
+                for i in range(low, min(low + BATCH_PAGES, batch.num_rows)):  # one HTML text at a time as Python's
+                    id, crawl, brand, url, final, scope, html = (batch.column(k)[i].as_py() for k in range(7))
+                    rows.append({"id": id, "crawl_run_id": crawl, "brand_id": brand, "url": url, "final_url": final} | extract(html, final or url, scope or final or url))
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return raw.select("id", "crawl_run_id", "brand_id", "url", "final_url", "scope", "html").mapInPandas(work, PAGE_SCHEMA)
+    schema = to_arrow_schema(StructType.fromDDL(PAGE_SCHEMA))
+    return raw.select("id", "crawl_run_id", "brand_id", "url", "final_url", "scope", "html").mapInArrow(work, PAGE_SCHEMA)
 
 
 def classify_fetches(log: DataFrame) -> DataFrame:
@@ -222,18 +236,39 @@ def classify_fetches(log: DataFrame) -> DataFrame:
     )
     rows = log.withColumn("_s", status).withColumn("_key", url_key(F.coalesce("final_url", "url")))
     again = F.row_number().over(Window.partitionBy("crawl_run_id", "_key", F.col("_s.s")).orderBy("seq"))
-    repeat = (F.col("_s.s") == "fetched") & (again > 1)
-    return rows.withColumn("status", F.when(repeat, "skipped").otherwise(F.col("_s.s"))).withColumn("error", F.when(repeat, "Already fetched").otherwise(F.col("_s.e"))).drop("_s", "_key")
+    rows = rows.withColumn("_again", (F.col("_s.s") == "fetched") & (again > 1))
+    # a URL that is asked for after a fetch ended on it isn't fetched either
+    finals = rows.filter("_s.s = 'fetched' AND NOT _again").select("crawl_run_id", F.col("_key").alias("_asked"), F.col("seq").alias("_at"))
+    rows = rows.withColumn("_asked", url_key(F.col("url"))).join(finals, ["crawl_run_id", "_asked"], "left")
+    repeat = F.col("_again") | (F.col("allowed") & F.coalesce(F.col("_at") < F.col("seq"), F.lit(False)))
+    return rows.withColumn("status", F.when(repeat, "skipped").otherwise(F.col("_s.s"))).withColumn("error", F.when(repeat, "Already fetched").otherwise(F.col("_s.e"))).drop("_s", "_key", "_again", "_asked", "_at")
+
+
+def sitemap_urls(xml: str | None) -> list[tuple[str, bool]]:
+    """(loc, whether it is a sitemap) of a sitemap text, whatever its namespaces; none of a text with a DTD or that isn't such XML."""
+    if not xml or re.search(r"<!(?:DOCTYPE|ENTITY)", xml, re.I):
+        return []
+    try:
+        root = ElementTree.fromstring(xml.strip())
+    except ElementTree.ParseError:
+        return []
+    name = lambda e: e.tag.rpartition("}")[2]
+    wanted = {"urlset": "url", "sitemapindex": "sitemap"}.get(name(root))
+    return [((loc.text or "").strip(), wanted == "sitemap") for entry in root if name(entry) == wanted for loc in entry if name(loc) == "loc" and not len(loc)]
 
 
 def read_sitemaps(files: DataFrame, home: str = "home") -> DataFrame:
-    """(crawl_run_id, url, is_index) in sitemap texts: pages of the site and further sitemaps, each once. Files with a DTD are left out.
+    """(crawl_run_id, url, is_index) in sitemap texts: pages of the site and further sitemaps, each once. Files with a DTD or broken XML are left out.
 
     files: crawl_run_id, xml and the site's home URL.
     """
-    safe = files.filter(~F.col("xml").rlike(r"(?i)<!(?:DOCTYPE|ENTITY)"))
-    found = lambda tag: F.transform(F.regexp_extract_all("xml", F.lit(rf"(?s)<{tag}>.*?<loc>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</loc>.*?</{tag}>"), 1), lambda u: F.struct(F.replace(u, F.lit("&amp;"), F.lit("&")).alias("u"), F.lit(tag == "sitemap").alias("i")))
-    rows = safe.select("crawl_run_id", F.col(home).alias("home"), F.explode(F.concat(found("url"), found("sitemap"))).alias("f")).select("crawl_run_id", "home", url_key(F.col("f.u")).alias("url"), F.col("f.i").alias("is_index"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for crawl, site, xml in batch.itertuples(index=False, name=None):
+                yield pd.DataFrame([(crawl, site, *found) for found in sitemap_urls(xml)], columns=["crawl_run_id", "home", "url", "is_index"])
+
+    rows = files.select("crawl_run_id", F.col(home).alias("home"), "xml").mapInPandas(work, "crawl_run_id string, home string, url string, is_index boolean").withColumn("url", url_key(F.col("url")))
     return rows.filter(same_domain(F.col("url"), F.col("home")) & (F.col("is_index") | is_page_candidate(F.col("url")))).select("crawl_run_id", "url", "is_index").distinct()
 
 

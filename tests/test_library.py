@@ -105,7 +105,7 @@ def test_visibility(spark, brands):
     domains = {r.domain: r for r in V.citation_domains(answers, brands, cites).collect()}
     assert domains["blog.acme.com"].target and not domains["notacme.com"].target and domains["acme.com"].rank == 1
     assert V.brand_metrics(answers.limit(0), brands, mentions.limit(0)).count() == 0
-    assert V.sliced_metrics(answers, brands, mentions).filter("dimension = 'all'").first().eligible == 10
+    assert {r.brand_id: r.mentioned for r in V.sliced_metrics(answers, brands, mentions, cites).filter("dimension = 'all'").collect()}["b1"] == 9
     assert V.run_progress(answers).first().status == "partial"
 
 
@@ -176,12 +176,15 @@ def test_fetch_states(spark):
     rows = [(1, "/a", True, 200, "text/html; x"), (2, "/a#b", True, 200, "text/html"), (3, "/c", False, None, None), (4, "/d", True, 500, "text/html"), (5, "/e", True, 200, "image/png"), (6, "/f", True, None, None)]
     log = spark.createDataFrame([("c", k, "https://a.com" + u, "https://a.com" + u, a, s, t, None) for k, u, a, s, t in rows], "crawl_run_id string, seq int, url string, final_url string, allowed boolean, status_code int, content_type string, error string")
     assert [r.status for r in P.classify_fetches(log).orderBy("seq").collect()] == ["fetched", "skipped", "skipped", "failed", "skipped", "failed"]
+    more = spark.createDataFrame([("c", 1, "https://a.com/old", "https://a.com/new", True, 200, "text/html", None), ("c", 2, "https://a.com/new", None, True, None, None, "never asked"), ("d", 3, "https://a.com/new", "https://a.com/new", True, 200, "text/html", None)], log.schema)
+    assert [r.status for r in P.classify_fetches(more).orderBy("seq").collect()] == ["fetched", "skipped", "fetched"]
 
 
 def test_sitemaps_and_frontier(spark):
-    xml = "<urlset><url><loc>https://a.com/x/</loc></url><url><loc> https://a.com/y.pdf </loc></url><url><loc>https://b.com/z</loc></url></urlset><sitemapindex><sitemap><loc>https://a.com/s.xml</loc></sitemap></sitemapindex>"
-    df = spark.createDataFrame([("c", xml, "https://a.com"), ("c", "<!DOCTYPE x>" + xml.replace("/x/", "/w"), "https://a.com")], "crawl_run_id string, xml string, home string")
-    assert {(r.url, r.is_index) for r in P.read_sitemaps(df).collect()} == {("https://a.com/x", False), ("https://a.com/s.xml", True)}
+    xml = '<?xml version="1.0"?><s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9"><s:url a="1"><s:loc b="2">https://a.com/x/</s:loc></s:url><s:url><s:loc> https://a.com/y.pdf </s:loc></s:url><s:url><s:loc>https://b.com/z</s:loc></s:url><s:url><s:loc><![CDATA[https://a.com/v?b=1&a=2]]></s:loc></s:url><s:url><s:loc>https://a.com/u?x&#61;1&amp;y</s:loc></s:url></s:urlset>'
+    index = "<sitemapindex><sitemap><loc>https://a.com/s.xml</loc></sitemap></sitemapindex>"
+    df = spark.createDataFrame([("c", x, "https://a.com") for x in (xml, index, index, "<!DOCTYPE x>" + index.replace("/s", "/w"), xml[:-5], "", None, "<rss/>")], "crawl_run_id string, xml string, home string")
+    assert {(r.url, r.is_index) for r in P.read_sitemaps(df).collect()} == {("https://a.com/x", False), ("https://a.com/s.xml", True), ("https://a.com/v?a=2&b=1", False), ("https://a.com/u?x=1&y=", False)}
     rows = [("c", u, k, "https://a.com", ["/no"]) for k, u in enumerate(["https://a.com/b", "https://a.com/b#1", "https://a.com/", "https://a.com/no/x", "https://z.com/", "https://a.com/i.png"])]
     got = LI.frontier(spark.createDataFrame(rows, "crawl_run_id string, url string, seen int, home string, excluded_paths array<string>"), 5).orderBy("place").collect()
     assert [r.url for r in got] == ["https://a.com/", "https://a.com/b"]
@@ -207,8 +210,8 @@ def test_exports(spark, tmp_path):
     got = [tuple(r) for r in sinks.safe_csv(df).collect()]
     assert got == [("'=1+1", "'-1", '["a"]', ""), ("' @x", "2", "", "'\tq"), ('say "x"', "0", "[]", "ok")]
     sinks.write_csv(df.coalesce(1), str(tmp_path / "csv"))
-    text = next((tmp_path / "csv").glob("part-*")).read_text()
-    assert text.startswith('"a","b","c","d"') and '"say ""x"""' in text
+    text = next((tmp_path / "csv").glob("part-*")).read_bytes().decode()
+    assert text.startswith('\ufeff"a","b","c","d"\r\n') and '"say ""x"""' in text and text.count("\r\n") == 4
     nested = spark.createDataFrame([("key s3cret", [("x s3cret",)], ("s3cret", 1))], "t string, l array<struct<v:string>>, s struct<v:string,n:int>")
     row = sinks.redact(nested, ["s3cret", ""]).first()
     assert row.t == "key [REDACTED]" and row.l[0].v == "x [REDACTED]" and row.s.v == "[REDACTED]" and row.s.n == 1
@@ -270,8 +273,19 @@ def test_ledger(spark):
     total = L.usage_totals(usage, spark.createDataFrame([("p", 5.0)], "project_id string, budget double")).first()
     assert (total.attempts, total.cost, total.without_cost, total.remaining) == (3, 2.0, 1, 3.0)
     assert L.latest_responses(usage).first().id == 2 and [r.id for r in L.latest_usage(usage, 1).collect()] == [3]
-    overview = L.project_overview(spark.createDataFrame([("p",), ("q",)], "project_id string"), usage=usage.groupBy("project_id").agg(F.count("*").alias("n"))).collect()
-    assert {r.project_id: r.usage_n for r in overview} == {"p": 3, "q": 0}
+    facts = spark.createDataFrame([("p", "b", "product", 1, "x", "size", "1", "known"), ("p", "b", "product", 2, "X", "size", "2", "known"), ("p", "b", "product", 3, "x", "size", "3", "rejected")], "project_id string, brand_id string, category string, id int, subject string, attribute string, value string, status string")
+    answers = spark.createDataFrame([("e2", f"a{k}", "completed", True, False, "text") for k in range(3)] + [("e1", "z", "completed", True, False, "t")], "experiment_id string, answer_id string, status string, analyzed boolean, truncated boolean, raw string")
+    brands = spark.createDataFrame([("e2", "b1", "target"), ("e2", "b2", "competitor")], "experiment_id string, brand_id string, kind string")
+    mentions = spark.createDataFrame([("e2", "a0", "b1"), ("e2", "a1", "b2")], "experiment_id string, answer_id string, brand_id string")
+    runs = spark.createDataFrame([("p", "e1", 1), ("p", "e2", 2)], "project_id string, experiment_id string, created_at int")
+    plan = spark.createDataFrame([("p", 2, "later"), ("p", 1, "first")], "project_id string, place int, title string")
+    issues = spark.createDataFrame([("p", "error"), ("p", "observation")], "project_id string, severity string")
+    questions = spark.createDataFrame([("p", True), ("p", False)], "project_id string, selected boolean")
+    rows = L.project_overview(spark.createDataFrame([("p",), ("q",)], "project_id string"), answers, brands, mentions, runs, plan, issues, facts, questions)
+    got = {r.project_id: tuple(r)[1:] for r in rows.collect()}
+    assert got == {"p": ("e2", 3, 1, 2, "first", 1, 1, 1, 2, 2, 1), "q": (None, 0, 0, 0, None, 0, 0, 0, 0, 0, 0)}
+    history = L.fact_history(spark.createDataFrame([("f", 2, "b", 5), ("f", 1, "a", 4)], "fact_id string, id int, value string, created_at int"))
+    assert [(r.revision, r.before, r.value) for r in history.orderBy("revision").collect()] == [(1, None, "a"), (2, "a", "b")]
 
 
 def test_identical_pages_of_a_large_group(spark):
