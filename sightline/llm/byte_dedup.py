@@ -239,7 +239,8 @@ def remove_repeated_strings(docs: DataFrame, shard_bytes: int = SHARD_BYTES) ->
        which strings stand in it twice.
     3. Contexts of one key that fill several shards: each shard's strings are sorted and cut into ranges, and each range is
        merged over the shards by binary search.
-    Strings are judged on the input; a number of copies is counted and never paired. All steps read one shuffle of the texts.
+    Strings are judged on the input; a number of copies is counted and never paired. All steps read one shuffle of the texts,
+    so they all take doc_id along.
 
     Null and empty texts have no bytes. Texts of under 200 bytes have no string; a very long text is worked on alone, as a whole. Rows
     with equal doc_id and text are copies of each other; a doc_id with several texts, or a null one, is a document for each row. No
@@ -247,7 +248,7 @@ def remove_repeated_strings(docs: DataFrame, shard_bytes: int = SHARD_BYTES) ->
     """
     docs = with_roles(docs)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.filter(F.col("role") < COPY).select("row", "text").mapInArrow(_contexts, "key long, content long, more long, row long, place long").repartition(n, "key")
+    rows = docs.filter(F.col("role") < COPY).select("row", "doc_id", "text").mapInArrow(_contexts, "key long, content long, more long, row long, place long").repartition(n, "key")
     equal, key = Window.partitionBy("key", "content", "more"), Window.partitionBy("key")  # in this order both read one sort
     rows = rows.select("*", F.max(F.col("place") % 2).over(equal).alias("sure"), F.count(F.lit(1)).over(equal).alias("n"), F.min("row").over(equal).alias("first"))
     differ = (F.min("content").over(key) != F.max("content").over(key)) | (F.min("more").over(key) != F.max("more").over(key))
@@ -258,7 +259,7 @@ def remove_repeated_strings(docs: DataFrame, shard_bytes: int = SHARD_BYTES) ->
     deal = F.when(F.col("parts") > 1, F.xxhash64("key", F.pmod("content", "parts"))).otherwise(F.col("key"))
     rows = rows.select("key", "row", "place", deal.alias("deal"), "parts", (F.when(resolved, RESOLVED).otherwise(0) + F.when(compared, COMPARED).otherwise(0)).alias("kind"))
     marks = rows.filter("kind > 0").groupBy("row").agg(F.collect_list(F.struct("key", "place", "deal", "parts", "kind")).alias("marks"))
-    contexts = docs.join(marks, "row").select("row", "text", "marks").mapInArrow(_cut_out, "key long, deal long, parts int, row long, pos int, size int, context binary")
+    contexts = docs.filter(F.col("role") < COPY).join(marks, "row").select("row", "doc_id", "text", "marks").mapInArrow(_cut_out, "key long, deal long, parts int, row long, pos int, size int, context binary")
     shards = contexts.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(_sharded(shard_bytes), _KINDS)
     # one shuffle carries both kinds: found strings to their document, ranges to be merged to their own task
     placed = shards.withColumn("to", F.when(F.col("key").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("key", "part")))
