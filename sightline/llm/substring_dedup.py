@@ -102,15 +102,15 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
        their positions, so documents without a repeated anchor are done.
     3. Each repeated anchor extends to the windows around it, and these are counted under 128 bits of hash. Groups of any
        number of copies are counted, never paired.
-    All steps read one shuffle of the texts by row.
+    All steps read one shuffle of the texts by row, so they all take doc_id along.
 
     Null and empty texts have no words. Texts of fewer than 35 words have no window; a very long text is worked on alone, as a whole.
     Rows with equal doc_id and text are copies of each other; a doc_id with several texts, or a null one, is a document for each
     row. No order of rows matters, so there are no ties. An empty table gives no rows; other columns are ignored.
     """
     docs = with_roles(docs)
-    anchors = docs.filter(F.col("role") < COPY).select("row", "text").mapInArrow(_anchors, "k0 long, row long, place long")
-    marked = docs.filter(F.col("role") < COPY).join(repeated(anchors, ["k0"]), "row").select("row", "text", "marks")
+    anchors = docs.filter(F.col("role") < COPY).select("row", "doc_id", "text").mapInArrow(_anchors, "k0 long, row long, place long")
+    marked = docs.filter(F.col("role") < COPY).join(repeated(anchors, ["k0"]), "row").select("row", "doc_id", "text", "marks")
     windows = marked.mapInArrow(_windows, "k0 long, k1 long, row long, place long")
     return docs.join(repeated(windows, ["k0", "k1"]), "row", "left").select("doc_id", "text", "role", "marks")
 
