@@ -40,3 +40,50 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, p.b
 least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN least USING (doc_id)
 """
+
+def _crc32(n: int) -> int:
+    """What a byte adds to a CRC-32, by its definition."""
+    for _ in range(8):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+_CRC = str([_crc32(n) for n in range(256)])
+#: The search tries a capacity by filling shards one by one: a step of the recursion places one cut, or settles the capacity and halves the range.
+OP4 = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS leader FROM documents),
+o AS MATERIALIZED (SELECT doc_id, t, size, leader, (sum(size) OVER (ORDER BY leader, doc_id) - size)::BIGINT AS before, row_number() OVER (ORDER BY leader, doc_id) - 1 AS row FROM d),
+total AS MATERIALIZED (SELECT sum(size)::BIGINT AS total FROM d),
+bound AS MATERIALIZED (SELECT before FROM o WHERE doc_id = leader UNION ALL SELECT total FROM total),
+search(low, high, cuts) AS (
+  SELECT greatest(ceil(total / 16)::BIGINT, (SELECT max(s) FROM (SELECT sum(size)::BIGINT AS s FROM d GROUP BY leader))), total, [0::BIGINT] FROM total
+  UNION ALL
+  SELECT CASE WHEN after < total AND len(cuts) = 16 THEN (low + high) // 2 + 1 ELSE low END, CASE WHEN after = total THEN (low + high) // 2 ELSE high END, CASE WHEN after = total OR len(cuts) = 16 THEN [0::BIGINT] ELSE list_append(cuts, after) END
+  FROM (SELECT low, high, cuts, max(before) AS after FROM search, bound WHERE low < high AND before <= cuts[-1] + (low + high) // 2 GROUP BY ALL), total),
+best AS MATERIALIZED (SELECT min(high) AS capacity FROM search WHERE low = high),
+fill(cuts, k) AS (SELECT [0::BIGINT], 1 UNION ALL SELECT list_append(cuts, after), k + 1 FROM (SELECT cuts, k, max(before) AS after FROM fill, bound, best WHERE before <= cuts[-1] + capacity GROUP BY ALL), total WHERE after < total),
+final AS (SELECT cuts FROM fill ORDER BY k DESC LIMIT 1),
+sums AS (SELECT t, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(t), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a // 256, {_CRC}[xor(a % 256, b) + 1])), 4294967295) AS text_crc32 FROM (SELECT DISTINCT t FROM o))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, (len(list_filter(cuts, lambda c: c <= before)) - 1)::INTEGER AS shard, row_number() OVER (PARTITION BY len(list_filter(cuts, lambda c: c <= before)) ORDER BY row) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM o JOIN sums USING (t), final
+"""
+
+
+def _doubled() -> str:
+    """Numbers of strings of 2, 4, .. 128 bytes that are equal just where the strings are, each from two of half its length."""
+    out = ""
+    for k in range(7):
+        out += f"\n, b{k + 1} AS MATERIALIZED (SELECT doc_id, i, dense_rank() OVER (ORDER BY x, y) AS x FROM (SELECT doc_id, i, x, lead(x, {2**k}) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM b{k}) WHERE y IS NOT NULL)"
+    return out
+
+
+OP6 = rf"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+b0 AS MATERIALIZED (SELECT doc_id, i, c AS x FROM (SELECT doc_id, unnest(regexp_extract_all(h, '..')) AS c, generate_subscripts(regexp_extract_all(h, '..'), 1) AS i FROM d)){_doubled()},
+w AS MATERIALIZED (SELECT b.doc_id, b.i, b.x AS a, m.x AS m, e.x AS e FROM b7 b JOIN b6 m ON m.doc_id = b.doc_id AND m.i = b.i + 128 JOIN b3 e ON e.doc_id = b.doc_id AND e.i = b.i + 192),
+twice AS MATERIALIZED (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY a, m, e) > 1),
+gone AS (SELECT b.doc_id, b.i FROM b0 b ASOF JOIN twice t ON t.doc_id = b.doc_id AND t.i <= b.i WHERE b.i < t.i + 200),
+runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (first) AS n_spans FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS DISTINCT FROM i - 1 AS first FROM gone) GROUP BY 1),
+kept AS (SELECT b.doc_id, string_agg(b.x, '' ORDER BY b.i) AS h FROM b0 b ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256 FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

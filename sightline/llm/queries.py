@@ -27,4 +27,13 @@ QUERIES = {
         op10_url_filters,
     )
 }
-ORACLE: dict[str, str] = {"op1_quality_rules": oracle.OP1, "op2_substring_dedup": oracle.OP2, "op8_minhash_near_dedup": oracle.OP8, "op7_warc_archives": OP7_SQL, "op9_benchmark_decontamination": OP9_SQL, "op10_url_filters": OP10_SQL}
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": oracle.OP1,
+    "op2_substring_dedup": oracle.OP2,
+    "op4_minimax_sharding": oracle.OP4,
+    "op6_suffix_array_dedup": oracle.OP6,
+    "op7_warc_archives": OP7_SQL,
+    "op8_minhash_near_dedup": oracle.OP8,
+    "op9_benchmark_decontamination": OP9_SQL,
+    "op10_url_filters": OP10_SQL,
+}
