@@ -26,7 +26,7 @@ def content_sample(pages: DataFrame, limit: int = 12, characters: int = 12_000)
     """Each crawl's pages with HTTP 200 and text: the home page first, then by URL; with the excerpt that is looked at."""
     text = F.coalesce(F.nullif(F.col("technical_signals.main_text"), F.lit("")), F.col("visible_text"))
     rows = pages.filter((F.col("status_code") == 200) & (F.length(F.trim(text)) > 0))
-    home = F.coalesce(F.try_parse_url(F.coalesce("final_url", "url"), F.lit("PATH")), F.lit("")).isin("", "/")
+    home = F.coalesce(F.try_parse_url(F.coalesce(F.nullif(F.col("final_url"), F.lit("")), F.col("url")), F.lit("PATH")), F.lit("")).isin("", "/")
     rank = F.row_number().over(Window.partitionBy("crawl_run_id").orderBy(F.desc(home), "url"))
     return rows.withColumn("place", rank).filter(F.col("place") <= limit).withColumn("excerpt", F.substring(text, 1, characters))
 
@@ -60,7 +60,7 @@ def readiness(pages: DataFrame, brands: DataFrame) -> DataFrame:
     dated = F.array_max(F.filter(F.transform(F.concat(s["published_dates"], s["modified_dates"]), lambda d: F.try_to_timestamp(d)), lambda d: d.isNotNull()))
     age = (F.unix_micros(F.col("fetched_at").cast("timestamp")) - F.unix_micros(dated)) / 86_400_000_000
     return p.select(
-        F.col("id").alias("page_id"), "crawl_run_id", "brand_id", F.coalesce("final_url", "url").alias("url"), "title",
+        F.col("id").alias("page_id"), "crawl_run_id", "brand_id", F.coalesce(F.nullif(F.col("final_url"), F.lit("")), F.col("url")).alias("url"), "title",
         F.when(s.isNotNull(), _points(15, evidence / 3)).alias("evidence"), _points(15, structure / 3).alias("structure"),
         F.when(F.col("aliases").isNotNull() & (text != ""), _points(15, entity / 3)).alias("entity"), _points(10, technical / 5).alias("technical"),
         F.when(age >= 0, _points(5, F.when(age <= 365, 1.0).otherwise(0.5))).alias("freshness"),

@@ -1 +1,5 @@
+"""Registered queries over the driver's tables, and their DuckDB SQL."""
 
+from . import catalog, outputs
+
+__all__ = ["catalog", "outputs"]

@@ -69,7 +69,7 @@ def source_metrics(spark, d):
 
 @query(O.SLICED_METRICS)
 def sliced_metrics(spark, d):
-    return V.sliced_metrics(B.answers(spark, d), B.brands(spark), _mentions(spark, d))
+    return V.sliced_metrics(B.answers(spark, d), B.brands(spark), _mentions(spark, d), B.citations(spark, d)).drop("name", "kind", "share_denominator", "position", "position_samples", "absent")
 
 
 @query(O.ANSWER_COUNTS)
@@ -84,7 +84,7 @@ def mention_order(spark, d):
 
 @query(O.CITATION_DOMAINS)
 def citation_domains(spark, d):
-    return V.citation_domains(B.answers(spark, d), B.brands(spark), B.citations(spark, d)).drop("urls", "source_kinds")
+    return V.citation_domains(B.answers(spark, d), B.brands(spark), B.citations(spark, d)).withColumns({c: F.array_join(c, " ") for c in ("urls", "source_kinds")})
 
 
 @query(O.CONCENTRATION)
@@ -159,7 +159,7 @@ def crawl_counters(spark, d):
 
 @query(O.CONTRADICTIONS)
 def contradictions(spark, d):
-    return FA.contradictions(B.facts(spark, d)).select("brand_id", "category", "subject", "attribute", "n_values", "n_facts")
+    return FA.contradictions(B.facts(spark, d)).withColumns({c: F.array_join(c, " ") for c in ("values", "fact_ids")})
 
 
 @query(O.REFERENCE_FACTS)
@@ -357,7 +357,7 @@ def company_summary(spark, d):
     category = F.element_at(F.array(*map(F.lit, ("summary", "target_customer", "product", "feature"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     facts = B.read(spark, d, "part").select(F.col("p_brand").alias("project_id"), F.col("p_partkey").alias("id"), category.alias("category"), F.col("p_name").alias("value"), F.lit("unreviewed").alias("status"), F.col("p_size").alias("updated_at"))
     projects = facts.select("project_id").distinct().select("project_id", F.when(F.col("project_id").endswith("1"), "Own words").alias("description"), F.lit("").alias("target_customer"))
-    return FA.company_summary(projects, facts).select("project_id", "summary", F.array_join("customers", "|").alias("customers"))
+    return FA.company_summary(projects, facts).select("project_id", "summary", F.array_join("customers", "|").alias("customers"), F.array_join("offers", "|").alias("offers"))
 
 
 @query(O.IDENTICAL_PAGES)
@@ -375,8 +375,8 @@ def site_averages(spark, d):
 @query(O.VALID_FACTS)
 def valid_facts(spark, d):
     pages = B.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("visible_text"))
-    facts = B.read(spark, d, "documents").select((F.col("doc_id") - F.col("doc_id") % 2).alias("page_id"), F.when(F.col("doc_id") % 3 == 0, "odd").otherwise("product").alias("category"), F.lit("s").alias("subject"), F.lit("a").alias("attribute"), F.col("doc_id").cast("string").alias("value"), (F.col("doc_id") % 5 / 4).alias("confidence"), F.substring("text", 1, 40).alias("quote"))
-    return VA.validate_facts(facts, pages).select(F.col("value").cast("long").alias("doc_id"), F.array_contains("reasons", F.lit("category")).alias("bad_category"), F.array_contains("reasons", F.lit("quote")).alias("bad_quote"))
+    facts = B.read(spark, d, "documents").select((F.col("doc_id") - F.col("doc_id") % 2).alias("page_id"), F.when(F.col("doc_id") % 3 == 0, "odd").otherwise("product").alias("category"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise("s").alias("subject"), F.when(F.col("doc_id") % 11 == 0, F.repeat(F.lit("a"), 181)).otherwise("a").alias("attribute"), F.col("doc_id").cast("string").alias("value"), (F.col("doc_id") % 5 / 3).alias("confidence"), F.substring("text", 1, 40).alias("quote"))
+    return VA.validate_facts(facts, pages).select(F.col("value").cast("long").alias("doc_id"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(O.PROMPTS)

@@ -69,9 +69,18 @@ SELECT experiment_id, stage, mentioned, eligible, {_wilson("mentioned", "eligibl
 SOURCE_METRICS = f"""{_TARGET}, j AS (SELECT experiment_id, source, sum(hit)::BIGINT AS mentioned, count(*) AS eligible FROM t GROUP BY 1, 2)
 SELECT experiment_id, source, mentioned, eligible, {_wilson("mentioned", "eligible", "mention")} FROM j"""
 
-SLICED_METRICS = f"""{_TARGET}, j AS (SELECT experiment_id, dimension, value, sum(hit)::BIGINT AS mentioned, count(*) AS eligible FROM (
-  SELECT experiment_id, 'all' AS dimension, NULL AS value, hit FROM t {" ".join(f"UNION ALL SELECT experiment_id, '{d}', {d}, hit FROM t" for d in ("stage", "type", "persona_id", "source"))}) GROUP BY ALL)
-SELECT experiment_id, dimension, value, mentioned, eligible, {_wilson("mentioned", "eligible", "mention")} FROM j"""
+_SLICES = "unnest([{'d': 'all', 'v': ''}, {'d': 'stage', 'v': stage}, {'d': 'type', 'v': type}, {'d': 'persona_id', 'v': persona_id}, {'d': 'source', 'v': source}])"
+SLICED_METRICS = f"""WITH {_ANSWERS}, {_CITATIONS},
+s AS (SELECT experiment_id, answer_id, stage, s.d AS dimension, s.v AS value FROM (SELECT *, {_SLICES} AS s FROM good)),
+totals AS (SELECT experiment_id, dimension, value, count(*) AS eligible FROM s GROUP BY ALL),
+m AS (SELECT experiment_id, dimension, value, brand_id, count(*) AS mentioned, count(*) FILTER (first_position = 1) AS recommended, sum({_WEIGHT})::BIGINT AS weighted FROM mentions JOIN s USING (experiment_id, answer_id) GROUP BY 1, 2, 3, 4),
+c AS (SELECT DISTINCT experiment_id, answer_id, dimension, value, domain FROM citations JOIN s USING (experiment_id, answer_id)),
+cw AS (SELECT experiment_id, dimension, value, count(DISTINCT answer_id) AS with_citations FROM c GROUP BY ALL),
+ch AS (SELECT experiment_id, dimension, value, brand_id, count(DISTINCT answer_id) AS cited FROM c JOIN brands USING (experiment_id) WHERE domain = host OR ends_with(domain, '.' || host) GROUP BY ALL),
+j AS (SELECT experiment_id, dimension, value, brand_id, eligible, coalesce(mentioned, 0) AS mentioned, coalesce(recommended, 0) AS recommended, coalesce(cited, 0) AS cited, coalesce(with_citations, 0) AS with_citations, coalesce(weighted, 0) AS weighted
+  FROM totals JOIN brands USING (experiment_id) LEFT JOIN m USING (experiment_id, dimension, value, brand_id) LEFT JOIN cw USING (experiment_id, dimension, value) LEFT JOIN ch USING (experiment_id, dimension, value, brand_id))
+SELECT experiment_id, dimension, value, brand_id, eligible, mentioned, {_wilson("mentioned", "eligible", "mention")}, recommended, {_wilson("recommended", "eligible", "recommendation")}, cited, with_citations, {_wilson("cited", "with_citations", "citation")},
+  weighted, round(weighted / nullif(sum(weighted) OVER (PARTITION BY experiment_id, dimension, value), 0), 9)::DOUBLE AS share FROM j"""
 
 ANSWER_COUNTS = f"""WITH {_ANSWERS} SELECT experiment_id, count(*) FILTER (answer_id IN (SELECT answer_id FROM good)) AS eligible, count(*) FILTER (answer_id NOT IN (SELECT answer_id FROM good)) AS excluded,
   count(*) FILTER (refused AND answer_id IN (SELECT answer_id FROM good)) AS refusals FROM answers GROUP BY 1"""
@@ -80,9 +89,9 @@ FILTERED = f"WITH {_ANSWERS} SELECT experiment_id, answer_id FROM answers WHERE
 
 _DOMAINS = f"""WITH {_ANSWERS}, {_CITATIONS},
 r AS (SELECT c.* FROM citations c JOIN good USING (experiment_id, answer_id)),
-dom AS (SELECT experiment_id, domain, count(*) AS citations, count(DISTINCT url) AS n_urls, count(DISTINCT answer_id) AS n_answers, min(ordinal * 1000000000 + pos) AS first FROM r GROUP BY 1, 2),
+dom AS (SELECT experiment_id, domain, count(*) AS citations, count(DISTINCT url) AS n_urls, count(DISTINCT answer_id) AS n_answers, array_to_string((list_sort(list(DISTINCT url)))[1:100], ' ') AS urls, array_to_string(list_sort(list(DISTINCT source)), ' ') AS source_kinds, min(ordinal * 1000000000 + pos) AS first FROM r GROUP BY 1, 2),
 t AS (SELECT experiment_id, min(host) AS host FROM brands WHERE kind = 'target' GROUP BY 1),
-ranked AS (SELECT experiment_id, domain, citations, n_urls, n_answers, domain = host OR ends_with(domain, '.' || host) AS target, row_number() OVER (PARTITION BY experiment_id ORDER BY citations DESC, first, domain) AS rank FROM dom LEFT JOIN t USING (experiment_id))"""
+ranked AS (SELECT experiment_id, domain, citations, n_urls, n_answers, urls, source_kinds, domain = host OR ends_with(domain, '.' || host) AS target, row_number() OVER (PARTITION BY experiment_id ORDER BY citations DESC, first, domain) AS rank FROM dom LEFT JOIN t USING (experiment_id))"""
 CITATION_DOMAINS = f"{_DOMAINS} SELECT * FROM ranked"
 CONCENTRATION = f"""{_DOMAINS}, j AS (SELECT experiment_id, (sum(citations) FILTER (rank <= 5))::BIGINT AS top, sum(citations)::BIGINT AS citations FROM ranked GROUP BY 1)
 SELECT experiment_id, top, citations, {_wilson("top", "citations", "concentration")} FROM j"""
@@ -109,7 +118,7 @@ LATEST_CRAWLS = "SELECT o_custkey AS brand_id, (max({'t': o_orderdate, 'i': o_or
 CRAWL_COUNTERS = "SELECT user_id AS crawl_run_id, count(*) AS processed, count(*) FILTER (event_type NOT IN ('error', 'view')) AS fetched, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'view') AS skipped FROM events GROUP BY 1"
 
 _FACTS = "facts AS (SELECT p_partkey AS id, p_brand AS brand_id, lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) AS subject, p_size::VARCHAR AS value, p_partkey * 7919 % 10007 AS updated_at FROM part WHERE p_partkey % 9 <> 0)"
-CONTRADICTIONS = f"WITH {_FACTS} SELECT brand_id, 'product' AS category, subject, 'size' AS attribute, count(DISTINCT value) AS n_values, count(*) AS n_facts FROM facts GROUP BY brand_id, subject HAVING count(DISTINCT value) > 1"
+CONTRADICTIONS = f"WITH {_FACTS} SELECT brand_id, 'product' AS category, subject, 'size' AS attribute, count(DISTINCT value) AS n_values, count(*) AS n_facts, array_to_string(list_sort(list(DISTINCT value))[1:100], ' ') AS values, array_to_string(list_sort(list(id))[1:100], ' ') AS fact_ids FROM facts GROUP BY brand_id, subject HAVING count(DISTINCT value) > 1"
 REFERENCE_FACTS = f"WITH {_FACTS} SELECT brand_id, id, place FROM (SELECT brand_id, id, row_number() OVER (PARTITION BY brand_id ORDER BY updated_at DESC, id)::INTEGER AS place FROM facts) WHERE place <= CASE WHEN ends_with(brand_id, '1') THEN 60 ELSE 12 END"
 CONTEXT_FACTS = f"""WITH {_FACTS}, d AS (SELECT *, row_number() OVER (PARTITION BY brand_id, subject, value ORDER BY updated_at DESC, id) AS k FROM facts)
 SELECT brand_id, id, place FROM (SELECT brand_id, id, row_number() OVER (PARTITION BY brand_id ORDER BY updated_at DESC, id)::INTEGER AS place FROM d WHERE k = 1) WHERE place <= 40"""
@@ -129,7 +138,9 @@ LIBRARY_CHECK = f"""WITH {_QUESTIONS} SELECT project_id, count(*) AS active, boo
   count(*) >= 30 AND bool_or(intent <= 2) AND bool_or(intent >= 4) AND bool_or(branded) AND bool_or(NOT branded) AS complete FROM questions WHERE status = 'active' GROUP BY 1"""
 STAGE_SHORTAGE = f"""WITH {_QUESTIONS}, g AS (SELECT DISTINCT project_id, unnest({_STAGES}) AS stage, unnest(range(6)) AS k FROM questions), c AS (SELECT project_id, stage, k, (SELECT count(*) FROM questions q WHERE q.project_id = g.project_id AND q.stage = g.stage AND q.status = 'active') AS n FROM g)
 SELECT project_id, stage, n FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY n, k) AS r FROM c) WHERE r = 1"""
-FINGERPRINT = f"WITH {_QUESTIONS} SELECT project_id, sha256(string_agg(concat_ws('|', id, text, 'Unspecified'), chr(10) ORDER BY id)) AS fingerprint FROM questions WHERE selected GROUP BY 1"
+FINGERPRINT = f"""WITH {_QUESTIONS}, l AS (SELECT project_id, id, sha256(concat_ws('|', id, text, 'Unspecified')) AS line, (row_number() OVER (PARTITION BY project_id ORDER BY id) - 1) // 1000 AS block FROM questions WHERE selected),
+b AS (SELECT project_id, block, sha256(string_agg(line, chr(10) ORDER BY id)) AS digest FROM l GROUP BY ALL)
+SELECT project_id, sha256(string_agg(digest, chr(10) ORDER BY block)) AS fingerprint FROM b GROUP BY 1"""
 BRANDED = f"WITH {_QUESTIONS} SELECT id FROM questions WHERE contains(' ' || normalized_text || ' ', ' the ') OR contains(' ' || normalized_text || ' ', ' que ')"
 
 EXACT_DUPLICATES = "SELECT source AS crawl_run_id, doc_id AS id, count(*) OVER (PARTITION BY source, text) - 1 AS others FROM documents WHERE text <> '' QUALIFY others > 0"
@@ -182,10 +193,11 @@ BRAND_ALIASES = "SELECT brand_id, array_to_string(list_sort(list_distinct([brand
 REPEATED_DOMAINS = f"SELECT page_id % 20 AS project_id, {_HOST} AS domain, count(*) AS n FROM pages GROUP BY 1, 2 HAVING count(*) > 1"
 BRAND_CHANGES = f"""WITH r AS (SELECT page_id % 2 AS half, {_HOST} AS d, min(page_id)::VARCHAR AS id FROM pages GROUP BY 1, 2), a AS (SELECT * FROM r WHERE half = 0), b AS (SELECT * FROM r WHERE half = 1)
 SELECT 'https://' || coalesce(a.d, b.d) AS domain, b.id, a.d IS NOT NULL AS active, CASE WHEN a.d IS NULL THEN 'deactivate' WHEN b.d IS NULL THEN 'insert' ELSE 'keep' END AS change FROM a FULL JOIN b USING (d)"""
-COMPANY_SUMMARY = """WITH f AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_partkey % 4 ORDER BY p_size DESC, p_partkey DESC) AS k FROM part)
-SELECT p_brand AS project_id, CASE WHEN ends_with(p_brand, '1') THEN 'Own words' ELSE max(p_name) FILTER (p_partkey % 4 = 0 AND k = 1) END AS summary, coalesce(string_agg(p_name, '|' ORDER BY k) FILTER (p_partkey % 4 = 1 AND k <= 2), '') AS customers FROM f GROUP BY p_brand"""
+COMPANY_SUMMARY = """WITH f AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_partkey % 4 >= 2 ORDER BY p_size DESC, p_partkey DESC) AS o, row_number() OVER (PARTITION BY p_brand, p_partkey % 4 ORDER BY p_size DESC, p_partkey DESC) AS k FROM part)
+SELECT p_brand AS project_id, CASE WHEN ends_with(p_brand, '1') THEN 'Own words' ELSE max(p_name) FILTER (p_partkey % 4 = 0 AND k = 1) END AS summary, coalesce(string_agg(p_name, '|' ORDER BY k) FILTER (p_partkey % 4 = 1 AND k <= 2), '') AS customers, coalesce(string_agg(p_name, '|' ORDER BY o) FILTER (p_partkey % 4 >= 2 AND o <= 3), '') AS offers FROM f GROUP BY p_brand"""
 IDENTICAL_PAGES = "WITH g AS (SELECT lang, text, list(doc_id ORDER BY doc_id) AS ids FROM documents GROUP BY ALL HAVING count(*) > 1) SELECT d.lang AS brand_id, d.doc_id AS id, array_to_string((list_filter(ids[1:21], lambda i: i <> d.doc_id))[1:20], ',') AS similar FROM documents d JOIN g USING (lang, text)"
 SITE_AVERAGES = "SELECT o_custkey AS brand_id, round(avg(o_totalprice::DOUBLE), 9) AS score, 60.0::DOUBLE AS evaluated_weight, count(*) AS pages FROM orders GROUP BY 1"
-VALID_FACTS = r"""WITH p AS (SELECT doc_id, (trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')))[1:8000] AS t FROM documents)
-SELECT d.doc_id, d.doc_id % 3 = 0 AS bad_category, NOT coalesce(length(trim(d.text[1:40])) >= 16 AND contains(p.t, trim(regexp_replace(d.text[1:40], '\s+', ' ', 'g'))), false) AS bad_quote FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id - d.doc_id % 2"""
+VALID_FACTS = r"""WITH p AS (SELECT doc_id, (trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')))[1:8000] AS t FROM documents),
+r AS (SELECT d.doc_id, list_filter([CASE WHEN d.doc_id % 3 = 0 THEN 'category' END, CASE WHEN d.doc_id % 7 = 0 THEN 'subject' END, CASE WHEN d.doc_id % 11 = 0 THEN 'attribute' END, CASE WHEN d.doc_id % 5 / 3 > 1 THEN 'confidence' END, CASE WHEN NOT coalesce(length(trim(d.text[1:40])) >= 16 AND contains(p.t, trim(regexp_replace(d.text[1:40], '\s+', ' ', 'g'))), false) THEN 'quote' END], lambda x: x IS NOT NULL) AS reasons_ FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id - d.doc_id % 2)
+SELECT doc_id, array_to_string(reasons_, ',') AS reasons FROM r"""
 PROMPTS = f"WITH {_QUESTIONS} SELECT id, CASE WHEN id % 2 = 0 THEN text ELSE text || chr(10) || 'Buyer location: EU' END AS prompt, sha256(text)[1:20] AS key FROM questions"

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder and read from there, so that what it took to make it isn't done again for each reader.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session may do without the setting; elsewhere that is an error.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the session's ``spark.checkpoint.dir``. Only a local session may do without the setting; elsewhere that is an error."""
+    context = spark.sparkContext
+    base = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-stored-"))
-    return df.checkpoint()
+        base = tempfile.mkdtemp(prefix="spark-stored-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to a shared folder and read from there, so that what it took to make it isn't done again for each reader."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
