@@ -13,7 +13,7 @@ from ..functions.jsonld import jsonld_summary
 from ..functions.text import comparable, compact, noindex_directives
 from ..functions.urls import url_key
 from ..storage import stored
-from .duplicates import duplicates, equal_texts, near_duplicates, shingle_sets
+from .duplicates import duplicates, equal_texts, similar_sets, text_classes
 from .links import broken_links, canonical_targets, incoming_links, keyed_pages, link_edges, page_links, resolve_links, robots_verdicts
 
 RULE_VERSION = "technical-1.0.0"
@@ -163,7 +163,7 @@ def page_outcomes(crawls: DataFrame, pages: DataFrame, robots: DataFrame | None
         parts.append(duplicates(fetched, F.col(key)).select(*id_, F.struct("others", "sample").alias(name)))
     main = F.coalesce(F.when(F.col("technical_signals.main_text") != "", F.col("technical_signals.main_text")), F.col("visible_text"))
     texts = pages.filter("status = 'fetched'").select("crawl_run_id", "id", "text_hash", main.alias("main"))
-    parts += [similar_pages(texts), shingle_sets(texts, F.col("main"), "crawl_run_id", "id").select(*id_, F.lit(True).alias("comparable_text"))]
+    parts.append(similar_pages(texts))
     found = crawls.select(F.col("id").alias("crawl_run_id"), F.explode("discovery.page_urls").alias("u")).select("crawl_run_id", url_key(F.col("u")).alias("page_k")).distinct()
     parts.append(slim.select(*id_, "page_k").join(found, ["crawl_run_id", "page_k"]).select("crawl_run_id", "page_id", F.lit(True).alias("in_discovery")))
     if robots is not None:
@@ -185,13 +185,18 @@ def page_outcomes(crawls: DataFrame, pages: DataFrame, robots: DataFrame | None
 
 
 def similar_pages(texts: DataFrame, listed: int = 20) -> DataFrame:
-    """(crawl_run_id, page_id, similar): how many pages of other texts are near-duplicates of a page, and the first pages of such texts."""
-    pairs = near_duplicates(texts, F.col("main"), F.col("text_hash"))
+    """(crawl_run_id, page_id, similar, comparable_text) of the pages whose texts are long enough to be compared.
+
+    ``similar``: how many pages of other texts are near-duplicates of the page, and the first pages of such texts; null where there are none.
+    """
+    classes, sets = text_classes(texts, F.col("main"), F.col("text_hash"))
+    pairs = similar_sets(classes, sets)
     both = pairs.select("crawl_run_id", F.col("a").alias("first"), F.col("b").alias("other"), F.col("n_b").alias("n")).union(pairs.select("crawl_run_id", "b", "a", "n_a"))
     place = F.row_number().over(Window.partitionBy("crawl_run_id", "first").orderBy("other"))
     near = both.withColumn("place", place).groupBy("crawl_run_id", "first").agg(F.sum("n").alias("others"), F.array_sort(F.collect_list(F.when(F.col("place") <= listed, F.col("other")))).alias("sample"))
-    members = equal_texts(texts, F.col("text_hash"), "crawl_run_id", "id")
-    return members.join(near, ["crawl_run_id", "first"]).select("crawl_run_id", F.col("id").alias("page_id"), F.struct("others", "sample").alias("similar"))
+    members = equal_texts(texts, F.col("text_hash"), "crawl_run_id", "id").join(sets.select("crawl_run_id", F.col("id").alias("first")), ["crawl_run_id", "first"])
+    similar = F.when(F.col("others").isNotNull(), F.struct("others", "sample"))
+    return members.join(near, ["crawl_run_id", "first"], "left").select("crawl_run_id", F.col("id").alias("page_id"), similar.alias("similar"), F.lit(True).alias("comparable_text"))
 
 
 def site_outcomes(crawls: DataFrame, pages: DataFrame, robots: DataFrame | None = None) -> DataFrame:
