@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document is told by its key (see ``keyed``) and host, so null and repeated doc_ids don't matter. Other columns stay as they are.
     """
-    rows = keyed(docs, name=KEY_COLUMN)[0].withColumn("_host", F.coalesce("source", F.lit("")).cast("string"))
+    rows = keyed(docs, name=KEY_COLUMN).rows.withColumn("_host", F.coalesce("source", F.lit("")).cast("string"))
     kept = quality_rules(rows.select(F.col(KEY_COLUMN).alias("doc_id"), "text", "source")).filter("kept")
     kept = kept.select(F.col("doc_id").alias(KEY_COLUMN), F.col("host").alias("_host")).distinct()
     return rows.join(kept, [KEY_COLUMN, "_host"], "left_semi").select(docs.columns)
@@ -33,20 +33,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of repeated rows one stays. Null and empty texts are no duplicates of each other and all stay; see ``near_duplicates`` for the other cases.
     """
-    rows = keyed(docs, name=KEY_COLUMN)[0]
-    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    again = cut(rows.filter(has_words).groupBy(KEY_COLUMN).agg(F.count("*").alias("n")).filter("n > 1").select(KEY_COLUMN, F.lit(True).alias("_again")))
-    if not again.isEmpty():  # rows that nothing tells apart but their other columns
-        told = salted_left_join(rows, again, [KEY_COLUMN], F.col("text"))
-        rows = told.filter("_again IS NULL").unionByName(told.filter("_again").dropDuplicates([KEY_COLUMN])).drop("_again")
-    kept = verdicts(docs).filter("chosen").select(F.col("row").alias(KEY_COLUMN)).distinct()
+    told = keyed(docs, name=KEY_COLUMN)
+    rows = told.rows
+    if told.again:  # of rows that nothing tells apart but their other columns one stays, where they have words
+        words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        again = cut(rows.filter(words).groupBy(KEY_COLUMN).agg(F.count("*").alias("n")).filter("n > 1").select(KEY_COLUMN, F.lit(True).alias("_again")))
+        marked = salted_left_join(rows, again, [KEY_COLUMN], F.col("text"))
+        rows = marked.filter("_again IS NULL").unionByName(marked.filter("_again").dropDuplicates([KEY_COLUMN])).drop("_again")
+    kept = verdicts(told._replace(rows=told.rows.select(F.col(KEY_COLUMN).alias("row"), "doc_id", "text"))).filter("chosen").select(F.col("row").alias(KEY_COLUMN)).distinct()
     return rows.join(kept, KEY_COLUMN, "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold less than 75 % of every benchmark item's shingles; see ``contained_items`` for nulls, long texts and repeated ids."""
-    found = findings(docs, table(spark, sf_dir, "benchmark")).select(F.col("row").alias(KEY_COLUMN)).distinct()
-    return keyed(docs, name=KEY_COLUMN)[0].join(found, KEY_COLUMN, "left_anti").select(docs.columns)
+    rows = keyed(docs, name=KEY_COLUMN).rows
+    found = findings(rows.select(F.col(KEY_COLUMN).alias("row"), "doc_id", "text"), table(spark, sf_dir, "benchmark")).select(F.col("row").alias(KEY_COLUMN)).distinct()
+    return rows.join(found, KEY_COLUMN, "left_anti").select(docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

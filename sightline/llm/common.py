@@ -32,11 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that later steps survive lost executors."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write df to the shared folder and go on from there, so that later steps survive lost executors.
+
+    A written table is read by columns and has its true size. (A checkpointed one keeps the estimate of its plan, and those of
+    iterated joins soon have more digits than can be counted.)
+    """
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def salted_left_join(rows: DataFrame, keys: DataFrame, on: list[str], spread: Column, salts: int = SALTS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,25 +29,33 @@ def own_id(name: str = "doc_id") -> Column:
     return F.when(F.col(name) < NO_ID, F.col(name)).alias(name)
 
 
-def keyed(docs: DataFrame, id: str = "doc_id", name: str = "row") -> tuple[DataFrame, bool]:
-    """docs with a key, the column ``name``, and whether an id has several texts.
+class Keyed(NamedTuple):
+    """Rows with a key, whether an id has several texts, and whether a row stands there again."""
+
+    rows: DataFrame
+    clash: bool
+    again: bool
+
+
+def keyed(docs: DataFrame, id: str = "doc_id", name: str = "row") -> Keyed:
+    """docs with a key, the column ``name``.
 
     Rows with equal keys have equal ids and equal texts: the key is the id, or where the id is null or has several texts, one
-    made of id and text. Ids with several texts are found by a pre-aggregated hash of the text; where there are none, nothing is joined.
+    made of id and text. Whether there are such ids is told by a pre-aggregated hash of the text; where there are none, nothing is joined.
     """
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    tags = docs.select(F.col(id).cast("long").alias("_own"), F.xxhash64("text").alias("tag")).filter("_own IS NOT NULL")
-    clashes = tags.groupBy("_own").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).filter("low <> high")
-    clashes = cut(clashes.select("_own", F.lit(True).alias("_clash")))
-    if clashes.isEmpty():
-        return docs.withColumn(name, given_key(id)), False
-    rows = salted_left_join(docs.withColumn("_own", F.col(id).cast("long")), clashes, ["_own"], F.col("text"))
-    return rows.withColumn(name, F.when(F.col("_clash"), made_key("_own", "text")).otherwise(given_key(id))).drop("_own", "_clash"), True
+    tags = docs.select(given_key(id).alias("_own"), F.xxhash64("text").alias("tag")).groupBy("_own").agg(F.count("*").alias("n"), F.min("tag").alias("low"), F.max("tag").alias("high"))
+    clash, again = (bool(x) for x in tags.agg(F.max(F.col("low") != F.col("high")), F.max(F.col("n") > 1)).first())
+    if not clash:
+        return Keyed(docs.withColumn(name, given_key(id)), False, again)
+    clashes = cut(tags.filter("low <> high").select("_own", F.lit(True).alias("_clash")))
+    rows = salted_left_join(docs.withColumn("_own", given_key(id)), clashes, ["_own"], F.col("text"))
+    return Keyed(rows.withColumn(name, F.when(F.col("_clash"), made_key("_own", "text")).otherwise(F.col("_own"))).drop("_own", "_clash"), True, again)
 
 
 def with_roles(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text, role) of each document. A text's copies are told by its SHA-256; only hashes are grouped."""
-    docs = keyed(docs.select(F.col("doc_id").cast("long"), "text"))[0]
+    docs = keyed(docs.select(F.col("doc_id").cast("long"), "text")).rows
     hashed = docs.select("row", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
     several = hashed.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     roles = salted_left_join(hashed, several, ["digest"], F.col("row")).filter(F.col("first").isNotNull())

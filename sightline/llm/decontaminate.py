@@ -67,13 +67,13 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     read whole. A null doc_id or item_id is reported as null, each text of it by itself, and so is each text of an id that has several;
     repeated rows count once. No order of rows matters, so there are no ties. Empty tables give no rows; other columns are ignored.
     """
-    return findings(docs, items).drop("row")
+    return findings(keyed(docs.select("doc_id", "text")).rows, items).drop("row")
 
 
 def findings(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``contained_items`` with the document's ``row`` (see ``keyed``), which is never null."""
-    docs = keyed(docs.select("doc_id", "text"))[0]
-    items = keyed(items.select("item_id", "text"), "item_id")[0].withColumnRenamed("row", "item")
+    """``contained_items`` of documents with their ``row`` (see ``keyed``), which is never null."""
+    docs = docs.select("row", "doc_id", "text")
+    items = keyed(items.select("item_id", "text"), "item_id").rows.withColumnRenamed("row", "item")
     items = worded(items, "item", "item_id").select("item", "item_id", F.array_distinct(shingle_list(F.col("words"), _joined)).alias("shingles"))
     items = cut(items.filter(F.size("shingles") > 0).withColumn("n_item_shingles", F.size("shingles").cast("long")).dropDuplicates(["item"]))
     largest = F.pow(F.lit(2), F.floor(F.log2("n_item_shingles")) + 1) - 1

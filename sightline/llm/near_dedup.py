@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, salted_left_join, table
 from .components import components
-from .copies import keyed, own_id
+from .copies import Keyed, keyed, own_id
 from .kernels import hashed_words, in_a_row, mix, paired, ragged, slices
 
 #: Words of a shingle; a link needs PERCENT of the union in common.
@@ -279,16 +279,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the same verdict; a doc_id with several texts is a document for each. The smallest doc_id settles all ties. Other columns are
     ignored; an empty table gives no rows.
     """
-    rows = verdicts(docs)
+    rows = verdicts(keyed(docs.select(F.col("doc_id").cast("long"), "text")))
     return rows.select("doc_id", "n_shingles", own_id("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("row") == F.col("component_id")).alias("kept"))
 
 
-def verdicts(docs: DataFrame) -> DataFrame:
+def verdicts(keyed_docs: Keyed) -> DataFrame:
     """row (see ``keyed``), doc_id, n_shingles, component_id (a row's key where no member has an id) and chosen.
 
     One text of each group is chosen; only repeated rows share a verdict.
     """
-    docs, clash = keyed(docs.select(F.col("doc_id").cast("long"), "text"))
+    docs = keyed_docs.rows.select("row", F.col("doc_id").cast("long"), "text")
     sketches = cut(docs.select("row", "doc_id", "text").mapInArrow(_sketched, "row long, doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch binary"))
     same = ["d1", "d2", "n_shingles"]
     classes = sketches.filter("n_shingles > 0").groupBy(*same).agg(F.min("row").alias("rep"), F.count("*").alias("n"), F.any_value(F.struct("keys", "sketch")).alias("s"))
@@ -306,7 +306,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     rows = salted_left_join(sketches.select("row", "doc_id", *same), several, same, F.col("row")).select("row", "doc_id", "n_shingles", F.coalesce("rep", "row").alias("rep"))
     rows = salted_left_join(rows, linked.withColumnRenamed("node", "rep"), ["rep"], F.col("row"))
     rows = rows.select("row", "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("chosen", F.col("row") == F.col("component_id"))
-    if clash:  # keys of such ids are above all ids: the smallest id is another row's, or none that is a key
+    if keyed_docs.clash:  # keys of such ids are above all ids: the smallest id is another row's, or none that is a key
         least = rows.groupBy("component_id").agg(F.min("doc_id").alias("least"))
         rows = salted_left_join(rows, least, ["component_id"], F.col("row")).withColumn("component_id", F.coalesce("least", "component_id")).drop("least")
     return rows
