@@ -87,3 +87,35 @@ runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (first) AS n_span
 kept AS (SELECT b.doc_id, string_agg(b.x, '' ORDER BY b.i) AS h FROM b0 b ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
 SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256 FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+def _tree(name: str) -> str:
+    """Levels of the trees whose leaves are in a table name0 (tree, pos, node), and where each ends."""
+    return f"""{name}(tree, lvl, pos, node) AS (SELECT tree, 0, pos, node FROM {name}0
+  UNION ALL SELECT tree, lvl + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM {name}) WHERE c > 1 GROUP BY tree, lvl, pos // 8),
+{name}_top AS MATERIALIZED (SELECT tree, max(lvl) AS top, arg_max(node, lvl) AS node FROM {name} GROUP BY tree)"""
+
+
+def _climb(name: str, start: str, tree: str) -> str:
+    """From a table start (tree, place, pos, h, p) up the trees: h with the siblings as they were, p the siblings."""
+    return f"""{name}(tree, place, lvl, pos, h, p) AS (SELECT tree, place, 0, pos, h, p FROM {start}
+  UNION ALL SELECT f.tree, f.place, f.lvl + 1, f.pos // 8, sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.h ELSE t.node END, '' ORDER BY t.pos)), f.p || coalesce(string_agg(t.node, '' ORDER BY t.pos) FILTER (t.pos <> f.pos), '')
+  FROM {name} f JOIN {tree} t ON t.tree = f.tree AND t.lvl = f.lvl AND t.pos // 8 = f.pos // 8 JOIN {tree}_top o ON o.tree = f.tree AND f.lvl < o.top GROUP BY f.tree, f.place, f.lvl, f.pos, f.h, f.p)"""
+
+
+_FIELDS = "concat({})".format(", ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "text")))
+OP13 = f"""
+WITH RECURSIVE ids AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(doc_id::VARCHAR), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a // 256, {_CRC}[xor(a % 256, b) + 1])), 4294967295) % 3 = 0 AS hit FROM (SELECT DISTINCT doc_id FROM documents)),
+d AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({_FIELDS}) AS node, sha256({_FIELDS.replace("text", "new")}) AS altered
+  FROM (SELECT d.*, CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS new FROM documents d LEFT JOIN ids USING (doc_id))),
+t0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node, altered) - 1 AS pos FROM d),
+{_tree("t")},
+u0 AS MATERIALIZED (SELECT '' AS tree, tree AS own, row_number() OVER (ORDER BY tree) - 1 AS pos, node FROM t_top),
+{_tree("u")},
+low AS (SELECT tree, pos AS place, pos, altered AS h, '' AS p FROM t0),
+{_climb("f", "low", "t")},
+high AS (SELECT '' AS tree, struct_pack(tree := f.tree, place := f.place) AS place, u0.pos, h, p FROM f JOIN t_top ON t_top.tree = f.tree AND f.lvl = t_top.top JOIN u0 ON u0.own = f.tree),
+{_climb("g", "high", "u")}
+SELECT doc_id, t0.node AS leaf, t_top.node AS subroot, u_top.node AS root, sha256(p) AS proof_sha256, h AS folded_root, h = u_top.node AS verified
+FROM g JOIN u_top ON g.lvl = u_top.top JOIN t0 ON t0.tree = g.place.tree AND t0.pos = g.place.place JOIN t_top ON t_top.tree = t0.tree
+"""

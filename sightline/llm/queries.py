@@ -4,6 +4,7 @@ from . import oracle
 from .bpe import op5_byte_bpe
 from .byte_dedup import op6_suffix_array_dedup
 from .decontaminate import OP9_SQL, op9_benchmark_decontamination
+from .merkle import op13_merkle_manifest
 from .near_dedup import op8_minhash_near_dedup
 from .pii import op3_feistel_pseudonyms
 from .quality import op1_quality_rules
@@ -25,6 +26,7 @@ QUERIES = {
         op8_minhash_near_dedup,
         op9_benchmark_decontamination,
         op10_url_filters,
+        op13_merkle_manifest,
     )
 }
 ORACLE: dict[str, str] = {
@@ -36,4 +38,5 @@ ORACLE: dict[str, str] = {
     "op8_minhash_near_dedup": oracle.OP8,
     "op9_benchmark_decontamination": OP9_SQL,
     "op10_url_filters": OP10_SQL,
+    "op13_merkle_manifest": oracle.OP13,
 }
