@@ -12,6 +12,7 @@ from .sharding import op4_minimax_sharding
 from .substring_dedup import op2_substring_dedup
 from .url_filters import OP10_SQL, op10_url_filters
 from .warc import OP7_SQL, op7_warc_archives
+from .whitening import op12_embedding_whitening
 
 QUERIES = {
     f.__name__: f
@@ -26,6 +27,7 @@ QUERIES = {
         op8_minhash_near_dedup,
         op9_benchmark_decontamination,
         op10_url_filters,
+        op12_embedding_whitening,
         op13_merkle_manifest,
     )
 }
