@@ -10,6 +10,7 @@ from .pii import op3_feistel_pseudonyms
 from .quality import op1_quality_rules
 from .sharding import op4_minimax_sharding
 from .substring_dedup import op2_substring_dedup
+from .toxicity import op11_toxicity
 from .url_filters import OP10_SQL, op10_url_filters
 from .warc import OP7_SQL, op7_warc_archives
 from .whitening import op12_embedding_whitening
@@ -27,6 +28,7 @@ QUERIES = {
         op8_minhash_near_dedup,
         op9_benchmark_decontamination,
         op10_url_filters,
+        op11_toxicity,
         op12_embedding_whitening,
         op13_merkle_manifest,
     )
