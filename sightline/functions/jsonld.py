@@ -4,48 +4,60 @@ from __future__ import annotations
 
 import json
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-#: Entities of a page that are looked at.
-MOST_NODES = 5000
+from .htmltree import plain_text
+
+#: Entities of a page that are looked at, values that are visited for them, and values that wait at most.
+MOST_NODES, MOST_VISITS, MOST_WAITING = 5000, 10_000, 10_000
+#: Levels of nesting that a block may have.
+MOST_DEPTH = 500
+_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*"?|[\[{]|[\]}]', re.S)
 
 _TEXTS = ArrayType(StringType())
 SUMMARY = StructType([StructField(k, t) for k, t in (("types", _TEXTS), ("faqs", IntegerType()), ("faq_texts", _TEXTS), ("authors", _TEXTS), ("published", _TEXTS), ("modified", _TEXTS), ("organizations", _TEXTS))])
 
 
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
+def _unknown(name: str):
+    raise ValueError(name)
+
+
+def load_block(text: str):
+    """(whether the text is JSON, its value). A block that is nested deeper than MOST_DEPTH isn't taken, told before it is parsed."""
+    depth = 0
+    for m in _BRACKETS.finditer(text):
+        depth += (m.group() in "[{") - (m.group() in "]}")
+        if depth > MOST_DEPTH:
+            return False, None
+    try:
+        return True, json.loads(text, parse_constant=_unknown, parse_int=float)
+    except (ValueError, RecursionError):
+        return False, None
+
 
-    def handle_data(self, data):
-        self.parts.append(data)
+def whole(text: str) -> str:
+    """The text with halves of surrogate pairs, which JSON may escape and UTF-8 can't hold, replaced."""
+    return re.sub("[\ud800-\udfff]", "\ufffd", text)
 
 
 def plain(value) -> str:
     """Text of a bit of HTML; '' for what isn't text."""
-    if not isinstance(value, str):
-        return ""
-    parser = _Text()
-    parser.feed(value)
-    parser.close()
-    return re.sub(r"\s+", " ", "".join(parser.parts)).strip()
+    return re.sub(r"\s+", " ", plain_text(value)).strip() if isinstance(value, str) else ""
 
 
 def nodes_of(values: list) -> list[dict]:
-    """All entities in the values, nested ones and those of @graph too."""
-    found, todo = [], list(values)
-    while todo and len(found) < MOST_NODES:
-        node = todo.pop()
+    """Entities in the values, nested ones and those of @graph too, the last first. Both they and the visits are bounded."""
+    found, todo, visits = [], list(values), 0
+    while todo and visits < MOST_VISITS and len(found) < MOST_NODES:
+        node, visits = todo.pop(), visits + 1
         if isinstance(node, dict):
             found.append(node)
             node = [v for v in node.values() if isinstance(v, dict | list)]
         if isinstance(node, list):
-            todo.extend(node)
+            todo.extend(node[: max(0, MOST_WAITING - len(todo))])
     return found
 
 
@@ -55,10 +67,15 @@ def types_of(node: dict) -> list[str]:
 
 
 def names_of(value) -> list[str]:
-    if isinstance(value, list):
-        return [n for v in value for n in names_of(v)]
-    name = value.get("name") if isinstance(value, dict) else value
-    return [name] if isinstance(name, str) else []
+    """Names of an entity, a text or nested lists of them, in order."""
+    found, todo = [], [value]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, list):
+            todo.extend(reversed(node))
+        elif isinstance(name := node.get("name") if isinstance(node, dict) else node, str):
+            found.append(name)
+    return found
 
 
 def summary(values: list) -> dict:
@@ -77,14 +94,15 @@ def summary(values: list) -> dict:
             texts.append(plain(question.get("name")))
             texts += [plain(resolved(a).get("text")) for a in listed(question.get("acceptedAnswer"))]
     dates = lambda key: [n[key] for n in nodes if isinstance(n.get(key), str)]
+    texts_of = lambda values: [whole(v) for v in values]
     return {
-        "types": sorted({t for n in nodes for t in types_of(n)}),
+        "types": texts_of(sorted({t for n in nodes for t in types_of(n)})),
         "faqs": len(faqs),
-        "faq_texts": texts,
-        "authors": [a for n in nodes for a in names_of(n.get("author"))],
-        "published": dates("datePublished"),
-        "modified": dates("dateModified"),
-        "organizations": [a for n in nodes if {"Organization", "Corporation", "LocalBusiness"} & set(types_of(n)) for a in names_of(n)],
+        "faq_texts": texts_of(texts),
+        "authors": texts_of(a for n in nodes for a in names_of(n.get("author"))),
+        "published": texts_of(dates("datePublished")),
+        "modified": texts_of(dates("dateModified")),
+        "organizations": texts_of(a for n in nodes if {"Organization", "Corporation", "LocalBusiness"} & set(types_of(n)) for a in names_of(n)),
     }
 
 
@@ -93,6 +111,6 @@ def jsonld_summary(blocks: pd.Series) -> pd.DataFrame:
     """Of an array of JSON texts, valid ones only: types, number of FAQ entities, their texts ('' where missing), authors and dates."""
 
     def one(texts) -> dict:
-        return summary([json.loads(t) for t in (texts if texts is not None else []) if t])
+        return summary([value for t in (texts if texts is not None else []) if t for good, value in [load_block(t)] if good])
 
     return pd.DataFrame([one(b) for b in blocks], columns=SUMMARY.names)

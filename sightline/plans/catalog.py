@@ -481,7 +481,7 @@ def audit_run_rows(spark, d):
 # What SQL can't say: HTML is parsed, URLs are resolved, JSON-LD is walked.
 
 
-@query()
+@query(O.EXTRACTED)
 def extracted_pages(spark, d):
     return B.crawl(spark, d)[1].select("id", "crawl_run_id", "title", "word_count", "language", "text_hash", F.size("internal_links").alias("internal_links"))
 

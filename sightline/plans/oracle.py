@@ -201,3 +201,14 @@ VALID_FACTS = r"""WITH p AS (SELECT doc_id, (trim(regexp_replace(nfc_normalize(t
 r AS (SELECT d.doc_id, list_filter([CASE WHEN d.doc_id % 3 = 0 THEN 'category' END, CASE WHEN d.doc_id % 7 = 0 THEN 'subject' END, CASE WHEN d.doc_id % 11 = 0 THEN 'attribute' END, CASE WHEN d.doc_id % 5 / 3 > 1 THEN 'confidence' END, CASE WHEN NOT coalesce(length(trim(d.text[1:40])) >= 16 AND contains(p.t, trim(regexp_replace(d.text[1:40], '\s+', ' ', 'g'))), false) THEN 'quote' END], lambda x: x IS NOT NULL) AS reasons_ FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id - d.doc_id % 2)
 SELECT doc_id, array_to_string(reasons_, ',') AS reasons FROM r"""
 PROMPTS = f"WITH {_QUESTIONS} SELECT id, CASE WHEN id % 2 = 0 THEN text ELSE text || chr(10) || 'Buyer location: EU' END AS prompt, sha256(text)[1:20] AS key FROM questions"
+
+
+#: Pages of the tables are plain: comments, scripts and styles, spaces where the standard's text has them, and few references.
+EXTRACTED = rf"""
+WITH p AS (SELECT page_id::VARCHAR AS id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS crawl_run_id, html,
+  regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '^.*<body[^>]*>', '', 's') AS body FROM pages),
+t AS (SELECT *, regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(body, '<(br|p|/p|/div|/article|/li|/h[1-6])>', ' ', 'g'), '<[^>]*(>|$)', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS raw FROM p),
+v AS (SELECT *, trim(regexp_replace(raw, '[ \t\n\f\r]+', ' ', 'g')) AS visible FROM t)
+SELECT id, crawl_run_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&quot;', '"'), '&amp;', '&'), '[ \t\n\f\r]+', ' ', 'g')) AS title, (CASE WHEN visible = '' THEN 0 ELSE len(string_split(visible, ' ')) END)::INTEGER AS word_count,
+  nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language, sha256(visible) AS text_hash, len(list_distinct(list_transform(regexp_extract_all(body, '<a href="([^"]*)"', 1), lambda h: regexp_replace(h, '(.)/$', '\1'))))::INTEGER AS internal_links FROM v
+"""

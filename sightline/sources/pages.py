@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -16,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.jsonld import summary
-
+from ..functions.htmltree import PageTree
+from ..functions.jsonld import load_block, summary
 from ..functions.urls import PAGE_KINDS, canonical, is_page_candidate, same_domain, url_key
 
 PAGE_SCHEMA = (
@@ -26,130 +24,36 @@ PAGE_SCHEMA = (
     "robots_directives array<string>, technical_signals struct<page_kind:string,canonical_candidates:array<struct<raw:string,url:string>>,authors:array<string>,published_dates:array<string>,modified_dates:array<string>,"
     "contact_signals:array<string>,identity_signals:array<string>,script_count:int,javascript_notice:string,main_text:string>"
 )
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset(("script", "style", "noscript", "template", "svg"))
-SPACED = frozenset(("br", "p", "div", "section", "article", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"))
 #: Links of a page that are kept.
 MOST_LINKS = 5000
 
 
+#: White space of page texts (fixed values: what scripts on the web take for it).
+_SPACES = "\t\n\v\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_RUN, _EDGES = re.compile(f"[{_SPACES}]+"), re.compile(f"^[{_SPACES}]+|[{_SPACES}]+$")
+
+
 def _clean(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip()
-
-
-class _Page(HTMLParser):
-    """Gathers in one pass what a page row needs: heads, links, text in and out of hidden and main parts."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, str]] = []  # tag, hidden, main, what its text is gathered for
-        self.text, self.main, self.title, self.notice = [], [], None, []
-        self.metas, self.links, self.anchors, self.headings, self.dates, self.blocks, self.authors = [], [], [], [], [], [], []
-        self.lang = self.base = None
-        self.scripts, self.main_open, self.main_done = 0, 0, False
-        self.sinks: dict[str, list[str]] = {}
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in reversed(attrs)}
-        before = self.open[-1] if self.open else ("", False, False, "")
-        hidden = before[1] or tag in HIDDEN or "hidden" in a or a.get("aria-hidden") == "true"
-        main = before[2] or (not self.main_done and (tag in ("main", "article") or a.get("role") == "main"))
-        name = a.get("name", "").lower()
-        if tag == "html":
-            self.lang = a.get("lang") or None
-        elif tag == "base" and self.base is None and "href" in a:
-            self.base = a["href"]
-        elif tag == "meta":
-            self.metas.append((name, a.get("property", "").lower(), a.get("content", "")))
-        elif tag == "link":
-            self.links.append((a.get("rel", "").lower().split(), a.get("href", "")))
-        elif tag == "a" and "href" in a:
-            self.anchors.append(a["href"])
-        elif tag == "script":
-            self.scripts += a.get("type", "").lower() != "application/ld+json"
-        sink = ""
-        if tag == "title" and self.title is None:
-            sink = "title"
-        elif tag == "script" and a.get("type", "").lower() == "application/ld+json":
-            sink = "block"
-        elif tag == "noscript":
-            sink = "notice"
-        elif re.fullmatch("h[1-6]", tag) and not hidden:
-            sink = "heading"
-        elif "author" in a.get("rel", "").split():
-            sink = "author"
-        if (prop := a.get("itemprop", "")) in ("datePublished", "dateModified"):
-            if value := a.get("content") or a.get("datetime"):
-                self.dates.append((prop, value))
-            else:
-                sink = sink or prop
-        if sink:
-            self.sinks[sink] = []
-        if tag in SPACED and not hidden:
-            self._add(" ", main)
-        if tag not in VOID:
-            self.open.append((tag, hidden, main, sink))
-
-    def handle_endtag(self, tag):
-        if not any(t == tag for t, *_ in self.open):
-            return
-        while self.open:
-            t, hidden, main, sink = self.open.pop()
-            if sink:
-                self._close(t, sink)
-            if t in SPACED and not hidden:
-                self._add(" ", main)
-            if main and not (self.open and self.open[-1][2]):
-                self.main_done = True
-            if t == tag:
-                break
-
-    def _close(self, tag, sink):
-        text = "".join(self.sinks.pop(sink, []))
-        if sink == "title":
-            self.title = _clean(text)
-        elif sink == "block":
-            self.blocks.append(text)
-        elif sink == "notice":
-            self.notice.append(text)
-        elif sink == "heading":
-            self.headings.append({"level": int(tag[1]), "text": _clean(text)})
-        elif sink == "author":
-            self.authors.append(_clean(text))
-        else:
-            self.dates.append((sink, _clean(text)))
-
-    def handle_data(self, data):
-        for gathered in self.sinks.values():
-            gathered.append(data)
-        at = self.open[-1] if self.open else ("", False, False, "")
-        if not at[1] and not any(t in ("head", "title") for t, *_ in self.open):
-            self._add(data, at[2])
-
-    def _add(self, data, main):
-        self.text.append(data)
-        if main:
-            self.main.append(data)
-
-
-def extract(html: str, url: str, scope: str) -> dict:
-    """Page columns of one HTML text at its URL; links to the scope's site are internal."""
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    while page.open:
-        page.handle_endtag(page.open[-1][0])
+    return _RUN.sub(" ", text).strip(" ")
+
+
+def extract(html: str | None, url: str, scope: str, header_robots: list[str] | None = None) -> dict:
+    """Page columns of one HTML text at its URL; links to the scope's site are internal. header_robots: robots rules of the answer's headers.
+
+    Null and empty texts give empty columns; whatever the text holds, it gives columns.
+    """
+    page = PageTree(html or "")
     base = canonical(page.base, url) if page.base else url
     base = base or url
     values, data = [], []
     for block in page.blocks:
-        try:
-            values.append(json.loads(block))
-            data.append({"valid": True, "value": block, "error": None})
-        except ValueError:
-            data.append({"valid": False, "value": block[:5000], "error": "Invalid JSON-LD syntax"})
+        good, value = load_block(block["text"])
+        values += [value] * good
+        data.append({"valid": good, "value": block["text"] if good else block["text"][:5000], "error": None if good else "Invalid JSON-LD syntax"})
     ld = summary(values)
-    meta = lambda name, prop="": [_clean(v) for n, p, v in page.metas if (n == name if name else p == prop) and _clean(v)]
+    texts = lambda entries: [t for t in (_clean(e["text"]) for e in entries) if t]
+    meta = lambda key, name: [v for v in (_clean(m.get("content", "")) for m in page.metas if m[key] == name) if v]
+    dates = lambda name: texts(d for d in page.dates if d["property"] == name)
     internal, external = {}, {}
     host = _host_key(scope)
     for href in page.anchors:
@@ -160,33 +64,34 @@ def extract(html: str, url: str, scope: str) -> dict:
     path = re.sub(r"^https?://[^/?#]*", "", url).split("?")[0].split("#")[0] or "/"
     article = bool({"Article", "BlogPosting", "NewsArticle", "TechArticle"} & set(ld["types"]))
     kind = "home" if path == "/" else "editorial" if article else next((k for k, p in PAGE_KINDS if re.search(p, path, re.I)), "other")
-    canonicals = [h for rel, h in page.links if "canonical" in rel]
+    canonicals = [a.get("href", "") for a in page.links if "canonical" in a.get("rel", "").lower().split()]
     unique = lambda xs: list(dict.fromkeys(x for x in xs if x))
-    visible, notice = _clean("".join(page.text)), _clean("".join(page.notice))
+    visible, notice = _clean(page.text), "".join(n["text"] for n in page.notices)
+    robots = [f"{m['raw']}: {m.get('content', '')}" for m in page.metas if m["name"] in ("robots", "googlebot", "bingbot")]
     return {
         "canonical_url": canonical(canonicals[0], base) if canonicals and canonicals[0] else None,
-        "title": page.title or "",
-        "meta_description": next((v.strip() for n, _, v in page.metas if n == "description"), ""),
-        "headings": page.headings,
+        "title": _clean(page.titles[0]["text"]) if page.titles else "",
+        "meta_description": next((_EDGES.sub("", m.get("content", "")) for m in page.metas if m["name"] == "description"), ""),
+        "headings": [{"level": h["level"], "text": _clean(h["text"])} for h in page.headings],
         "visible_text": visible,
         "text_hash": hashlib.sha256(visible.encode()).hexdigest(),
-        "word_count": len(visible.split()),
-        "language": page.lang,
+        "word_count": len(visible.split(" ")) if visible else 0,
+        "language": page.lang or None,
         "internal_links": list(internal),
         "external_links": list(external),
         "structured_data": data,
-        "robots_directives": [f"{n}: {v}" for n, _, v in page.metas if n in ("robots", "googlebot", "bingbot")],
+        "robots_directives": robots + [f"X-Robots-Tag: {v}" for v in header_robots or [] if v is not None],
         "technical_signals": {
             "page_kind": kind,
             "canonical_candidates": [{"raw": h, "url": canonical(h, base) if h else None} for h in canonicals],
-            "authors": unique([*meta("author"), *page.authors, *ld["authors"]]),
-            "published_dates": unique([*meta("", "article:published_time"), *(v for k, v in page.dates if k == "datePublished"), *ld["published"]]),
-            "modified_dates": unique([*meta("", "article:modified_time"), *(v for k, v in page.dates if k == "dateModified"), *ld["modified"]]),
+            "authors": unique([*meta("name", "author"), *texts(page.authors), *ld["authors"]]),
+            "published_dates": unique([*meta("property", "article:published_time"), *dates("datePublished"), *ld["published"]]),
+            "modified_dates": unique([*meta("property", "article:modified_time"), *dates("dateModified"), *ld["modified"]]),
             "contact_signals": [h[:500] for h in page.anchors if re.search(r"^(?:mailto:|tel:)|(?:^|/)contact(?:[/.?#]|$)", h, re.I)][:30],
-            "identity_signals": [*meta("", "og:site_name"), *ld["organizations"], *(h for h in page.anchors if re.search(r"(?:^|/)about(?:[/.?#]|$)", h, re.I))][:30],
+            "identity_signals": [*meta("property", "og:site_name"), *ld["organizations"], *(h for h in page.anchors if re.search(r"(?:^|/)about(?:[/.?#]|$)", h, re.I))][:30],
             "script_count": page.scripts,
-            "javascript_notice": notice[:500] if re.search(r"(?:enable|turn on|requires?)\s+javascript", notice, re.I) else None,
-            "main_text": _clean("".join(page.main)) or visible,
+            "javascript_notice": _clean(notice)[:500] if re.search(r"(?:enable|turn on|requires?)\s+javascript", notice, re.I) else None,
+            "main_text": _clean(page.main) or visible,
         },
     }
 
@@ -200,7 +105,7 @@ BATCH_PAGES = 200
 
 
 def extract_pages(raw: DataFrame) -> DataFrame:
-    """Page columns of raw rows: id, crawl_run_id, brand_id, url, final_url, scope, html. Narrow: HTML isn't shuffled.
+    """Page columns of raw rows: id, crawl_run_id, brand_id, url, final_url, scope, html, and header_robots if there. Narrow: HTML isn't shuffled.
 
     What goes to a worker at once is bounded by the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` and ``maxBytesPerBatch``;
     what comes back by BATCH_PAGES.
@@ -211,12 +116,14 @@ def extract_pages(raw: DataFrame) -> DataFrame:
             for low in range(0, batch.num_rows, BATCH_PAGES):
                 rows = []
                 for i in range(low, min(low + BATCH_PAGES, batch.num_rows)):  # one HTML text at a time as Python's
-                    id, crawl, brand, url, final, scope, html = (batch.column(k)[i].as_py() for k in range(7))
-                    rows.append({"id": id, "crawl_run_id": crawl, "brand_id": brand, "url": url, "final_url": final} | extract(html, final or url, scope or final or url))
+                    id, crawl, brand, url, final, scope, html, robots = (batch.column(k)[i].as_py() for k in range(8))
+                    at = final or url or ""
+                    rows.append({"id": id, "crawl_run_id": crawl, "brand_id": brand, "url": url, "final_url": final} | extract(html, at, scope or at, robots))
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = to_arrow_schema(StructType.fromDDL(PAGE_SCHEMA))
-    return raw.select("id", "crawl_run_id", "brand_id", "url", "final_url", "scope", "html").mapInArrow(work, PAGE_SCHEMA)
+    robots = F.col("header_robots") if "header_robots" in raw.columns else F.lit(None).cast("array<string>").alias("header_robots")
+    return raw.select("id", "crawl_run_id", "brand_id", "url", "final_url", "scope", "html", robots).mapInArrow(work, PAGE_SCHEMA)
 
 
 def classify_fetches(log: DataFrame) -> DataFrame:

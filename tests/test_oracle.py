@@ -90,4 +90,4 @@ def test_readiness_and_fetches_of_raw_pages(spark, pages):
     for i, (status, error) in states.items():
         assert status == ("skipped" if i % 7 == 0 else "failed" if i % 11 == 0 else status) and (error == "Already fetched" or status != "skipped" or i % 7 == 0)
     assert sorted(states) == sorted(map(int, pages))
-    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"extracted_pages", "link_graph", "audit_coverage", "audit_findings", "page_readiness", "fetch_states"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"link_graph", "audit_coverage", "audit_findings", "page_readiness", "fetch_states"}
