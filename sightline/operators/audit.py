@@ -13,7 +13,7 @@ from ..functions.jsonld import jsonld_summary
 from ..functions.text import comparable, compact, noindex_directives
 from ..functions.urls import url_key
 from ..storage import stored
-from .duplicates import duplicates, equal_texts, similar_sets, text_classes
+from .duplicates import class_members, duplicates, equal_texts, text_classes
 from .links import broken_links, canonical_targets, incoming_links, keyed_pages, link_edges, page_links, resolve_links, robots_verdicts
 
 RULE_VERSION = "technical-1.0.0"
@@ -111,10 +111,10 @@ def row_rules(p: DataFrame) -> dict[str, Column]:
         "robots-access": _finding(~c("robots_allowed"), ("URL", c("url")), also=F.when(c("robots_allowed").isNull(), UNAVAILABLE)),
         "sitemap-inclusion": _finding(~F.coalesce("in_sitemap", F.lit(False)) & ~c("in_discovery"), ("In the sitemap", F.lit("no")), also=F.when(~F.coalesce("has_sitemap", F.lit(False)), UNAVAILABLE)),
         "title-missing": _finding(compact(F.coalesce("title", F.lit(""))) == "", ("Title", F.lit("none"))),
-        "title-duplicate": _finding(c("same_title.others") > 0, ("Pages with the title", c("same_title.others")), ("Some of them", _listed(c("same_title.sample")))),
+        "title-duplicate": _finding(c("same_title.n") > 1, ("Pages with the title", c("same_title.n")), ("Group", c("same_title.first"))),
         "title-length": _finding((F.coalesce("title", F.lit("")) != "") & ~F.length("title").between(15, 65), ("Title", c("title")), ("Characters", F.length("title"))),
         "description-missing": _finding(compact(F.coalesce("meta_description", F.lit(""))) == "", ("Description", F.lit("none"))),
-        "description-duplicate": _finding(c("same_description.others") > 0, ("Pages with the description", c("same_description.others")), ("Some of them", _listed(c("same_description.sample")))),
+        "description-duplicate": _finding(c("same_description.n") > 1, ("Pages with the description", c("same_description.n")), ("Group", c("same_description.first"))),
         "h1-count": _finding(level(1) != 1, ("H1 headings", level(1))),
         "heading-order": _finding(F.size(jumps) > 0, ("Headings", _listed(jumps))),
         "word-count": _finding(c("word_count") < 100, ("Words", c("word_count"))),
@@ -131,8 +131,8 @@ def row_rules(p: DataFrame) -> dict[str, Column]:
         "editorial-author": _finding(F.size(s["authors"]) == 0, ("Authors", F.lit("none")), also=F.when(kind != "editorial", NOT_APPLICABLE)),
         "editorial-dates": _finding((F.size(s["published_dates"]) == 0) | F.exists(dates, lambda d: F.try_to_timestamp(d).isNull()) | F.coalesce(first(s["modified_dates"]) < first(s["published_dates"]), F.lit(False)), ("Published", _listed(s["published_dates"])), ("Modified", _listed(s["modified_dates"])), also=F.when(kind != "editorial", NOT_APPLICABLE)),
         "javascript-content": _finding((c("word_count") < 100) & ((s["script_count"] > 0) | s["javascript_notice"].isNotNull()), ("Words", c("word_count")), ("Scripts", s["script_count"])),
-        "content-duplicate": _finding((text != "") & (c("same_text.others") > 0), ("Pages with the text", c("same_text.others")), ("Some of them", _listed(c("same_text.sample")))),
-        "content-near-duplicate": _finding(c("similar.others") > 0, ("Similar pages", c("similar.others")), ("Some of them", _listed(c("similar.sample"))), also=F.when(~F.coalesce("comparable_text", F.lit(False)), NOT_APPLICABLE)),
+        "content-duplicate": _finding((text != "") & (c("same_text.n") > 1), ("Pages with the text", c("same_text.n")), ("Group", c("same_text.first"))),
+        "content-near-duplicate": _finding(c("similar.pages") > 1, ("Similar pages", c("similar.pages")), ("Group", c("similar.class")), also=F.when(~F.coalesce("comparable_text", F.lit(False)), NOT_APPLICABLE)),
     }
 
 
@@ -160,7 +160,7 @@ def page_outcomes(crawls: DataFrame, pages: DataFrame, robots: DataFrame | None
     noindex = slim.select("crawl_run_id", F.col("id").alias("target_id"), noindex_directives("robots_directives").alias("target_noindex")).filter(F.size("target_noindex") > 0)
     parts.append(canonical_targets(slim, resolved).join(noindex, ["crawl_run_id", "target_id"], "left").select("crawl_run_id", "page_id", "target_status", "target_noindex"))
     for name, key in (("same_title", "title_k"), ("same_description", "description_k"), ("same_text", "text_hash")):
-        parts.append(duplicates(fetched, F.col(key)).select(*id_, F.struct("others", "sample").alias(name)))
+        parts.append(duplicates(fetched, F.col(key)).select(*id_, F.struct("first", "n").alias(name)))
     main = F.coalesce(F.when(F.col("technical_signals.main_text") != "", F.col("technical_signals.main_text")), F.col("visible_text"))
     texts = pages.filter("status = 'fetched'").select("crawl_run_id", "id", "text_hash", main.alias("main"))
     parts.append(similar_pages(texts))
@@ -184,19 +184,16 @@ def page_outcomes(crawls: DataFrame, pages: DataFrame, robots: DataFrame | None
     return rows.select("crawl_run_id", "page_id", F.col("page_url").alias("url"), F.inline(results))
 
 
-def similar_pages(texts: DataFrame, listed: int = 20) -> DataFrame:
+def similar_pages(texts: DataFrame) -> DataFrame:
     """(crawl_run_id, page_id, similar, comparable_text) of the pages whose texts are long enough to be compared.
 
-    ``similar``: how many pages of other texts are near-duplicates of the page, and the first pages of such texts; null where there are none.
+    ``similar``: the page's class of near-duplicates and its number of pages; null where no other text is similar. The pages of a class are those
+    with its id.
     """
     classes, sets = text_classes(texts, F.col("main"), F.col("text_hash"))
-    pairs = similar_sets(classes, sets)
-    both = pairs.select("crawl_run_id", F.col("a").alias("first"), F.col("b").alias("other"), F.col("n_b").alias("n")).union(pairs.select("crawl_run_id", "b", "a", "n_a"))
-    place = F.row_number().over(Window.partitionBy("crawl_run_id", "first").orderBy("other"))
-    near = both.withColumn("place", place).groupBy("crawl_run_id", "first").agg(F.sum("n").alias("others"), F.array_sort(F.collect_list(F.when(F.col("place") <= listed, F.col("other")))).alias("sample"))
+    near = class_members(texts, F.col("text_hash"), classes, sets, "crawl_run_id", "id").select("crawl_run_id", "id", F.struct("class", "pages").alias("similar"))
     members = equal_texts(texts, F.col("text_hash"), "crawl_run_id", "id").join(sets.select("crawl_run_id", F.col("id").alias("first")), ["crawl_run_id", "first"])
-    similar = F.when(F.col("others").isNotNull(), F.struct("others", "sample"))
-    return members.join(near, ["crawl_run_id", "first"], "left").select("crawl_run_id", F.col("id").alias("page_id"), similar.alias("similar"), F.lit(True).alias("comparable_text"))
+    return members.join(near, ["crawl_run_id", "id"], "left").select("crawl_run_id", F.col("id").alias("page_id"), "similar", F.lit(True).alias("comparable_text"))
 
 
 def site_outcomes(crawls: DataFrame, pages: DataFrame, robots: DataFrame | None = None) -> DataFrame:

@@ -213,16 +213,16 @@ def branded_questions(spark, d):
 
 @query(O.EXACT_DUPLICATES)
 def exact_duplicates(spark, d):
-    return D.duplicates(B.document_pages(spark, d), F.col("text_hash")).select("crawl_run_id", "id", "others")
+    return D.duplicates(B.document_pages(spark, d), F.col("text_hash"))
 
 
 @query(O.NEAR_DUPLICATES)
 def near_duplicate_pages(spark, d):
-    """Documents as pages, and every fifth once more with some words more."""
+    """Documents as pages, and every fifth once more with some words more: a row for each page of a class."""
     rows = B.read(spark, d, "documents").select(F.col("lang").alias("crawl_run_id"), F.col("doc_id").alias("id"), F.col("text").alias("visible_text"))
     more = rows.filter("id % 5 = 0").select("crawl_run_id", (F.col("id") + 1_000_000_000_000).alias("id"), F.concat("visible_text", F.lit(" and a tail")).alias("visible_text"))
     pages = rows.union(more).withColumn("text_hash", F.sha2("visible_text", 256))
-    return D.near_duplicates(pages, F.col("visible_text"), F.col("text_hash"))
+    return D.near_duplicate_classes(pages, F.col("visible_text"), F.col("text_hash"))
 
 
 @query(O.NORMALIZED_URLS)

@@ -143,15 +143,20 @@ b AS (SELECT project_id, block, sha256(string_agg(line, chr(10) ORDER BY id)) AS
 SELECT project_id, sha256(string_agg(digest, chr(10) ORDER BY block)) AS fingerprint FROM b GROUP BY 1"""
 BRANDED = f"WITH {_QUESTIONS} SELECT id FROM questions WHERE contains(' ' || normalized_text || ' ', ' the ') OR contains(' ' || normalized_text || ' ', ' que ')"
 
-EXACT_DUPLICATES = "SELECT source AS crawl_run_id, doc_id AS id, count(*) OVER (PARTITION BY source, text) - 1 AS others FROM documents WHERE text <> '' QUALIFY others > 0"
-NEAR_DUPLICATES = r"""WITH p AS (SELECT lang, doc_id AS id, text FROM documents UNION ALL SELECT lang, doc_id + 1000000000000, text || ' and a tail' FROM documents WHERE doc_id % 5 = 0),
+EXACT_DUPLICATES = "SELECT source AS crawl_run_id, doc_id AS id, min(doc_id) OVER (PARTITION BY source, text) AS first, count(*) OVER (PARTITION BY source, text) AS n FROM documents WHERE text <> '' QUALIFY n > 1"
+NEAR_DUPLICATES = r"""WITH RECURSIVE p AS (SELECT lang, doc_id AS id, text FROM documents UNION ALL SELECT lang, doc_id + 1000000000000, text || ' and a tail' FROM documents WHERE doc_id % 5 = 0),
 t AS (SELECT lang, min(id) AS id, text, count(*) AS copies FROM p GROUP BY lang, text),
 w AS (SELECT *, (regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))[1:5000] AS w FROM t),
 s AS (SELECT lang, id, copies, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 100),
 e AS (SELECT lang, id, unnest(s) AS s FROM s),
-c AS (SELECT a.lang, a.id AS a, b.id AS b, count(*) AS n FROM e a JOIN e b ON a.lang = b.lang AND a.s = b.s AND a.id < b.id GROUP BY ALL)
-SELECT c.lang AS crawl_run_id, a, b, round(n / (len(x.s) + len(y.s) - n), 9) AS score, x.copies AS n_a, y.copies AS n_b FROM c JOIN s x ON x.id = a AND x.lang = c.lang JOIN s y ON y.id = b AND y.lang = c.lang
-WHERE least(len(x.s), len(y.s)) >= 0.85 * greatest(len(x.s), len(y.s)) AND n / (len(x.s) + len(y.s) - n) >= 0.85"""
+c AS (SELECT a.lang, a.id AS a, b.id AS b, count(*) AS n FROM e a JOIN e b ON a.lang = b.lang AND a.s = b.s AND a.id < b.id GROUP BY ALL),
+link AS MATERIALIZED (SELECT c.lang, a, b FROM c JOIN s x ON x.id = a AND x.lang = c.lang JOIN s y ON y.id = b AND y.lang = c.lang
+  WHERE least(len(x.s), len(y.s)) >= 0.85 * greatest(len(x.s), len(y.s)) AND n / (len(x.s) + len(y.s) - n) >= 0.85),
+ways AS MATERIALIZED (SELECT lang, a, b FROM link UNION ALL SELECT lang, b, a FROM link),
+reach(lang, id, other) AS (SELECT DISTINCT lang, a, a FROM ways UNION SELECT r.lang, r.id, b FROM reach r JOIN ways ON ways.lang = r.lang AND ways.a = r.other),
+least AS (SELECT lang, id, min(other) AS class FROM reach GROUP BY ALL),
+sizes AS (SELECT l.lang, class, count(*) AS texts, sum(copies)::BIGINT AS pages FROM least l JOIN t ON t.lang = l.lang AND t.id = l.id GROUP BY ALL)
+SELECT p.lang AS crawl_run_id, p.id, t.id AS first, class, texts, pages FROM p JOIN t ON t.lang = p.lang AND t.text = p.text JOIN least l ON l.lang = t.lang AND l.id = t.id JOIN sizes z USING (class) WHERE z.lang = p.lang"""
 
 _PLAIN = r"regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '\?utm_source=feed$', ''), '/+$', '')"
 NORMALIZED_URLS = f"SELECT page_id, {_PLAIN} AS url FROM pages"

@@ -1,6 +1,8 @@
 """Audit rules on small crawls: outcomes, link graph, duplicates, robots, coverage."""
 
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,8 +147,6 @@ def test_duplicates(run, spark):
 
 
 def test_near_duplicates_against_all_pairs(spark):
-    import random
-
     draw = random.Random(1)
     base = words(150).split()
     rows = []
@@ -163,6 +163,80 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == want and len(want) > 10
 
 
+def brute_classes(sets: dict, alike: float = 0.85) -> dict:
+    """Each linked set's class: the smallest key that links reach."""
+    at = {k: k for k in sets}
+
+    def top(k):
+        while at[k] != k:
+            k = at[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= alike * len(sets[a] | sets[b]):
+                low, high = sorted((top(a), top(b)))
+                at[high] = low
+    number = Counter(map(top, sets))
+    return {k: top(k) for k in sets if number[top(k)] > 1}
+
+
+@pytest.mark.parametrize("few", [64, 3])
+def test_near_duplicate_classes_against_all_pairs(spark, monkeypatch, few):
+    """Groups of copies, a chain of slices whose ends are unlike, and a template that isn't enough to link; few: rounds before the pairs."""
+    monkeypatch.setattr(D, "FEW", few)
+    draw, rows = random.Random(3), []
+    base, template = words(150).split(), words(110, 9000).split()
+    for k in range(25):
+        text = list(base)
+        text[draw.randrange(150)] = f"x{k}"
+        rows += [("c", len(rows), " ".join(text))] * (1 + (k == 4))
+        rows.append(("c", 1000 + k, words(300, 5000 + 6 * k)))
+        rows.append((("c", "d")[k % 2], 2000 + k, " ".join(template) + " " + words(60, 20_000 + 100 * k)))
+    rows = [(c, k, t) for k, (c, _, t) in enumerate(rows)] + [("c", 500, "too short"), ("c", 501, "too short to tell"), ("c", 502, None)]
+    df = spark.createDataFrame(rows, "crawl_run_id string, id long, t string")
+    got = {(r.crawl_run_id, r.id): (r["first"], r["class"], r.texts, r.pages) for r in D.near_duplicate_classes(df, F.col("t"), F.sha2("t", 256)).collect()}
+    want = {}
+    for crawl in "cd":
+        texts = {k: t for c, k, t in rows if c == crawl and t}
+        first = {k: min(j for j in texts if texts[j] == t) for k, t in texts.items()}
+        sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in texts.items() if first[k] == k and len(t.split()) >= 100}
+        classes = brute_classes(sets)
+        for k, f in first.items():
+            if f in classes:
+                own = [j for j in classes if classes[j] == classes[f]]
+                want[crawl, k] = (f, classes[f], len(own), sum(first[j] in own for j in texts))
+    assert got == want and {v[2] for v in want.values()} >= {25}
+
+
+def test_many_near_copies_give_a_row_each(spark):
+    """One word of each page differs: 1,200 pages would be 719,400 pairs."""
+    n = 1200
+    rows = [("c", k, " ".join([*words(100).split(), f"only{k}", *words(100, 200).split()])) for k in range(n)]
+    df = spark.createDataFrame(rows, "crawl_run_id string, id long, t string")
+    got = D.near_duplicate_classes(df, F.col("t"), F.sha2("t", 256)).collect()
+    assert len(got) == n and {(r["class"], r.texts, r.pages) for r in got} == {(0, n, n)}
+
+
+def test_filters_keep_similar_sets(spark):
+    """Size, place and sketch filters pass every pair that is alike enough."""
+    draw, rows = random.Random(8), []
+    for k in range(60):
+        size = draw.randint(20, 400)
+        own = draw.sample(range(-(10**18), 10**18), size)
+        other = own[: int(size * draw.uniform(0.8, 1.0))] + draw.sample(range(10**17), draw.randint(0, size // 10))
+        rows += [("c", 2 * k, own), ("c", 2 * k + 1, other)]
+    sets = spark.createDataFrame(rows, "crawl_run_id string, id long, shingles array<long>")
+    got = {(r["class"], r.id) for r in D.spanning_links(sets).collect()}
+    want = {(2 * k, i) for k in range(60) if len(set(rows[2 * k][2]) & set(rows[2 * k + 1][2])) >= 0.85 * len(set(rows[2 * k][2]) | set(rows[2 * k + 1][2])) for i in (2 * k, 2 * k + 1)}
+    assert got == want and len(want) > 20
+
+
+def test_duplicates_are_told_by_class(spark):
+    df = spark.createDataFrame([("c", k, "A" if k % 2 else "") for k in range(90)] + [("d", 1, "A")], "crawl_run_id string, id long, key string")
+    assert {tuple(r) for r in D.duplicates(df, F.col("key")).collect()} == {("c", k, 1, 45) for k in range(1, 90, 2)}
+
+
 def test_site_rules(run):
     llms = lambda **o: {"robots": [], "llms": {"url": "u", "status": 200, "text": "# A\n[b](c)", "truncated": False, "error": None} | o}
     got = run(page("1", technical_signals=signals(identity_signals=["A"])), crawls=[crawl(site_signals=llms())])
