@@ -55,9 +55,9 @@ def is_branded(normalized: Column, normalized_names: Column) -> Column:
 
 
 def mention_position(text: Column, aliases: Column) -> Column:
-    """Smallest offset of an alias that no letter or digit adjoins, whatever its case; -1 if there is none."""
-    quoted = lambda a: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), a, F.lit(r"\E(?![\p{L}\p{N}])"))
-    places = F.filter(F.transform(aliases, lambda a: F.regexp_instr(text, quoted(a)) - 1), lambda i: i >= 0)
+    """Smallest offset of an alias that no letter or digit adjoins, whatever its case; -1 if there is none. For few aliases a row; see ``find_mentions``."""
+    quoted = lambda a: F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), F.replace(a, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
+    places = F.filter(F.transform(F.filter(aliases, lambda a: a != ""), lambda a: F.regexp_instr(text, quoted(a)) - 1), lambda i: i >= 0)
     return F.coalesce(F.array_min(places), F.lit(-1))
 
 

@@ -7,10 +7,17 @@ Mentions: experiment_id, answer_id, brand_id, recommended, recommendation_positi
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..functions.text import mention_position, wilson
+from ..functions.mentions import Names
+from ..functions.text import wilson
 from ..functions.urls import domain_key, host_matches, safe_citation
 
 #: Weight of an answer by its question's stage (fixed values, in the stages' order); other stages weigh 1.
@@ -52,19 +59,83 @@ def filter_answers(answers: DataFrame, experiment=None, start=None, end=None, st
     return answers
 
 
-def find_mentions(answers: DataFrame, brands: DataFrame) -> DataFrame:
+#: Bytes of names up to which they go to every worker as they are.
+NAMES_BYTES = 8 << 20
+#: Rows of mentions that a worker gives back at once.
+BATCH_ROWS = 8192
+
+
+def find_mentions(answers: DataFrame, brands: DataFrame, names_bytes: int = NAMES_BYTES) -> DataFrame:
     """experiment_id, answer_id, brand_id, at, first_position: brands named in an answer, in order of their first place.
 
-    Brands of an experiment are few and frozen with it, so the join is on the experiment alone and leaves one row for each
-    brand that is named; texts are dropped before the order is taken.
+    The names of an experiment's brands make one automaton, which reads each answer once for all of them. Names up to ``names_bytes`` in all
+    go to the workers, and texts aren't shuffled; more names meet their experiment's answers in one shuffle, where an experiment with many
+    answers is dealt to many tasks. A task holds the names of one experiment. Null and empty names and answers name nothing; of a brand
+    that stands there several times all names count; equal places are ordered by brand_id.
     """
-    texts = answers.select("experiment_id", "answer_id", "raw")
-    named = brands.select("experiment_id", "brand_id", F.filter("aliases", lambda a: F.length(a) > 0).alias("aliases"))
-    found = texts.join(named, "experiment_id").select("experiment_id", "answer_id", "brand_id", mention_position(F.col("raw"), F.col("aliases")).alias("at")).filter("at >= 0")
+    names = brands.select("experiment_id", "brand_id", F.explode("aliases").alias("name")).filter("experiment_id IS NOT NULL AND name <> ''").distinct()
+    texts = answers.select("experiment_id", "answer_id", F.col("raw").alias("name")).filter("experiment_id IS NOT NULL AND name <> ''")
+    size = names.agg(F.sum(F.octet_length("name") + 32)).first()[0] or 0
+    kinds = {**dict(texts.dtypes), **{"brand_id": dict(names.dtypes)["brand_id"]}}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("experiment_id", "answer_id", "brand_id")) + ", at int"
+    if size <= names_bytes:
+        known: dict = defaultdict(list)
+        for r in names.collect():  # at most names_bytes
+            known[r["experiment_id"]].append((r["brand_id"], r["name"]))
+        found = texts.mapInArrow(_reader(schema, dict(known)), schema)
+    else:
+        found = _dealt(texts, names).mapInArrow(_reader(schema, None), schema)
     order = Window.partitionBy("experiment_id", "answer_id").orderBy("at", "brand_id")
     return found.withColumn("first_position", F.row_number().over(order))
 
 
+def _dealt(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Names and texts of an experiment in one partition, names first; an experiment with more than its share of texts has several, each with all its names."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = texts.groupBy("experiment_id").count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    large = counts.filter(F.col("count") * n > total).select("experiment_id", F.ceil(F.col("count") * n / max(total, 1)).cast("int").alias("parts"))  # fewer than n
+    large = F.broadcast(large)
+    rows = texts.join(large, "experiment_id", "left").withColumn("part", F.pmod(F.xxhash64("answer_id", "name"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = names.join(large, "experiment_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    both = copies.withColumn("is_text", F.lit(False)).unionByName(rows.withColumn("is_text", F.lit(True)), allowMissingColumns=True)
+    return both.repartition("experiment_id", "part").sortWithinPartitions("experiment_id", "part", "is_text")
+
+
+def _reader(schema: str, known: dict | None):
+    """Reads batches of texts with the names that are known by experiment, or that stand before the texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict = {}
+        own, names, rows = None, None, []
+        for batch in batches:
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            for i in range(batch.num_rows):
+                experiment = columns["experiment_id"][i].as_py()
+                if known is not None:
+                    if experiment not in made:
+                        made[experiment] = Names(known.get(experiment, ()))
+                    names = made[experiment]
+                else:
+                    part = (experiment, columns["part"][i].as_py())
+                    if part != own:
+                        own, names = part, []
+                    if not columns["is_text"][i].as_py():
+                        names.append((columns["brand_id"][i].as_py(), columns["name"][i].as_py()))
+                        continue
+                    names = Names(names) if isinstance(names, list) else names
+                answer = columns["answer_id"][i].as_py()
+                rows += [(experiment, answer, brand, at) for brand, at in names.first_places(columns["name"][i].as_py()).items()]
+                if len(rows) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), form.types, strict=True)], form.names)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), form.types, strict=True)], form.names)
+
+    form = to_arrow_schema(StructType.fromDDL(schema))
+    return work
+
+
 def guarded_mentions(found: DataFrame, judged: DataFrame) -> DataFrame:
     """Mentions with the model's judgment where it has one, else neutral; only a strong or moderate one recommends."""
     strong = F.coalesce(F.col("recommended") & F.col("strength").isin("strong", "moderate"), F.lit(False))
