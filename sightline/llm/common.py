@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it a new column of df, whatever the case of df's own."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the session's ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -47,6 +58,7 @@ def salted_left_join(rows: DataFrame, keys: DataFrame, on: list[str], spread: Co
 
     Each key's row is copied to every salt and rows choose a salt by ``spread``, so a hot key meets in many tasks.
     """
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], "left").drop("_salt")
+    (salt,) = unused(rows, "salt")
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = keys.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, salt], "left").drop(salt)

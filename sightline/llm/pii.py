@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 ROUNDS = 8
 #: Key of the registered query and of the pipeline. A user passes their own.
@@ -25,8 +25,17 @@ ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 PHONE = r"(?<![0-9])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-FOUND = "|".join((EMAIL, TOKEN, DATE, ADDRESS, PHONE, SOCIAL, CARD))
+#: A run of groups of digits that may hold card numbers: 13 digits at least, and no group that another kind begins with.
+OTHERS = "|".join((EMAIL, TOKEN, DATE, ADDRESS, PHONE, SOCIAL))
+CARDS = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?:[ -](?!{OTHERS})[0-9]++)*+"
+FOUND = f"{OTHERS}|{CARDS}"
+#: Digits of a card number, and the number that is tried before nearer and farther ones.
+CARD_DIGITS, USUAL_DIGITS = (13, 19), 16
+#: Letters and digits outside ASCII: first and last code points of ranges without gaps (fixed values). Others move in their row of 16 code points.
+RANGES = (
+    (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0xFF), (0x100, 0x17F), (0x391, 0x3A1), (0x3A3, 0x3A9), (0x3B1, 0x3C9), (0x410, 0x42F), (0x430, 0x44F), (0x450, 0x45F), (0x531, 0x556), (0x561, 0x586), (0x5D0, 0x5EA), (0x620, 0x64A),
+    (0x660, 0x669), (0x6F0, 0x6F9), (0x904, 0x939), (0x966, 0x96F), (0xE01, 0xE30), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A),
+)
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -95,6 +104,38 @@ def _card(text: Column, key: str) -> Column:
     return _let(_digits(text), renamed)
 
 
+def _cards(run: Column, key: str) -> Column:
+    """(text, n) of a run of digit groups with its n card numbers renamed; null without any.
+
+    A card number is a stretch of whole groups whose digits pass Luhn's check. From left to right, the first group that one begins with
+    is taken, and of those that begin there the one with digits nearest to 16, the shorter first.
+    """
+    low, high = CARD_DIGITS
+    pieces = F.regexp_extract_all(run, F.lit("([ -]?[0-9]+)"), 1)
+
+    def renamed(ps: Column) -> Column:
+        stretch = lambda i, n: F.regexp_replace(F.array_join(F.slice(ps, i + 1, n), ""), "^[ -]", "")
+        digits = lambda i, n: F.length(F.regexp_replace(stretch(i, n), "[^0-9]", ""))
+        tried = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(high), F.size(ps) - i)), lambda n: F.struct(F.abs(digits(i, n) - USUAL_DIGITS).alias("away"), n.alias("n")))
+        good = lambda i: F.filter(tried(i), lambda x: digits(i, x["n"]).between(low, high) & (luhn_sum(_digits(stretch(i, x["n"]))) % 10 == 0))
+        none = F.array().cast("array<struct<i:int,n:int>>")
+        add = lambda s, i, best: F.struct((i + best["n"]).alias("next"), F.concat(s["cards"], F.array(F.struct(i.alias("i"), best["n"].alias("n")))).alias("cards"))
+        step = lambda s, i: F.when(i < s["next"], s).otherwise(_let(F.array_min(good(i)), lambda best: F.when(best.isNull(), s).otherwise(add(s, i, best))))
+        found = F.aggregate(F.sequence(F.lit(0), F.size(ps) - 1), F.struct(F.lit(0).alias("next"), none.alias("cards")), step, lambda s: s["cards"])
+
+        def written(cards: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(cards, k)["i"] + F.get(cards, k)["n"], F.lit(0))
+            before = lambda c, k: F.array_join(F.slice(ps, end(k - 1) + 1, c["i"] - end(k - 1)), "")
+            mark = lambda c: F.regexp_extract(F.get(ps, c["i"]), "^([ -]?)", 1)
+            parts = F.transform(cards, lambda c, k: F.concat(before(c, k), mark(c), _card(stretch(c["i"], c["n"]), key)))
+            last = end(F.size(cards) - 1)
+            return F.when(F.size(cards) > 0, F.struct(F.concat(F.array_join(parts, ""), F.array_join(F.slice(ps, last + 1, F.size(ps) - last), "")).alias("text"), F.size(cards).alias("n")))
+
+        return _let(found, written)
+
+    return _let(pieces, renamed)
+
+
 def _phone(text: Column, key: str) -> Column:
     """The last ten digits move, those before them are a country's code. Area and exchange codes from 2 on stay such, and so do others."""
 
@@ -148,58 +189,73 @@ def _date(text: Column, key: str) -> Column:
 
 
 def _lettered(text: Column, label: str, letters: int, key: str) -> Column:
-    """Digits move among digits, letters among the first ``letters`` of their case; other characters stay."""
+    """Digits move among digits, letters among the first ``letters`` of their case, and others among their range (RANGES); marks stay."""
+
+    def ranged(c: Column, code: Column, value: Callable[[int, int], int], row: Column, other: Column) -> Column:
+        """By the character's range: what ``value`` makes of its ends; ``row`` for other letters and digits; ``other`` for marks."""
+        out = F.when(c.rlike("[0-9]"), value(48, 57)).when(c.rlike("[a-z]"), value(97, 96 + letters)).when(c.rlike("[A-Z]"), value(65, 64 + letters))
+        for low, high in RANGES:
+            out = out.when(code.between(low, high), value(low, high))
+        return out.when(c.rlike(r"[\p{L}\p{N}]"), row).otherwise(other)
+
     code = lambda c: F.ascii(c)
-    split = F.regexp_extract_all(text, F.lit("(?s)(.)"), 1)
-    floor = lambda c: F.when(c.rlike("[0-9]"), 48).when(c.rlike("[a-z]"), 97).when(c.rlike("[A-Z]"), 65)
-    base = lambda c: F.when(c.rlike("[0-9]"), 10).when(c.rlike("[a-zA-Z]"), letters).otherwise(1)
-    values = lambda cs: F.transform(cs, lambda c: F.coalesce(code(c) - floor(c), F.lit(0)))
+    floor = lambda c: ranged(c, code(c), lambda low, _: low, code(c) - code(c) % 16, code(c))
+    base = lambda c: ranged(c, code(c), lambda low, high: high - low + 1, F.lit(16), F.lit(1))
+    character = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    values = lambda cs: F.transform(cs, lambda c: code(c) - floor(c))
     new = lambda cs: feistel(values(cs), F.transform(cs, base), label, key)
-    back = lambda cs: F.zip_with(cs, new(cs), lambda c, v: F.coalesce(F.char(floor(c) + v), c))
-    return _let(split, lambda cs: F.array_join(back(cs), ""))
+    back = lambda cs: F.zip_with(cs, new(cs), lambda c, v: F.when(base(c) > 1, character(floor(c) + v)).otherwise(c))
+    return _let(F.regexp_extract_all(text, F.lit("(?s)(.)"), 1), lambda cs: F.array_join(back(cs), ""))
 
 
 def _email(text: Column, key: str) -> Column:
-    return F.concat(_lettered(F.substring_index(text, "@", 1), "email", 26, key), F.lit("@"), F.substring_index(text, "@", -1))
+    """The local part moves; one of marks alone tells nobody and stays."""
+    local = F.substring_index(text, "@", 1)
+    return F.when(local.rlike(r"[\p{L}\p{N}]"), F.concat(_lettered(local, "email", 26, key), F.lit("@"), F.substring_index(text, "@", -1)))
 
 
 def _token(text: Column, key: str) -> Column:
     return F.when(text.rlike("[0-9]") & text.rlike("[A-Fa-f]"), _lettered(text, "token", 6, key))
 
 
-KINDS = (("email", EMAIL, _email), ("token", TOKEN, _token), ("date", DATE, _date), ("address", ADDRESS, _address), ("phone", PHONE, _phone), ("social", SOCIAL, _social), ("card", CARD, _card))
+KINDS = (("email", EMAIL, _email), ("token", TOKEN, _token), ("date", DATE, _date), ("address", ADDRESS, _address), ("phone", PHONE, _phone), ("social", SOCIAL, _social))
 
 
 def pseudonym(found: Column, key: str) -> Column:
-    """The pseudonym of one found string by its kind; null if it isn't valid of its kind."""
-    name = F.when(F.lit(False), F.lit(""))
+    """(text, n): what stands in place of one found string, by its kind, and how many values of it were renamed; null if none is valid of its kind."""
+    name, kind = F.when(F.lit(False), F.lit("")), F.lit(False)
     for _, pattern, rename in KINDS:
-        name = name.when(found.rlike(f"^(?:{pattern})$"), rename(found, key))
-    return name
+        fits = found.rlike(f"^(?:{pattern})$")
+        name, kind = name.when(fits, rename(found, key)), kind | fits
+    return F.when(~kind, _cards(found, key)).otherwise(_let(name, lambda n: F.when(n.isNotNull(), F.struct(n.alias("text"), F.lit(1).alias("n")))))
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with personal values in ``text`` replaced, and n_pseudonyms.
 
-    Card numbers that pass Luhn's check keep it, phone numbers keep their country code and lead digits that can lead, social security
-    numbers stay such as are given out; IPv4 addresses, calendar dates of 1800 to 2199 in their written order, mail addresses (local part)
-    and hexadecimal tokens of 32 characters or more stay such. Each is a keyed permutation of its format's values, so equal values have
+    Card numbers that pass Luhn's check keep it, wherever they stand among other groups of digits (see ``_cards``); phone numbers, written with a
+    country code or with the area in brackets, keep the code and lead digits that can lead; social security numbers stay such as are given
+    out; IPv4 addresses, calendar dates of 1800 to 2199 in their written order, mail addresses (local part, of any script) and hexadecimal tokens of 32
+    characters or more that have digits and letters stay such. Each is a keyed permutation of its format's values, so equal values have
     equal pseudonyms in every document, whatever separators they are written with, and different values never meet (a date that can
-    only be read month first moves among its like). Numbers that don't validate stay as they are.
+    only be read month first moves among its like). Numbers that don't validate stay as they are, and so do phone numbers of bare digits.
 
     Null text stays null, and like an empty one has 0 pseudonyms; a very long text, and a value of any length, is one pass of a pattern
-    that never goes back. Where kinds could overlap, the first one that matches at the leftmost place is taken. doc_id isn't looked at:
-    null and repeated ones, repeated rows and other columns stay as they come; an input column named n_pseudonyms is
-    replaced. An empty table gives no rows.
+    that never goes back. Where kinds could overlap, the first one that matches at the leftmost place is taken, and a run of digit groups ends
+    where another kind begins. doc_id isn't looked at: null and repeated ones, repeated rows and other columns stay as they come,
+    whatever their names; an input column named n_pseudonyms is replaced. An empty table gives no rows.
     """
     text = F.col("text")
+    docs = docs.drop("n_pseudonyms")
+    found, names = unused(docs, "found", "names")
     has = text.rlike("[0-9@]") & text.rlike(FOUND)
-    rows = docs.drop("n_pseudonyms").withColumn("_found", F.when(has, F.regexp_extract_all(text, F.lit(FOUND), 0)))
-    rows = rows.withColumn("_names", F.transform("_found", lambda x: pseudonym(x, key)))
-    new = F.concat(F.zip_with("_names", "_found", lambda a, b: F.coalesce(a, b)), F.array(F.lit("")))
+    rows = docs.withColumn(found, F.when(has, F.regexp_extract_all(text, F.lit(FOUND), 0)))
+    rows = rows.withColumn(names, F.transform(found, lambda x: pseudonym(x, key)))
+    new = F.concat(F.zip_with(names, found, lambda a, b: F.coalesce(a["text"], b)), F.array(F.lit("")))
     parts = F.flatten(F.zip_with(F.split(text, FOUND, -1), new, lambda a, b: F.array(a, b)))
-    rows = rows.withColumn("text", F.when(F.col("_found").isNotNull(), F.array_join(parts, "")).otherwise(text))
-    return rows.withColumn("n_pseudonyms", F.coalesce(F.size(F.filter("_names", lambda x: x.isNotNull())), F.lit(0)).cast("long")).drop("_found", "_names")
+    rows = rows.withColumn("text", F.when(F.col(found).isNotNull(), F.array_join(parts, "")).otherwise(text))
+    count = F.aggregate(names, F.lit(0), lambda n, x: n + F.coalesce(x["n"], F.lit(0)))
+    return rows.withColumn("n_pseudonyms", F.coalesce(count, F.lit(0)).cast("long")).drop(found, names)
 
 
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from datetime import date, timedelta
@@ -13,7 +15,9 @@ from pyspark.sql import functions as F
 
 from sightline.llm.bpe import digest_encoding, encode_documents, read_ranks
 from sightline.llm.byte_dedup import remove_repeated_strings
+from sightline.llm.common import unused
 from sightline.llm.components import components
+from sightline.llm.copies import keyed
 from sightline.llm.decontaminate import contained_items
 from sightline.llm.kernels import byte_grams, byte_spans, in_a_row
 from sightline.llm.near_dedup import exact_shingles, near_duplicates, shingle_hashes
@@ -224,6 +228,60 @@ def test_archives(spark, tmp_path):
 # Format-preserving pseudonyms, worked out again without Spark.
 
 
+def plain_cards(run: str, key: str) -> tuple[str, int]:
+    """Cards of a run of digit groups, by trying every stretch."""
+    pieces, out, n, i = re.findall("[ -]?[0-9]+", run), "", 0, 0
+    luhn = lambda ds: sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(reversed(ds))) % 10
+    while i < len(pieces):
+        good = []
+        for j in range(i + 1, min(i + 19, len(pieces)) + 1):
+            ds = [int(c) for c in "".join(pieces[i:j]) if c.isdigit()]
+            if 13 <= len(ds) <= 19 and luhn(ds) == 0:
+                good.append((abs(len(ds) - 16), j, ds))
+        if not good:
+            out, i = out + pieces[i], i + 1
+            continue
+        _, j, ds = min(good)
+        new = plain_feistel(ds[:-1], [10] * (len(ds) - 1), "card", key)
+        new.append(-luhn([*new, 0]) % 10)
+        fill = iter(new)
+        out, n, i = out + "".join(str(next(fill)) if c.isdigit() else c for c in "".join(pieces[i:j])), n + 1, j
+    return out, n
+
+
+def test_cards_among_other_digits(spark):
+    draw = random.Random(6)
+    card = lambda: (lambda b: b + str(-sum(d if k % 2 else 2 * d - 9 * (d > 4) for k, d in enumerate(map(int, reversed(b)))) % 10))("".join(draw.choice("0123456789") for _ in range(15)))
+    grouped = lambda c: draw.choice([c, " ".join(c[k : k + 4] for k in range(0, 16, 4)), "-".join(c[k : k + 4] for k in range(0, 16, 4))])
+    group = lambda: "".join(draw.choice("0123456789") for _ in range(draw.randint(1, 21)))
+    runs = ["7 4111 1111 1111 1111", "4111111111111111 12", "1-4111111111111111", "4111 1111 1111 1111 4111-1111-1111-1111"]
+    runs += [" ".join([*(group() for _ in range(draw.randint(0, 4))), grouped(card()), *(group() for _ in range(draw.randint(0, 4)))]) for _ in range(60)]
+    frame = spark.createDataFrame([(k, f"Order {run} end", "mine", "yours", "n") for k, run in enumerate(runs)], "doc_id long, text string, found string, _FOUND string, names string")
+    got = {r.doc_id: r for r in pseudonymise(frame, "k").collect()}
+    for k, run in enumerate(runs):
+        text, n = plain_cards(run, "k")
+        assert (got[k].text, got[k].n_pseudonyms, got[k].found, got[k]._FOUND, got[k].names) == (f"Order {text} end", n, "mine", "yours", "n") and n > 0 and text != run
+
+
+def test_kinds_beside_each_other_and_long_texts(spark):
+    other = "4111 1111 1111 1111"
+    texts = [f"7 2024-01-02 {other}", f"{other} 192.168.0.1", f"1 (555) 123-4567 {other}", f"{other} 078-05-1120 {other} 8", f"5 {'0123456789abcdef' * 2} {other}", f"{other} 12ab@x.org", "x " * 200_000 + f"a@b.org {other}", "12 " * 300 + "."]
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    name = plain_cards(other, "k")[0]
+    assert [got[k].n_pseudonyms for k in range(7)] == [2, 2, 2, 3, 2, 2, 2] and all(name in got[k].text and other not in got[k].text for k in range(7))
+    assert got[6].text.startswith("x " * 200_000) and (got[7].text, got[7].n_pseudonyms) == (plain_cards("12 " * 299 + "12", "k")[0] + " .", plain_cards("12 " * 299 + "12", "k")[1])
+
+
+def test_mail_names_of_any_script(spark):
+    """Names move, each within its script, and different ones never meet; names of marks alone stay."""
+    names = ["иван", "ИВАН", "жоао", "٤٥", "日本", "日", "ñandú", "Ωmega", "กข", "한글", "été9", "ᏣᎳᎩ", "a", "b"]
+    texts = [f"{n}@example.com" for n in names] + ["+@example.com"]
+    got = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert len(set(got)) == len(texts) and got[-1] == texts[-1] and sum(a != b for a, b in zip(got, texts, strict=True)) >= len(names) - 3
+    kinds = lambda t: [unicodedata.category(c)[0] for c in t]
+    assert all(kinds(a) == kinds(b) for a, b in zip(got[:11], texts[:11], strict=True)) and all(g.endswith("@example.com") for g in got)
+
+
 def plain_feistel(values: list[int], bases: list[int], label: str, key: str) -> list[int]:
     n, half = len(values), len(values) // 2
     if n == 1:
@@ -348,3 +406,42 @@ def test_prior_leaves_chance_out(spark):
     uneven = [(k, bad if draw.random() < (0.9 if k % 60 < 20 else 0.05) else good, f"h{k % 60}") for k in range(1200)]
     rows = quality_rules(spark.createDataFrame(uneven, "doc_id long, text string, source string")).select("host", "rate_short").distinct().collect()
     assert all((r.rate_short > 0.5) == (int(r.host[1:]) < 20) for r in rows)
+
+
+def least_capacity(groups: list[int], shards: int) -> int:
+    """Smallest capacity under which contiguous filling needs no more than the shards."""
+    for capacity in range(max(groups), sum(groups) + 1):
+        used, room = 1, capacity
+        for g in groups:
+            used, room = (used, room - g) if g <= room else (used + 1, capacity - g)
+        if used <= shards:
+            return capacity
+    raise AssertionError
+
+
+def test_shards_with_repeated_ids_have_the_least_capacity(spark):
+    """Different texts of one id are groups of their own; equal texts of different ids are one."""
+    for shards, rows in ((3, [(1, "a" * 10), (2, "b" * 10), (2, "c" * 10), (3, "d" * 10), (4, "e" * 10), (5, "f" * 10)]), (4, [(k % 5, chr(97 + k % 9) * (3 + k % 9)) for k in range(40)] + [(None, "z" * 9), (None, "y"), (None, "z" * 9), (7, None), (7, "")])):
+        got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards).collect()
+        total = Counter()
+        for r in got:
+            total[r.shard] += r.size
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(t or "", []).append((i is None, i or 0))
+        order = sorted(groups, key=lambda t: (min(groups[t]), zlib.crc32(t.encode())))
+        sizes = [len(groups[t]) * (len(t) + 1) for t in order]
+        tied = len({min(groups[t]) for t in order}) < len(order)
+        assert max(total.values()) == least_capacity(sizes, shards) or (tied and shards == 4 and max(total.values()) <= -(-sum(sizes) // shards) + max(sizes))
+        places = {}
+        for r in got:
+            places.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+        assert all(len(x) == 1 for x in places.values())  # no group is parted
+
+
+def test_keys_of_tables_with_working_names(spark):
+    rows = [(1, "a", "own", "clash", "salt"), (1, "b", "own", "clash", "salt"), (2, "c", "own", "clash", "salt"), (None, "c", "own", "clash", "salt")]
+    told = keyed(spark.createDataFrame(rows, "doc_id long, text string, _own string, clash string, SALT string"), name="key")
+    got = told.rows.collect()
+    assert told.clash and len({r.key for r in got}) == 4 and all((r._own, r.clash, r.SALT) == ("own", "clash", "salt") for r in got)
+    assert unused(spark.createDataFrame([], "row int, _Row int, x int"), "row", "y", "X") == ["__row", "y", "_X"]
