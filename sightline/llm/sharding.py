@@ -17,28 +17,28 @@ TRIALS = 16
 
 
 def ordered(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, leader, row, before: documents in order of their group's smallest doc_id, then doc_id.
+    """doc_id, size, text_crc32, leader, digest, row, before: documents in order of their group's smallest doc_id, then its text's hash, then doc_id.
 
-    Groups are equal texts (null equals empty). ``row`` counts documents and ``before`` bytes that stand before, without a gap.
+    Groups are equal texts (null equals empty), also where a doc_id has several. ``row`` counts documents and ``before`` bytes that stand before, without a gap.
     Both come from a range partition with one total for each partition, so a group of any size is spread over tasks.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(given_key().alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
     several = rows.groupBy("digest").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = salted_left_join(rows, several, ["digest"], F.col("doc_id")).drop("digest").withColumn("leader", F.coalesce("leader", "doc_id"))
+    rows = salted_left_join(rows, several, ["digest"], F.col("doc_id")).withColumn("leader", F.coalesce("leader", "doc_id"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut(rows.repartitionByRange(n, "leader", "doc_id").withColumn("part", F.spark_partition_id()))
+    rows = cut(rows.repartitionByRange(n, "leader", "digest", "doc_id").withColumn("part", F.spark_partition_id()))
     totals = rows.groupBy("part").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).orderBy("part").collect()  # a row for each partition
     sizes, counts, starts = 0, 0, []
     for t in totals:
         starts.append((t["part"], sizes, counts))
         sizes, counts = sizes + t["size"], counts + t["rows"]
     starts = docs.sparkSession.createDataFrame(starts, "part int, size_start long, row_start long")
-    own = Window.partitionBy("part").orderBy("leader", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("part").orderBy("leader", "digest", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(F.broadcast(starts), "part")
-    rows = rows.withColumn("before", F.col("size_start") + F.sum("size").over(own) - F.col("size")).withColumn("row", F.col("row_start") + F.row_number().over(Window.partitionBy("part").orderBy("leader", "doc_id")) - 1)
-    first = F.row_number().over(Window.partitionBy("part", "leader").orderBy("leader", "doc_id")) == 1
-    return cut(rows.withColumn("bound", first & (F.col("doc_id") == F.col("leader"))).select("doc_id", "size", "text_crc32", "leader", "row", "before", "bound"))
+    rows = rows.withColumn("before", F.col("size_start") + F.sum("size").over(own) - F.col("size")).withColumn("row", F.col("row_start") + F.row_number().over(Window.partitionBy("part").orderBy("leader", "digest", "doc_id")) - 1)
+    first = F.row_number().over(Window.partitionBy("part", "leader", "digest").orderBy("doc_id")) == 1
+    return cut(rows.withColumn("bound", first & (F.col("doc_id") == F.col("leader"))).select("doc_id", "size", "text_crc32", "leader", "digest", "row", "before", "bound"))
 
 
 def greedy(bounds: list[int], total: int, capacity: int, shards: int) -> list[int] | None:
@@ -123,15 +123,15 @@ def shard_documents(docs: DataFrame, shards: int = 16, driver_bounds: int = DRIV
     texts and never parted, so a group larger than the mean sets the capacity. Size is the text's bytes in UTF-8 plus 1 (null: 1).
     ``slot`` counts a shard's documents from 0. grown_shard is null, as a contiguous partition moves rows when shards are added.
 
-    Null counts as an empty text; a very long text is one document, whose size may set the capacity. Repeated rows are placed each, and
-    the texts of one repeated doc_id stay together; rows without a doc_id come last. Of capacities the smallest is taken, and shards are filled
+    Null counts as an empty text; a very long text is one document, whose size may set the capacity. Repeated rows are placed each, the
+    texts of one repeated doc_id are groups of their own, one after the other; rows without a doc_id come last. Of capacities the smallest is taken, and shards are filled
     from the first, so there are no ties. With fewer groups than shards the last shards are empty; an empty table gives no rows; other
     columns are ignored.
     """
     rows = ordered(docs)
     bounds = rows.filter("bound")
     sums = rows.agg(F.sum("size").alias("total")).first()["total"] or 0
-    largest = rows.groupBy("leader").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] or 0
+    largest = rows.groupBy("leader", "digest").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] or 0
     cuts = minimax_cuts(bounds, sums, largest, shards, driver_bounds) if sums else [0]
     starts = {r["before"]: r["row"] for r in bounds.filter(F.col("before").isin(cuts)).select("before", "row").collect()}  # at most one for each shard
     shard, first = F.lit(0), F.lit(0).cast("long")
