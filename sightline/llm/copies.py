@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted_left_join
+from .common import cut, salted_left_join, unused
 
 #: From here on keys are made of the row, for those whose id doesn't tell them. They are never null, so joins need no test for null.
 NO_ID = 1 << 62
@@ -38,19 +38,20 @@ class Keyed(NamedTuple):
 
 
 def keyed(docs: DataFrame, id: str = "doc_id", name: str = "row") -> Keyed:
-    """docs with a key, the column ``name``.
+    """docs with a key, the column ``name``, which docs must not have (see ``unused``).
 
     Rows with equal keys have equal ids and equal texts: the key is the id, or where the id is null or has several texts, one
     made of id and text. Whether there are such ids is told by a pre-aggregated hash of the text; where there are none, nothing is joined.
     """
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    tags = docs.select(given_key(id).alias("_own"), F.xxhash64("text").alias("tag")).groupBy("_own").agg(F.count("*").alias("n"), F.min("tag").alias("low"), F.max("tag").alias("high"))
+    tags = docs.select(given_key(id).alias("own"), F.xxhash64("text").alias("tag")).groupBy("own").agg(F.count("*").alias("n"), F.min("tag").alias("low"), F.max("tag").alias("high"))
     clash, again = (bool(x) for x in tags.agg(F.max(F.col("low") != F.col("high")), F.max(F.col("n") > 1)).first())
     if not clash:
         return Keyed(docs.withColumn(name, given_key(id)), False, again)
-    clashes = cut(tags.filter("low <> high").select("_own", F.lit(True).alias("_clash")))
-    rows = salted_left_join(docs.withColumn("_own", given_key(id)), clashes, ["_own"], F.col("text"))
-    return Keyed(rows.withColumn(name, F.when(F.col("_clash"), made_key("_own", "text")).otherwise(F.col("_own"))).drop("_own", "_clash"), True, again)
+    own, several = unused(docs, "own", "clash")
+    clashes = cut(tags.filter("low <> high").select(F.col("own").alias(own), F.lit(True).alias(several)))
+    rows = salted_left_join(docs.withColumn(own, given_key(id)), clashes, [own], F.col("text"))
+    return Keyed(rows.withColumn(name, F.when(F.col(several), made_key(own, "text")).otherwise(F.col(own))).drop(own, several), True, again)
 
 
 def with_roles(docs: DataFrame) -> DataFrame:

@@ -46,3 +46,25 @@ def test_stages_on_rows_without_ids(spark, tmp_path):
     got = told(corpus_pipeline.near_dedup, rows)
     assert sorted((i, t.lower()) for i, t, _ in got) == sorted([(1, near), (0, lone), (0, clean), (0, ""), (0, " "), (0, " ")])
     assert told(corpus_pipeline.decontaminate, [(None, clean, "s"), (None, leak, "s"), (1, leak, "s"), (2, clean, "s")]) == sorted([(0, clean, "s"), (2, clean, "s")])
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Columns named like the stages' own, ids of several texts, a very long text, and an empty table."""
+    draw = random.Random(2)
+    words = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(3, 8))) for _ in range(n))
+    names = ["row", "_row", "host", "_host", "again", "_own", "_clash", "own", "clash", "salt", "_salt", "found", "_names", "chosen", "kept"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    base = words(80)
+    texts = [(1, words(60)), (1, words(60)), (2, base), (3, base), (3, base), (4, words(60_000)), (None, words(70)), (5, base + " more")]
+    pq.write_table(pa.table({"item_id": pa.array([0], pa.int64()), "text": [words(40)]}), tmp_path / "benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), *(f"{n} of {k}" for n in names)) for k, (i, t) in enumerate(texts)], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        rows = got.collect()
+        assert got.columns == docs.columns and len(rows) == (5 if name == "MinHash near-dedup" else len(texts))
+        assert {tuple(r[n].split(" of ") for n in names)[0][1] for r in rows} <= {str(k) for k in range(len(texts))} and all(r[n].startswith(f"{n} of ") for r in rows for n in names)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(last) == len(texts) and max(r.n_tokens for r in last) > 60_000
+    pq.write_table(pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "lang": pa.array([], pa.string()), "source": pa.array([], pa.string()), "n_chars": pa.array([], pa.int64())}), tmp_path / "documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
