@@ -67,7 +67,7 @@ def quality_rules(docs: DataFrame, host: Column | None = None, host_limit: float
     for rule, (a, b) in beta_priors(hosts, strength).items():
         hosts = hosts.withColumn(f"rate_{rule}", (F.col(f"failed_{rule}") + a) / (F.col("host_docs") + a + b))
     rates = [F.col(f"rate_{rule}") for rule in rules()]
-    return salted_left_join(rows, hosts, ["host"], F.col("doc_id")).withColumn("kept", ~F.col("base_failed") & (F.greatest(*rates) <= host_limit))
+    return salted_left_join(rows, hosts, ["host"], F.rand(1)).withColumn("kept", ~F.col("base_failed") & (F.greatest(*rates) <= host_limit))
 
 
 def beta_priors(hosts: DataFrame, strength: float) -> dict[str, tuple[float, float]]:
