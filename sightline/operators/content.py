@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import comparable, half_up, stable_id
 from ..functions.urls import domain_key
 from .facts import contradictions
+from .ranking import placed
 
 #: Components of a page's score and their weights (fixed values).
 WEIGHTS = {"direct_answer": 20, "specificity": 15, "evidence": 15, "structure": 15, "entity": 15, "technical": 10, "freshness": 5, "commercial": 5}
@@ -93,19 +94,33 @@ def coverage_matrix(matches: DataFrame, brands: list[str]) -> DataFrame:
     return matches.select("question_id", "brand_id", "page_id").distinct().groupBy("question_id").pivot("brand_id", brands).agg(F.count("page_id")).fillna(0)
 
 
+def _matches(pages: DataFrame, brands: DataFrame) -> DataFrame:
+    """Completed pages with their project and kind of brand, a row for each question that they match."""
+    p = pages.filter("status = 'completed'").join(brands.select("project_id", "brand_id", "kind"), "brand_id")
+    return p.select("project_id", "page_id", "kind", "url", "direct_answer", F.explode("matches.question_id").alias("id"))
+
+
+def gap_pages(gaps: DataFrame, pages: DataFrame, brands: DataFrame) -> DataFrame:
+    """(project_id, question_id, kind, page_id, url): all pages that match the questions of gaps, a row each; the lists of ``content_gaps`` are samples."""
+    own = gaps.select("project_id", "question_id")
+    return _matches(pages, brands).withColumnRenamed("id", "question_id").join(own, ["project_id", "question_id"], "left_semi").select("project_id", "question_id", "kind", "page_id", "url")
+
+
 def content_gaps(questions: DataFrame, pages: DataFrame, brands: DataFrame, listed: int = 20) -> DataFrame:
     """Questions that no completed target page matches (create), or that all which do answer weakly (update).
 
     questions: project_id, id, text, type, intent. brands: project_id, brand_id, kind. Nothing for projects without a completed target page.
-    Only exploded matches are joined, never questions with pages.
+    Only exploded matches are joined, never questions with pages. target_urls and rival_urls are the first ``listed`` in order of spelling;
+    ``gap_pages`` has all.
     """
     p = pages.filter("status = 'completed'").join(brands.select("project_id", "brand_id", "kind"), "brand_id")
     ready = p.filter("kind = 'target'").select("project_id").distinct()
-    m = p.select("project_id", "page_id", "kind", "url", "direct_answer", F.explode("matches.question_id").alias("id"))
     target = F.col("kind") == "target"
-    m = m.groupBy("project_id", "id").agg(
-        F.count_if(target).alias("own"), F.count_if(~target).alias("rivals"), F.max(F.when(target, F.coalesce("direct_answer", F.lit(0.0)))).alias("best"),
-        F.slice(F.array_sort(F.collect_set(F.when(target, F.col("url")))), 1, listed).alias("target_urls"), F.slice(F.array_sort(F.collect_set(F.when(~target, F.col("url")))), 1, listed).alias("rival_urls"))
+    matched = _matches(pages, brands)
+    m = matched.groupBy("project_id", "id").agg(F.count_if(target).alias("own"), F.count_if(~target).alias("rivals"), F.max(F.when(target, F.coalesce("direct_answer", F.lit(0.0)))).alias("best"))
+    first = matched.select("project_id", "id", target.alias("own_page"), "url").distinct().withColumn("_k", F.row_number().over(Window.partitionBy("project_id", "id", "own_page").orderBy("url"))).filter(F.col("_k") <= listed)
+    urls = first.groupBy("project_id", "id").agg(F.array_sort(F.collect_list(F.when(F.col("own_page"), F.col("url")))).alias("target_urls"), F.array_sort(F.collect_list(F.when(~F.col("own_page"), F.col("url")))).alias("rival_urls"))
+    m = m.join(urls, ["project_id", "id"])
     q = questions.join(ready, "project_id", "left_semi").join(m, ["project_id", "id"], "left").fillna(0, ["own", "rivals"])
     missing = F.col("own") == 0
     kind = F.lit("Question coverage")
@@ -187,4 +202,4 @@ def action_plan(*actions: DataFrame) -> DataFrame:
         rows = rows.unionByName(other)
     last = F.row_number().over(Window.partitionBy("project_id", "id").orderBy(F.desc("step"), F.desc("priority"), "title"))
     rows = rows.withColumn("_k", last).filter("_k = 1").drop("_k")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("priority"), "step", "id")))
+    return placed(rows, "project_id", [F.desc("priority"), F.col("step").asc(), F.col("id").asc()])

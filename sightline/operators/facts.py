@@ -13,7 +13,10 @@ from ..functions.urls import domain_key
 
 
 def contradictions(facts: DataFrame, keys: tuple[str, ...] = ("brand_id",), listed: int = 100) -> DataFrame:
-    """Groups of facts, not rejected, of one subject and attribute with more than one value: size, values and the first ids."""
+    """Groups of facts, not rejected, of one subject and attribute with more than one value: size, and the first values and ids.
+
+    ``contradicting_facts`` has all facts of the groups.
+    """
     f = facts.filter("status <> 'rejected'").select(*keys, "category", "id", "value", fold_nfkc(F.col("subject")).alias("subject"), fold_nfkc(F.col("attribute")).alias("attribute"), fold_nfkc(F.col("value")).alias("_v"))
     by = [*keys, "category", "subject", "attribute"]
     groups = f.groupBy(*by).agg(F.count_distinct("_v").alias("n_values"), F.count("*").alias("n_facts")).filter("n_values > 1")
@@ -23,6 +26,14 @@ def contradictions(facts: DataFrame, keys: tuple[str, ...] = ("brand_id",), list
     return groups.join(values, by).join(ids, by).select(*by, "n_values", "n_facts", "values", "fact_ids")
 
 
+def contradicting_facts(facts: DataFrame, keys: tuple[str, ...] = ("brand_id",)) -> DataFrame:
+    """All facts that ``contradictions`` counts, a row each: the group's keys, category, subject and attribute, then id and value."""
+    f = facts.filter("status <> 'rejected'").select(*keys, "category", "id", "value", fold_nfkc(F.col("subject")).alias("subject"), fold_nfkc(F.col("attribute")).alias("attribute"), fold_nfkc(F.col("value")).alias("_v"))
+    by = [*keys, "category", "subject", "attribute"]
+    groups = f.groupBy(*by).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high")).filter("_low <> _high").select(*by)
+    return f.join(groups, by).select(*by, "id", "value")
+
+
 def merge_facts(new: DataFrame, existing: DataFrame) -> DataFrame:
     """New facts that no existing one repeats: same brand, category, folded words and one same source (URL, text hash and quote)."""
     folded = ["subject", "attribute", "value"]

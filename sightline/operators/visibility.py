@@ -222,11 +222,18 @@ def sliced_metrics(answers: DataFrame, brands: DataFrame, mentions: DataFrame, c
     return brand_metrics(answers.select("*", F.inline(F.array(*slices))), brands, mentions, citations, ("dimension", "value"))
 
 
+def citation_urls(answers: DataFrame, citations: DataFrame) -> DataFrame:
+    """(experiment_id, domain, url, citations, n_answers): every URL that eligible answers cite, a row each."""
+    rows = citations.join(eligible_answers(answers).select("experiment_id", "answer_id"), ["experiment_id", "answer_id"])
+    once = rows.groupBy("experiment_id", "domain", "url", "answer_id").agg(F.count("*").alias("n"))
+    return once.groupBy("experiment_id", "domain", "url").agg(F.sum("n").alias("citations"), F.count("*").alias("n_answers"))
+
+
 def citation_domains(answers: DataFrame, brands: DataFrame, citations: DataFrame, urls: int = 100) -> DataFrame:
     """Domains cited in eligible answers: citations, distinct URLs and answers, kinds of source, and whether it is the target's.
 
-    ``rank`` orders by count, then by first place. Counted by URL first, so a popular domain is no hot key; of its URLs only the
-    first ``urls`` in order of spelling are ever listed.
+    ``rank`` orders by count, then by first place. Counted by URL first, so a popular domain is no hot key; of its URLs the first
+    ``urls`` in order of spelling are listed, and ``citation_urls`` has all.
     """
     good = eligible_answers(answers).select("experiment_id", "answer_id", "ordinal")
     rows = citations.join(good, ["experiment_id", "answer_id"])

@@ -87,6 +87,11 @@ def citation_domains(spark, d):
     return V.citation_domains(B.answers(spark, d), B.brands(spark), B.citations(spark, d)).withColumns({c: F.array_join(c, " ") for c in ("urls", "source_kinds")})
 
 
+@query(O.CITATION_URLS)
+def citation_urls(spark, d):
+    return V.citation_urls(B.answers(spark, d), B.citations(spark, d))
+
+
 @query(O.CONCENTRATION)
 def citation_concentration(spark, d):
     return V.citation_concentration(V.citation_domains(B.answers(spark, d), B.brands(spark), B.citations(spark, d)))
@@ -162,6 +167,11 @@ def contradictions(spark, d):
     return FA.contradictions(B.facts(spark, d)).withColumns({c: F.array_join(c, " ") for c in ("values", "fact_ids")})
 
 
+@query(O.CONTRADICTING_FACTS)
+def contradicting_facts(spark, d):
+    return FA.contradicting_facts(B.facts(spark, d))
+
+
 @query(O.REFERENCE_FACTS)
 def reference_facts(spark, d):
     kinds = B.facts(spark, d).select("brand_id").distinct().withColumn("kind", F.when(F.col("brand_id").endswith("1"), "target").otherwise("competitor"))
@@ -313,6 +323,12 @@ def _content(spark, d):
     return questions, pages.join(matched, "page_id"), brands
 
 
+@query(O.GAP_PAGES)
+def gap_pages(spark, d):
+    questions, pages, brands = _content(spark, d)
+    return C.gap_pages(C.content_gaps(questions, pages, brands), pages, brands).drop("project_id")
+
+
 @query(O.CONTENT_GAPS)
 def content_gaps(spark, d):
     return C.content_gaps(*_content(spark, d)).select("question_id", "type", "action", "effort", "impact", "confidence", "rivals")

@@ -93,6 +93,7 @@ dom AS (SELECT experiment_id, domain, count(*) AS citations, count(DISTINCT url)
 t AS (SELECT experiment_id, min(host) AS host FROM brands WHERE kind = 'target' GROUP BY 1),
 ranked AS (SELECT experiment_id, domain, citations, n_urls, n_answers, urls, source_kinds, domain = host OR ends_with(domain, '.' || host) AS target, row_number() OVER (PARTITION BY experiment_id ORDER BY citations DESC, first, domain) AS rank FROM dom LEFT JOIN t USING (experiment_id))"""
 CITATION_DOMAINS = f"{_DOMAINS} SELECT * FROM ranked"
+CITATION_URLS = f"{_DOMAINS} SELECT experiment_id, domain, url, count(*) AS citations, count(DISTINCT answer_id) AS n_answers FROM r GROUP BY ALL"
 CONCENTRATION = f"""{_DOMAINS}, j AS (SELECT experiment_id, (sum(citations) FILTER (rank <= 5))::BIGINT AS top, sum(citations)::BIGINT AS citations FROM ranked GROUP BY 1)
 SELECT experiment_id, top, citations, {_wilson("top", "citations", "concentration")} FROM j"""
 
@@ -119,6 +120,7 @@ CRAWL_COUNTERS = "SELECT user_id AS crawl_run_id, count(*) AS processed, count(*
 
 _FACTS = "facts AS (SELECT p_partkey AS id, p_brand AS brand_id, lower(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) AS subject, p_size::VARCHAR AS value, p_partkey * 7919 % 10007 AS updated_at FROM part WHERE p_partkey % 9 <> 0)"
 CONTRADICTIONS = f"WITH {_FACTS} SELECT brand_id, 'product' AS category, subject, 'size' AS attribute, count(DISTINCT value) AS n_values, count(*) AS n_facts, array_to_string(list_sort(list(DISTINCT value))[1:100], ' ') AS values, array_to_string(list_sort(list(id))[1:100], ' ') AS fact_ids FROM facts GROUP BY brand_id, subject HAVING count(DISTINCT value) > 1"
+CONTRADICTING_FACTS = f"WITH {_FACTS} SELECT brand_id, 'product' AS category, subject, 'size' AS attribute, id, value FROM facts QUALIFY min(value) OVER (PARTITION BY brand_id, subject) <> max(value) OVER (PARTITION BY brand_id, subject)"
 REFERENCE_FACTS = f"WITH {_FACTS} SELECT brand_id, id, place FROM (SELECT brand_id, id, row_number() OVER (PARTITION BY brand_id ORDER BY updated_at DESC, id)::INTEGER AS place FROM facts) WHERE place <= CASE WHEN ends_with(brand_id, '1') THEN 60 ELSE 12 END"
 CONTEXT_FACTS = f"""WITH {_FACTS}, d AS (SELECT *, row_number() OVER (PARTITION BY brand_id, subject, value ORDER BY updated_at DESC, id) AS k FROM facts)
 SELECT brand_id, id, place FROM (SELECT brand_id, id, row_number() OVER (PARTITION BY brand_id ORDER BY updated_at DESC, id)::INTEGER AS place FROM d WHERE k = 1) WHERE place <= 40"""
@@ -186,6 +188,7 @@ FROM lineitem JOIN part p ON l_partkey = p_partkey LEFT JOIN c ON c.p_brand = p.
 _GAPS = """m AS (SELECT l_partkey AS q, count(DISTINCT l_suppkey) FILTER (s_nationkey % 2 = 0) AS own, count(DISTINCT l_suppkey) FILTER (s_nationkey % 2 = 1) AS rivals, max(s_suppkey % 20) FILTER (s_nationkey % 2 = 0) AS best FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1),
 gaps AS (SELECT p_partkey AS question_id, CASE WHEN coalesce(own, 0) > 0 THEN 'Weak direct answer' WHEN p_size % 2 = 0 THEN 'Pricing clarity' ELSE 'Question coverage' END AS type, CASE WHEN coalesce(own, 0) > 0 THEN 'update' ELSE 'create' END AS action, CASE WHEN coalesce(own, 0) > 0 THEN 'small' ELSE 'medium' END AS effort,
   (p_size % 5 + 1) * 20 AS impact, CASE WHEN coalesce(own, 0) > 0 THEN 0.65::DOUBLE ELSE 0.55::DOUBLE END AS confidence, coalesce(rivals, 0) AS rivals FROM part LEFT JOIN m ON q = p_partkey WHERE coalesce(own, 0) = 0 OR best < 10)"""
+GAP_PAGES = f"""WITH {_GAPS} SELECT DISTINCT question_id, CASE WHEN s_nationkey % 2 = 0 THEN 'target' ELSE 'competitor' END AS kind, s_suppkey AS page_id, 'https://a.com/' || s_suppkey AS url FROM gaps JOIN lineitem ON l_partkey = question_id JOIN supplier ON s_suppkey = l_suppkey"""
 CONTENT_GAPS = f"WITH {_GAPS} SELECT * FROM gaps"
 ACTION_PLAN = f"""WITH {_GAPS}, {_ISSUES}, first AS (SELECT rule_id, severity, url FROM i WHERE severity <> 'observation' ORDER BY severity <> 'error', rule_id, url LIMIT 40),
 a AS (SELECT 'Technical accessibility' AS category, 1 AS month, floor(70 * 0.35::DOUBLE + (CASE severity WHEN 'error' THEN 90 ELSE 55 END) * 0.25::DOUBLE + 0.9::DOUBLE * 100 * 0.15::DOUBLE + 80 * 0.15::DOUBLE + 100 * 0.1::DOUBLE + 0.5::DOUBLE) AS priority FROM (SELECT DISTINCT rule_id, url, severity FROM first)

@@ -79,7 +79,7 @@ def report_tables(metrics: DataFrame, claims: DataFrame, domains: DataFrame, pag
     return {
         "brand_metrics": metrics,
         "claims": claims,
-        "citation_domains": domains.filter("rank <= 20"),
+        "citation_domains": domains,
         "pages": pages.select("project_id", "page_id", "url", "score", "evaluated_weight"),
         "gaps": gaps,
         "top_actions": plan.withColumn("place", rank).filter(F.col("place") <= top),
