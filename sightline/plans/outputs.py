@@ -285,6 +285,26 @@ def sitemap_urls(spark, d):
     return P.read_sitemaps(files.join(F.broadcast(home)))  # home: one row
 
 
+@query("""WITH RECURSIVE reach(k) AS (SELECT unnest([0, 1, 2]) UNION SELECT unnest([6 * (r.k // 3) + 3 + r.k % 3, 6 * (r.k // 3) + 6 + r.k % 3]) FROM reach r JOIN pages ON page_id = r.k WHERE r.k % 7 <> 6)
+SELECT 'c' || k % 3 AS crawl_run_id, 'https://a.example.com/' || k || '.xml' AS url, EXISTS (FROM pages WHERE page_id = k) AND k % 7 <> 6 AS read FROM reach""")
+def followed_sitemaps(spark, d):
+    """A sitemap index for each page, but for every seventh: those of a crawl name two others each, and themselves."""
+    k = F.col("page_id")
+    at = lambda n: F.concat(F.lit("https://a.example.com/"), n.cast("string"), F.lit(".xml"))
+    row, crawl = F.floor(k / 3), k % 3
+    named = F.concat(*(x for n in (6 * row + 3 + crawl, 6 * row + 6 + crawl, k) for x in (F.lit("<sitemap><loc>"), at(n), F.lit("</loc></sitemap>"))))
+    own = F.concat(F.lit("c"), crawl.cast("string")).alias("crawl_run_id")
+    files = B.read(spark, d, "pages").filter(k % 7 != 6).select(own, at(k).alias("url"), F.concat(F.lit("<sitemapindex>"), named, F.lit("</sitemapindex>")).alias("xml"))
+    starts = spark.range(3).select(F.concat(F.lit("c"), "id").alias("crawl_run_id"), at(F.col("id")).alias("url"), F.lit(0).alias("seen"), F.lit("https://a.example.com").alias("home"))
+    return P.follow_sitemaps(files, starts, most_files=1_000_000)[1].drop("place")
+
+
+@query("SELECT event_id, event_type, (props->>'$.k')::INTEGER AS k FROM events")
+def stored_tables(spark, d):
+    """A stored table whose column of JSON text is parsed."""
+    return P.read_tables(spark, d, {"events": {"props": "struct<k:int>"}})["events"].select("event_id", "event_type", "props.k")
+
+
 @query("""SELECT s_suppkey::VARCHAR AS crawl_run_id, unnest(['*', '*', 'A', 'B']) AS agent, unnest([false, true, false, false]) AS allow, unnest(['^/x' || s_suppkey, '^', '^/y.*z$', '^/y.*z$']) AS pattern, unnest([2 + length(s_suppkey::VARCHAR), 0, 5, 5])::INTEGER AS length FROM supplier""")
 def robots_rule_rows(spark, d):
     text = F.concat(F.lit("# c\nUser-agent: *\nDisallow: /x"), "s_suppkey", F.lit(" # why\nDisallow:\n\nUser-agent: A\nuser-agent: B\nDisallow: /y*z$\n"))

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from ..functions.htmltree import PageTree
 from ..functions.jsonld import load_block, summary
 from ..functions.urls import PAGE_KINDS, canonical, is_page_candidate, same_domain, url_key
+from ..storage import stored
 
 PAGE_SCHEMA = (
     "id string, crawl_run_id string, brand_id string, url string, final_url string, canonical_url string, title string, meta_description string, headings array<struct<level:int,text:string>>, "
@@ -151,32 +152,96 @@ def classify_fetches(log: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(repeat, "skipped").otherwise(F.col("_s.s"))).withColumn("error", F.when(repeat, "Already fetched").otherwise(F.col("_s.e"))).drop("_s", "_key", "_again", "_asked", "_at")
 
 
+#: Characters of a sitemap text that are parsed at once.
+XML_PIECE = 1 << 16
+
+
 def sitemap_urls(xml: str | None) -> list[tuple[str, bool]]:
-    """(loc, whether it is a sitemap) of a sitemap text, whatever its namespaces; none of a text with a DTD or that isn't such XML."""
+    """(loc, whether it is a sitemap) of a sitemap text, whatever its namespaces; none of a text with a DTD or that isn't such XML.
+
+    Entries are dropped as they end, so only their locs are held.
+    """
     if not xml or re.search(r"<!(?:DOCTYPE|ENTITY)", xml, re.I):
         return []
+    xml, found, open_ = xml.strip(), [], []
+    parser, name = ElementTree.XMLPullParser(("start", "end")), lambda e: e.tag.rpartition("}")[2]
     try:
-        root = ElementTree.fromstring(xml.strip())
+        for low in range(0, len(xml), XML_PIECE):
+            parser.feed(xml[low : low + XML_PIECE])
+            if low + XML_PIECE >= len(xml):
+                parser.close()
+            for event, element in parser.read_events():
+                if event == "start":
+                    open_.append(element)
+                    continue
+                open_.pop()
+                wanted = {"urlset": "url", "sitemapindex": "sitemap"}.get(name(open_[0])) if open_ else None
+                if len(open_) == 2 and name(open_[1]) == wanted and name(element) == "loc" and not len(element):
+                    found.append(((element.text or "").strip(), wanted == "sitemap"))
+                elif len(open_) == 1:
+                    open_[0].clear()
     except ElementTree.ParseError:
         return []
-    name = lambda e: e.tag.rpartition("}")[2]
-    wanted = {"urlset": "url", "sitemapindex": "sitemap"}.get(name(root))
-    return [((loc.text or "").strip(), wanted == "sitemap") for entry in root if name(entry) == wanted for loc in entry if name(loc) == "loc" and not len(loc)]
+    return found
+
+
+def _entries(files: DataFrame, *keys: str) -> DataFrame:
+    """(keys.., pos, url, is_index) of the sitemap texts in the column xml, URLs by key."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False, name=None):
+                yield pd.DataFrame([(*row[:-1], k, *found) for k, found in enumerate(sitemap_urls(row[-1]))], columns=[*keys, "pos", "url", "is_index"])
+
+    rows = files.select(*keys, "xml").mapInPandas(work, ", ".join(f"{k} string" for k in keys) + ", pos int, url string, is_index boolean")
+    return rows.withColumn("url", url_key(F.col("url")))
 
 
 def read_sitemaps(files: DataFrame, home: str = "home") -> DataFrame:
     """(crawl_run_id, url, is_index) in sitemap texts: pages of the site and further sitemaps, each once. Files with a DTD or broken XML are left out.
 
-    files: crawl_run_id, xml and the site's home URL.
+    files: crawl_run_id, xml and the site's home URL. ``follow_sitemaps`` reads those that others name.
     """
+    rows = _entries(files.withColumn("home", F.col(home)), "crawl_run_id", "home")
+    return rows.filter(same_domain(F.col("url"), F.col("home")) & (F.col("is_index") | is_page_candidate(F.col("url")))).select("crawl_run_id", "url", "is_index").distinct()
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for crawl, site, xml in batch.itertuples(index=False, name=None):
-                yield pd.DataFrame([(crawl, site, *found) for found in sitemap_urls(xml)], columns=["crawl_run_id", "home", "url", "is_index"])
 
-    rows = files.select("crawl_run_id", F.col(home).alias("home"), "xml").mapInPandas(work, "crawl_run_id string, home string, url string, is_index boolean").withColumn("url", url_key(F.col("url")))
-    return rows.filter(same_domain(F.col("url"), F.col("home")) & (F.col("is_index") | is_page_candidate(F.col("url")))).select("crawl_run_id", "url", "is_index").distinct()
+def follow_sitemaps(files: DataFrame, starts: DataFrame, most_files: int = 12, most_urls: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """(pages, visited) of each crawl's sitemaps: (crawl_run_id, url, place) and (crawl_run_id, url, place, read).
+
+    files: crawl_run_id, url, xml, the saved texts. starts: crawl_run_id, url, seen (order), home. From the starts on, sitemaps that an index names
+    are visited breadth first, each once, so nested ones are followed and cycles end; of other sites' only the visit counts. A crawl visits
+    ``most_files`` and gives its first ``most_urls`` candidate pages, in order of file and entry. ``read`` tells whether a saved text was there.
+
+    Each text is parsed once, before the first round. A round finds what all crawls visit next; there are as many as the deepest nesting, and
+    ``most_files`` at most.
+    """
+    texts = files.select("crawl_run_id", url_key(F.col("url")).alias("file"), "xml").dropDuplicates(["crawl_run_id", "file"])
+    entries, saved = stored(_entries(texts, "crawl_run_id", "file")), stored(texts.select("crawl_run_id", F.col("file").alias("url"), (F.length("xml") > 0).alias("read")))
+    homes = starts.groupBy("crawl_run_id").agg(F.min("home").alias("home"))
+    queue = starts.select("crawl_run_id", url_key(F.col("url")).alias("url"), F.struct(F.lit(0).alias("after"), F.col("seen").cast("int").alias("pos")).alias("order"))
+    visited = None
+    for _ in range(most_files):
+        new = queue.groupBy("crawl_run_id", "url").agg(F.min("order").alias("order"))
+        before = F.lit(0)
+        if visited is not None:
+            new = new.join(visited.select("crawl_run_id", "url"), ["crawl_run_id", "url"], "left_anti").join(visited.groupBy("crawl_run_id").agg(F.max("place").alias("so_far")), "crawl_run_id", "left")
+            before = F.coalesce("so_far", F.lit(0))
+        place = F.row_number().over(Window.partitionBy("crawl_run_id").orderBy("order", "url"))
+        new = new.withColumn("k", place).filter(F.col("k") <= most_files).select("crawl_run_id", "url", (before + F.col("k")).alias("place")).filter(F.col("place") <= most_files)
+        new = stored(new.join(homes, "crawl_run_id").select("crawl_run_id", "url", "place", same_domain(F.col("url"), F.col("home")).alias("own"), "home"))
+        if new.isEmpty():
+            break
+        visited = new if visited is None else visited.unionByName(new)
+        named = new.filter("own").select("crawl_run_id", F.col("url").alias("file"), F.col("place").alias("after")).join(entries.filter("is_index"), ["crawl_run_id", "file"])
+        queue = named.select("crawl_run_id", "url", F.struct("after", "pos").alias("order"))
+    if visited is None:
+        visited = starts.limit(0).select("crawl_run_id", "url", F.lit(0).alias("place"), F.lit(True).alias("own"), "home")
+    found = visited.filter("own").select("crawl_run_id", F.col("url").alias("file"), "place", "home").join(entries.filter("NOT is_index"), ["crawl_run_id", "file"])
+    found = found.filter(same_domain(F.col("url"), F.col("home")) & is_page_candidate(F.col("url"))).groupBy("crawl_run_id", "url").agg(F.min(F.struct("place", "pos")).alias("order"))
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("crawl_run_id").orderBy("order", "url"))).filter(F.col("place") <= most_urls)
+    state = visited.join(saved, ["crawl_run_id", "url"], "left").select("crawl_run_id", "url", "place", (F.col("own") & F.coalesce("read", F.lit(False))).alias("read"))
+    return found.select("crawl_run_id", "url", "place"), state
 
 
 def robots_rules(text: str) -> list[tuple[str, bool, str, int]]:
@@ -212,8 +277,8 @@ ANSWER_COLUMNS = ("provider", "model", "question", "answer", "citation_urls", "o
 REQUIRED = ("provider", "question", "answer", "observed_at")
 
 
-def read_answer_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good, bad) rows of imported answers: quoted cells may hold newlines and doubled quotes. A wrong header is an error, a wrong row isn't."""
+def read_answer_csv(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) rows of imported answers: quoted cells may hold newlines and doubled quotes. A wrong header is an error; a wrong row is one if strict."""
     options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "enforceSchema": False}
     header = [c.removeprefix("﻿") for c in spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path).columns]
     if unknown := [c for c in header if c not in ANSWER_COLUMNS]:
@@ -226,13 +291,20 @@ def read_answer_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     rows = rows.filter(~blank | F.col("_corrupt").isNotNull())
     # Spark doesn't read the column of wrong rows alone
     wrong = F.col("_corrupt").isNotNull() & (F.length(F.concat_ws("", *header, "_corrupt")) >= 0)
+    if strict and not rows.filter(wrong).isEmpty():
+        raise ValueError("the file has wrong rows")
     return rows.filter(~wrong).drop("_corrupt"), rows.filter(wrong)
 
 
-def normalize_imports(rows: DataFrame, questions: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
-    """(answers, rejected): typed rows matched to the library's questions by their words, with defaults where none matches."""
+def normalize_imports(rows: DataFrame, questions: DataFrame, as_of: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(answers, rejected): typed rows matched to the library's questions by their words, with defaults where none matches.
+
+    If strict, a row that would be rejected is an error, so an import is taken whole or not at all.
+    """
     seen = F.try_to_timestamp("observed_at")
     rows = rows.withColumn("_seen", seen).withColumn("_why", F.when(F.length(F.trim(F.coalesce("answer", F.lit("")))) == 0, "empty answer").when(seen.isNull(), "unreadable time").when(seen > F.lit(as_of).cast("timestamp"), "time in the future"))
+    if strict and not rows.filter("_why IS NOT NULL").isEmpty():
+        raise ValueError("the import has rows that can't be taken")
     library = questions.groupBy(F.lower(F.trim("text")).alias("_q")).agg(F.min(F.struct("id", "stage", "type", "persona_id", "geography", "intent")).alias("q"))
     good = rows.filter("_why IS NULL").withColumn("_q", F.lower(F.trim("question"))).join(library, "_q", "left")
     either = lambda c, d: F.coalesce(F.col(f"q.{c}"), F.lit(d)).alias(c)
@@ -250,4 +322,4 @@ def read_tables(spark: SparkSession, folder: str, schemas: dict[str, dict[str, s
     return out
 
 
-__all__ = ["classify_fetches", "extract", "extract_pages", "normalize_imports", "parse_robots", "read_answer_csv", "read_sitemaps", "read_tables"]
+__all__ = ["classify_fetches", "extract", "extract_pages", "follow_sitemaps", "normalize_imports", "parse_robots", "read_answer_csv", "read_sitemaps", "read_tables"]

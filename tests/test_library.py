@@ -6,6 +6,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline import sinks
@@ -20,6 +21,7 @@ from sightline.operators import links as LI
 from sightline.operators import questions as Q
 from sightline.operators import validate as VA
 from sightline.operators import visibility as V
+from sightline.operators.ranking import placed
 from sightline.sources import pages as P
 
 ANSWERS = "experiment_id string, answer_id string, ordinal int, status string, raw string, truncated boolean, analyzed boolean, refused boolean, stage string, type string, persona_id string, provider string, model string"
@@ -336,3 +338,47 @@ def test_identical_pages_of_a_large_group(spark):
     got = C.identical_pages(pages).collect()
     assert {r.id for r in got if (r.brand_id, r.text_hash, r["first"], r.n) == ("b", "h", 0, 50)} == {*range(50)} and len(got) == 50
     assert all(len(r.similar) == 20 and r.id not in r.similar for r in got)
+
+
+def test_nested_sitemaps(spark):
+    """Indexes name indexes, one names its parent, one is missing, one is another site's; files and URLs are bounded as asked."""
+    home = "https://a.com"
+    index = lambda *locs: "<sitemapindex>" + "".join(f"<sitemap><loc> {x} </loc></sitemap>" for x in locs) + "</sitemapindex>"
+    urls = lambda *locs: "<urlset>" + "".join(f"<url><loc>{x}</loc><p><loc>{home}/no</loc></p></url>" for x in locs) + "</urlset>"
+    texts = {"/s.xml": index(f"{home}/b.xml", f"{home}/c.xml", f"{home}/gone.xml", "https://other.com/o.xml"), "/b.xml": index(f"{home}/s.xml", f"{home}/d.xml"), "/c.xml": urls(f"{home}/1", f"{home}/2#x", f"{home}/x.pdf", "https://other.com/3"), "/d.xml": urls(f"{home}/2", f"{home}/4"), "/unnamed.xml": urls(f"{home}/5"), "/bad.xml": "<urlset><url><loc>x"}
+    files = spark.createDataFrame([("c", home + path, xml) for path, xml in texts.items()] + [("d", f"{home}/s.xml", texts["/c.xml"]), ("c", "https://other.com/o.xml", urls(f"{home}/9"))], "crawl_run_id string, url string, xml string")
+    starts = spark.createDataFrame([("c", f"{home}/s.xml", 0, home), ("c", f"{home}/s.xml#again", 1, home), ("c", f"{home}/bad.xml", 2, home), ("d", f"{home}/s.xml", 0, home)], "crawl_run_id string, url string, seen int, home string")
+    told = lambda df: [(r.crawl_run_id, r.url.removeprefix(home)) for r in df.orderBy("crawl_run_id", "place").collect()]
+    pages, visited = P.follow_sitemaps(files, starts)
+    assert told(pages) == [("c", "/1"), ("c", "/2"), ("c", "/4"), ("d", "/1"), ("d", "/2")]
+    assert told(visited) == [("c", x) for x in ("/s.xml", "/bad.xml", "/b.xml", "/c.xml", "/gone.xml", "https://other.com/o.xml", "/d.xml")] + [("d", "/s.xml")]
+    assert {r.url.removeprefix(home): r.read for r in visited.filter("crawl_run_id = 'c'").collect()} == {"/s.xml": True, "/bad.xml": True, "/b.xml": True, "/c.xml": True, "/gone.xml": False, "https://other.com/o.xml": False, "/d.xml": True}
+    few, some = P.follow_sitemaps(files, starts, most_files=4, most_urls=1)
+    assert told(few) == [("c", "/1"), ("d", "/1")] and told(some)[:4] == [("c", x) for x in ("/s.xml", "/bad.xml", "/b.xml", "/c.xml")] and len(told(some)) == 5
+    assert P.follow_sitemaps(files, starts.limit(0))[0].count() == 0
+
+
+def test_sitemap_texts_in_pieces(monkeypatch):
+    text = "<urlset>" + "".join(f"<url><loc>https://a.com/{k}</loc></url>" for k in range(500)) + "</urlset>"
+    monkeypatch.setattr(P, "XML_PIECE", 7)
+    assert P.sitemap_urls(text) == [(f"https://a.com/{k}", False) for k in range(500)] and P.sitemap_urls(text[:-3]) == [] and P.sitemap_urls("<!DOCTYPE x>" + text) == [] and P.sitemap_urls("") == []
+
+
+def test_places_are_those_of_a_window(spark):
+    draw = random.Random(9)
+    rows = spark.createDataFrame([(draw.choice([None, "a", "a", "a", "b"]), draw.randint(0, 5), k) for k in range(500)], "g string, p int, k int").repartition(7)
+    got = placed(rows, "g", [F.desc("p"), F.col("k").asc()])
+    want = rows.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("p"), "k")))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and placed(rows.limit(0), "g", [F.col("k")]).count() == 0
+
+
+def test_strict_imports(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text("provider,question,answer,observed_at\nx,q,a,2024-01-01\nx,q,a,2024-01-01,more\n")
+    with pytest.raises(ValueError):
+        P.read_answer_csv(spark, str(path), strict=True)
+    good, _ = P.read_answer_csv(spark, str(path))
+    library = spark.createDataFrame([], "id string, text string, stage string, type string, persona_id string, geography string, intent int")
+    assert P.normalize_imports(good, library, "2024-06-01", strict=True)[0].count() == 1
+    with pytest.raises(ValueError):
+        P.normalize_imports(good, library, "2023-06-01", strict=True)
