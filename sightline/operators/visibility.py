@@ -261,6 +261,60 @@ def claim_agreement(claims: DataFrame) -> DataFrame:
     return out.select("experiment_id", "supported", "judged", *share("supported", "judged", "agreement"), "unverifiable", "time_sensitive")
 
 
+#: What answers are sliced by, besides taken as a whole.
+DIMENSIONS = ("stage", "type", "persona_id", "source")
+
+
+def _dimensions(answers: DataFrame) -> DataFrame:
+    """Eligible answers with their value in each dimension, '' where there is none."""
+    source = F.concat_ws(" / ", "provider", "model")
+    values = (F.coalesce((source if d == "source" else F.col(d)).cast("string"), F.lit("")).alias(d) for d in DIMENSIONS)
+    return eligible_answers(answers).select("experiment_id", "answer_id", "ordinal", *values)
+
+
+def _by_slice(rows: DataFrame, keys: list[str], *sums: Column) -> DataFrame:
+    """(keys.., dimension, value, sums): rows, aggregated by all dimensions before, as a whole and by each dimension alone, in one pass of grouping sets."""
+    sets = [[F.col(k) for k in keys], *([F.col(k) for k in (*keys, d)] for d in DIMENSIONS)]
+    dimension = F.lit("all")
+    for d in DIMENSIONS:
+        dimension = F.when(F.grouping(d) == 0, d).otherwise(dimension)
+    out = rows.groupingSets(sets, *(F.col(c) for c in (*keys, *DIMENSIONS))).agg(dimension.alias("dimension"), *sums)
+    return out.withColumn("value", F.coalesce(*DIMENSIONS, F.lit(""))).drop(*DIMENSIONS)
+
+
+def sliced_citations(answers: DataFrame, brands: DataFrame, citations: DataFrame) -> DataFrame:
+    """``citation_domains`` without lists, of each experiment as a whole (dimension all) and by each stage, type, persona and source.
+
+    An answer has one value in a dimension, so rows of (domain, answer) are counted once by all dimensions together, and the counts of
+    slices are sums of these; only URLs, which several answers may cite, are told apart by slice.
+    """
+    keys = ["experiment_id", "domain"]
+    rows = citations.select("experiment_id", "answer_id", "pos", "url", "domain").join(_dimensions(answers), ["experiment_id", "answer_id"])
+    once = rows.groupBy(*keys, *DIMENSIONS, "answer_id").agg(F.count("*").alias("n"), F.min(F.struct("ordinal", "pos")).alias("first"))
+    counts = once.groupBy(*keys, *DIMENSIONS).agg(F.sum("n").alias("n"), F.count("*").alias("answers"), F.min("first").alias("first"))
+    out = _by_slice(counts, keys, F.sum("n").alias("citations"), F.sum("answers").alias("n_answers"), F.min("first").alias("first"))
+    urls = _by_slice(rows.select(*keys, "url", *DIMENSIONS).distinct(), [*keys, "url"]).groupBy(*keys, "dimension", "value").agg(F.count("*").alias("n_urls"))
+    target = brands.filter("kind = 'target'").groupBy("experiment_id").agg(F.min("host").alias("host"))
+    out = out.join(urls, [*keys, "dimension", "value"]).join(target, "experiment_id", "left")
+    rank = F.row_number().over(Window.partitionBy("experiment_id", "dimension", "value").orderBy(F.desc("citations"), "first", "domain"))
+    return out.select("experiment_id", "dimension", "value", "domain", "citations", "n_urls", "n_answers", host_matches(F.col("domain"), F.col("host")).alias("target"), rank.alias("rank"))
+
+
+def sliced_concentration(domains: DataFrame, top: int = 5) -> DataFrame:
+    """``citation_concentration`` by slice. domains: of ``sliced_citations``."""
+    keys = ["experiment_id", "dimension", "value"]
+    out = domains.groupBy(*keys).agg(F.sum(F.when(F.col("rank") <= top, F.col("citations")).otherwise(0)).alias("top"), F.sum("citations").alias("citations"))
+    return out.select(*keys, "top", "citations", *share("top", "citations", "concentration"))
+
+
+def sliced_agreement(answers: DataFrame, claims: DataFrame) -> DataFrame:
+    """``claim_agreement`` by slice. claims: experiment_id, answer_id, classification."""
+    kinds = ("supported", "contradicted", "unverifiable", "time_sensitive")
+    counts = claims.select("experiment_id", "answer_id", "classification").join(_dimensions(answers), ["experiment_id", "answer_id"]).groupBy("experiment_id", *DIMENSIONS).agg(*(F.count_if(F.col("classification") == k).alias(k) for k in kinds))
+    out = _by_slice(counts, ["experiment_id"], *(F.sum(k).alias(k) for k in kinds)).withColumn("judged", F.col("supported") + F.col("contradicted"))
+    return out.select("experiment_id", "dimension", "value", "supported", "judged", *share("supported", "judged", "agreement"), "unverifiable", "time_sensitive")
+
+
 def adjudicate_claims(claims: DataFrame, facts: DataFrame) -> DataFrame:
     """Claims with the classification that the experiment's facts allow.
 

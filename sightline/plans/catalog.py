@@ -103,6 +103,23 @@ def claim_agreement(spark, d):
     return V.claim_agreement(B.read(spark, d, "events").select((F.col("user_id") % 7).alias("experiment_id"), kind.alias("classification")))
 
 
+@query(O.SLICED_CITATIONS)
+def sliced_citations(spark, d):
+    return V.sliced_citations(B.answers(spark, d), B.brands(spark), B.citations(spark, d))
+
+
+@query(O.SLICED_CONCENTRATION)
+def sliced_concentration(spark, d):
+    return V.sliced_concentration(V.sliced_citations(B.answers(spark, d), B.brands(spark), B.citations(spark, d)))
+
+
+@query(O.SLICED_AGREEMENT)
+def sliced_agreement(spark, d):
+    """A claim for each answer, of a kind that its number tells."""
+    kind = F.element_at(F.array(*map(F.lit, ("supported", "contradicted", "unverifiable", "time_sensitive", "supported"))), (F.col("ordinal") % 5 + 1).cast("int"))
+    return V.sliced_agreement(B.answers(spark, d), B.answers(spark, d).select("experiment_id", "answer_id", kind.alias("classification")))
+
+
 @query(O.FILTERED)
 def filtered_answers(spark, d):
     return V.filter_answers(B.answers(spark, d).withColumn("observed_at", F.lit("2026-01-01")), stage="solution_research", type="t2", source="prov0 / m1").select("experiment_id", "answer_id")

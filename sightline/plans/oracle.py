@@ -82,6 +82,18 @@ j AS (SELECT experiment_id, dimension, value, brand_id, eligible, coalesce(menti
 SELECT experiment_id, dimension, value, brand_id, eligible, mentioned, {_wilson("mentioned", "eligible", "mention")}, recommended, {_wilson("recommended", "eligible", "recommendation")}, cited, with_citations, {_wilson("cited", "with_citations", "citation")},
   weighted, round(weighted / nullif(sum(weighted) OVER (PARTITION BY experiment_id, dimension, value), 0), 9)::DOUBLE AS share FROM j"""
 
+_SLICED = f"""WITH {_ANSWERS}, {_CITATIONS},
+s AS (SELECT experiment_id, answer_id, ordinal, s.d AS dimension, s.v AS value FROM (SELECT *, {_SLICES} AS s FROM good)),
+r AS (SELECT s.*, pos, url, domain FROM citations c JOIN s USING (experiment_id, answer_id)),
+t AS (SELECT experiment_id, min(host) AS host FROM brands WHERE kind = 'target' GROUP BY 1),
+dom AS (SELECT experiment_id, dimension, value, domain, count(*) AS citations, count(DISTINCT url) AS n_urls, count(DISTINCT answer_id) AS n_answers, min(ordinal * 1000000000 + pos) AS first FROM r GROUP BY ALL),
+ranked AS (SELECT experiment_id, dimension, value, domain, citations, n_urls, n_answers, domain = host OR ends_with(domain, '.' || host) AS target, row_number() OVER (PARTITION BY experiment_id, dimension, value ORDER BY citations DESC, first, domain) AS rank FROM dom LEFT JOIN t USING (experiment_id))"""
+SLICED_CITATIONS = f"{_SLICED} SELECT * FROM ranked"
+SLICED_CONCENTRATION = f"""{_SLICED}, j AS (SELECT experiment_id, dimension, value, (sum(citations) FILTER (rank <= 5))::BIGINT AS top, sum(citations)::BIGINT AS citations FROM ranked GROUP BY ALL)
+SELECT experiment_id, dimension, value, top, citations, {_wilson("top", "citations", "concentration")} FROM j"""
+SLICED_AGREEMENT = f"""{_SLICED}, j AS (SELECT experiment_id, dimension, value, count(*) FILTER (ordinal % 5 IN (0, 4)) AS supported, count(*) FILTER (ordinal % 5 IN (0, 1, 4)) AS judged, count(*) FILTER (ordinal % 5 = 2) AS unverifiable, count(*) FILTER (ordinal % 5 = 3) AS time_sensitive FROM s GROUP BY ALL)
+SELECT experiment_id, dimension, value, supported, judged, {_wilson("supported", "judged", "agreement")}, unverifiable, time_sensitive FROM j"""
+
 ANSWER_COUNTS = f"""WITH {_ANSWERS} SELECT experiment_id, count(*) FILTER (answer_id IN (SELECT answer_id FROM good)) AS eligible, count(*) FILTER (answer_id NOT IN (SELECT answer_id FROM good)) AS excluded,
   count(*) FILTER (refused AND answer_id IN (SELECT answer_id FROM good)) AS refusals FROM answers GROUP BY 1"""
 MENTION_ORDER = f"WITH {_ANSWERS} SELECT experiment_id, answer_id, brand_id, \"at\", first_position FROM mentions"
