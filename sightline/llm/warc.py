@@ -101,8 +101,8 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archives(pages: DataFrame, folder: str) -> None:
     """Write a record for each page to archives in a new folder of any file system, one for each of Spark's partitions.
 
-    Spark writes the files, so a lost executor's archives are written again, and its advisory partition size is theirs before
-    compression. Each starts with a dictionary that is built from a bounded sample of its own first records.
+    Spark writes the files, so a lost executor's archives are written again. An archive holds a partition of the plan, which Spark
+    coalesces by compressed bytes and never splits: its size has no bound of its own. Each starts with a dictionary that is built from a bounded sample of its own first records.
     """
     frames = plan_records(pages).mapInArrow(_written, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).text(folder)
