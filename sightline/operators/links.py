@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import is_excluded, is_page_candidate, same_domain, url_key, with_url_key
+from ..storage import stored
 
 
 def keyed_pages(pages: DataFrame) -> DataFrame:
@@ -19,8 +20,8 @@ def resolve_links(pages: DataFrame) -> DataFrame:
     """(crawl_run_id, key, page_id, status, status_code): which page of its crawl a URL stands for.
 
     A fetched page wins over others and, among equals, the later in order of URL. The URL of a skipped page whose final URL is a fetched
-    page's stands for that page; a redirect's hop only where no page has the URL. One hop is resolved, on the first map.
-    pages: keyed. Only ids, keys and status are shuffled.
+    page's stands for that page; a redirect's hop only where no page has the URL. Pages are taken in order of URL, so an alias of an alias
+    stands for what that one stands for if it comes later (``_alias_targets``). pages: keyed. Only ids, keys and status are shuffled.
     """
     p = pages.select("crawl_run_id", F.col("id").alias("page_id"), "url", "url_k", "final_k", "status", "status_code", F.transform(F.coalesce("redirects", F.array().cast("array<struct<url:string,status:int,destination:string>>")), lambda r: r["url"]).alias("hops"))
     fetched = F.col("status") == "fetched"
@@ -28,16 +29,34 @@ def resolve_links(pages: DataFrame) -> DataFrame:
     own = own.select("crawl_run_id", "key", "page_id", "status", "status_code", "url", F.when(fetched, 2).otherwise(1).alias("level"))
     best = lambda rows: rows.groupBy("crawl_run_id", "key").agg(F.max(F.struct("level", "url", "page_id", "status", "status_code")).alias("p"))
     first = best(own)
-    skipped = p.filter("status = 'skipped' AND final_k IS NOT NULL").select("crawl_run_id", F.col("page_id").alias("alias_id"), F.col("url_k").alias("alias"), F.col("final_k").alias("key"), F.col("url").alias("at"))
-    aliases = skipped.join(first, ["crawl_run_id", "key"]).filter("p.status = 'fetched'")
-    alias_rows = aliases.select("crawl_run_id", F.col("alias").alias("key"), "p.page_id", "p.status", "p.status_code", F.col("at").alias("url"), F.lit(3).alias("level"))
-    hop_rows = with_url_key(p.select("crawl_run_id", "page_id", "status", "status_code", "url", F.explode("hops").alias("hop")), "hop", "key")
+    aliases = _alias_targets(p, first)
+    alias_rows = aliases.select("crawl_run_id", F.col("alias").alias("key"), "p.page_id", "p.status", "p.status_code", F.col("at.url").alias("url"), F.lit(3).alias("level"))
     stands = aliases.select("crawl_run_id", F.col("alias_id").alias("page_id"), F.struct("p.page_id", "p.status", "p.status_code").alias("to"))
+    hop_rows = with_url_key(p.select("crawl_run_id", "page_id", "status", "status_code", "url", F.explode("hops").alias("hop")), "hop", "key")
     hop_rows = hop_rows.join(stands, ["crawl_run_id", "page_id"], "left").select("crawl_run_id", "key", F.coalesce("to", F.struct("page_id", "status", "status_code")).alias("to"), "url")
     hop_rows = hop_rows.groupBy("crawl_run_id", "key").agg(F.min(F.struct("url", "to")).alias("h")).select("crawl_run_id", "key", "h.to.*", F.col("h.url").alias("url"), F.lit(0).alias("level"))
     return best(own.unionByName(alias_rows).unionByName(hop_rows)).select("crawl_run_id", "key", "p.page_id", "p.status", "p.status_code")
 
 
+def _alias_targets(p: DataFrame, first: DataFrame) -> DataFrame:
+    """(crawl_run_id, alias_id, alias, at, p): skipped pages that stand for a fetched one, p, with their URL's key and their place.
+
+    A skipped page takes what its final URL stands for when its turn comes: what the last earlier skipped page of that URL stands for, else the page
+    that has it, if fetched. So each points to at most one earlier page, and its target is that of the earliest page on its way that has
+    one. Ways are doubled in each round, so as many rounds are needed as the logarithm of the longest; without such ways there is none.
+    """
+    place = F.struct("url", "page_id")
+    skipped = p.filter("status = 'skipped' AND final_k IS NOT NULL").select("crawl_run_id", F.col("page_id").alias("alias_id"), F.col("url_k").alias("alias"), F.col("final_k").alias("key"), place.alias("at"))
+    own = first.filter("p.status = 'fetched'").select("crawl_run_id", "key", F.struct("p.page_id", "p.status", "p.status_code").alias("p"))
+    before = skipped.select("crawl_run_id", F.col("alias").alias("key"), F.col("alias_id").alias("prior"), F.col("at").alias("prior_at"))
+    earlier = skipped.join(before, ["crawl_run_id", "key"]).filter("prior_at < at").groupBy("crawl_run_id", "alias_id").agg(F.max_by("prior", "prior_at").alias("next"))
+    state = stored(skipped.join(own, ["crawl_run_id", "key"], "left").join(earlier, ["crawl_run_id", "alias_id"], "left").select("crawl_run_id", "alias_id", "alias", "at", "next", "p"))
+    while not state.filter("next IS NOT NULL").isEmpty():  # places fall along a way, so it ends
+        far = state.select("crawl_run_id", F.col("alias_id").alias("next"), F.col("next").alias("after"), F.col("p").alias("q"))
+        state = stored(state.join(far, ["crawl_run_id", "next"], "left").select("crawl_run_id", "alias_id", "alias", "at", F.col("after").alias("next"), F.coalesce("q", "p").alias("p")))
+    return state.filter("p IS NOT NULL").select("crawl_run_id", "alias_id", "alias", "at", "p")
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(crawl_run_id, source_id, link, key) of fetched pages, each link once."""
     rows = pages.filter("status = 'fetched'").select("crawl_run_id", F.col("id").alias("source_id"), F.explode(F.array_distinct("internal_links")).alias("link"))

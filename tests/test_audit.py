@@ -232,6 +232,41 @@ def test_filters_keep_similar_sets(spark):
     assert got == want and len(want) > 20
 
 
+def plain_map(pages: list[tuple]) -> dict:
+    """What each URL stands for, page by page in order of URL. pages: id, url, final, status, hops."""
+    at, pages = {}, sorted(pages, key=lambda p: (p[1], p[0]))
+    for p in sorted(pages, key=lambda p: p[3] == "fetched"):
+        at[p[1]] = p
+        if p[2]:
+            at[p[2]] = p
+    for p in pages:
+        end = at.get(p[2]) if p[2] else None
+        target = end if p[3] == "skipped" and end and end[3] == "fetched" else p
+        if target is not p:
+            at[p[1]] = target
+        for hop in p[4]:
+            at.setdefault(hop, target)
+    return {url: p[0] for url, p in at.items()}
+
+
+def test_chains_of_aliases(spark):
+    """Aliases of aliases, of hops and of nothing, some of which come before what they need, against the map made page by page."""
+    draw, home = random.Random(12), "https://a.com"
+    tables = [[(f"{k:03}", f"{home}/u{k:03}", f"{home}/u{k - 1:03}" if k else f"{home}/u000", "skipped" if k else "fetched", []) for k in range(40)]]
+    for _ in range(12):
+        url = lambda: f"{home}/u{draw.randint(0, 30):03}"
+        own = draw.sample(range(25), 18)
+        tables.append([(str(k), f"{home}/u{k:03}", draw.choice([None, url(), url(), url()]), draw.choice(["fetched", "skipped", "skipped", "skipped", "failed"]), [url() for _ in range(draw.randint(0, 2))]) for k in own])
+    rows = [(f"c{n}", i, u, f or None, s, 200 if s == "fetched" else None, None, [(h, 301, "x") for h in hops]) for n, table in enumerate(tables) for i, u, f, s, hops in table]
+    df = spark.createDataFrame(rows, "crawl_run_id string, id string, url string, final_url string, status string, status_code int, canonical_url string, redirects array<struct<url:string,status:int,destination:string>>")
+    got = {}
+    for r in L.resolve_links(L.keyed_pages(df)).collect():
+        got.setdefault(r.crawl_run_id, {})[r.key] = r.page_id
+    for n, table in enumerate(tables):
+        assert got[f"c{n}"] == plain_map(table), n
+    assert set(got["c0"].values()) == {"000"}
+
+
 def test_duplicates_are_told_by_class(spark):
     df = spark.createDataFrame([("c", k, "A" if k % 2 else "") for k in range(90)] + [("d", 1, "A")], "crawl_run_id string, id long, key string")
     assert {tuple(r) for r in D.duplicates(df, F.col("key")).collect()} == {("c", k, 1, 45) for k in range(1, 90, 2)}
