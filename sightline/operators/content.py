@@ -95,8 +95,12 @@ def coverage_matrix(matches: DataFrame, brands: list[str]) -> DataFrame:
 
 
 def _matches(pages: DataFrame, brands: DataFrame) -> DataFrame:
-    """Completed pages with their project and kind of brand, a row for each question that they match."""
-    p = pages.filter("status = 'completed'").join(brands.select("project_id", "brand_id", "kind"), "brand_id")
+    """Completed pages with their project and kind of brand, a row for each question that they match.
+
+    Most pages may be of one or two brands, so that a shuffle by brand would have them in as many tasks, each with all its matches. A few short
+    words for each brand of a project are sent to the pages instead.
+    """
+    p = pages.filter("status = 'completed'").join(F.broadcast(brands.select("project_id", "brand_id", "kind")), "brand_id")
     return p.select("project_id", "page_id", "kind", "url", "direct_answer", F.explode("matches.question_id").alias("id"))
 
 
@@ -113,15 +117,15 @@ def content_gaps(questions: DataFrame, pages: DataFrame, brands: DataFrame, list
     Only exploded matches are joined, never questions with pages. target_urls and rival_urls are the first ``listed`` in order of spelling;
     ``gap_pages`` has all.
     """
-    p = pages.filter("status = 'completed'").join(brands.select("project_id", "brand_id", "kind"), "brand_id")
-    ready = p.filter("kind = 'target'").select("project_id").distinct()
+    owners = pages.filter("status = 'completed'").select("brand_id").distinct()
+    ready = owners.join(brands.filter("kind = 'target'").select("project_id", "brand_id"), "brand_id").select("project_id").distinct()
     target = F.col("kind") == "target"
     matched = _matches(pages, brands)
     m = matched.groupBy("project_id", "id").agg(F.count_if(target).alias("own"), F.count_if(~target).alias("rivals"), F.max(F.when(target, F.coalesce("direct_answer", F.lit(0.0)))).alias("best"))
     first = matched.select("project_id", "id", target.alias("own_page"), "url").distinct().withColumn("_k", F.row_number().over(Window.partitionBy("project_id", "id", "own_page").orderBy("url"))).filter(F.col("_k") <= listed)
     urls = first.groupBy("project_id", "id").agg(F.array_sort(F.collect_list(F.when(F.col("own_page"), F.col("url")))).alias("target_urls"), F.array_sort(F.collect_list(F.when(~F.col("own_page"), F.col("url")))).alias("rival_urls"))
     m = m.join(urls, ["project_id", "id"])
-    q = questions.join(ready, "project_id", "left_semi").join(m, ["project_id", "id"], "left").fillna(0, ["own", "rivals"])
+    q = questions.join(F.broadcast(ready), "project_id", "left_semi").join(m, ["project_id", "id"], "left").fillna(0, ["own", "rivals"])
     missing = F.col("own") == 0
     kind = F.lit("Question coverage")
     for type_, label in GAP_KINDS.items():

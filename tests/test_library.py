@@ -382,3 +382,19 @@ def test_strict_imports(spark, tmp_path):
     assert P.normalize_imports(good, library, "2024-06-01", strict=True)[0].count() == 1
     with pytest.raises(ValueError):
         P.normalize_imports(good, library, "2023-06-01", strict=True)
+
+
+def test_pages_of_few_brands_are_not_dealt_by_brand(spark):
+    """Pages with their matches stay where they are: only short lists of brands and projects are joined by brand or project."""
+    import re
+
+    pages = spark.createDataFrame([(k, f"b{k % 2}", f"https://a.com/{k}", float(k % 20), "completed", [(q,) for q in range(k % 7)]) for k in range(60)], "page_id long, brand_id string, url string, direct_answer double, status string, matches array<struct<question_id:long>>")
+    brands = spark.createDataFrame([("p", "b0", "target"), ("p", "b1", "competitor")], "project_id string, brand_id string, kind string")
+    questions = spark.createDataFrame([("p", q, f"question {q}", "other", 3) for q in range(9)] + [("x", 99, "of another project", "other", 3)], "project_id string, id long, text string, type string, intent int")
+    gaps = C.content_gaps(questions, pages, brands)
+    for df in (gaps, C.gap_pages(gaps, pages, brands)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"SortMergeJoin(?:\(skew=true\))? \[brand_id#\d+\]", plan)) <= 1 and not re.search(r"SortMergeJoin \[project_id#\d+\], \[project_id#\d+\]", plan)
+    assert {(r.question_id, r.action, r.rivals) for r in gaps.collect()} == {(q, "create", 0) for q in (6, 7, 8)}
+    listed = {(r.question_id, r.kind, r.page_id) for r in C.gap_pages(gaps, pages, brands).collect()}
+    assert listed == set()
