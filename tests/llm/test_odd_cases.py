@@ -445,3 +445,12 @@ def test_keys_of_tables_with_working_names(spark):
     got = told.rows.collect()
     assert told.clash and len({r.key for r in got}) == 4 and all((r._own, r.clash, r.SALT) == ("own", "clash", "salt") for r in got)
     assert unused(spark.createDataFrame([], "row int, _Row int, x int"), "row", "y", "X") == ["__row", "y", "_X"]
+
+
+def test_url_rules_of_the_query_are_those_of_its_contract(spark, tmp_path):
+    from sightline.llm.url_filters import op10_url_filters
+
+    want = {"http://a.org/x": ("org/", "allow"), "http://example.org/es/1": ("example.org/es/", "block"), "http://example.org/en/1": ("example.org/en/1", "block"), "http://w.example.org/en/12?q": ("example.org/en/1", "block"), "http://example.org/en/2": ("org/", "allow"), "http://a.com/fr/": ("com/fr/", "allow"), "http://a.com/de/": ("com/de/", "block")}
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in op10_url_filters(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
