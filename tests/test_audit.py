@@ -296,3 +296,9 @@ def test_coverage_and_runs(spark):
 def test_search_keeps_wildcards(spark):
     df = spark.createDataFrame([("error", "c", "r1", "https://a.com/100%"), ("warning", "c", "r0", "https://a.com/100x"), ("observation", "c", "r0", "https://a.com/100%/b")], "severity string, category string, rule_id string, url string")
     assert [r.severity for r in A.search_issues(df, words="100%").collect()] == ["error", "observation"]
+
+
+def test_shingles_are_in_one_order_and_short_pages_keep_their_row(spark):
+    df = spark.createDataFrame([("c", 1, " ".join(f"w{k}," for k in range(120))), ("c", 2, "too short"), ("c", 3, None)], "crawl_run_id string, id long, t string")
+    got = {r.id: r.shingles for r in D.shingle_sets(df, F.col("t"), "crawl_run_id", "id").collect()}
+    assert len(got[1]) == 116 and got[1] == sorted(got[1]) and got[2] is None and got[3] is None
