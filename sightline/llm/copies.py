@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, salted_left_join, unused
+from .common import cut, salted_left_join, text_left_join, unused
 
 #: From here on keys are made of the row, for those whose id doesn't tell them. They are never null, so joins need no test for null.
 NO_ID = 1 << 62
@@ -50,7 +50,7 @@ def keyed(docs: DataFrame, id: str = "doc_id", name: str = "row") -> Keyed:
         return Keyed(docs.withColumn(name, given_key(id)), False, again)
     own, several = unused(docs, "own", "clash")
     clashes = cut(tags.filter("low <> high").select(F.col("own").alias(own), F.lit(True).alias(several)))
-    rows = salted_left_join(docs.withColumn(own, given_key(id)), clashes, [own], F.col("text"))
+    rows = text_left_join(docs.withColumn(own, given_key(id)), clashes, [own], F.col("text"))
     return Keyed(rows.withColumn(name, F.when(F.col(several), made_key(own, "text")).otherwise(F.col(own))).drop(own, several), True, again)
 
 
